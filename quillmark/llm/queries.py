@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.common import table
-from quillmark.llm import language_id, mixing, quality, simhash, url_filter
+from quillmark.llm import decontaminate, fingerprints, language_id, mixing, quality, secrets, simhash, url_filter
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -40,6 +52,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_secrets": op4_secrets,
+    "op5_fingerprints": op5_fingerprints,
     "op7_mix": op7_mix,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,

@@ -33,12 +33,14 @@ UNWANTED = (
     "cheap-pills", "pills", "viagra", "pharmacy-deals", "weight-loss", "porn", "adult-cams", "xxx", "hot-singles", "escort", "payday-loan",
     "fast-loans", "quick-cash", "get-rich", "crypto-double", "free-iphone", "prize-winner", "lottery-win", "replica-watches", "cracked-keys",
     "warez", "free-movies", "hack-tools", "account-verify", "login-secure-bank", "click-here", "miracle-cure", "cheap-meds", "spam-links",
+    "ads-track", "ad-tracker", "track-clicks", "ads-server", "popup-ads", "ads", "adult-x", "adult", "x-videos", "adult-x-chat",
 )
 ORDINARY = (
     "news", "weather", "library", "museum", "science", "history", "garden", "recipes", "travel", "music", "theatre", "school", "university",
     "research", "health", "hospital", "council", "parliament", "railway", "airport", "books", "journal", "archive", "maps", "photos", "blog",
     "forum", "wiki", "code", "docs", "support", "shop", "market", "energy", "farm", "ocean", "mountain", "river", "thother", "tionist",
     "theran", "thandthe", "nderstand", "thinking", "estate", "interest", "stories", "standard", "whither", "erstwhile",
+    "thesis", "others", "things", "anthem", "thorough", "theses", "athens", "there", "thousand", "author", "thistle", "withers", "lathe", "method",
 )
 
 
@@ -92,7 +94,7 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(table: DataFrame | None, spark=None, rounds: int = 300) -> UrlModel:
+def train(table: DataFrame | None, spark=None, rounds: int = 800) -> UrlModel:
     """Fits on ``table`` (url, label), or on the built-in one, which takes the same way through Spark."""
     table = table if table is not None else spark.createDataFrame(labelled_urls(), "url string, label int")
     rows = table.where("label is not null").select(host().alias("h"), path().alias("p"), F.col("label").cast("int").alias("y")).limit(MAX_LABELLED + 1).toPandas()
