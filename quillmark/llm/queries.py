@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.common import table
-from quillmark.llm import decontaminate, fingerprints, language_id, mixing, quality, secrets, simhash, url_filter
+from quillmark.llm import decontaminate, fingerprints, language_id, line_dedup, mixing, quality, secrets, simhash, substring_dedup, url_filter
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -49,14 +53,20 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(None, spark))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mix": op7_mix,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op7_mix": mixing.ORACLE}
