@@ -23,41 +23,86 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.common import width, written
 
 #: Shorter lines are removed only where they are equal.
 MIN_WORDS = 8
 
-_WHITE = "[\\x20\\x09-\\x0D]+"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+_SEED = 42  # of Spark's xxhash64
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, at, line, h1, h2) of every line that is not white; at orders lines by document and number."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    rows = rows.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("n").alias("line"))
-    return rows.select("doc_id", "t", at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
 
-def _halves(min_words: int) -> list:
+def _halves(words: list[bytes], min_words: int) -> list[int | None]:
     """Hashes of the halves that a close line of as many or one more words must share; null for short lines."""
-    n, out = F.size("w"), []
-    for more in (0, 1):
-        m = n + more
-        head = F.floor((m - 1) / 2).cast("int")
+    n, out = len(words), []
+    if n < min_words:
+        return [None] * 4
+    for m in (n, n + 1):
+        head = (m - 1) // 2
         tail = m - 1 - head
-        for side, part in enumerate((F.slice("w", F.lit(1), head), F.slice("w", n - tail + 1, tail))):
-            out.append(F.when(n >= min_words, F.xxhash64(m, F.lit(side), part)))
+        for side, part in enumerate((words[:head], words[n - tail :])):
+            out.append(_signed(xxhash.xxh64_intdigest(b" ".join(part), 2 * m + side)))
     return out
 
 
-def variants(words: list[str]) -> np.ndarray:
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, t, n, h1, h2, k0..k3) of every line that is not white: hash of the text, number and hash of the line, its halves."""
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            doc, rows = [], []
+            for i, text in enumerate(pdf["text"]):
+                raw = text.encode("utf-8", "replace")
+                t = _signed(xxhash.xxh64_intdigest(raw, _SEED))
+                for n, line in enumerate(raw.split(b"\n")):
+                    words = line.split()
+                    if words:
+                        h = xxhash.xxh3_128_intdigest(line)
+                        doc.append(i)
+                        rows.append((t, n, _signed(h >> 64), _signed(h & (1 << 64) - 1), *_halves(words, min_words)))
+                if len(rows) > 50_000:
+                    yield frame(pdf, doc, rows)
+                    doc, rows = [], []
+            yield frame(pdf, doc, rows)
+
+    def frame(pdf: pd.DataFrame, doc: list, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["t", "n", "h1", "h2", "k0", "k1", "k2", "k3"], dtype=object).astype("Int64")
+        out.insert(0, "doc_id", pdf["doc_id"].iloc[doc].to_numpy())
+        return out
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").where("text is not null")
+    return rows.mapInPandas(each, f"doc_id {kind}, t long, n int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+
+
+def _at():
+    """Orders lines by document and number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("n").alias("line"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(text: pd.Series) -> pd.Series:
+    """Texts as they go through a shuffle."""
+    pack = zstandard.ZstdCompressor(3).compress
+    return text.map(lambda t: None if t is None else pack(t.encode("utf-8", "replace")))
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def variants(words: list[bytes]) -> np.ndarray:
     """Hashes of the words without each in turn, then of all the words."""
-    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
     power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), _B)], dtype=np.uint64)
     kept = np.r_[np.uint64(0), np.cumsum(h * power[:-1], dtype=np.uint64)]  # before a place, words keep their power
     moved = np.r_[np.uint64(0), np.cumsum(h[1:] * power[: len(h) - 1], dtype=np.uint64)]  # after it, one less
@@ -68,7 +113,7 @@ def variants(words: list[str]) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def close(a: list[str], b: list[str]) -> bool:
+def close(a: list[bytes], b: list[bytes]) -> bool:
     """Whether at most one word is inserted, left out or replaced."""
     if abs(len(a) - len(b)) > 1:
         return False
@@ -79,116 +124,154 @@ def close(a: list[str], b: list[str]) -> bool:
 
 
 def _sieved(distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines that share a half with another."""
+    """(h1) of distinct lines that share a half with another. A key's rows pass by in a stream; two of them tell all."""
 
     def shared(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((0, 3), np.int64)
+        key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in it:
-            held = np.concatenate([held, pdf[["k", "h1", "h2"]].to_numpy(np.int64)])
-            if not len(held):
+            if not len(pdf):
                 continue
-            # the last key may go on; two of its rows tell all that follow, so no more are held
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            yield _several(held[:last])
-            if len(held) - last > 2:
-                yield _several(held[last:])
-            held = held[last : last + 2] if len(held) - last > 2 else held[last:]
-        yield _several(held)
-
-    keyed = distinct.select(F.explode("halves").alias("k"), "h1", "h2").where("k is not null")
-    return keyed.repartition(width(distinct.sparkSession), "k").sortWithinPartitions("k").mapInPandas(shared, "h1 long, h2 long").distinct()
-
-
-def _several(rows: np.ndarray) -> pd.DataFrame:
-    if not len(rows):
-        return pd.DataFrame({"h1": np.zeros(0, np.int64), "h2": np.zeros(0, np.int64)})
-    same = rows[1:, 0] == rows[:-1, 0]
-    keep = np.r_[False, same] | np.r_[same, False]
-    return pd.DataFrame({"h1": rows[keep, 1], "h2": rows[keep, 2]})
-
-
-def earliest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, until) of each distinct line that is repeated or close to another: occurrences after ``until`` go."""
-    found = lines(docs).withColumn("w", F.split(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), _WHITE))
-    keyed = found.select("h1", "h2", "at", F.array(*_halves(min_words)).alias("halves"))
-    distinct = written(keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("halves").alias("halves")), "lines")
-    sieved = _sieved(distinct)
-    # one occurrence of each sieved line, with its text
-    rows = lines(docs).select("h1", "h2", "at", "line").join(sieved, ["h1", "h2"], "left_semi")
-    chosen = written(rows.join(distinct.select("h1", "h2", F.col("first").alias("at")), ["h1", "h2", "at"], "left_semi").dropDuplicates(["h1", "h2"]), "close-lines")
+            key, line = np.r_[key, pdf["k"].to_numpy(np.int64)], np.r_[line, pdf["h1"].to_numpy(np.int64)]
+            yield pd.DataFrame({"h1": several(key, line)})
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            key, line = key[last : last + 2], line[last : last + 2]
+
+    def several(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+        same = key[1:] == key[:-1]
+        return np.unique(line[np.r_[False, same] | np.r_[same, False]])
+
+    keyed = distinct.select(F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"), "h1").where("k is not null")
+    return keyed.repartition(width(distinct.sparkSession), "k").sortWithinPartitions("k").mapInPandas(shared, "h1 long").distinct()
+
+
+_LINE = "h1 long, h2 long, line string"
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, line): texts of wanted lines (doc, t, n, h1, h2), each at one place."""
+    by_doc = wanted.groupBy(F.col("doc").alias("__i"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("n", "h1", "h2")).alias("want"))
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), _packed("text").alias("z"))
+    held = by_doc.join(rows, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("t") == F.col("__t"))).select("z", "want")
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for h1, h2, line in zip(pdf["h1"], pdf["h2"], pdf["line"], strict=True):
-                v = variants(_words(line))
-                yield pd.DataFrame({"v": v.view(np.int64), "place": np.r_[0 : len(v) - 1, -1].astype(np.int32), "h1": h1, "h2": h2})
-
-    made = _batched(chosen.select("h1", "h2", "line"), each)
-    member = F.struct("at", "h1", "h2")
-    made = written(made.join(chosen.select("h1", "h2", "at"), ["h1", "h2"]).select("v", "place", member.alias("m")), "variants")
-    best = made.groupBy("v", "place").agg(F.min("m").alias("best"))
-    whole = best.where("place = -1").select("v", F.col("best").alias("whole"))
-    lacking = best.where("place >= 0")
-    partner = (
-        lacking.join(whole, "v", "left").select("v", "place", F.least("best", "whole").alias("best"))
-        .union(lacking.groupBy("v").agg(F.min("best").alias("best")).select("v", F.lit(-1).alias("place"), "best"))
-    )
-    linked = made.join(partner, ["v", "place"]).where(F.col("best.at") < F.col("m.at")).groupBy(F.col("m.h1").alias("h1"), F.col("m.h2").alias("h2")).agg(F.min("best").alias("best"))
+            out = []
+            for z, want in zip(pdf["z"], pdf["want"], strict=True):
+                parts = _unpacked(z).split(b"\n")
+                out += [(w["h1"], w["h2"], parts[w["n"]].decode("utf-8", "replace")) for w in want]
+            yield pd.DataFrame(out, columns=["h1", "h2", "line"])
 
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([close(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
+    return held.mapInPandas(each, _LINE).dropDuplicates(["h1", "h2"])
 
-    text = chosen.select("h1", "h2", "line")
-    other = text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    linked = linked.join(text, ["h1", "h2"]).join(other, (F.col("best.h1") == F.col("g1")) & (F.col("best.h2") == F.col("g2"))).where(verified("line", "other"))
-    marked = distinct.select("h1", "h2", "n", "first").join(linked.select("h1", "h2", F.col("best.at").alias("near")), ["h1", "h2"], "left")
-    return marked.where("n > 1 or near is not null").select("h1", "h2", F.least("first", "near").alias("until"))
 
+def _linked(chosen: DataFrame) -> DataFrame:
+    """(own, best): places of lines of ``chosen`` (at, line), each with the earliest that shares a variant as close lines do.
 
-def _words(line: str) -> list[str]:
-    return [x for x in line.translate(_SPACE).split(" ") if x]
+    Variants are dealt and sorted by hash, then place of the line, and pass by in a stream: of an open hash only
+    the first row of each word left out is held, however many lines share it.
+    """
+    kind = chosen.select("at.doc").schema[0].dataType.simpleString()
 
+    def variants_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            held, rows, size = [], [], 0
+            for i, line in enumerate(pdf["line"]):
+                v = variants(_words(line))
+                held.append((v.view(np.int64), np.r_[0 : len(v) - 1, -1].astype(np.int32)))
+                rows.append(np.full(len(v), i))
+                size += len(v)
+                if size > 50_000 or i == len(pdf) - 1:
+                    v, place = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield pd.concat([pd.DataFrame({"v": v, "place": place}), pdf[["none", "doc", "n"]].iloc[np.concatenate(rows)].reset_index(drop=True)], axis=1)
+                    held, rows, size = [], [], 0
+
+    def first_of(*columns: np.ndarray) -> np.ndarray:
+        """For each row the first row with the same values."""
+        order = np.lexsort(columns[::-1])
+        new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)]
+        out = np.empty(len(order), np.int64)
+        out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # lexsort is stable
+        return out
+
+    def partners(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            old = 0 if held is None else len(held)
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            v, place = pdf["v"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64)
+            by_place, any_ = first_of(v, place), first_of(v)
+            whole = np.full(len(v), len(v))
+            np.minimum.at(whole, any_[place == -1], np.flatnonzero(place == -1))
+            best = np.minimum(by_place, whole[any_])
+            best = np.where(place == -1, np.minimum(best, any_), best)
+            own = np.flatnonzero(best < np.arange(len(v)))
+            own = own[own >= old]
+            a, b = pdf[["none", "doc", "n"]].iloc[own].reset_index(drop=True), pdf[["none", "doc", "n"]].iloc[best[own]].reset_index(drop=True)
+            yield pd.concat([a, b.rename(columns={"none": "none2", "doc": "doc2", "n": "n2"})], axis=1)
+            tail = np.flatnonzero(v == v[-1])
+            held = pdf.iloc[tail[by_place[tail] == tail]]
+
+    place_of = f"none boolean, doc {kind}, n int"
+    made = chosen.select("line", F.col("at.none").alias("none"), F.col("at.doc").alias("doc"), F.col("at.line").alias("n")).mapInPandas(variants_of, f"v long, place int, {place_of}")
+    dealt = made.repartition(width(chosen.sparkSession), "v").sortWithinPartitions("v", "none", "doc", "n")
+    found = dealt.mapInPandas(partners, f"{place_of}, none2 boolean, doc2 {kind}, n2 int")
+    at = lambda a, b, c: F.struct(F.col(a).alias("none"), F.col(b).alias("doc"), F.col(c).alias("line"))
+    return found.select(at("none", "doc", "n").alias("own"), at("none2", "doc2", "n2").alias("best")).groupBy("own").agg(F.min("best").alias("best"))
+
+
+def _words(line: str) -> list[bytes]:
+    return line.encode("utf-8", "replace").split()
+
+
+def earliest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(h1, h2, until) of each distinct line of ``found`` that is repeated or close to another: occurrences after ``until`` go."""
+    first = F.min(F.struct(_at().alias("at"), "t"))
+    distinct = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), first.alias("first"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")])
+    distinct = written(distinct.select("h1", "h2", "n", F.col("first.at").alias("at"), F.col("first.t").alias("t"), "k0", "k1", "k2", "k3"), "lines")
+    places = distinct.join(_sieved(distinct), "h1", "left_semi")
+    chosen = _texts(docs, places.select(F.col("at.doc").alias("doc"), "t", F.col("at.line").alias("n"), "h1", "h2"))
+    chosen = written(chosen.join(places.select("h1", "h2", "at"), ["h1", "h2"]), "close-lines")
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([close(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
 
-_SPACE = dict.fromkeys([9, 10, 11, 12, 13, 32], " ")
+    own = chosen.select(F.col("at").alias("own"), "h1", "h2", "line")
+    other = chosen.select(F.col("at").alias("best"), F.col("line").alias("other"))
+    linked = _linked(chosen).alias("l").join(own.alias("o"), [F.col(f"l.own.{f}").eqNullSafe(F.col(f"o.own.{f}")) for f in ("none", "doc", "line")]).select("best", "h1", "h2", "line")
+    linked = linked.alias("l").join(other.alias("o"), [F.col(f"l.best.{f}").eqNullSafe(F.col(f"o.best.{f}")) for f in ("none", "doc", "line")]).select("l.best", "h1", "h2", "line", "other").where(verified("line", "other"))
+    marked = distinct.select("h1", "h2", "n", "at").join(linked.select("h1", "h2", F.col("best").alias("near")), ["h1", "h2"], "left")
+    return marked.where("n > 1 or near is not null").select("h1", "h2", F.least("at", "near").alias("until"))
 
 
-def _batched(rows: DataFrame, each) -> DataFrame:
-    """``each`` over batches of rows, its small frames put together."""
+@F.pandas_udf(T.StringType())
+def _cut(z: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for part in each(it):
-            held.append(part)
-            n += len(part)
-            if n > 50_000:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
+    def one(raw: bytes | None, places) -> str | None:
+        if raw is None:
+            return None
+        text = _unpacked(raw)
+        if places is not None and len(places):
+            drop = set(places)
+            text = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop)
+        return text.decode("utf-8", "replace")
 
-    return rows.mapInPandas(run, "v long, place int, h1 long, h2 long")
+    return pd.Series([one(a, b) for a, b in zip(z, gone, strict=True)], dtype=object)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later of equal or close lines taken out of ``text``, and __n_lines and __n_removed besides."""
-    until = written(earliest(docs, min_words), "line-first")
-    gone = lines(docs).join(until, ["h1", "h2"]).where(F.col("at") > F.col("until"))
-    gone = gone.groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("at.line").alias("__gone"))
-    rows = docs.withColumn("__x", F.xxhash64("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left")
-
-    def cut(text, places):
-        # the split text is bound once and not split again for each line
-        kept = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
-        return F.get(F.transform(F.array(F.split(text, "\n", -1)), lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n")), F.lit(0))
-
+    found = written(lines(docs, min_words), "all-lines")
+    until = earliest(docs, found)
+    gone = found.select("doc_id", "t", "n", "h1", "h2").join(until, ["h1", "h2"]).where(_at() > F.col("until"))
+    gone = gone.groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("n").alias("__gone"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
-    rows = rows.withColumns({
-        "__n_lines": n_lines, "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        "__cut": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__gone"))),
-    })
-    return rows.select(*[F.col("__cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+    rows = docs.withColumns({"__x": F.xxhash64("text"), "__n_lines": n_lines, "text": _packed("text")})
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left")
+    rows = rows.withColumns({"__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": _cut("text", "__gone")})
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

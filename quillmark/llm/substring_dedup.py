@@ -8,13 +8,13 @@ A byte goes if a string of MIN_LENGTH bytes that covers it also starts in a docu
    anchor, each distinct run with its least document; what a batch already shows to be a copy is only noted.
 2. By anchor: documents that hold a run after its first document lose it whole. Anchors whose runs differ
    need their texts compared.
-3. By document: the lost runs are marked; documents with a run to compare send the run's bytes, by anchor.
+3. By document: places of lost runs are noted; documents with a run to compare send the run's bytes, by anchor.
 4. By anchor: the distinct runs are joined to one text and ordered by MIN_LENGTH symbols, which gives its
    transform. Intervals of the order are extended backward, breadth first, one more symbol a level. A
    boundary that appears at a level has that level's common prefix less one; no interval goes on that
    shows no new boundary, and the search stops at MIN_LENGTH. Boundaries that never appeared hold
    common prefixes of MIN_LENGTH or more: equal windows, whose least document keeps them.
-5. By document: the windows found are marked too, and the rest is hashed.
+5. By document: all that was found is marked, and the rest is hashed.
 
 Rows are packed arrays, so that no row a window or run exists; everything is dealt by anchor or document,
 and files cut the lineage between documents and comparison.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ from quillmark.common import width, written
 MIN_LENGTH = 50
 #: Bytes of text that a task looks at together.
 BATCH_BYTES = 4_000_000
+#: Bytes of text that are hashed together, about.
+LOOK_BYTES = 100_000
+#: Symbols of a transform; runs of one anchor are never parted.
+TEXT_SYMBOLS = 1_000_000
 
 _B = 0x100000001B3
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -74,15 +79,18 @@ class Hashes:
         return out
 
 
-def runs(b: np.ndarray, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run of windows with one anchor, the anchor's hash and the run's hash."""
+def runs(b: np.ndarray, ends: np.ndarray, length: int = MIN_LENGTH) -> tuple[np.ndarray, ...]:
+    """First and last window of each run of windows with one anchor, the anchor's hash, the run's hash, and the text's number.
+
+    ``b`` holds the bytes of many texts in turn, up to ``ends``; windows over an end do not count.
+    """
     n = len(b) - length + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64)
-    w = max(1, length // 3 + 1)  # anchors are places 0..w-1 of a window, k bytes long
+        return z, z, z.astype(np.uint64), z.astype(np.uint64), z
+    w = max(1, length * 23 // 50)  # anchors are places 0..w-1 of a window, k bytes long, and k is t + w
+    t = max(1, length + 1 - 2 * w)
     k = length - w + 1
-    t = max(1, 4 + (k - 4) % w)
     h = Hashes(b, length)
     order = (_mixed(h.of(t)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(b) - t + 1, dtype=np.uint64)
     size, span = 1, length - t + 1
@@ -92,60 +100,109 @@ def runs(b: np.ndarray, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarra
         size += step
     at = (order[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     window = np.arange(n)
+    text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
     anchor = window + (at - window) % w
-    s = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    same = (anchor[1:] == anchor[:-1]) & (text[1:n] == text[: n - 1])
+    s = np.flatnonzero(np.r_[True, ~same])
     e = np.r_[s[1:] - 1, n - 1]
+    owner = text[s]
+    e = np.minimum(e, ends[owner] - length)
+    ok = e >= s
+    s, e, owner = s[ok], e[ok], owner[ok]
     key = _mixed(h.of(k)[anchor[s]])
     full = h.of(length)
-    return s, e, key, _mixed(_mixed(full[s] + (e - s).astype(np.uint64)) * np.uint64(3) + full[e])
+    return s, e, key, _mixed(_mixed(full[s] + (e - s).astype(np.uint64)) * np.uint64(3) + full[e]), owner
 
 
 def place(doc: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of a document; the same as ``_place`` gives in a column."""
+    """The bucket of a document."""
     return ((doc ^ (doc >> 7) ^ (doc >> 17)) % n).astype(np.int32)
 
 
-def _place(n: int):
-    return F.expr(f"cast(pmod(doc_id ^ shiftright(doc_id, 7) ^ shiftright(doc_id, 17), {n}L) as int)")
-
-
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], **more) -> pd.DataFrame:
     """A row a bucket with the bucket's part of each column as bytes."""
     order = np.argsort(bucket, kind="stable")
     at = bucket[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
     cut = [slice(a, z) for a, z in zip(first, np.r_[first[1:], len(at)], strict=True)]
-    return pd.DataFrame({"bucket": at[first].astype(np.int32), **{k: [v[order][c].tobytes() for c in cut] for k, v in columns.items()}, **more})
+    return pd.DataFrame({"bucket": at[first].astype(np.int32), **{k: [(_counted if k == "docs" else np.ndarray.tobytes)(v[order][c]) for c in cut] for k, v in columns.items()}, **more})
+
+
+def _counted(docs: np.ndarray) -> bytes:
+    """Numbers in runs of equal ones, as the runs' values and lengths."""
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
+    return docs[first].tobytes() + np.diff(np.r_[first, len(docs)]).astype(np.uint32).tobytes()
+
+
+def _uncounted(raw: bytes) -> np.ndarray:
+    n = len(raw) // 12
+    return np.repeat(np.frombuffer(raw[: 8 * n], np.int64), np.frombuffer(raw[8 * n :], np.uint32))
+
+
+def _packed_docs(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket by document, ids, sizes, texts): documents of a batch and bucket, compressed together for the shuffle."""
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in it:
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                held.append((int(doc), text.encode("utf-8", "replace")))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
+
+    def send(held: list) -> pd.DataFrame:
+        ids = np.array([d for d, _ in held], np.int64)
+        at, pack = place(ids, buckets), zstandard.ZstdCompressor(3).compress
+        by: dict[int, list[int]] = {}
+        for i, b in enumerate(at.tolist()):
+            by.setdefault(b, []).append(i)
+        return pd.DataFrame([(b, ids[i].tobytes(), np.array([len(held[j][1]) for j in i], np.int64).tobytes(), pack(b"".join(held[j][1] for j in i))) for b, i in by.items()], columns=["bucket", "ids", "sizes", "texts"])
+
+    return docs.select("doc_id", "text").mapInPandas(batches, "bucket int, ids binary, sizes binary, texts binary")
 
 
 def _runs_by_anchor(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """(bucket, docs, keys, hashes): distinct runs with their least document; rows without keys are known copies, on any bucket."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, turn = [], 0, 0
+        held, size, looked, turn, some = [], 0, 0, 0, []
         for pdf in it:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                _, _, key, run = runs(b, length)
-                held.append((np.full(len(key), doc, np.int64), key, run))
-                size += len(b)
+                some.append((doc, text.encode("utf-8", "replace")))
+                size += len(some[-1][1])
+                if size >= BATCH_BYTES or size - looked >= LOOK_BYTES:
+                    held.append(look(some))
+                    some, looked = [], size
                 if size >= BATCH_BYTES:
                     yield from send(held, turn)
-                    held, size, turn = [], 0, turn + 1
+                    held, size, looked, turn = [], 0, 0, turn + 1
+        if some:
+            held.append(look(some))
         if held:
             yield from send(held, turn)
 
+    def look(some: list) -> tuple:
+        ids, ends = np.array([d for d, _ in some], np.int64), np.cumsum([len(x) for _, x in some])
+        _, _, key, run, owner = runs(np.frombuffer(b"".join(x for _, x in some), np.uint8), ends, length)
+        return ids[owner], key, run
+
     def send(held: list, turn: int) -> Iterator[pd.DataFrame]:
         doc, key, run = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, run))
         doc, key, run = doc[order], key[order], run[order]
         first = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(run) else doc
-        yield _packed((key[first] >> np.uint64(32)) % np.uint64(buckets), {"docs": doc[first], "keys": key[first].astype(np.uint32), "hashes": run[first]})
-        again = ~first & (doc > least)
-        if again.any():
+        by = np.flatnonzero(first)[np.argsort(doc[first], kind="stable")]
+        yield _packed((key[by] >> np.uint64(32)) % np.uint64(buckets), {"docs": doc[by], "keys": key[by].astype(np.uint32), "hashes": run[by]})
+        again = np.flatnonzero(~first & (doc > least))
+        if len(again):
+            again = again[np.argsort(doc[again], kind="stable")]
             d, r = doc[again], run[again]
-            yield pd.DataFrame({"bucket": [int(d[0] + turn) % buckets], "docs": [d.tobytes()], "keys": [b""], "hashes": [r.tobytes()]})
+            yield pd.DataFrame({"bucket": [int(d[0] + turn) % buckets], "docs": [_counted(d)], "keys": [b""], "hashes": [r.tobytes()]})
 
     return docs.select("doc_id", "text").mapInPandas(batches, "bucket int, docs binary, keys binary, hashes binary")
 
@@ -157,7 +214,7 @@ def _marks(sent: DataFrame, buckets: int) -> DataFrame:
         docs, keys, hashes = [], [], []
         for pdf in it:
             for d, k, h in zip(pdf["docs"], pdf["keys"], pdf["hashes"], strict=True):
-                d, h = np.frombuffer(d, np.int64), np.frombuffer(h, np.uint64)
+                d, h = _uncounted(d), np.frombuffer(h, np.uint64)
                 if k:
                     docs.append(d)
                     keys.append(np.frombuffer(k, np.uint32))
@@ -181,7 +238,8 @@ def _marks(sent: DataFrame, buckets: int) -> DataFrame:
         several = np.bincount(group, new_run)[group] > 1
         lost = ~new_run & (doc > least)
         ask = new_run & several
-        pick = lost | ask
+        pick = np.flatnonzero(lost | ask)
+        pick = pick[np.argsort(doc[pick], kind="stable")]
         yield _packed(place(doc[pick], buckets), {"docs": doc[pick], "hashes": run[pick], "compare": ask[pick].astype(np.uint8)})
 
     dealt = sent.repartition(buckets, "bucket")
@@ -201,126 +259,160 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-_HALFWAY = "doc_id long, uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, starts binary, ends binary, bucket int, s_docs binary, s_uids binary, s_starts binary, s_sizes binary, s_bytes binary"
+def _together(docs: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
+    """Packed documents of each bucket after the notes about them."""
+    names = [f.name for f in notes.schema if f.name != "bucket"]
+    none = lambda columns: [F.lit(None).cast("binary").alias(c) for c in columns]
+    rows = _packed_docs(docs, buckets).select("bucket", F.lit(1).alias("kind"), "ids", "sizes", "texts", *none(names))
+    rows = rows.union(notes.select("bucket", F.lit(0).alias("kind"), *none(["ids", "sizes", "texts"]), *names))
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _open(row) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Ids, texts and ends of texts of a row of packed documents."""
+    return np.frombuffer(row.ids, np.int64), zstandard.ZstdDecompressor().decompress(row.texts), np.cumsum(np.frombuffer(row.sizes, np.int64))
+
+
+_HALFWAY = "kind int, bucket int, docs binary, uids binary, starts binary, ends binary, keys binary, texts binary"
+
+
+def _uid(raw: bytes) -> int:
+    """Tells rows of one doc_id apart."""
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
 def _by_document(docs: DataFrame, marks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Results of the documents that are done, texts of the others, and packed runs to compare."""
-    rows = docs.select(_place(buckets).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "hashes", "compare")])
-    notes = marks.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "hashes", "compare")
-    together = rows.union(notes).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    """Kind 0, by document: places that are lost. Kind 1, by anchor: runs to compare, with their bytes."""
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, notes, ready, sends = None, [], None, []
+        current, notes, ready, lost, asked = None, [], None, [], []
         for pdf in it:
-            out = []
             for row in pdf.itertuples(index=False):
                 if row.bucket != current:
                     current, notes, ready = row.bucket, [], None
                 if row.kind == 0:
-                    notes.append((np.frombuffer(row.docs, np.int64), np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.compare, np.uint8)))
+                    notes.append((_uncounted(row.docs), np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.compare, np.uint8)))
+                    continue
+                if not notes and ready is None:
                     continue
                 if ready is None:
-                    d, h, c = (np.concatenate(x) for x in zip(*notes, strict=True)) if notes else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-                    order = np.lexsort((c, h, d))
-                    ready, notes = (d[order], h[order], c[order]), []
-                out.append(document(int(row.doc_id), row.text, ready, sends))
-            if out:
-                yield pd.DataFrame(out, columns=_HALFWAY_COLUMNS[:9], dtype=object)
-            if sum(len(s[1]) for s in sends) > 20_000:
-                yield packed(sends)
-                sends = []
-        if sends:
-            yield packed(sends)
-
-    def document(doc: int, text: str, ready: tuple, sends: list) -> tuple:
-        raw = text.encode("utf-8", "replace")
-        b = np.frombuffer(raw, np.uint8)
-        a, z = np.searchsorted(ready[0], [doc, doc + 1])
-        if a == z:
-            return (doc, None, len(b), 0, 0, hashlib.sha256(raw).hexdigest(), None, None, None)
-        s, e, key, run = runs(b, length)
-        hashes, compare = ready[1][a:z], ready[2][a:z]
-        at = np.minimum(np.searchsorted(hashes, run), len(hashes) - 1)
-        hit = hashes[at] == run
-        lost, ask = hit & (compare[at] == 0), hit & (compare[at] == 1)
-        starts, ends = s[lost], e[lost] + length
-        if not ask.any():
-            return (doc, None, len(b), *_result(b, _covered(len(b), starts, ends)), None, None, None)
-        uid = xxhash.xxh64_intdigest(raw) - (1 << 63)
-        sends.append((doc, key[ask], uid, s[ask], [raw[x : y + length] for x, y in zip(s[ask], e[ask], strict=True)]))
-        return (doc, uid, len(b), None, None, None, text, starts.astype(np.int32).tobytes(), ends.astype(np.int32).tobytes())
-
-    def packed(sends: list) -> pd.DataFrame:
-        n = [len(s[1]) for s in sends]
-        key, start = np.concatenate([s[1] for s in sends]), np.concatenate([s[3] for s in sends])
-        doc, uid = np.repeat(np.array([s[0] for s in sends], np.int64), n), np.repeat(np.array([s[2] for s in sends], np.int64), n)
-        texts = np.array([x for s in sends for x in s[4]], object)
-        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        at = bucket[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        rows = []
-        for a, z in zip(first, np.r_[first[1:], len(at)], strict=True):
-            o = order[a:z]
-            rows.append((int(at[a]), doc[o].tobytes(), uid[o].tobytes(), start[o].astype(np.int32).tobytes(), np.array([len(x) for x in texts[o]], np.int32).tobytes(), b"".join(texts[o])))
-        return pd.DataFrame(rows, columns=_HALFWAY_COLUMNS[9:], dtype=object)
-
-    def filled(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in each(it):
-            part = part.reindex(columns=_HALFWAY_COLUMNS)
-            for c in ("doc_id", "uid", "n_bytes", "n_removed", "n_spans", "bucket"):
-                part[c] = part[c].astype("Int64")
-            yield part.astype({c: object for c in _HALFWAY_COLUMNS if c not in ("doc_id", "uid", "n_bytes", "n_removed", "n_spans", "bucket")}).where(part.notna(), None)
-
-    return together.mapInPandas(filled, _HALFWAY)
+                    d, h, c = (np.concatenate(x) for x in zip(*notes, strict=True))
+                    d = _mixed(d.view(np.uint64)) ^ h  # a document and a run as one number
+                    order = np.lexsort((c, d))
+                    ready, notes = (d[order], c[order]), []
+                look(*_open(row), ready, lost, asked)
+            if sum(len(x[0]) for x in asked) > 50_000:
+                yield from packed(lost, asked)
+                lost, asked = [], []
+        if lost or asked:
+            yield from packed(lost, asked)
+
+    def look(ids: np.ndarray, whole: bytes, ends: np.ndarray, ready: tuple, lost: list, asked: list) -> None:
+        s, e, key, run, owner = runs(np.frombuffer(whole, np.uint8), ends, length)
+        both = _mixed(ids.view(np.uint64))[owner] ^ run
+        at = np.minimum(np.searchsorted(ready[0], both), len(ready[0]) - 1)
+        hit = np.flatnonzero(ready[0][at] == both)
+        if not len(hit):
+            return
+        s, e, key, owner, ask = s[hit], e[hit], key[hit], owner[hit], ready[1][at[hit]] == 1
+        begin = np.r_[0, ends[:-1]]
+        uids = np.zeros(len(ids), np.int64)
+        for i in np.unique(owner):
+            uids[i] = _uid(whole[begin[i] : ends[i]])
+        if not ask.all():
+            o, a, z = owner[~ask], s[~ask], e[~ask] + length
+            new = np.r_[True, (o[1:] != o[:-1]) | (a[1:] > np.maximum.accumulate(z)[:-1])]  # places that overlap are one
+            last = np.r_[new[1:], True]
+            f = o[new]
+            lost.append((ids[f], uids[f], a[new] - begin[f], np.maximum.accumulate(z)[last] - begin[f]))
+        if ask.any():
+            o = owner[ask]
+            asked.append((ids[o], uids[o], s[ask] - begin[o], e[ask] + length - begin[o], key[ask], [whole[a:z] for a, z in zip(s[ask], e[ask] + length, strict=True)]))
+
+    def packed(lost: list, asked: list) -> Iterator[pd.DataFrame]:
+        if lost:
+            doc, uid, a, z = (np.concatenate(x) for x in zip(*lost, strict=True))
+            out = _packed(place(doc, buckets), {"docs": doc, "uids": uid, "starts": a.astype(np.int32), "ends": z.astype(np.int32)})
+            yield out.assign(kind=np.int32(0), keys=b"", texts=b"")[_HALFWAY_COLUMNS]
+        if asked:
+            doc, uid, a, z, key = (np.concatenate([x[i] for x in asked]) for i in range(5))
+            texts = np.empty(len(doc), object)
+            texts[:] = [t for x in asked for t in x[5]]
+            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            out = _packed(bucket, {"docs": doc, "uids": uid, "starts": a.astype(np.int32), "ends": z.astype(np.int32), "keys": key.astype(np.uint32)})
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+            yield out.assign(kind=np.int32(1), texts=[b"".join(texts[o]) for o in np.split(order, first[1:])])[_HALFWAY_COLUMNS]
+
+    return _together(docs, marks, buckets).mapInPandas(each, _HALFWAY)
 
 
 _HALFWAY_COLUMNS = [c.split()[0] for c in _HALFWAY.split(", ")]
 
 
 def bounded_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Places of a cyclic text in order of their next ``length`` symbols (under 512)."""
-    key, have, pack = symbols.astype(np.int64), 1, min(7, length)
-    for i in range(1, pack):
+    """Places of a cyclic text in order of their next ``length`` symbols (under 512).
+
+    Seven symbols make the first number to sort by; then places that are still equal are sorted by the ranks
+    of what follows, twice as many symbols a round.
+    """
+    n, have = len(symbols), min(7, length)
+    key = symbols.astype(np.int64)
+    for i in range(1, have):
         key = key * 512 + np.roll(symbols, -i)
-    have = pack
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        if have >= length:
-            return order
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
+    order = np.argsort(key)
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    while have < length:
+        rank = np.empty(n, np.int64)
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.r_[start, n])
+        rank[order] = np.repeat(start, sizes)
+        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
         step = min(have, length - have)
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
+        places = order[open_]
+        key = rank[places] * n + rank[(places + step) % n]
+        by = np.argsort(key)
+        order[open_] = places[by]
+        key = key[by]
+        fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        new[open_] |= fresh
         have += step
+    return order
 
 
 def equal_windows(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of a cyclic text's places, and a class number by rank: places of one class share ``length`` symbols.
 
     Breadth-first backward extension: level by level, each interval of the order (the places of one string)
-    is split by the symbol before; the parts are intervals of strings one longer. A right end met for the
-    first time has a common prefix of the level less one, and only its interval is extended further.
+    is split by the symbol before; the parts are intervals of strings one longer, and lie together where the
+    ranks step back. A right end met for the first time has a common prefix of the level less one, and only
+    its interval is extended further.
     """
     n = len(symbols)
     order = bounded_order(symbols, length)
-    before = symbols[(order - 1) % n].astype(np.int64)  # the transform
+    before = symbols[(order - 1) % n]  # the transform
+    source = np.argsort(before, kind="stable")  # the rank from which a rank is one step back
     back = np.empty(n, np.int64)
-    back[np.argsort(before, kind="stable")] = np.arange(n)  # rank of the place one earlier
+    back[source] = np.arange(n)
     prefix = np.full(n + 1, -1, np.int32)  # common prefix at the boundary before a rank; -1 not met
+    label = np.zeros(n, np.int64)
     low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for level in range(1, length + 1):
         sizes = high - low
         which = np.repeat(np.arange(len(low)), sizes)
         rank = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[which]
-        part = which * 512 + before[rank]
-        by = np.argsort(part, kind="stable")
-        part, rank = part[by], rank[by]
-        first = np.r_[True, part[1:] != part[:-1]]
+        label[rank] = which
+        if 3 * len(rank) > n:
+            there = np.zeros(n, bool)
+            there[back[rank]] = True
+            to = np.flatnonzero(there)
+        else:
+            to = np.sort(back[rank])
+        came = source[to]
+        own, symbol = label[came], before[came]
+        first = np.r_[True, (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])]
         last = np.r_[first[1:], True]
-        low, high = back[rank[first]], back[rank[last]] + 1
+        low, high = to[first], to[last] + 1
         new = prefix[high] < 0
         prefix[high[new]] = level - 1
         low, high = low[new], high[new]
@@ -330,23 +422,36 @@ def equal_windows(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
 
 
 def _compared(halfway: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(doc_id, uid, starts, ends) of further lost bytes."""
+    """(bucket by document, docs, uids, starts, ends): further places that are lost."""
 
     def by_anchor(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, uids, starts, sizes, texts = [], [], [], [], []
+        columns = (("docs", np.int64), ("uids", np.int64), ("keys", np.uint32), ("starts", np.int32), ("ends", np.int32))
+        held: list[list] = [[] for _ in columns]
+        texts: list[bytes] = []
         for pdf in it:
             for row in pdf.itertuples(index=False):
-                for into, raw, kind in ((docs, row.s_docs, np.int64), (uids, row.s_uids, np.int64), (starts, row.s_starts, np.int32), (sizes, row.s_sizes, np.int32), (texts, row.s_bytes, np.uint8)):
-                    into.append(np.frombuffer(raw, kind))
-        if not docs:
+                for into, (name, kind) in zip(held, columns, strict=True):
+                    into.append(_uncounted(row.docs) if name == "docs" else np.frombuffer(getattr(row, name), kind))
+                whole, ends = bytes(row.texts), np.cumsum(held[4][-1] - held[3][-1])
+                texts += [whole[a:z] for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        if not texts:
             return
-        doc, uid, start, size = (np.concatenate(x).astype(np.int64) for x in (docs, uids, starts, sizes))
+        doc, uid, key, start, end = (np.concatenate(x).astype(np.int64) for x in held)
+        size = end - start
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        part = np.cumsum(size[order] + 1) // TEXT_SYMBOLS
+        part = part[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # an anchor goes where its first run does
+        for o in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            yield compared(doc[o], uid[o], start[o], size[o], b"".join(texts[i] for i in o))
+
+    def compared(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, size: np.ndarray, text: bytes) -> pd.DataFrame:
         # one text: every run and a 0 after it; a byte b is the symbol b + 1
         at = np.r_[0, np.cumsum(size + 1)]
         symbols = np.zeros(at[-1], np.int16)
         inside = np.ones(at[-1], bool)
         inside[at[1:] - 1] = False
-        symbols[inside] = np.concatenate(texts).astype(np.int16) + 1
+        symbols[inside] = np.frombuffer(text, np.uint8).astype(np.int16) + 1
         order, group = equal_windows(symbols, length)
         owner = np.repeat(np.arange(len(size)), size + 1)
         offset = np.arange(at[-1]) - at[:-1][owner]
@@ -356,20 +461,18 @@ def _compared(halfway: DataFrame, buckets: int, length: int) -> DataFrame:
         np.minimum.at(least, group[ok], doc[by_rank[ok]])
         lost = ok & (doc[by_rank] > least[group])
         places = np.sort(order[lost])
-        if not len(places):
-            return
         own = owner[places]
-        new = np.r_[True, (own[1:] != own[:-1]) | (places[1:] != places[:-1] + 1)]
-        end = np.r_[new[1:], True]
+        new = np.r_[True, (own[1:] != own[:-1]) | (places[1:] != places[:-1] + 1)] if len(places) else np.zeros(0, bool)
+        end = np.r_[new[1:], True] if len(places) else new
         o = own[new]
-        begin = start[o] + offset[places[new]]
-        finish = start[o] + offset[places[end]] + length
-        out = pd.DataFrame({"doc_id": doc[o], "uid": uid[o], "s": begin.astype(np.int32), "e": finish.astype(np.int32)})
-        yield out
+        begin, finish = start[o] + offset[places[new]], start[o] + offset[places[end]] + length
+        return _packed(place(doc[o], buckets), {"docs": doc[o], "uids": uid[o], "starts": begin.astype(np.int32), "ends": finish.astype(np.int32)})
+
+    part = halfway.where("kind = 1").select("bucket", "docs", "uids", "keys", "starts", "ends", "texts")
+    return part.repartition(buckets, "bucket").mapInPandas(by_anchor, _PLACES)
+
 
-    part = halfway.where("bucket is not null").select("bucket", "s_docs", "s_uids", "s_starts", "s_sizes", "s_bytes")
-    found = part.repartition(buckets, "bucket").mapInPandas(by_anchor, "doc_id long, uid long, s int, e int")
-    return found.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+_PLACES = "bucket int, docs binary, uids binary, starts binary, ends binary"
 
 
 def dedup(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
@@ -379,20 +482,33 @@ def dedup(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     named = rows.where("doc_id is not null")
     marks = _marks(_runs_by_anchor(named, buckets, length), buckets)
     halfway = written(_by_document(named, marks, buckets, length), "substrings")
-    waiting = halfway.where("text is not null").select("doc_id", "uid", "text", "starts", "ends").join(_compared(halfway, buckets, length), ["doc_id", "uid"], "left")
+    places = halfway.where("kind = 0").select("bucket", "docs", "uids", "starts", "ends").union(_compared(halfway, buckets, length))
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, notes, ready = None, [], None
         for pdf in it:
             out = []
             for row in pdf.itertuples(index=False):
-                b = np.frombuffer(row.text.encode("utf-8", "replace"), np.uint8)
-                more = list(row.more) if row.more is not None else []
-                s = np.r_[np.frombuffer(row.starts, np.int32), np.array([x["s"] for x in more], np.int32)]
-                e = np.r_[np.frombuffer(row.ends, np.int32), np.array([x["e"] for x in more], np.int32)]
-                out.append((row.doc_id, len(b), *_result(b, _covered(len(b), s, e))))
+                if row.bucket != current:
+                    current, notes, ready = row.bucket, [], None
+                if row.kind == 0:
+                    notes.append((_uncounted(row.docs), np.frombuffer(row.uids, np.int64), np.frombuffer(row.starts, np.int32), np.frombuffer(row.ends, np.int32)))
+                    continue
+                if ready is None:
+                    ready = [np.concatenate(x) for x in zip(*notes, strict=True)] if notes else [np.zeros(0, np.int64)] * 4
+                    order = np.argsort(ready[0], kind="stable")
+                    ready, notes = [x[order] for x in ready], []
+                ids, whole, ends = _open(row)
+                for doc, a, z in zip(ids.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    raw = whole[a:z]
+                    i, j = np.searchsorted(ready[0], [doc, doc + 1])
+                    mine = np.flatnonzero(ready[1][i:j] == _uid(raw)) + i if i < j else []
+                    if len(mine):
+                        out.append((doc, len(raw), *_result(np.frombuffer(raw, np.uint8), _covered(len(raw), ready[2][mine], ready[3][mine]))))
+                    else:
+                        out.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    done = halfway.where("text is null and bucket is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = _together(named, places, buckets).mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     nameless = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(F.col("text").cast("binary"), 256))
-    return done.union(waiting.select("doc_id", "text", "starts", "ends", "more").mapInPandas(finish, schema)).union(nameless)
+    return done.union(nameless)

@@ -32,7 +32,7 @@ UNWANTED = (
     "casino", "casino-win", "online-casino", "poker", "poker-room", "slots", "jackpot", "free-bets", "betting", "best-bets", "sports-bets",
     "cheap-pills", "pills", "viagra", "pharmacy-deals", "weight-loss", "porn", "adult-cams", "xxx", "hot-singles", "escort", "payday-loan",
     "fast-loans", "quick-cash", "get-rich", "crypto-double", "free-iphone", "prize-winner", "lottery-win", "replica-watches", "cracked-keys",
-    "warez", "free-movies", "hack-tools", "account-verify", "login-secure-bank", "click-here", "miracle-cure", "cheap-meds", "spam-links",
+    "warez", "free-movies", "hack-tools", "account-verify", "login-secure-bank", "click-here", "miracle-cure", "cheap-meds", "spam-links", "spam-farm", "link-farm",
     "ads-track", "ad-tracker", "track-clicks", "ads-server", "popup-ads", "ads", "adult-x", "adult", "x-videos", "adult-x-chat",
 )
 ORDINARY = (
@@ -46,7 +46,7 @@ ORDINARY = (
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The built-in table: (url, 1 for unwanted)."""
-    out = []
+    out = [("", 0), ("no address", 0), ("https://example.com/", 0), ("http://www.example.org", 0)]
     for label, words in ((1, UNWANTED), (0, ORDINARY)):
         for i, w in enumerate(words):
             sub, top, lang = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org")[i % 3], ("en", "de", "fr", "es")[(i // 2) % 4]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions import text
 
@@ -98,7 +99,7 @@ def text_metrics(pairs: DataFrame, key: str) -> DataFrame:
     return wide.withColumns(out).select(key, *out).join(longest, key)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _rouge_l(h: pd.Series, r: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of words, by rows of bits."""
 

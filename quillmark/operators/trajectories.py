@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quillmark.functions import vectors
 from quillmark.operators.pairs import draw
 
-STEPS = Window.partitionBy("traj_id").orderBy("t")
+def steps_in_order() -> Window:
+    """Steps of each trajectory."""
+    return Window.partitionBy("traj_id").orderBy("t")
 
 
 def episode_of(done: Column, order: Window) -> Column:
@@ -52,18 +54,18 @@ def segments(steps: DataFrame, size: int, seed: int, offset: Column | None = Non
 
 def stacked(steps: DataFrame, observation: str, goal: str) -> DataFrame:
     """WN4: current, previous (the current at the first step) and goal."""
-    before = F.coalesce(F.lag(observation).over(STEPS), F.col(observation))
+    before = F.coalesce(F.lag(observation).over(steps_in_order()), F.col(observation))
     return steps.withColumn("stacked", vectors.joined(F.col(observation), before, F.col(goal)))
 
 
 def time_limited(steps: DataFrame, horizon: int) -> DataFrame:
     """WN5: ``done_no_max`` is false where the step limit ended the episode."""
-    return steps.withColumn("done_no_max", F.col("done") & (F.row_number().over(STEPS) < horizon))
+    return steps.withColumn("done_no_max", F.col("done") & (F.row_number().over(steps_in_order()) < horizon))
 
 
 def running(steps: DataFrame) -> DataFrame:
     """WN6: return so far and best reward so far."""
-    sofar = STEPS.rowsBetween(Window.unboundedPreceding, 0)
+    sofar = steps_in_order().rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumns({"return_so_far": F.sum("reward").over(sofar), "best_so_far": F.max("reward").over(sofar)})
 
 

@@ -404,7 +404,7 @@ def pairs_duplicate_fill(spark, d):
 
 @query(f"WITH {A.TRANSITIONS} SELECT traj_id, t, event_id, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY traj_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS episode FROM transitions")
 def episode_number(spark, d):
-    return A.transitions(spark, d).select("traj_id", "t", "event_id", trajectories.episode_of(F.col("event_type") == "purchase", trajectories.STEPS).alias("episode"))
+    return A.transitions(spark, d).select("traj_id", "t", "event_id", trajectories.episode_of(F.col("event_type") == "purchase", trajectories.steps_in_order()).alias("episode"))
 
 
 @query(f"WITH {A.TRANSITIONS} SELECT traj_id, round(sum(reward), 4) AS episode_return, max((event_type = 'purchase')::INT) AS success, count(*) AS n_steps FROM transitions GROUP BY traj_id")
