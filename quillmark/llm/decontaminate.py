@@ -7,7 +7,8 @@ posting counts, the rarest term's postings are the candidates, and the other ter
 their offsets, are intersected with them from rare to common. The same candidates, with a distance instead
 of an offset, give proximity matches: every term of the window within reach of its rarest term.
 
-A segment needs nothing from another, so the index is searched where it lies and nothing is shuffled.
+The index is written to the shared folder; a segment needs nothing from another, so it is searched where it
+lies and nothing is shuffled.
 The windows are broadcast in blocks of at most BLOCK_WINDOWS; one block is the rule, more are searched in
 turn over the stored index and their hits are merged.
 
@@ -19,10 +20,12 @@ row by row; without documents there are no rows, without benchmark nothing is hi
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +45,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().translate(_WORD).split()
 
 
-def _segment(ids: list, texts: list[list[bytes]]) -> dict:
-    vocabulary: dict[bytes, int] = {}
-    stream = [vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t]
-    lengths = np.array([len(t) for t in texts], np.int64)
-    at = np.arange(len(stream)) + np.repeat(np.arange(len(texts)), lengths)  # a gap of one before each next document
-    terms = np.array(stream, np.int64)
-    order = np.argsort(terms, kind="stable")
+def _segment(ids: list, lengths: array, vocabulary: dict[bytes, int], stream: array) -> dict:
+    sizes = np.array(lengths, np.int64)
+    at = np.arange(len(stream)) + np.repeat(np.arange(len(sizes)), sizes)  # a gap of one before each next document
+    terms = np.frombuffer(stream, np.int32) if len(stream) else np.zeros(0, np.int32)
+    positions = at[np.argsort(terms, kind="stable")]
     return {
         "ids": ids,
-        "lengths": lengths.astype(np.int32).tobytes(),
+        "lengths": sizes.astype(np.int32).tobytes(),
         "terms": b" ".join(vocabulary),
         "counts": np.bincount(terms, minlength=len(vocabulary)).astype(np.int32).tobytes(),
-        "positions": at[order].astype(np.int32).tobytes(),
+        "positions": zstandard.ZstdCompressor(3).compress(np.diff(positions, prepend=0).astype(np.int32).tobytes()),  # steps from posting to posting
     }
 
 
@@ -62,17 +63,19 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     """One row a segment: ids and lengths of its documents, its terms, and their postings."""
 
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, n = [], [], 0
+        held = [], array("i"), {}, array("i")
         for pdf in it:
             for k, t in zip(pdf["k"].astype(object).where(pdf["k"].notna(), None), pdf["t"], strict=True):
+                ids, lengths, vocabulary, stream = held
                 ids.append(k)
-                texts.append(words(t if isinstance(t, str) else None))
-                n += len(texts[-1])
-                if n >= segment_words:
-                    yield pd.DataFrame([_segment(ids, texts)])
-                    ids, texts, n = [], [], 0
-        if ids:
-            yield pd.DataFrame([_segment(ids, texts)])
+                found = words(t if isinstance(t, str) else None)
+                lengths.append(len(found))
+                stream.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+                if len(stream) >= segment_words:
+                    yield pd.DataFrame([_segment(*held)])
+                    held = [], array("i"), {}, array("i")
+        if held[0]:
+            yield pd.DataFrame([_segment(*held)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"ids array<{kind}>, lengths binary, terms binary, counts binary, positions binary"
@@ -122,7 +125,7 @@ class Segment:
         counts = np.frombuffer(row.counts, np.int32).astype(np.int64)
         self.starts = np.r_[0, np.cumsum(counts)]
         self.span = int(self.first[-1]) + 1
-        self.positions = np.frombuffer(row.positions, np.int32).astype(np.int64)
+        self.positions = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(row.positions), np.int32), dtype=np.int64)
         self.keys = np.repeat(np.arange(len(counts)), counts) * self.span + self.positions
 
     def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -186,15 +189,14 @@ def _hits(segment: Segment, q: Queries, slop: int) -> tuple[list[list[int]], lis
 
 
 def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, spans, items, n_near) of every indexed document.
+    """(doc_id, n_words, spans, n_hit, items, n_near) of every indexed document.
 
-    spans: word numbers [start, end, ...] covered by exact matches; n_near: windows with all terms close together.
+    n_hit: words covered by exact matches; spans: their numbers as [start, end, ...]; n_near: windows with all terms close together.
     """
     sc = index.sparkSession.sparkContext
     queries = written(queries, "windows")
     blocks = max(1, -(-queries.count() // block))
-    if blocks > 1:
-        index = written(index, "index")
+    index = written(index, "index")
     kind = index.schema["ids"].dataType.elementType.simpleString()
     parts = []
     for b in range(blocks):
@@ -208,10 +210,10 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
                     spans, items, near = _hits(s, shared.value, slop)
                     key = hashlib.md5(bytes(row.positions) + bytes(row.lengths) + repr(s.ids).encode()).hexdigest()
                     yield pd.DataFrame({
-                        "segment": key, "place": range(len(s.ids)), "doc_id": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "items": items, "n_near": near,
+                        "segment": key, "place": range(len(s.ids)), "doc_id": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "n_hit": [_covered(x) for x in spans], "items": items, "n_near": near,
                     })
 
-        parts.append(index.mapInPandas(look, f"segment string, place int, doc_id {kind}, n_words long, spans array<int>, items array<string>, n_near long"))
+        parts.append(index.mapInPandas(look, f"segment string, place int, doc_id {kind}, n_words long, spans array<int>, n_hit long, items array<string>, n_near long"))
     if blocks == 1:
         return parts[0].drop("segment", "place")
     found = parts[0]
@@ -221,7 +223,12 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
     merged = found.groupBy("segment", "place", "doc_id", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near"), (F.count("*") / blocks).cast("int").alias("_copies")
     )
-    return merged.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("segment", "place", "_copies")
+
+    @F.pandas_udf("long")
+    def covered(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda s: _covered(list(s)))
+
+    return merged.withColumn("n_hit", covered("spans")).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("segment", "place", "_copies")
 
 
 def _covered(spans: list[int]) -> int:
@@ -235,13 +242,7 @@ def _covered(spans: list[int]) -> int:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``docs``."""
     found = search(build_index(docs), windows(benchmark, size), slop, block)
-
-    @F.pandas_udf("long")
-    def covered(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda s: _covered(list(s)))
-
-    hit = found.withColumn("n_hit", covered("spans"))
-    return hit.select(
+    return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
