@@ -143,7 +143,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             yield pd.DataFrame({"l": ok["l"], "h": ok["h"], "v": [features(t).astype(np.float16).tobytes() for t in ok["t"]]})
 
     got = sample.mapInPandas(vectors, "l string, h long, v binary").toPandas().sort_values(["h", "l"])
-    x = np.frombuffer(b"".join(got["v"]), np.float16).reshape(len(got), DIMS).astype(np.float32)
+    x = np.empty((len(got), DIMS), np.float32)
+    for row, v in zip(x, got.pop("v"), strict=True):
+        row[:] = np.frombuffer(v, np.float16)
     return EcocModel.fit(x, list(got["l"]))
 
 
