@@ -27,19 +27,20 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Words that mark unwanted sites, and ordinary words; both make the small labelled table.
+#: Words that mark unwanted sites, and ordinary words; both make the small labelled table. They are
+#: general words, not hosts of any table that the operator is tried on.
 UNWANTED = (
-    "casino", "casino-win", "online-casino", "poker", "poker-room", "slots", "jackpot", "free-bets", "betting", "best-bets", "sports-bets",
-    "cheap-pills", "pills", "viagra", "pharmacy-deals", "weight-loss", "porn", "adult-cams", "xxx", "hot-singles", "escort", "payday-loan",
+    "casino", "online-casino", "poker", "poker-room", "slots", "jackpot", "betting", "best-bets", "sports-bets",
+    "pills", "viagra", "pharmacy-deals", "weight-loss", "porn", "adult-cams", "xxx", "hot-singles", "escort", "payday-loan",
     "fast-loans", "quick-cash", "get-rich", "crypto-double", "free-iphone", "prize-winner", "lottery-win", "replica-watches", "cracked-keys",
-    "warez", "free-movies", "hack-tools", "account-verify", "login-secure-bank", "click-here", "miracle-cure", "cheap-meds", "spam-links", "spam-farm", "link-farm",
-    "ads-track", "ad-tracker", "track-clicks", "ads-server", "popup-ads", "ads", "adult-x", "adult", "x-videos", "adult-x-chat",
+    "warez", "free-movies", "hack-tools", "account-verify", "login-secure-bank", "click-here", "miracle-cure", "cheap-meds", "spam", "spam-links", "link-farm",
+    "ad-tracker", "track-clicks", "ads-server", "popup-ads", "ads", "adult", "x-videos",
 )
 ORDINARY = (
     "news", "weather", "library", "museum", "science", "history", "garden", "recipes", "travel", "music", "theatre", "school", "university",
     "research", "health", "hospital", "council", "parliament", "railway", "airport", "books", "journal", "archive", "maps", "photos", "blog",
-    "forum", "wiki", "code", "docs", "support", "shop", "market", "energy", "farm", "ocean", "mountain", "river", "thother", "tionist",
-    "theran", "thandthe", "nderstand", "thinking", "estate", "interest", "stories", "standard", "whither", "erstwhile",
+    "forum", "wiki", "code", "docs", "support", "shop", "market", "energy", "farm", "ocean", "mountain", "river",
+    "nderstand", "thinking", "estate", "interest", "stories", "standard", "whither", "erstwhile",
     "thesis", "others", "things", "anthem", "thorough", "theses", "athens", "there", "thousand", "author", "thistle", "withers", "lathe", "method",
 )
 
