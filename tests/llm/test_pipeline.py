@@ -47,7 +47,7 @@ def test_near_copies_stage(passed):
 
 def test_benchmark_stage(spark, passed):
     before, after = passed[3]
-    items = [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()]
+    items = [(str(r.item_id), r.text) for r in table(spark, DATA, "benchmark").collect()]
     windows = {}
     for i, t in items:
         w = decontaminate.words(t)
