@@ -96,6 +96,9 @@ def link_runs(key: np.ndarray, fp: np.ndarray, within: int = WITHIN) -> pd.DataF
     """Links among rows of equal key; rows are in order of key."""
     a, b, starts = [], [], np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(key)])
+    shared = np.repeat(sizes > 1, sizes)
+    key, fp, sizes = key[shared], fp[shared], sizes[sizes > 1]
+    starts = np.cumsum(sizes) - sizes
     small = np.repeat(sizes <= 8, sizes)
     for d in range(1, min(8, len(key))):
         i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
@@ -111,17 +114,33 @@ def link_runs(key: np.ndarray, fp: np.ndarray, within: int = WITHIN) -> pd.DataF
     return pd.DataFrame({"a": cat(a), "b": cat(b)})
 
 
+def hot_keys(keyed: DataFrame, rows: int, split: int = SPLIT) -> DataFrame:
+    """(key, n) of the keys of ``keyed`` with over ``split`` rows; ``rows`` is about its number of rows.
+
+    Keys are nearly all different, so counting each would shuffle them all. Cells of keys are counted first,
+    which combines map-side; only keys of a cell over the limit are then counted one by one. Both tables
+    are written, so that Spark knows their size where it chooses how to join them.
+    """
+    cell = F.pmod(F.xxhash64("key"), F.lit(max(1, 8 * rows // split)))
+    full = written(keyed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > split).select("cell"), "simhash-cells")
+    within = keyed.select("key", cell.alias("cell")).join(full, "cell", "left_semi")
+    return written(within.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split), "simhash-hot")
+
+
 def links(nodes: DataFrame, within: int = WITHIN, split: int = SPLIT) -> DataFrame:
     """(a, b) between fingerprints of ``nodes`` (fp, distinct): joins all that are within reach, by way of others."""
-    masks = block_masks(n_blocks(nodes.count(), within), within)
+    rows = nodes.count()
+    masks = block_masks(n_blocks(rows, within), within)
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
     keyed = nodes.select(key.alias("key"), "fp")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    # n is at most a few for unrelated rows; a key over the limit is dealt so that any two of its rows meet in a pair of salts
-    salts = F.ceil(F.col("n") / split).cast("int")
-    own = F.pmod(F.xxhash64("fp"), salts).cast("int")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y"))))
-    shared = keyed.join(counts, "key").select("key", "fp", meets.alias("m")).select(F.xxhash64("key", "m.x", "m.y").alias("key"), "fp")
+    hot = hot_keys(keyed, rows * len(masks), split)
+    shared = keyed
+    if not hot.isEmpty():
+        # a key over the limit is dealt so that any two of its rows meet in a pair of salts
+        salts = F.coalesce(F.ceil(F.col("n") / split), F.lit(1)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), salts).cast("int")
+        meets = F.explode(F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y"))))
+        shared = keyed.join(hot, "key", "left").select("key", "fp", meets.alias("m")).select(F.xxhash64("key", "m.x", "m.y").alias("key"), "fp")
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
