@@ -1,0 +1,141 @@
+"""One document of each group of near copies, by the true likeness of word shingles.
+
+Two documents are near copies if the Jaccard likeness of their sets of five-word shingles is at least LIKE.
+Candidates come from MinHash bands: BANDS keys of BAND least hashes each, so that a pair of likeness 0.8
+shares no key in 0.03 % of cases (and less often above). Each candidate pair is then verified on the two
+whole sets of shingles, so no other pair is linked.
+
+Equal sets are one node from the start. A key with few nodes gives all its pairs; a larger key first links
+its nodes to one of its own (a different one for each key), and then all pairs of nodes which are not
+joined by then are verified too, so that links are whole without all pairs of a group of copies.
+
+Defined cases: texts of under five words are one shingle; null text and text without words are equal to each
+other; rows without an id stay; rows of equal id and text are one row, rows of equal id and different texts
+are rows of their own; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmark.common import written
+from quillmark.llm._graph import stars
+
+SHINGLE, LIKE, BANDS, BAND, SEED = 5, 0.8, 20, 5, 42
+#: A key with more nodes links them to one of its own before all pairs are looked at.
+SMALL = 8
+
+_TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND, np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the five-word shingles of a whole text, in order."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, k = b" ".join(words), min(SHINGLE, len(words))
+    ends = list(accumulate(len(w) + 1 for w in words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip([0, *ends[:-1]], ends[k - 1 :], strict=False)], np.uint64))
+
+
+def band_keys(have: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of shingles; the empty set has none."""
+    if not len(have):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for at in range(0, len(have), 1 << 12):
+        h = have[at : at + (1 << 12), None] * _TIMES + _PLACES
+        least = np.minimum(least, (h ^ (h >> np.uint64(31))).min(0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, keys); a node is a set of shingles."""
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            sets = [shingles(t if isinstance(t, str) else None) for t in pdf["text"]]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "node": node, "keys": [band_keys(s) for s in sets]})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text_hash", "text").mapInPandas(each, f"doc_id {kind}, text_hash long, node long, keys array<long>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingles(t if isinstance(t, str) else None).view(np.int64) for t in pdf["text"]]})
+
+    return rows.select("node", "text").mapInPandas(each, "node long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are near copies."""
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            near = [likeness(x, y) >= LIKE for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            yield pdf.loc[near, ["a", "b"]]
+
+    one, other = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    # sets whose sizes differ by more than the likeness allows can't be near
+    able = F.least(F.size("x"), F.size("y")) >= LIKE * F.greatest(F.size("x"), F.size("y"))
+    return pairs.join(one, "a").join(other, "b").where(able).select("a", "b", "x", "y").mapInPandas(each, "a long, b long")
+
+
+def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that are joined to a lesser one. ``nodes``: (node, keys, doc_id, text_hash); ``rows``: the documents."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    pivot = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"]
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1")
+    shared = written(keyed.join(written(groups, "near-keys"), "key"), "near-shared")
+    small, large = shared.where(F.col("n") <= SMALL).select("key", "node"), shared.where(F.col("n") > SMALL)
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.union(large.where("node <> pivot").select(F.least("node", "pivot"), F.greatest("node", "pivot"))).distinct()
+
+    met = nodes.select("node", "doc_id", "text_hash").join(shared.select("node").distinct(), "node", "left_semi")
+    sets = written(_sets(rows.join(met, ["doc_id", "text_hash"]).dropDuplicates(["node"])), "near-sets")
+    found = written(_verified(pairs, sets), "near-links")
+    if large.isEmpty():
+        return stars(found)
+    rooted = stars(found)
+    placed = large.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    placed = written(placed.join(open_, "key", "left_semi"), "near-open")
+    if placed.isEmpty():
+        return rooted
+    a = placed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = a.join(b, "key").where("a < b and ra <> rb").select("a", "b").distinct()
+    return stars(found.union(_verified(rest, sets)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of least id and then least text hash, all columns as they were."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    signed = written(_signed(rows), "near-rows")
+    nodes = written(signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("keys").alias("keys")).select("node", "keys", "least.*"), "near-nodes")
+    rooted = nodes.join(links(nodes, rows), "node", "left")
+    best = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("least.*")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+    kept = rows.join(best, ["doc_id", "text_hash"], "left_semi").withColumn("__rank", rank).where("__rank = 1")
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))

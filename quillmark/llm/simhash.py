@@ -49,16 +49,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns ``more``) with the fingerprint as a signed 64-bit number."""
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)} | {c: pdf[c] for c in more})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *more).mapInPandas(each, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in more)]))
 
 
 def block_masks(n_blocks: int, within: int = WITHIN) -> list[int]:
@@ -155,12 +155,17 @@ def links(nodes: DataFrame, within: int = WITHIN, split: int = SPLIT) -> DataFra
     return shared.repartition(width(nodes.sparkSession), "key").sortWithinPartitions("key").mapInPandas(verify, "a long, b long").distinct()
 
 
+def rooted(fps: DataFrame, within: int = WITHIN) -> DataFrame:
+    """(fp, least, root) of every fingerprint of ``fps``: its least id and its component."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    reached = stars(links(nodes.select("fp"), within))
+    return nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     fps = written(fingerprints(docs, shingle), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    rooted = stars(links(nodes.select("fp"), within))
-    named = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted(fps, within)
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(first, "root").select("fp", "component_id")
     # millions of rows may share a fingerprint: the join's hot keys are split by Spark
@@ -168,9 +173,10 @@ def components(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) -> DataFrame:
-    """``docs`` with the row of least id of each component, all columns as they were; rows without an id stay."""
-    best = components(docs.where("doc_id is not null"), shingle, within).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(best, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("__rank", rank).where("__rank = 1").drop("__rank").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with the row of least id, then least text hash, of each component, all columns as they were; rows without an id stay."""
+    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    fps = written(fingerprints(rows, shingle, ("__text",)), "simhash")
+    best = fps.join(rooted(fps, within), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "__text")).alias("row")).select("row.*")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(0)))
+    kept = rows.join(best, ["doc_id", "__text"], "left_semi").withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
