@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.common import written
 from quillmark.functions import vectors
 
 
@@ -140,9 +141,37 @@ def generate(samples: DataFrame, max_pairs: int, seed: int, usage_limit: int = 5
     found = found.unionByName(ends.select("a", "b", "tag", F.when(F.col("tag") == "intra_bin_small", 3).otherwise(4).alias("priority")))
     inside = ratio_sample(intra_bin(samples).select(F.col("bin_id").alias("bin_a"), F.col("bin_id").alias("bin_b"), "a", "b"), ratios[2], seed + 2)
     found = first_strategy(found.unionByName(tagged(inside, "intra_bin_random", 5)))
-    shuffled = found.withColumn("key", draw(seed, F.col("a"), F.col("b"))).orderBy("key").limit(4 * max_pairs)
-    ranked = shuffled.withColumn("rank", F.row_number().over(Window.orderBy("key")) - 1).withColumn("environment", F.lit(0))
-    return usage_capped(ranked.select("environment", "rank", "a", "b", "tag"), usage_limit).orderBy("rank").limit(max_pairs).select("rank", "a", "b", "tag")
+    ranked = written(found.withColumn("key", draw(seed, F.col("a"), F.col("b"))).select("key", "a", "b", "tag"), "pairs-ranked")
+    return capped_in_blocks(ranked, max_pairs, usage_limit)
+
+
+def capped_in_blocks(pairs: DataFrame, max_pairs: int, limit: int) -> DataFrame:
+    """(rank, a, b, tag): the first max_pairs of all ``pairs`` (key, a, b, tag) that the usage cap takes, in order of key.
+
+    Blocks of pairs are folded on the driver with the usage carried along, until max_pairs are taken or none is
+    left. Pairs of a member that is used up are left out of later blocks, as the cap refuses them in any case;
+    so a block takes a pair or is the last, and the driver holds one block and the pairs taken.
+    """
+    spark = pairs.sparkSession
+    used: dict[int, int] = {}
+    taken: list[tuple] = []
+    left, block = pairs, max(4 * max_pairs, 1)
+    while len(taken) < max_pairs:
+        rows = left.orderBy("key", "a", "b").limit(block).collect()
+        for r in rows:
+            if len(taken) < max_pairs and used.get(r.a, 0) < limit and used.get(r.b, 0) < limit:
+                used[r.a], used[r.b] = used.get(r.a, 0) + 1, used.get(r.b, 0) + 1
+                taken.append((len(taken), r.a, r.b, r.tag))
+        if len(rows) < block:
+            break
+        last = rows[-1]
+        left = pairs.where(F.struct("key", "a", "b") > F.struct(F.lit(last.key).alias("key"), F.lit(last.a).alias("a"), F.lit(last.b).alias("b")))
+        full = [(i,) for i, n in used.items() if n >= limit]
+        if full:
+            gone = F.broadcast(spark.createDataFrame(full, f"id {pairs.schema['a'].dataType.simpleString()}"))
+            left = left.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return spark.createDataFrame(taken, f"rank int, a {kind}, b {kind}, tag string")
 
 
 def generate_padded(samples: DataFrame, max_pairs: int, seed: int, top: int = 10) -> DataFrame:
