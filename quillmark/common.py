@@ -26,20 +26,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests on one machine).
+    A folder of our own is set only where the session names none and all its tasks run on this machine; a
+    cluster without a shared folder is refused, as each executor would write to its own disk.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back."""
-    at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back.
+
+    The shuffle files of the finished job are garbage from here on. Spark drops them when the driver collects
+    its own garbage, which may be long after; a collection is asked for, so that jobs in turn don't add up on disk.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of frames that ``written`` gave, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def width(spark: SparkSession) -> int:
