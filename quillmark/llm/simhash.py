@@ -9,9 +9,21 @@ unrelated rows at any size. Equal fingerprints are one node from the start.
 Within a key, rows already reached from the key's pivot are not compared with each other again: links
 are a tree, never all pairs. Keys with over SPLIT rows are dealt to pairs of salts.
 
+``keep_one`` goes by likeness, not by a few bits. Two sets of shingles of Jaccard likeness 0.8 differ in
+15 % of all fingerprint bits, so that no split in which some blocks must agree has keys of use. Its
+fingerprint is wide (WIDE words of 64 bits or more), each block is a key by itself, and there are as many
+blocks as a pair of likeness LIKE needs to share one in all but MISS of cases; pairs nearer share more.
+The distance of wide fingerprints tells likeness to about 0.02 (one deviation): it verifies every link, and
+links too close to the bound to be told by it are held against the shingles themselves.
+Blocks have as many bits as the number of documents needs, so their number, and with it the work a document,
+grows as about the fourth root of that number.
+
 Defined cases: null text and text without words have fingerprint zero and link like any other; shorter
-texts than a shingle are one shingle; repeated rows are rows of their own; an empty table gives no rows.
-Null ids are listed with the component that they reach; a component of null ids only has a null id.
+texts than a shingle are one shingle; repeated rows are rows of their own; an empty table gives no rows;
+texts of any length are read whole. Null ids are listed with the component that they reach; a component of
+null ids only has a null id. ``keep_one`` keeps every row without an id, takes rows of equal id and text for
+one row and rows of equal id and different texts for rows of their own; of equal ids the least hash of the
+text stays. Other columns, whatever their names, are carried on as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.common import width, written
+from quillmark.common import release, unused, width, written
 from quillmark.llm._graph import stars
 
 BITS, WITHIN, SHINGLE, SEED = 64, 4, 4, 42
@@ -33,32 +45,36 @@ BITS, WITHIN, SHINGLE, SEED = 64, 4, 4, 42
 SPLIT = 20_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of one whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of one whole text, repeats included; none if it has no words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, k = b" ".join(words), min(shingle, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64).astype(">u8")
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip([0, *ends[:-1]], ends[k - 1 :], strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one whole text."""
+    h = shingle_hashes(text, shingle).astype(">u8")
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 15):
         counts += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, and the long columns ``more``) with the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)} | {c: pdf[c] for c in more})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *more).mapInPandas(each, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in more)]))
+    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, fp long")
 
 
 def block_masks(n_blocks: int, within: int = WITHIN) -> list[int]:
@@ -92,26 +108,29 @@ def _tree(fp: np.ndarray, within: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield at, got
 
 
-def link_runs(key: np.ndarray, fp: np.ndarray, within: int = WITHIN) -> pd.DataFrame:
-    """Links among rows of equal key; rows are in order of key."""
-    a, b, starts = [], [], np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+def near_in_runs(key: np.ndarray, fp: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) that link what is within reach among rows of equal key; rows are in order of key."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(key)])
-    shared = np.repeat(sizes > 1, sizes)
-    key, fp, sizes = key[shared], fp[shared], sizes[sizes > 1]
-    starts = np.cumsum(sizes) - sizes
-    small = np.repeat(sizes <= 8, sizes)
+    small = np.repeat((sizes > 1) & (sizes <= 8), sizes)
+    a, b = [], []
     for d in range(1, min(8, len(key))):
         i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= within]
-        a.append(fp[i])
-        b.append(fp[i + d])
+        a.append(i)
+        b.append(i + d)
     for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-        run = fp[s : s + n]
-        for at, got in _tree(run, within):
-            a.append(np.full(len(got), run[at]))
-            b.append(run[got])
-    cat = lambda x: np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": cat(a), "b": cat(b)})
+        for at, got in _tree(fp[s : s + n], within):
+            a.append(np.full(len(got), s + at))
+            b.append(s + got)
+    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    return cat(a), cat(b)
+
+
+def link_runs(key: np.ndarray, fp: np.ndarray, within: int = WITHIN) -> pd.DataFrame:
+    """Links (a, b) between fingerprints of equal key."""
+    i, j = near_in_runs(key, fp, within)
+    return pd.DataFrame({"a": fp[i].view(np.int64), "b": fp[j].view(np.int64)})
 
 
 def hot_keys(keyed: DataFrame, rows: int, split: int = SPLIT) -> DataFrame:
@@ -172,11 +191,256 @@ def components(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) ->
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) -> DataFrame:
-    """``docs`` with the row of least id, then least text hash, of each component, all columns as they were; rows without an id stay."""
-    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
-    fps = written(fingerprints(rows, shingle, ("__text",)), "simhash")
-    best = fps.join(rooted(fps, within), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "__text")).alias("row")).select("row.*")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(0)))
-    kept = rows.join(best, ["doc_id", "__text"], "left_semi").withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id is null"))
+#: Words of a shingle and least likeness of near copies; words of the wide fingerprint, at least; the share of pairs of
+#: likeness LIKE that may share no block; bits of a block, at least.
+NEAR_SHINGLE, LIKE, WIDE, MISS, BLOCK = 5, 0.8, 16, 0.02, 18
+#: Blocks that are looked at first: what they join is not linked again by the others.
+FIRST = 8
+#: Bits by which the first word of wide fingerprints may differ, for a link to be looked at further.
+NARROW = 20
+
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words(dict):
+    """Hashes of words that were met; forgets them all when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_set(text: str | None, words: Words) -> np.ndarray:
+    """The distinct hashes of the NEAR_SHINGLE-word shingles of a whole text, in order; of all its words if they are fewer."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    h = np.array([words[w] for w in found], np.uint64)
+    k = min(NEAR_SHINGLE, len(h))
+    out = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
+    for i in range(k):
+        out = (out ^ (out >> np.uint64(32))) * _GOLD + h[i : i + len(out)]
+    return np.unique((out ^ (out >> np.uint64(29))) * _GOLD)
+
+
+def differing(like: float = LIKE) -> float:
+    """The expected share of differing bits of two sets of one size and this Jaccard likeness."""
+    return float(np.arccos(2 * like / (1 + like)) / np.pi)
+
+
+def wide_bounds(n_words: int, like: float = LIKE) -> tuple[int, int]:
+    """Differing bits up to which wide fingerprints are surely near (three deviations below those of ``like``, where one
+    set holds the other), and beyond which they surely aren't (sets of a few shingles differ in more bits)."""
+    n, p = 64 * n_words, float(np.arccos(np.sqrt(like)) / np.pi)
+    return int(n * p - 3 * np.sqrt(n * p * (1 - p))), int(n * (differing(like) + 0.06))
+
+
+def block_plan(rows: int, like: float = LIKE, miss: float = MISS) -> tuple[int, int, int]:
+    """Bits of a block, number of blocks, and words of a fingerprint for so many documents."""
+    bits = max(BLOCK, int(np.ceil(np.log2(max(rows, 2)))))
+    n = int(np.ceil(np.log(miss) / np.log1p(-((1 - differing(like)) ** bits))))
+    return bits, n, max(WIDE, -(-bits * n // 64))
+
+
+def _lanes(n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands that make a word of a fingerprint's random bits of each hash."""
+    rng = np.random.default_rng(SEED)
+    drawn = rng.integers(0, 1 << 63, (n_words, 2), np.uint64)
+    return drawn[:, 0] * np.uint64(2) + np.uint64(1), drawn[:, 1]
+
+
+def wide_fingerprint(hashes: np.ndarray, factors: np.ndarray, summands: np.ndarray) -> np.ndarray:
+    """The words of the SimHash of a set of hashes: bits that over half of them have, each hash giving 64 bits a word.
+
+    Bits are counted all at once: full adders fold rows of words into one row a binary digit of the counts.
+    """
+    digits, carried = [], np.zeros((0, len(factors)), np.uint64)
+    half = len(hashes) // 2
+    n = max(1, len(hashes).bit_length())
+    pending: list[list[np.ndarray]] = [[] for _ in range(n + 1)]
+    for at in range(0, len(hashes), 1 << 12):
+        m = hashes[at : at + (1 << 12), None] * factors + summands
+        m = (m ^ (m >> np.uint64(32))) * _GOLD
+        pending[0].append(m ^ (m >> np.uint64(29)))
+    for digit in range(n):
+        rows = np.concatenate(pending[digit]) if pending[digit] else carried
+        while len(rows) > 1:
+            if len(rows) == 2:
+                pending[digit + 1].append(rows[:1] & rows[1:])
+                rows = rows[:1] ^ rows[1:]
+                continue
+            t = len(rows) // 3
+            a, b, c = rows[:t], rows[t : 2 * t], rows[2 * t : 3 * t]
+            u = a ^ b
+            pending[digit + 1].append((a & b) | (u & c))
+            rows = np.concatenate([u ^ c, rows[3 * t :]])
+        digits.append(rows[0] if len(rows) else np.zeros(len(factors), np.uint64))
+    more, same = np.zeros(len(factors), np.uint64), np.full(len(factors), ~np.uint64(0))
+    for digit in reversed(range(n)):
+        if half >> digit & 1:
+            same &= digits[digit]
+        else:
+            more |= same & digits[digit]
+            same &= ~digits[digit]
+    return more
+
+
+def block_keys(fps: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The n keys of each fingerprint (rows of words): number of the block and its bits."""
+    each = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : bits * n].reshape(len(fps), n, bits)
+    value = each.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    return (np.arange(n, dtype=np.int64) << bits) | value
+
+
+def _wide_rows(rows: DataFrame, text_hash: str, n_words: int) -> DataFrame:
+    """(doc_id, text_hash, node, wide) of every row; a node is a set of shingles."""
+    factors, summands = _lanes(n_words)
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in it:
+            sets = [shingle_set(t if isinstance(t, str) else None, words) for t in pdf["text"]]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "node": node, "wide": [wide_fingerprint(s, factors, summands).tobytes() for s in sets]})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", F.col(text_hash).alias("text_hash"), "text").mapInPandas(each, f"doc_id {kind}, text_hash long, node long, wide binary")
+
+
+def _keyed_nodes(signed: DataFrame, bits: int, n: int) -> DataFrame:
+    """(node, doc_id, text_hash, wide, narrow, keys): a row a set of shingles, with its least document and its block keys."""
+    kind = signed.schema["doc_id"].dataType.simpleString()
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            fps = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(pdf), -1)
+            yield pdf.assign(narrow=fps[:, 0].view(np.int64) if len(pdf) else np.zeros(0, np.int64), keys=list(block_keys(fps, bits, n)) if len(pdf) else [])
+
+    least = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("wide").alias("wide"))
+    return least.select("node", "least.*", "wide").mapInPandas(each, f"node long, doc_id {kind}, text_hash long, wide binary, narrow long, keys array<long>")
+
+
+def _candidates(keyed: DataFrame, rows: int, split: int) -> DataFrame:
+    """(a, b) of nodes of ``keyed`` (key, node, root, narrow) that share a key, may be near and have different roots.
+
+    Rows of a key over ``split`` are all linked to one node of the key, and to each other within salts.
+    """
+    spark = keyed.sparkSession
+    hot = hot_keys(keyed, rows, split)
+    found = None
+    if not hot.isEmpty():
+        marked = keyed.join(hot, "key", "left")
+        pivots = marked.where("n is not null").groupBy("key").agg(F.min(F.struct("node", "root", "narrow")).alias("p"))
+        near = F.bit_count(F.col("narrow").bitwiseXOR(F.col("p.narrow"))) <= NARROW
+        found = marked.where("n is not null").join(pivots, "key").where(near & (F.col("root") != F.col("p.root"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+        salted = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / split)))
+        keyed = marked.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(salted).alias("key"), "node", "root", "narrow")
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros(0, np.int64)] * 4
+        for pdf in it:
+            held = [np.concatenate([h, pdf[c].to_numpy(np.int64)]) for h, c in zip(held, ("key", "node", "root", "narrow"), strict=True)]
+            whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last key may go on in the next batch
+            yield links_of(*(h[:whole] for h in held))
+            held = [h[whole:] for h in held]
+        yield links_of(*held)
+
+    def links_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, narrow: np.ndarray) -> pd.DataFrame:
+        i, j = near_in_runs(key, narrow.view(np.uint64), NARROW)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
+
+    pairs = keyed.repartition(width(spark), "key").sortWithinPartitions("key", "node").mapInPandas(each, "a long, b long")
+    return (pairs if found is None else pairs.union(found)).distinct()
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in it:
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t if isinstance(t, str) else None, words).tobytes() for t in pdf["text"]]})
+
+    return rows.select("node", "text").mapInPandas(each, "node long, shingles binary")
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with ``column`` of both nodes, as x and y."""
+    one, other = (nodes.select(F.col("node").alias(n), F.col(column).alias(w)) for n, w in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(other, "b")
+
+
+def _told(pairs: DataFrame, nodes: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """(a, b, sure) of the pairs (a, b) that may be near, as a written table: ``sure`` if their distance tells that they are."""
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=np.int32)
+        a, b = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (x, y))
+        return pd.Series(np.bitwise_count(a ^ b).sum(1, dtype=np.int32))
+
+    d = _met(pairs, nodes, "wide").select("a", "b", distance("x", "y").alias("d")).where(F.col("d") <= bounds[1])
+    return written(d.select("a", "b", (F.col("d") <= bounds[0]).alias("sure")), "near-told")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_hash: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are near."""
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= LIKE for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.select("node", "doc_id", F.col("text_hash").alias(text_hash)).join(asked, "node", "left_semi")
+    texts = rows.select("doc_id", text_hash, "text").join(asked, ["doc_id", text_hash]).dropDuplicates(["node"])
+    sets = written(_sets(texts), "near-sets")
+    return _met(pairs, sets, "shingles").where(alike("x", "y")).select("a", "b")
+
+
+def near_roots(nodes: DataFrame, rows: DataFrame, text_hash: str, plan: tuple[int, int, int], split: int = SPLIT) -> DataFrame:
+    """(node, root) of the nodes of ``nodes`` that are joined to a lesser one. ``rows``: the documents that they stand for."""
+    _, n_blocks, n_words = plan
+    n, bounds = nodes.count(), wide_bounds(n_words)
+    cut = F.posexplode("keys").alias("block", "key")
+    first = nodes.select("node", "narrow", cut).where(F.col("block") < FIRST).select("key", "node", F.col("node").alias("root"), "narrow")
+    early = _told(_candidates(first, n * FIRST, split), nodes, bounds)
+    known = stars(early.where("sure").select("a", "b"))
+    rooted = nodes.select("node", "narrow", "keys").join(known, "node", "left").select("node", "narrow", F.coalesce("root", "node").alias("root"), cut)
+    rest = rooted.where(F.col("block") >= FIRST).select("key", "node", "root", "narrow")
+    told = early.where("not sure").union(_told(_candidates(rest, n * (n_blocks - FIRST), split), nodes, bounds))
+    # a component is joined to its root by the first links, so that the roots and the other sure links tell all of them
+    sure = told.where("sure").select("a", "b").union(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = stars(sure)
+    # what the sets must tell is asked of pairs that are not joined yet
+    for side in ("a", "b"):
+        told = told.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    unsure = written(told.where("not sure and root_a <> root_b").select("a", "b").distinct(), "near-unsure")
+    if unsure.isEmpty():
+        return known
+    return stars(_alike(unsure, nodes, rows, text_hash).union(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def keep_one(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of least id and then least text hash, all columns as they were."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text_hash, rank = unused(docs, "text_hash", "rank")
+    rows = docs.where("doc_id is not null").withColumn(text_hash, F.xxhash64("text"))
+    bits, blocks, n_words = plan = block_plan(rows.count())
+    signed = written(_wide_rows(rows, text_hash, n_words), "near-rows")
+    nodes = written(_keyed_nodes(signed, bits, blocks), "near-nodes")
+    release(signed)
+    rooted = nodes.select("node", "doc_id", "text_hash").join(near_roots(nodes, rows, text_hash, plan, split), "node", "left")
+    best = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    best = best.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias(text_hash))
+    number = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0)))
+    kept = rows.join(best, ["doc_id", text_hash], "left_semi").withColumn(rank, number).where(F.col(rank) == 1)
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))

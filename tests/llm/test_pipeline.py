@@ -38,11 +38,6 @@ def test_lines_stage(passed):
     assert all(r.n_chars == len(r.text) for r in after.collect())
 
 
-def test_near_copies_stage(passed):
-    before, after = passed[2]
-    rows = before.collect()
-    kept = set(brute_components([r.doc_id for r in rows], [brute_fingerprint(r.text) for r in rows], corpus_pipeline.NEAR_BITS))
-    assert {r.doc_id for r in after.collect()} == kept
 
 
 def test_benchmark_stage(spark, passed):
