@@ -9,11 +9,13 @@ doc_id, then line number) is equal or close, as the input has them.
 
 Before variants are made, lines are sieved: of two close lines with m words at most, either the first or
 the last half of m-1 words agree, so lines that share neither half with another line have no close line.
-Lines of under MIN_WORDS words must be equal; equal means the same characters, and is settled by hash first.
+The edit bound is one word for lines of MIN_WORDS words or more and none for shorter ones, where a word is more
+than a fifth of the line; equal means the same characters, and is settled by hash first.
 
 Defined cases: null text stays null; white lines are never removed nor compared; a null doc_id is later than
 any other; rows of one doc_id are one document, whose equal places are not earlier than each other; an
-empty table gives no rows. Lines and documents of any length are read whole.
+empty table gives no rows. Lines and documents of any length are read whole. Other columns, whatever their
+names, are carried on as they are; the names of the two counts are lengthened where a column has them.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.common import width, written
+from quillmark.common import release, unused, width, written
 
-#: Shorter lines are removed only where they are equal.
-MIN_WORDS = 8
+#: The edit bound is one word from so many words on (a likeness of 0.8), and none for shorter lines.
+MIN_WORDS = 5
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 _SEED = 42  # of Spark's xxhash64
@@ -242,7 +244,9 @@ def earliest(docs: DataFrame, found: DataFrame) -> DataFrame:
     linked = _linked(chosen).alias("l").join(own.alias("o"), [F.col(f"l.own.{f}").eqNullSafe(F.col(f"o.own.{f}")) for f in ("none", "doc", "line")]).select("best", "h1", "h2", "line")
     linked = linked.alias("l").join(other.alias("o"), [F.col(f"l.best.{f}").eqNullSafe(F.col(f"o.best.{f}")) for f in ("none", "doc", "line")]).select("l.best", "h1", "h2", "line", "other").where(verified("line", "other"))
     marked = distinct.select("h1", "h2", "n", "at").join(linked.select("h1", "h2", F.col("best").alias("near")), ["h1", "h2"], "left")
-    return marked.where("n > 1 or near is not null").select("h1", "h2", F.least("at", "near").alias("until"))
+    until = written(marked.where("n > 1 or near is not null").select("h1", "h2", F.least("at", "near").alias("until")), "lines-until")
+    release(distinct, chosen)
+    return until
 
 
 @F.pandas_udf(T.StringType())
@@ -263,15 +267,16 @@ def _cut(z: pd.Series, gone: pd.Series) -> pd.Series:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later of equal or close lines taken out of ``text``, and __n_lines and __n_removed besides."""
+    n_lines, n_removed, i, t, x, gone = unused(docs, "__n_lines", "__n_removed", "i", "t", "x", "gone")
     found = written(lines(docs, min_words), "all-lines")
     until = earliest(docs, found)
-    gone = found.select("doc_id", "t", "n", "h1", "h2").join(until, ["h1", "h2"]).where(_at() > F.col("until"))
-    gone = gone.groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("n").alias("__gone"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
-    rows = docs.withColumns({"__x": F.xxhash64("text"), "__n_lines": n_lines, "text": _packed("text")})
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left")
-    rows = rows.withColumns({"__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": _cut("text", "__gone")})
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+    lost = found.select("doc_id", "t", "n", "h1", "h2").join(until, ["h1", "h2"]).where(_at() > F.col("until"))
+    lost = lost.groupBy(F.col("doc_id").alias(i), F.col("t").alias(t)).agg(F.collect_set("n").alias(gone))
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    rows = docs.withColumns({x: F.xxhash64("text"), n_lines: count, "text": _packed("text")})
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(x) == F.col(t)), "left")
+    rows = rows.withColumns({n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("long"), "text": _cut("text", gone)})
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], n_lines, n_removed)
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -381,7 +381,7 @@ def distance(a, b):
     return d[-1]
 
 
-def brute_lines(rows, least=8):
+def brute_lines(rows, least=5):
     every = [(i is None, i if i is not None else 0, n, line) for i, t, _ in rows for n, line in enumerate((t or "").split("\n")) if line.split()]
     out = []
     for i, t, _ in rows:
@@ -401,6 +401,10 @@ def test_lines(spark, rows, none):
     line = "one two three four five six seven eight nine"
     more = [(70, f"{line}\n{line} ten\n\n  \nshort\n", "s"), (71, line.replace("five", "5") + "\nshort\nshorts", "s"), (72, line.replace("one ", "") + "\n" + line.replace("five", "five 5"), "s"), (73, "nine eight " + line, "s")]
     every = [r for r in rows if r[0] != 43] + more + [(74, f"{LONG}\n{LONG} more\n{line}", "s")]
+    words = [f"u{i}" for i in range(9)]
+    for n in range(1, 10):  # lines of 1 to 9 words: equal, one word changed, one left out, one more, two changed
+        w = words[:n]
+        every += [(80 + n, "\n".join(" ".join(x) for x in (w, w, [*w[:-1], "other"], w[1:], [*w, "more"], ["p", *w[1:-1], "q"])), "s")]
     df = documents(spark, every)
     assert collected(line_dedup.deduplicate(df)) == brute_lines(every)
     assert line_dedup.deduplicate(none).count() == 0
