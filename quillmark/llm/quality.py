@@ -164,25 +164,29 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> AdditiveModel:
-    """Fits on the ``max_sample`` labelled rows of least id hash; features are computed on the executors.
+    """Fits on the ``max_sample`` labelled ids of least hash; features are computed on the executors.
 
-    The sampled ids (at most ``max_sample`` rows of two numbers) are broadcast to one scan of the texts.
+    The sampled ids (at most ``max_sample`` rows of two numbers) are broadcast to one scan of the texts. Equal
+    labels of an id count once; of an id with several texts the one of least hash is learnt from.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("double").alias("y"))
         .where("k is not null and y is not null")
+        .distinct()
         .orderBy(F.xxhash64("k"), "k", "y")
         .limit(max_sample)
     )
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "v": [describe(t if isinstance(t, str) else None) for t in pdf["t"]]})
+            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "h": pdf["h"], "v": [describe(t if isinstance(t, str) else None) for t in pdf["t"]]})
 
     got = (
-        docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+        docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.xxhash64("text").alias("h"))
         .join(F.broadcast(chosen), "k")
-        .mapInPandas(rows, "k long, y double, v array<double>")
+        .mapInPandas(rows, "k long, y double, h long, v array<double>")
+        .groupBy("k", "y")
+        .agg(F.min_by("v", "h").alias("v"))
         .toPandas()
     )
     got = got.assign(s=[tuple(v) for v in got["v"]]).sort_values(["k", "y", "s"])
