@@ -9,17 +9,18 @@ of an offset, give proximity matches: every term of the window within reach of i
 
 The index is written to the shared folder; a segment needs nothing from another, so it is searched where it
 lies and nothing is shuffled.
-The windows are broadcast in blocks of at most BLOCK_WINDOWS; one block is the rule, more are searched in
-turn over the stored index and their hits are merged.
+The windows are broadcast in blocks of about BLOCK_WINDOWS; one block is the rule, more are searched in
+turn over the stored index, each released before the next, and their hits are merged by segment and document.
 
 Defined cases: null or wordless texts have no words and are clean; null or wordless items have no windows;
 a null item id counts as the empty string; items of one id are one item; repeated documents are judged
-row by row; without documents there are no rows, without benchmark nothing is hit.
+row by row; without documents there are no rows, without benchmark nothing is hit; texts of any length are
+read whole, one that is longer than a segment makes a segment of its own; columns of other names are not
+read, and ``drop_contaminated`` carries them on whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -29,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.common import written
+from quillmark.common import release, unused, written
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 BLOCK_WINDOWS = 200_000
+#: Candidate places that a segment looks at together.
+CANDIDATES = 1_000_000
 #: Words that may stand between the rarest term of a window and another beyond the window's length.
 SLOP = 5
 
@@ -147,8 +150,13 @@ class Segment:
         m, n = m[rows], q.lengths[rows]
         counts = np.where(m >= 0, self.starts[np.maximum(m, 0) + 1] - self.starts[np.maximum(m, 0)], np.iinfo(np.int64).max)
         rank = np.argsort(counts, axis=1, kind="stable")
-        rarest = m[np.arange(len(m)), rank[:, 0]]
         many = counts[np.arange(len(m)), rank[:, 0]]
+        parts = [self.matches(m[c], n[c], rank[c], many[c], rows[c], slop) for c in np.split(np.arange(len(m)), np.flatnonzero(np.diff(np.cumsum(many) // CANDIDATES)) + 1)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def matches(self, m: np.ndarray, n: np.ndarray, rank: np.ndarray, many: np.ndarray, rows: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
+        """``search`` for some windows: terms, lengths, places of terms from rare to common, postings of the rarest, numbers."""
+        rarest = m[np.arange(len(m)), rank[:, 0]]
         who = np.repeat(np.arange(len(m)), many)
         inner = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
         place = self.positions[self.starts[rarest][who] + inner]
@@ -165,7 +173,9 @@ class Segment:
             live = np.flatnonzero(near & (term >= 0))
             reach = n[who[live]] - 1 + slop
             near[live] = self.has(term[live], np.maximum(place[live] - reach, low[live]), np.minimum(place[live] + reach, high[live]))
-        return rows[who[exact]], begin[exact], rows[who[near]], doc[near]
+        # of proximity, a window and document count once, so chunks send each pair once
+        pairs = np.unique(np.stack([rows[who[near]], doc[near]]), axis=1)
+        return rows[who[exact]], begin[exact], pairs[0], pairs[1]
 
 
 def _hits(segment: Segment, q: Queries, slop: int) -> tuple[list[list[int]], list[list[str]], np.ndarray]:
@@ -196,7 +206,7 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
     sc = index.sparkSession.sparkContext
     queries = written(queries, "windows")
     blocks = max(1, -(-queries.count() // block))
-    index = written(index, "index")
+    index = written(index.withColumn("segment", F.monotonically_increasing_id()), "index")  # numbered once, as it is stored
     kind = index.schema["ids"].dataType.elementType.simpleString()
     parts = []
     for b in range(blocks):
@@ -208,27 +218,28 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
                 for row in pdf.itertuples(index=False):
                     s = Segment(row)
                     spans, items, near = _hits(s, shared.value, slop)
-                    key = hashlib.md5(bytes(row.positions) + bytes(row.lengths) + repr(s.ids).encode()).hexdigest()
                     yield pd.DataFrame({
-                        "segment": key, "place": range(len(s.ids)), "doc_id": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "n_hit": [_covered(x) for x in spans], "items": items, "n_near": near,
+                        "segment": row.segment, "place": range(len(s.ids)), "doc_id": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "n_hit": [_covered(x) for x in spans], "items": items, "n_near": near,
                     })
 
-        parts.append(index.mapInPandas(look, f"segment string, place int, doc_id {kind}, n_words long, spans array<int>, n_hit long, items array<string>, n_near long"))
-    if blocks == 1:
-        return parts[0].drop("segment", "place")
+        found = index.mapInPandas(look, f"segment long, place int, doc_id {kind}, n_words long, spans array<int>, n_hit long, items array<string>, n_near long")
+        if blocks == 1:
+            return found.drop("segment", "place")
+        parts.append(written(found, "hits"))
+        shared.destroy()
+    release(index)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    # equal segments (same documents, repeated) have equal hits; their rows are told apart by number
     merged = found.groupBy("segment", "place", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near"), (F.count("*") / blocks).cast("int").alias("_copies")
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near")
     )
 
     @F.pandas_udf("long")
     def covered(spans: pd.Series) -> pd.Series:
         return spans.map(lambda s: _covered(list(s)))
 
-    return merged.withColumn("n_hit", covered("spans")).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("segment", "place", "_copies")
+    return merged.withColumn("n_hit", covered("spans")).drop("segment", "place")
 
 
 def _covered(spans: list[int]) -> int:
@@ -253,7 +264,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
 
     Documents are named by id, and by a hash of the text in case an id is repeated or null.
     """
+    i, h, t = unused(docs, "i", "h", "t")
     marked = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    bad = decontaminate(marked, benchmark, size).where("contaminated").select(F.col("doc_id.doc_id").alias("__i"), F.col("doc_id.h").alias("__h")).distinct()
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h")), "left_anti").drop("__t")
+    bad = decontaminate(marked, benchmark, size).where("contaminated").select(F.col("doc_id.doc_id").alias(i), F.col("doc_id.h").alias(h)).distinct()
+    rows = docs.withColumn(t, F.xxhash64("text"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left_anti").drop(t)
