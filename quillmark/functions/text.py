@@ -5,6 +5,8 @@ Patterns read ASCII digits and white space.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -281,11 +283,11 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(F.lower(t))), "")
 
 
-def filled(template: str, objective: Column, first: Column, second: Column, most: int = 8) -> Column:
+def filled(template: str, objective: Column, first: Column, second: Column) -> Column:
     """PF9: {objective} and {situationK_urlN}, N from 1; a url that is not there is ''."""
     out = F.replace(F.lit(template), F.lit("{objective}"), objective)
     for k, urls in ((1, first), (2, second)):
-        for n in range(1, most + 1):
+        for n in sorted({int(n) for n in re.findall(rf"\{{situation{k}_url([1-9]\d*)\}}", template)}):
             out = F.replace(out, F.lit(f"{{situation{k}_url{n}}}"), F.coalesce(F.get(urls, F.lit(n - 1)), F.lit("")))
     return out
 
@@ -297,8 +299,8 @@ def first_replaced(text: Column, mark: str, by: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    """What stands between white space."""
+    return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
 
 
 def n_grams(words: Column, n: int) -> Column:

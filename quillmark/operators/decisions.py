@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.common import width, written
 from quillmark.functions import text
 
 
@@ -60,8 +61,12 @@ def suffix_ordered(rows: DataFrame, key: str, position: str, sep: str = "-") ->
 
 
 def chunked(rows: DataFrame, order: str, size: int, buckets: int = 64) -> DataFrame:
-    """SK4: chunk and line of each row in order. Rows are numbered by ranges of ``order`` and prefix counts, not in one task."""
-    placed = rows.repartitionByRange(buckets, order).withColumn("__part", F.spark_partition_id())
+    """SK4: chunk and line of each row in order. Rows are numbered by ranges of ``order`` and prefix counts, not in one task.
+
+    The ranges are written: bounds are drawn from a sample, so counts and rows must come from one drawing.
+    """
+    ranges = rows.repartitionByRange(max(buckets, width(rows.sparkSession)), order)
+    placed = written(ranges.withColumn("__part", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__before", before).drop("__n")

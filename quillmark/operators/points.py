@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.common import written
 from quillmark.functions import maths
 from quillmark.operators.pairs import draw
 
@@ -113,9 +114,14 @@ def mesh_points(faces: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def descendants(spark, bodies: DataFrame, root: int) -> DataFrame:
-    """JN17: ids below a body (body, parent), itself included, by a recursive query."""
-    bodies.createOrReplaceTempView("__bodies")
-    return spark.sql(f"WITH RECURSIVE below(body) AS (SELECT {int(root)}L UNION ALL SELECT b.body FROM __bodies b JOIN below ON b.parent = below.body) SELECT DISTINCT body FROM below")
+    """JN17: ids below a body (body, parent), itself included: a join a level, each level written; cycles end."""
+    found = level = written(spark.createDataFrame([(int(root),)], "body long"), "bodies")
+    while True:
+        below = bodies.join(level.select(F.col("body").alias("parent")), "parent").select(F.col("body").cast("long").alias("body")).distinct()
+        level = written(below.join(found, "body", "left_anti"), "bodies")
+        if level.isEmpty():
+            return found
+        found = found.union(level)
 
 
 def of_bodies(geoms: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -270,10 +270,13 @@ def caption_rating(spark, d):
     return evaluation.caption_score(table(spark, d, "events").select("event_type", text.rating(reply).alias("rating")), ["event_type"])
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('click', 0.03::DOUBLE, 0.06::DOUBLE), ('view', 0.0015::DOUBLE, 0.002::DOUBLE), ('error', 0.01::DOUBLE, 0.03::DOUBLE)) t(model, a, b))
+_PRICES = (("click", 0.03, 0.06), ("view", 0.0015, 0.002), ("error", 0.01, 0.03), ("purchase", 0.005, 0.015), ("signup", 0.0005, 0.0015))
+
+
+@query(f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in _PRICES)}) t(model, a, b))
 SELECT model, round(sum((event_id % 500) * a / 1000 + (event_id % 90) * b / 1000), 6) AS cost, count(*) AS n_calls FROM events JOIN p ON model = event_type GROUP BY model""")
 def token_cost(spark, d):
-    prices = spark.createDataFrame([("click", 0.03, 0.06), ("view", 0.0015, 0.002), ("error", 0.01, 0.03)], "model string, prompt_price double, reply_price double")
+    prices = spark.createDataFrame(list(_PRICES), "model string, prompt_price double, reply_price double")
     i = F.col("event_id")
     return evaluation.token_cost(table(spark, d, "events").select(F.col("event_type").alias("model"), (i % 500).alias("prompt_tokens"), (i % 90).alias("reply_tokens")), prices)
 
@@ -283,13 +286,31 @@ def approximate_tokens(spark, d):
     return evaluation.approximate_tokens(table(spark, d, "documents"), "source")
 
 
-@query()
+_GRAMS = """t AS (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS r, regexp_extract_all(coalesce(nullif(lead(text) OVER o, ''), '##'), '\\S+') AS h, lead(text) OVER o AS hyp FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+n AS (SELECT unnest([1, 2, 3, 4]) AS n), u AS (SELECT conv_id, turn, n, h, r FROM t, n WHERE hyp IS NOT NULL),
+g AS (SELECT conv_id, turn, n, unnest([array_to_string(h[i : i + n - 1], ' ') FOR i IN range(1, len(h) - n + 2)]) AS g, 1 AS h, 0 AS r FROM u
+  UNION ALL SELECT conv_id, turn, n, unnest([array_to_string(r[i : i + n - 1], ' ') FOR i IN range(1, len(r) - n + 2)]), 0, 1 FROM u),
+c AS (SELECT conv_id, turn, n, g, sum(h) AS h, sum(r) AS r FROM g GROUP BY ALL), o AS (SELECT conv_id, turn, n, sum(least(h, r)) AS hit, sum(h) AS h, sum(r) AS r FROM c GROUP BY ALL),
+w AS (SELECT conv_id, turn, """ + ", ".join(f"coalesce(max({c}) FILTER (n = {n}), 0)::DOUBLE AS {c}{n}" for n in (1, 2, 3, 4) for c in ("hit", "h", "r")) + """ FROM o GROUP BY ALL),
+x AS (SELECT *, CASE WHEN h1 >= r1 THEN 1 ELSE exp(1 - r1 / h1) END AS short, """ + ", ".join(f"ln(CASE WHEN hit{n} > 0 THEN hit{n} ELSE 0.1 END / greatest(h{n}, 1)) AS p{n}" for n in (1, 2, 3, 4)) + " FROM w)"
+
+
+@query(f"""WITH {_GRAMS} SELECT conv_id, turn, {", ".join(f"round(CASE WHEN hit1 = 0 THEN 0 ELSE short * exp(({' + '.join(f'p{i}' for i in range(1, n + 1))}) * {0.33 if n == 3 else 1 / n}::DOUBLE) END, 6) AS bleu{n}" for n in (1, 2, 3, 4))},
+  {", ".join(f"round(CASE WHEN h{n} + r{n} > 0 THEN 2 * hit{n} / (h{n} + r{n}) ELSE 0 END, 6) AS rouge{n}" for n in (1, 2))} FROM x""")
 def text_metrics(spark, d):
-    c = table(spark, d, "conversations")
+    scored = evaluation.n_gram_metrics(_replies(spark, d), "key")
+    return scored.select("key.conv_id", "key.turn", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2")])
+
+
+@query()
+def text_rouge_l(spark, d):
+    return evaluation.rouge_l(_replies(spark, d), "key").select("key.conv_id", "key.turn", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+def _replies(spark, d):
     after = Window.partitionBy("conv_id").orderBy("turn")
-    rows = c.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("reference"), F.lead("text").over(after).alias("hypothesis")).where("hypothesis is not null")
-    scored = evaluation.text_metrics(rows, "key")
-    return scored.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2", "rouge_l")])
+    c = table(spark, d, "conversations")
+    return c.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("reference"), F.lead("text").over(after).alias("hypothesis")).where("hypothesis is not null")
 
 
 @query("SELECT event_type AS key, date_trunc('day', ts)::DATE AS step, round(sum(value) / greatest(1, count(*)), 6) AS mean FROM events GROUP BY ALL")
@@ -298,12 +319,13 @@ def meter_mean(spark, d):
     return evaluation.meters(e, ["key", "step"])
 
 
-@query("""SELECT date_trunc('day', ts)::DATE AS step, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS "critic_error",
-  round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY ALL""")
+_KEYS = {"click": "click", "error": "critic_error", "purchase": "purchase", "signup": "signup", "view": "view"}
+
+
+@query(f"""SELECT date_trunc('day', ts)::DATE AS step, {", ".join(f"round(avg(value) FILTER (WHERE event_type = '{e}'), 6) AS {k}" for e, k in _KEYS.items())} FROM events GROUP BY ALL""")
 def meter_pivot(spark, d):
     key = F.when(F.col("event_type") == "error", "train_critic/error").otherwise(F.concat(F.lit("train/"), F.col("event_type")))
-    e = table(spark, d, "events").where(F.col("event_type").isin("click", "error", "view"))
-    return evaluation.meters_wide(e.select(F.to_date("ts").alias("step"), key.alias("key"), "value", F.lit(1).alias("n")), ["click", "critic_error", "view"])
+    return evaluation.meters_wide(table(spark, d, "events").select(F.to_date("ts").alias("step"), key.alias("key"), "value", F.lit(1).alias("n")), list(_KEYS.values()))
 
 
 @query("""WITH s AS (SELECT user_id, event_id % 7 * 10 + 5 AS w, event_id % 11 + 3 AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
@@ -333,10 +355,11 @@ def pairs_neighbor(spark, d):
     return pairs.neighbor_bin(A.samples(spark, d))
 
 
-@query(f"""WITH {A.SAMPLES}, s AS (SELECT * FROM samples WHERE bin_id NOT IN (3, 7)), r AS (SELECT DISTINCT bin_id, dense_rank() OVER (ORDER BY bin_id) AS k FROM s)
+@query(f"""WITH {A.SAMPLES}, s AS (SELECT bin_id * bin_id AS bin_id, sample_id FROM samples), r AS (SELECT DISTINCT bin_id, dense_rank() OVER (ORDER BY bin_id) AS k FROM s)
 SELECT p.bin_id AS bin_a, q.bin_id AS bin_b, x.sample_id AS a, y.sample_id AS b FROM r p JOIN r q ON q.k = p.k + 1 JOIN s x ON x.bin_id = p.bin_id JOIN s y ON y.bin_id = q.bin_id""")
 def pairs_adjacent_rank(spark, d):
-    return pairs.adjacent_bin(A.samples(spark, d).where(~F.col("bin_id").isin(3, 7)))
+    """Bins numbered with gaps: the next bin is the next that there is."""
+    return pairs.adjacent_bin(A.samples(spark, d).withColumn("bin_id", F.col("bin_id") * F.col("bin_id")))
 
 
 _APART = "apart AS (SELECT x.bin_id, x.sample_id AS a, y.sample_id AS b, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM samples x JOIN samples y ON x.bin_id = y.bin_id AND x.sample_id < y.sample_id)"
@@ -566,9 +589,9 @@ def soft_targets(spark, d):
 
 
 @query("""WITH z AS (SELECT event_id, value / 10 AS a, (event_id % 17) / 5.0::DOUBLE AS b FROM events)
-SELECT event_id, round(ln(exp(a) + exp(b)) - 0.9::DOUBLE * a - 0.1::DOUBLE * b, 6) AS soft, round(ln(1 + exp(CASE WHEN event_id % 2 = 0 THEN b - a ELSE a - b END)), 6) AS hard FROM z WHERE a < 100""")
+SELECT event_id, round(ln(exp(a) + exp(b)) - 0.9::DOUBLE * a - 0.1::DOUBLE * b, 6) AS soft, round(ln(1 + exp(CASE WHEN event_id % 2 = 0 THEN b - a ELSE a - b END)), 6) AS hard FROM z""")
 def preference_losses(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("value") / 10).alias("a"), ((F.col("event_id") % 17) / 5.0).alias("b")).where("a < 100")
+    e = table(spark, d, "events").select("event_id", (F.col("value") / 10).alias("a"), ((F.col("event_id") % 17) / 5.0).alias("b"))
     soft = maths.soft_cross_entropy(F.col("a"), F.col("b"), F.array(F.lit(0.9), F.lit(0.1)))
     return e.select("event_id", F.round(soft, 6).alias("soft"), F.round(maths.cross_entropy(F.col("a"), F.col("b"), F.col("event_id") % 2), 6).alias("hard"))
 
@@ -757,6 +780,20 @@ def surface_area(spark, d):
     return table(spark, d, "events").select("event_id", F.round(maths.area(shape, F.col("value") / 10 + 1, (i % 9) / 3.0 + 1, (i % 4) / 2.0 + 1), 4).alias("area"))
 
 
+_ANGLES = """e AS (SELECT event_id, (event_id % 7) / 3.0::DOUBLE - 1 AS x, (event_id % 5) / 4.0::DOUBLE - 0.5 AS y, (event_id % 11) / 5.0::DOUBLE - 1 AS z FROM events)"""
+
+
+@query(f"""WITH {_ANGLES}, c AS (SELECT event_id, cos(x) AS cx, sin(x) AS sx, cos(y) AS cy, sin(y) AS sy, cos(z) AS cz, sin(z) AS sz FROM e)
+SELECT event_id, round(cy * cz, 6) + 0.0 AS m00, round(sx * sy * cz - cx * sz, 6) + 0.0 AS m01, round(cx * sy * cz + sx * sz, 6) + 0.0 AS m02, round(cy * sz, 6) + 0.0 AS m10, round(sx * sy * sz + cx * cz, 6) + 0.0 AS m11,
+  round(cx * sy * sz - sx * cz, 6) + 0.0 AS m12, round(-sy, 6) + 0.0 AS m20, round(sx * cy, 6) + 0.0 AS m21, round(cx * cy, 6) + 0.0 AS m22 FROM c""")
+def quat_matrix(spark, d):
+    """The matrix of the quaternion of Euler angles is the product of the three plane rotations."""
+    i = F.col("event_id")
+    q = maths.quat_of_euler((i % 7) / 3.0 - 1, (i % 5) / 4.0 - 0.5, (i % 11) / 5.0 - 1)
+    m = maths.quat_matrix(q)
+    return table(spark, d, "events").select("event_id", *[(F.round(m[a][b], 6) + 0.0).alias(f"m{a}{b}") for a in range(3) for b in range(3)])
+
+
 @query("SELECT event_id, round((event_id % 7) / 3.0::DOUBLE - 1, 6) AS x, round((event_id % 5) / 4.0::DOUBLE - 0.5, 6) AS y, round((event_id % 11) / 5.0::DOUBLE - 1, 6) AS z FROM events")
 def quat_roundtrip(spark, d):
     """Euler angles through a quaternion and its matrix are the angles again."""
@@ -791,9 +828,9 @@ def distinct_goals(spark, d):
     return store.distinct_check(table(spark, d, "events"), "user_id", 150)
 
 
-@query("WITH RECURSIVE below(body) AS (SELECT 1::BIGINT UNION ALL SELECT event_id FROM events JOIN below ON (event_id - 1) // 3 = body WHERE event_id > 1 AND event_id <= 3000) SELECT DISTINCT body FROM below")
+@query("WITH RECURSIVE below(body) AS (SELECT 1::BIGINT UNION ALL SELECT event_id FROM events JOIN below ON (event_id - 1) // 3 = body WHERE event_id > 1) SELECT DISTINCT body FROM below")
 def body_descendants(spark, d):
-    e = table(spark, d, "events").where("event_id > 1 and event_id <= 3000").select(F.col("event_id").alias("body"), F.expr("(event_id - 1) div 3").alias("parent"))
+    e = table(spark, d, "events").where("event_id > 1").select(F.col("event_id").alias("body"), F.expr("(event_id - 1) div 3").alias("parent"))
     return points.descendants(spark, e, 1)
 
 
