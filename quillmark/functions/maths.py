@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column
@@ -234,3 +235,57 @@ def wrapped_angle(a: Column) -> Column:
 def placed(rotation: list[list[Column]], v: list[Column], at: list[Column]) -> list[Column]:
     """VP13: from a body's frame to the world's."""
     return [r[0] * v[0] + r[1] * v[1] + r[2] * v[2] + t for r, t in zip(rotation, at, strict=True)]
+
+
+def long_tail(x: Column, high: Column | float, margin: Column, low: Column | float = 0.0) -> Column:
+    """MF2 with a margin that differs by row: 1 from ``low`` to ``high``, then the long-tail curve to 0.1 at the margin."""
+    beyond = F.when(x < low, low - x).otherwise(x - high)
+    return F.when((x >= low) & (x <= high), 1.0).when(margin == 0, 0.0).otherwise(1 / (9 * F.pow(beyond / margin, F.lit(2.0)) + 1))
+
+
+def distance(a: list[Column], b: list[Column]) -> Column:
+    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+
+
+def caging(
+    effort: Column, obj: list[Column], start: list[Column], pads: tuple[Column, Column], tcp: list[Column], tcp_start: list[Column],
+    radius: float, near: float, xz_near: float, reach: float = 0.0, effort_wanted: float = 1.0, density: str = "",
+) -> Column:
+    """MF6: how far a gripper holds an object: pads left and right of it (their y), the centre over it in x and z, and the effort.
+
+    density: "high" averages with the caging alone, "medium" with the reach of the centre to the object.
+    """
+    if density not in ("", "high", "medium"):
+        raise ValueError(f"no such density: {density}")
+    sides = [long_tail(F.abs(p - obj[1]), near, F.abs(F.abs(p - start[1]) - near), radius) for p in pads]
+    over = long_tail(distance([tcp[0], tcp[2]], [obj[0], obj[2]]), xz_near, distance([start[0], start[2]], [tcp_start[0], tcp_start[2]]) - xz_near)
+    caged = hamacher(hamacher(*sides), over)
+    closed = F.least(F.greatest(effort, F.lit(0.0)), F.lit(effort_wanted)) / effort_wanted
+    held = hamacher(caged, F.when(caged > 0.97, closed).otherwise(0.0))
+    if density == "high":
+        return (held + caged) / 2
+    if density == "medium":
+        return (held + long_tail(distance(obj, tcp), reach, F.abs(distance(start, tcp_start) - reach))) / 2
+    return held
+
+
+def ball_reward(obj: list[Column], start: list[Column], target: list[Column], grasped: Column, radius: float = 0.07) -> list[Column]:
+    """MF7, the exemplar task: (reward, distance to the target, in place, success) of a ball pushed into a goal."""
+    scaled = lambda a, b: distance([a[0] * 3.0, a[1], a[2]], [b[0] * 3.0, b[1], b[2]])
+    away, line = scaled(obj, target), target[1] - 0.1
+    placed_ = long_tail(away, radius, scaled(obj, start))
+    beside = (obj[1] > line) & (F.abs(obj[0] - target[0]) > 0.10)
+    placed_ = F.when(beside, F.least(F.greatest(placed_ - 2 * (obj[1] - line) / (1 - line), F.lit(0.0)), F.lit(1.0))).otherwise(placed_)
+    reward = F.when(away < radius, 10.0).otherwise(3 * grasped + 6.5 * placed_)
+    return [reward, distance(obj, target), placed_, (distance(obj, target) <= 0.07).cast("double")]
+
+
+def parallel_rotations() -> list[list[list[int]]]:
+    """MF14: the 24 rotations that turn axes into axes: signed permutations of determinant 1."""
+    out = []
+    for p in itertools.permutations(range(3)):
+        odd = sum(p[i] > p[j] for i in range(3) for j in range(i + 1, 3)) % 2
+        for signs in itertools.product((1, -1), repeat=3):
+            if math.prod(signs) == (-1 if odd else 1):
+                out.append([[signs[i] * (p[i] == j) for j in range(3)] for i in range(3)])
+    return out

@@ -5,10 +5,15 @@ Patterns read ASCII digits and white space.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LABEL = r"(-1|[01])"
 
@@ -306,3 +311,9 @@ def tokens(text: Column) -> Column:
 def n_grams(words: Column, n: int) -> Column:
     """Runs of n words, space-joined."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(T.StringType())
+def vector_digest(vector: pd.Series) -> pd.Series:
+    """SF20 over numbers: 8 hex digits of MD5 of the little-endian float32 bytes, 'nohash' for null."""
+    return vector.map(lambda v: "nohash" if v is None else hashlib.md5(np.asarray(v, "<f4").tobytes()).hexdigest()[:8])

@@ -52,3 +52,45 @@ def segment(series: Column, start: Column, size: int) -> Column:
 def joined(*vectors: Column) -> Column:
     """VP14, WN4."""
     return F.concat(*vectors)
+
+
+def cropped(image: Column, top: int, bottom: int, left: int, right: int) -> Column:
+    """PF12: rows top..bottom-1 of an image (rows of pixels), and of each the pixels left..right-1."""
+    return F.transform(F.slice(image, top + 1, bottom - top), lambda r: F.slice(r, left + 1, right - left))
+
+
+def upside_down(image: Column) -> Column:
+    """PF12."""
+    return F.reverse(image)
+
+
+def every_nth(series: Column, n: int) -> Column:
+    """PF12: elements 0, n, 2n, ..."""
+    return F.filter(series, lambda x, i: i % n == 0)
+
+
+def around_colour(image: Column, rgb: tuple[int, int, int], up: int, down: int, left: int, right: int) -> Column:
+    """PF16: the image around the mean place of pixels (r, g, b) of exactly this colour; null where there is none."""
+    hit = lambda p: (p["r"] == rgb[0]) & (p["g"] == rgb[1]) & (p["b"] == rgb[2])
+    places = F.flatten(F.transform(image, lambda row, y: F.transform(F.filter(F.transform(row, lambda p, x: F.struct(x.alias("x"), hit(p).alias("hit"))), lambda c: c["hit"]), lambda c: F.struct(y.alias("y"), c["x"].alias("x")))))
+    middle = lambda axis: F.floor(F.try_divide(F.aggregate(places, F.lit(0.0), lambda s, p: s + p[axis]), F.size(places))).cast("int")
+    y, x = middle("y"), middle("x")
+    rows = F.slice(image, F.greatest(y - up, F.lit(0)) + 1, F.least(y, F.lit(up)) + down)
+    return F.when(F.size(places) > 0, F.transform(rows, lambda r: F.slice(r, F.greatest(x - left, F.lit(0)) + 1, F.least(x, F.lit(left)) + right)))
+
+
+def blanked(image: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
+    """PF16: pixels outside the colour bounds become 0."""
+    inside = lambda p: p["r"].between(low[0], high[0]) & p["g"].between(low[1], high[1]) & p["b"].between(low[2], high[2])
+    nought = F.struct(*[F.lit(0).alias(c) for c in "rgb"])
+    return F.transform(image, lambda row: F.transform(row, lambda p: F.when(inside(p), p).otherwise(nought)))
+
+
+def fields(observation: Column, sizes: dict[str, int]) -> Column:
+    """PF15: a struct of the named parts of an observation, in order; it fails where they are not the whole of it."""
+    at, parts = 1, []
+    for name, n in sizes.items():
+        parts.append(F.slice(observation, at, n).alias(name))
+        at += n
+    whole = F.assert_true(F.size(observation) == at - 1, F.lit("observation not fully parsed"))
+    return F.when(whole.isNull(), F.struct(*parts))

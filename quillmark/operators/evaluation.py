@@ -155,3 +155,10 @@ def stitch_layout(sizes: DataFrame, group: str) -> DataFrame:
     widths = cells.groupBy(group, "c").agg(F.max("w").alias("w")).groupBy(group).agg(F.sum("w").alias("grid_w"))
     heights = cells.groupBy(group, "r").agg(F.max("h").alias("h")).groupBy(group).agg(F.sum("h").alias("grid_h"))
     return n.join(widths, group).join(heights, group)
+
+
+def with_truth(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """JN16: (object_id, ground_truth, model_output): each output with the annotation of its object; every output must have one."""
+    found = outputs.join(annotations.select("object_id", "ground_truth", F.lit(True).alias("known")), "object_id", "left")
+    missing = F.assert_true(F.coalesce("known", F.lit(False)), F.concat(F.lit("no annotation of "), F.col("object_id").cast("string")))
+    return found.select("object_id", "ground_truth", F.when(missing.isNull(), F.col("model_output")).alias("model_output"))

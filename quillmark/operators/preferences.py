@@ -77,3 +77,13 @@ def k_center_of_uncertain(scores: DataFrame, points: DataFrame, k: int, by: str
     """SP12: k-centre among the 2k most uncertain."""
     first = (disagreement if by == "disagreement" else uncertain)(scores, 2 * k)
     return k_center(points.join(F.broadcast(first.select(F.col("pair_id").alias("id"))), "id", "left_semi"), k)
+
+
+def flipped_labels(rows: DataFrame, label: str = "label") -> DataFrame:
+    """PF6: 0 and 1 swap; -1 (no preference) becomes 2, as 1 less the label is."""
+    return rows.withColumn(label, 1 - F.col(label))
+
+
+def flipped_scores(rows: DataFrame, score: str = "score") -> DataFrame:
+    """PF6: scores of the other sign."""
+    return rows.withColumn(score, -F.col(score))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -10,6 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.common import width
+from quillmark.operators.decisions import chunked
 from quillmark.operators.pairs import draw
 
 
@@ -43,54 +48,84 @@ def clustered(samples: DataFrame, ks: list[int], reward_weight: float = 0.3, see
 class Store:
     """SP21: one bin's rows and running distances.
 
-    While the bin fills, every sample enters, and its distance is taken after entry, so it finds itself at 0.
-    When full, a sample nearer than the threshold to a stored one is refused; else it replaces the nearest,
-    or by hash another. The threshold is the median of the last distances once that is not 0.
+    A sample that fills the store enters, and its distance is taken after entry, so it finds itself at 0. Later
+    ones are refused, and leave no distance, where they are nearer than the threshold to a stored one; else they
+    enter while the bin has room, or replace the nearest, or by hash another. The threshold is the median of all
+    distances so far, once there are five and it is not 0. Distance weighs vectors, rewards and times.
     """
 
-    def __init__(self, capacity: int, initial: float, replace: str = "nearest", keep: int = 200):
-        self.capacity, self.initial, self.replace, self.keep = capacity, initial, replace, keep
+    def __init__(self, capacity: int, initial: float, replace: str = "nearest", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)):
+        self.capacity, self.initial, self.replace, self.weights = capacity, initial, replace, weights
         self.ids: list[int] = []
         self.vectors: list[np.ndarray] = []
-        self.distances: list[float] = []
+        self.extras: list[tuple[float, float]] = []
+        self.distances: list[float] = []  # in order
 
     def threshold(self) -> float:
-        m = float(np.median(self.distances)) if len(self.distances) >= 5 else 0.0
+        n = len(self.distances)
+        m = (self.distances[(n - 1) // 2] + self.distances[n // 2]) / 2 if n >= 5 else 0.0
         return self.initial if m < 1e-9 else m
 
-    def offer(self, sample_id: int, vector: np.ndarray) -> tuple[str, int | None]:
-        """What happened to a sample, and the id that left for it."""
-        if len(self.ids) < self.capacity:
-            self.ids.append(sample_id)
-            self.vectors.append(vector)
-            self._seen(0.0)
+    def offer(self, sample_id: int, vector: np.ndarray, reward: float = 0.0, time: float = 0.0, fill: bool | None = None) -> tuple[str, int | None]:
+        """What happened to a sample, and the id that left for it. ``fill``: whether the whole store still fills (by default, the bin)."""
+        if fill if fill is not None else len(self.ids) < self.capacity:
+            self._enter(sample_id, vector, reward, time)
+            bisect.insort(self.distances, 0.0)
             return "added", None
-        away = np.sqrt(((np.array(self.vectors) - vector) ** 2).sum(1)) if self.ids else np.array([np.inf])
-        at, limit = int(away.argmin()), self.threshold()
-        self._seen(float(away[at]))
-        if not self.ids or away[at] < limit:
+        if not self.ids:
+            if self.capacity < 1:
+                return "refused", None
+            self._enter(sample_id, vector, reward, time)
+            return "added", None
+        alpha, beta, gamma = self.weights
+        extras = np.array(self.extras)
+        away = np.sqrt(alpha * ((np.array(self.vectors) - vector) ** 2).sum(1) + beta * (extras[:, 0] - reward) ** 2 + gamma * (extras[:, 1] - time) ** 2)
+        at = int(away.argmin())
+        if away[at] < self.threshold():
             return "refused", None
+        bisect.insort(self.distances, float(away[at]))
+        if len(self.ids) < self.capacity:
+            self._enter(sample_id, vector, reward, time)
+            return "added", None
         if self.replace == "random":
             at = (sample_id * 2654435761) % len(self.ids)
-        gone, self.ids[at], self.vectors[at] = self.ids[at], sample_id, vector
+        gone, self.ids[at], self.vectors[at], self.extras[at] = self.ids[at], sample_id, vector, (reward, time)
         return "replaced", gone
 
-    def _seen(self, d: float) -> None:
-        self.distances = (self.distances + [d])[-self.keep :]
+    def _enter(self, sample_id: int, vector: np.ndarray, reward: float, time: float) -> None:
+        self.ids.append(sample_id)
+        self.vectors.append(vector)
+        self.extras.append((reward, time))
 
 
-def bounded(samples: DataFrame, capacity: int, initial: float, replace: str = "nearest") -> DataFrame:
-    """SP21: the fate of every sample (bin_id, sample_id, embedding), in order of id; a bin in one task, as each step needs the last.
+def bounded(samples: DataFrame, capacity: int, initial: float, replace: str = "nearest", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), total: int | None = None) -> DataFrame:
+    """SP21: the fate of every sample (bin_id, sample_id, embedding, and reward and time where they weigh), in order of id.
 
-    The state held is the capacity, not the bin's history.
+    ``total``: the first so many samples of all bins enter without a look at likeness; by default each bin fills
+    by itself. Each step of a bin needs the last, so a bin's rows pass one task in order, as a stream: what is
+    held is the store and the distances, not the rows. A bin's threshold is its own.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, store = pdf.sort_values("sample_id"), Store(capacity, initial, replace)
-        fate = [store.offer(int(s), np.asarray(e, float)) for s, e in zip(pdf["sample_id"], pdf["embedding"], strict=True)]
-        return pd.DataFrame({"bin_id": pdf["bin_id"], "sample_id": pdf["sample_id"], "fate": [f for f, _ in fate], "gone": pd.array([g for _, g in fate], "Int64")})
-
-    return samples.select("bin_id", "sample_id", "embedding").groupBy("bin_id").applyInPandas(run, "bin_id int, sample_id long, fate string, gone long")
+    given = set(samples.columns)
+    more = [F.col(c).cast("double").alias(c) if c in given else F.lit(0.0).alias(c) for c in ("reward", "time")]
+    rows = samples.select("bin_id", "sample_id", F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    if total is None:
+        rows = rows.withColumn("fill", F.lit(None).cast("boolean"))
+    else:
+        rows = chunked(rows, "sample_id", total).withColumn("fill", F.col("chunk") == 0).drop("chunk", "line")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores: dict[int, Store] = {}
+        current = None
+        for pdf in it:
+            fates = []
+            for r in pdf.itertuples(index=False):
+                if r.bin_id != current:
+                    current, stores = r.bin_id, {r.bin_id: Store(capacity, initial, replace, weights)}
+                fates.append(stores[current].offer(int(r.sample_id), np.asarray(r.embedding, float), r.reward, r.time, None if total is None else bool(r.fill)))
+            yield pd.DataFrame({"bin_id": pdf["bin_id"], "sample_id": pdf["sample_id"], "fate": [f for f, _ in fates], "gone": pd.array([g for _, g in fates], "Int64")})
+
+    dealt = rows.repartition(width(rows.sparkSession), "bin_id").sortWithinPartitions("bin_id", "sample_id")
+    return dealt.mapInPandas(run, "bin_id int, sample_id long, fate string, gone long")
 
 
 def observation_scale(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -115,6 +115,11 @@ def replay_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return rows.withColumn("__draw", draw(seed, F.col(key))).orderBy("__draw").limit(n).drop("__draw")
 
 
+def replay_with_states(rows: DataFrame, n: int, seed: int, key: str, state: str) -> tuple[DataFrame, DataFrame]:
+    """SP15: ``n`` sampled rows, and the states of all rows, for measures of the sample against everything stored."""
+    return replay_sample(rows, n, seed, key), rows.select(key, state)
+
+
 def relabeled(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """SP19: rewards replaced by the scorer's (key, prediction); rows that it leaves out keep theirs."""
     return rows.join(scorer(rows), key, "left").withColumn("reward", F.coalesce("prediction", "reward")).drop("prediction")

@@ -61,8 +61,13 @@ def with_views(metas: DataFrame, views: DataFrame) -> DataFrame:
     return metas.join(by, "sample_id")
 
 
+def _position():
+    """Where a row stands: by name of the file, block of it, and row. Spark's partitions follow sizes of files, not names."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("position")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"))
+    rows = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), _position())
     return rows.where("value <> ''")
 
 
@@ -95,10 +100,10 @@ def responses(spark: SparkSession, path: str, plain_text_first: bool = False) ->
     return found.groupBy("custom_id").agg(F.max_by("analysis", "position").alias("analysis"))
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """SC8: (custom_id, decision) of a JSON array; the last of an id counts, empty ids are left out."""
-    rows = spark.read.schema("custom_id STRING, analysis STRING, decision STRING").option("multiLine", True).json(path)
-    rows = rows.withColumn("position", F.monotonically_increasing_id()).where("custom_id <> ''")
+def decisions(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """SC8: (custom_id, decision) of a JSON array, or of lines; the last of an id counts, empty ids are left out."""
+    rows = spark.read.schema("custom_id STRING, analysis STRING, decision STRING").option("multiLine", array).json(path)
+    rows = rows.select("custom_id", "decision", _position()).where("custom_id <> ''")
     return rows.groupBy("custom_id").agg(F.max_by("decision", "position").alias("decision"))
 
 

@@ -19,7 +19,7 @@ _STATE = "ids array<long>, vectors array<array<double>>, distances array<double>
 def bounded_store(samples: DataFrame, capacity: int, initial: float, replace: str = "nearest") -> DataFrame:
     """SP21, SS2, SS3: the fate of each arriving sample (bin_id, sample_id, embedding).
 
-    State a bin: the stored vectors and the last distances, at most ``capacity`` and 200. Within a micro-batch
+    State a bin: the stored vectors, at most ``capacity``, and a number a distance taken. Within a micro-batch
     samples are taken in order of id. State lives in the query's checkpoint, so a lost executor loses nothing.
     """
 
@@ -28,6 +28,7 @@ def bounded_store(samples: DataFrame, capacity: int, initial: float, replace: st
         if state.exists:
             ids, vectors, distances, seen = state.get
             store.ids, store.vectors, store.distances = list(ids), [np.array(v) for v in vectors], list(distances)
+            store.extras = [(0.0, 0.0)] * len(store.ids)
         rows = pd.concat(list(batches)).sort_values("sample_id")
         fate = [store.offer(int(s), np.asarray(e, float)) for s, e in zip(rows["sample_id"], rows["embedding"], strict=True)]
         state.update((store.ids, [v.tolist() for v in store.vectors], store.distances, seen + len(rows)))

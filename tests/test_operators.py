@@ -245,3 +245,40 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in wide] == [(1, 2.0, None), (2, None, 2.0)]
     c = spark.createDataFrame([(1, 0, 0.5, 0.0, 1.0, 1.0, 0.0, 0.5)], "cloud_id long, pt int, x double, y double, z double, r double, g double, b double")
     assert sinks.ply(c).first().value.endswith("end_header\n0.5 0.0 1.0 255 0 128\n")
+
+
+def test_bounded_store_against_the_policy_in_plain_steps(spark):
+    """Fill to the total without a look; then refuse what is near and note nothing, else note the distance and enter or replace."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 3)), [float(x) for x in rng.normal(size=4)], float(rng.normal()), float(i)) for i in range(200)]
+    weights, total, capacity, want = (1.0, 0.5, 0.0001), 40, 10, {}
+    bins, seen = {b: [] for b in range(3)}, {b: [] for b in range(3)}
+    for i, b, v, r, t in rows:
+        held, dist = bins[b], lambda o: (weights[0] * sum((x - y) ** 2 for x, y in zip(v, o[1])) + weights[1] * (r - o[2]) ** 2 + weights[2] * (t - o[3]) ** 2) ** 0.5  # noqa: B023
+        if i < total:
+            held.append((i, v, r, t))
+            seen[b].append(0.0)
+            want[i] = ("added", None)
+            continue
+        near = min(held, key=dist)
+        m = float(np.median(seen[b])) if len(seen[b]) >= 5 else 0.0
+        if dist(near) < (m if m >= 1e-9 else 0.3):
+            want[i] = ("refused", None)
+            continue
+        seen[b].append(dist(near))
+        if len(held) < capacity:
+            held.append((i, v, r, t))
+            want[i] = ("added", None)
+        else:
+            held[held.index(near)] = (i, v, r, t)
+            want[i] = ("replaced", near[0])
+    df = spark.createDataFrame(rows, "sample_id long, bin_id int, embedding array<double>, reward double, time double")
+    got = {r.sample_id: (r.fate, r.gone) for r in store.bounded(df, capacity, 0.3, weights=weights, total=total).collect()}
+    assert got == want and {f for f, _ in want.values()} == {"added", "refused", "replaced"}
+
+
+def test_chunked_on_wide_rows_of_many_partitions(spark):
+    """Rows are numbered as they stand in order, however wide, where the sampler of ranges sees only some of them."""
+    rows = spark.range(120_000, numPartitions=5).select(F.pmod(F.col("id") * 7919, F.lit(120_000)).alias("k"), F.repeat(F.lit("wide "), 20).alias("wide"), F.lit(1.5).alias("more"))
+    got = decisions.chunked(rows, "k", 1000).where("chunk * 1000 + line <> k").count()
+    assert got == 0
