@@ -9,7 +9,7 @@ unrelated rows at any size. Equal fingerprints are one node from the start.
 Within a key, rows already reached from the key's pivot are not compared with each other again: links
 are a tree, never all pairs. Keys with over SPLIT rows are dealt to pairs of salts.
 
-``keep_one`` goes by likeness, not by a few bits. Two sets of shingles of Jaccard likeness 0.8 differ in
+``keep_one_alike`` goes by likeness, not by a few bits. Two sets of shingles of Jaccard likeness 0.8 differ in
 15 % of all fingerprint bits, so that no split in which some blocks must agree has keys of use. Its
 fingerprint is wide (WIDE words of 64 bits or more), each block is a key by itself, and there are as many
 blocks as a pair of likeness LIKE needs to share one in all but MISS of cases; pairs nearer share more.
@@ -22,8 +22,8 @@ grows as about the fourth root of that number.
 Defined cases: null text and text without words have fingerprint zero and link like any other; shorter
 texts than a shingle are one shingle; repeated rows are rows of their own; an empty table gives no rows;
 texts of any length are read whole. Null ids are listed with the component that they reach; a component of
-null ids only has a null id. ``keep_one`` keeps every row without an id, takes rows of equal id and text for
-one row and rows of equal id and different texts for rows of their own; of equal ids the least hash of the
+null ids only has a null id. Both ``keep_one`` functions keep every row without an id, take rows of equal id and text
+for one row and rows of equal id and different texts for rows of their own; of equal ids the least hash of the
 text stays. Other columns, whatever their names, are carried on as they are.
 """
 
@@ -66,16 +66,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns ``more``) with the fingerprint as a signed 64-bit number."""
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)} | {c: pdf[c] for c in more})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *more).mapInPandas(each, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in more)]))
 
 
 def block_masks(n_blocks: int, within: int = WITHIN) -> list[int]:
@@ -198,6 +198,25 @@ def components(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) ->
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, within: int = WITHIN) -> DataFrame:
+    """``docs`` with the row of least id, then least text hash, of each component of fingerprints, all columns as they were."""
+    (text_hash,) = unused(docs, "text_hash")
+    rows = docs.where("doc_id is not null").withColumn(text_hash, F.xxhash64("text"))
+    fps = written(fingerprints(rows, shingle, (text_hash,)).withColumnRenamed(text_hash, "text_hash"), "simhash")
+    best = fps.join(rooted(fps, within), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    return _only(docs, rows, best, text_hash)
+
+
+def _only(docs: DataFrame, rows: DataFrame, best: DataFrame, text_hash: str) -> DataFrame:
+    """One row of ``rows`` for each of ``best`` (least: doc_id and text_hash), and the rows of ``docs`` without an id."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    (rank,) = unused(rows, "rank")
+    best = best.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias(text_hash))
+    number = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0)))
+    kept = rows.join(best, ["doc_id", text_hash], "left_semi").withColumn(rank, number).where(F.col(rank) == 1)
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
+
+
 #: Words of a shingle and least likeness of near copies; words of the wide fingerprint, at least; the share of pairs of
 #: likeness LIKE that may share no block; bits of a block, at least.
 NEAR_SHINGLE, LIKE, WIDE, MISS, BLOCK = 5, 0.8, 16, 0.02, 18
@@ -424,18 +443,14 @@ def near_roots(nodes: DataFrame, plan: tuple[int, int, int], split: int = SPLIT)
     return stars(more.union(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def keep_one(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+def keep_one_alike(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of least id and then least text hash, all columns as they were."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    text_hash, rank = unused(docs, "text_hash", "rank")
+    (text_hash,) = unused(docs, "text_hash")
     rows = docs.where("doc_id is not null").withColumn(text_hash, F.xxhash64("text"))
     bits, blocks, n_words = plan = block_plan(rows.count())
     signed = written(_wide_rows(rows, text_hash, n_words), "near-rows")
     nodes = written(_keyed_nodes(signed, bits, blocks), "near-nodes")
     release(signed)
-    rooted = nodes.select("node", "doc_id", "text_hash").join(near_roots(nodes, plan, split), "node", "left")
-    best = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
-    best = best.select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias(text_hash))
-    number = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0)))
-    kept = rows.join(best, ["doc_id", text_hash], "left_semi").withColumn(rank, number).where(F.col(rank) == 1)
-    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
+    rooted_ = nodes.select("node", "doc_id", "text_hash").join(near_roots(nodes, plan, split), "node", "left")
+    best = rooted_.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    return _only(docs, rows, best, text_hash)

@@ -101,7 +101,7 @@ def test_hot_keys_are_dealt_to_salts(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = [(i, " ".join(words + [f"end{i}"])) for i in range(120)] + [(1000 + i, " ".join(f"v{rng.randrange(5000)}" for _ in range(300))) for i in range(10)]
-    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), split=16).collect()}
+    got = {r.doc_id for r in simhash.keep_one_alike(spark.createDataFrame(rows, SCHEMA), split=16).collect()}
     assert got == {0} | set(range(1000, 1010))
 
 
@@ -109,6 +109,7 @@ def test_clashing_columns_long_texts_and_empty_table(spark):
     long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
     rows = [(1, long, 5, "a"), (2, long + " more", 6, "b"), (None, long, 7, "c"), (3, None, 8, "d"), (4, "  ", 9, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, rank string")
-    got = sorted(simhash.keep_one(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
-    assert [(r.doc_id, r.text_hash, r["rank"]) for r in got] == [(1, 5, "a"), (3, 8, "d"), (None, 7, "c")]
-    assert simhash.keep_one(docs.where("false")).collect() == []
+    for keep in (simhash.keep_one, simhash.keep_one_alike):
+        got = sorted(keep(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+        assert [(r.doc_id, r.text_hash, r["rank"]) for r in got] == [(1, 5, "a"), (3, 8, "d"), (None, 7, "c")]
+        assert keep(docs.where("false")).collect() == []
