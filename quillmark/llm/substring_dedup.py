@@ -16,11 +16,18 @@ A byte goes if a string of MIN_LENGTH bytes that covers it also starts in a docu
    common prefixes of MIN_LENGTH or more: equal windows, whose least document keeps them.
 5. By document: all that was found is marked, and the rest is hashed.
 
+Hot anchors. An anchor of over HOT distinct runs in a batch, or over SPLIT by anchor, isn't brought together:
+in step 2 a batch sends a word that it is hot instead of its runs, and in step 3 documents send each window of
+their runs by the window's own hash, since a window is equal only to windows of equal hash. Equal windows are
+combined to their least document (by their bytes) where they leave and where they arrive, so no step holds all
+that surrounds a common phrase in one task.
+
 Rows are packed arrays, so that no row a window or run exists; everything is dealt by anchor or document,
-and files cut the lineage between documents and comparison.
+into as many buckets as the bytes of text ask for, and files cut the lineage between documents and comparison.
 
 Defined cases: null text is empty; rows of one doc_id are the same document and never copies of each other;
-a row without a doc_id loses nothing and is no source; texts of under MIN_LENGTH bytes lose nothing.
+a row without a doc_id loses nothing and is no source; texts of under MIN_LENGTH bytes lose nothing; very long
+texts are searched whole, by one task a text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +51,10 @@ BATCH_BYTES = 4_000_000
 LOOK_BYTES = 100_000
 #: Symbols of a transform; runs of one anchor are never parted.
 TEXT_SYMBOLS = 1_000_000
+#: Distinct runs of an anchor in a batch, and by anchor, beyond which it is dealt by window.
+HOT, SPLIT = 64, 10_000
+#: Bytes of text a bucket, about; a session's shuffle partitions are the least number of buckets.
+BUCKET_BYTES = 128_000_000
 
 _B = 0x100000001B3
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +135,7 @@ def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], **more) -> pd.Da
     order = np.argsort(bucket, kind="stable")
     at = bucket[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
-    cut = [slice(a, z) for a, z in zip(first, np.r_[first[1:], len(at)], strict=True)]
+    cut = [slice(a, z) for a, z in zip(first, np.r_[first, len(at)][1:], strict=True)]
     return pd.DataFrame({"bucket": at[first].astype(np.int32), **{k: [(_counted if k == "docs" else np.ndarray.tobytes)(v[order][c]) for c in cut] for k, v in columns.items()}, **more})
 
 
@@ -165,8 +176,15 @@ def _packed_docs(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(batches, "bucket int, ids binary, sizes binary, texts binary")
 
 
-def _runs_by_anchor(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, docs, keys, hashes): distinct runs with their least document; rows without keys are known copies, on any bucket."""
+#: What becomes of a run in a document: it is lost, compared with the runs of its anchor, or compared window by window.
+LOST, COMPARE, WINDOWS = 0, 1, 2
+
+
+def _runs_by_anchor(docs: DataFrame, buckets: int, length: int, hot: int) -> DataFrame:
+    """(bucket, docs, keys, hashes, fate): distinct runs with their least document, without a fate.
+
+    Rows without keys are runs whose fate is known, on any bucket; rows of keys alone tell which anchors are hot.
+    """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, looked, turn, some = [], 0, 0, 0, []
@@ -197,36 +215,48 @@ def _runs_by_anchor(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         first = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(run) else doc
         by = np.flatnonzero(first)[np.argsort(doc[first], kind="stable")]
-        yield _packed((key[by] >> np.uint64(32)) % np.uint64(buckets), {"docs": doc[by], "keys": key[by].astype(np.uint32), "hashes": run[by]})
-        again = np.flatnonzero(~first & (doc > least))
-        if len(again):
-            again = again[np.argsort(doc[again], kind="stable")]
-            d, r = doc[again], run[again]
-            yield pd.DataFrame({"bucket": [int(d[0] + turn) % buckets], "docs": [_counted(d)], "keys": [b""], "hashes": [r.tobytes()]})
+        keys, which, n = np.unique(key[by], return_inverse=True, return_counts=True)
+        keys, apart, by = keys[n > hot], by[n[which] > hot], by[n[which] <= hot]
+        yield _packed(bucket_of(key[by]), {"docs": doc[by], "keys": key[by].astype(np.uint32), "hashes": run[by]}, fate=None)[columns]
+        if len(keys):
+            yield _packed(bucket_of(keys), {"keys": keys.astype(np.uint32)}, docs=b"", hashes=b"", fate=WINDOWS)[columns]
+        for fate, some in ((LOST, np.flatnonzero(~first & (doc > least))), (WINDOWS, apart)):
+            if len(some):
+                some = some[np.argsort(doc[some], kind="stable")]
+                d, r = doc[some], run[some]
+                yield pd.DataFrame({"bucket": [int(d[0] + turn) % buckets], "docs": [_counted(d)], "keys": [b""], "hashes": [r.tobytes()], "fate": [fate]})
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "bucket int, docs binary, keys binary, hashes binary")
+    def bucket_of(key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(32)) % np.uint64(buckets)
 
+    columns = ["bucket", "docs", "keys", "hashes", "fate"]
+    return docs.select("doc_id", "text").mapInPandas(batches, "bucket int, docs binary, keys binary, hashes binary, fate int")
 
-def _marks(sent: DataFrame, buckets: int) -> DataFrame:
-    """(bucket by document, docs, hashes, compare): runs that a document loses whole (0) or must send (1)."""
+
+def _marks(sent: DataFrame, buckets: int, split: int) -> DataFrame:
+    """(bucket by document, docs, hashes, compare): runs that a document loses whole or must send, in one piece or by windows."""
 
     def by_anchor(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, keys, hashes = [], [], []
+        docs, keys, hashes, hot = [], [], [], [np.zeros(0, np.uint32)]
         for pdf in it:
-            for d, k, h in zip(pdf["docs"], pdf["keys"], pdf["hashes"], strict=True):
+            for d, k, h, fate in zip(pdf["docs"], pdf["keys"], pdf["hashes"], pdf["fate"], strict=True):
+                if k and not d:
+                    hot = [np.unique(np.concatenate([*hot, np.frombuffer(k, np.uint32)]))]
+                    continue
                 d, h = _uncounted(d), np.frombuffer(h, np.uint64)
                 if k:
                     docs.append(d)
                     keys.append(np.frombuffer(k, np.uint32))
                     hashes.append(h)
                 else:
-                    yield _packed(place(d, buckets), {"docs": d, "hashes": h, "compare": np.zeros(len(d), np.uint8)})
+                    yield _packed(place(d, buckets), {"docs": d, "hashes": h, "compare": np.full(len(d), fate, np.uint8)})
         if not docs:
             return
         doc, key, run = np.concatenate(docs), np.concatenate(keys), np.concatenate(hashes)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]]  # an anchor seen once needs nothing
+        # an anchor seen once needs nothing
+        order = order[np.r_[False, same] | np.r_[same, False] | np.isin(key[order], hot[0])]
         order = order[np.lexsort((doc[order], run[order], key[order]))]
         doc, key, run = doc[order], key[order], run[order]
         if not len(doc):
@@ -235,12 +265,13 @@ def _marks(sent: DataFrame, buckets: int) -> DataFrame:
         new_run = new_key | np.r_[True, run[1:] != run[:-1]]
         least = doc[np.maximum.accumulate(np.where(new_run, np.arange(len(doc)), 0))]
         group = np.cumsum(new_key) - 1
-        several = np.bincount(group, new_run)[group] > 1
+        distinct = np.bincount(group, new_run)[group]
+        wide = (distinct > split) | np.isin(key, hot[0])
         lost = ~new_run & (doc > least)
-        ask = new_run & several
+        ask = new_run & ((distinct > 1) | wide)
         pick = np.flatnonzero(lost | ask)
         pick = pick[np.argsort(doc[pick], kind="stable")]
-        yield _packed(place(doc[pick], buckets), {"docs": doc[pick], "hashes": run[pick], "compare": ask[pick].astype(np.uint8)})
+        yield _packed(place(doc[pick], buckets), {"docs": doc[pick], "hashes": run[pick], "compare": np.where(ask, np.where(wide, WINDOWS, COMPARE), LOST)[pick].astype(np.uint8)})
 
     dealt = sent.repartition(buckets, "bucket")
     return dealt.mapInPandas(by_anchor, "bucket int, docs binary, hashes binary, compare binary")
@@ -281,8 +312,20 @@ def _uid(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
+def _later(doc: np.ndarray, size: np.ndarray, texts: np.ndarray, length: int) -> np.ndarray:
+    """Pieces of one window whose bytes a smaller document has too."""
+    one = np.flatnonzero(size == length)
+    least: dict[bytes, int] = {}
+    for d, t in zip(doc[one].tolist(), texts[one], strict=True):
+        if d < least.get(t, d + 1):
+            least[t] = d
+    out = np.zeros(len(doc), bool)
+    out[one] = doc[one] > np.array([least[t] for t in texts[one]], np.int64)
+    return out
+
+
 def _by_document(docs: DataFrame, marks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Kind 0, by document: places that are lost. Kind 1, by anchor: runs to compare, with their bytes."""
+    """Kind 0, by document: places that are lost. Kind 1, by anchor or window: runs to compare, with their bytes."""
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, notes, ready, lost, asked = None, [], None, [], []
@@ -314,13 +357,14 @@ def _by_document(docs: DataFrame, marks: DataFrame, buckets: int, length: int) -
         hit = np.flatnonzero(ready[0][at] == both)
         if not len(hit):
             return
-        s, e, key, owner, ask = s[hit], e[hit], key[hit], owner[hit], ready[1][at[hit]] == 1
+        s, e, key, owner, fate = s[hit], e[hit], key[hit], owner[hit], ready[1][at[hit]]
+        gone, ask, wide = fate == LOST, fate == COMPARE, fate == WINDOWS
         begin = np.r_[0, ends[:-1]]
         uids = np.zeros(len(ids), np.int64)
         for i in np.unique(owner):
             uids[i] = _uid(whole[begin[i] : ends[i]])
-        if not ask.all():
-            o, a, z = owner[~ask], s[~ask], e[~ask] + length
+        if gone.any():
+            o, a, z = owner[gone], s[gone], e[gone] + length
             new = np.r_[True, (o[1:] != o[:-1]) | (a[1:] > np.maximum.accumulate(z)[:-1])]  # places that overlap are one
             last = np.r_[new[1:], True]
             f = o[new]
@@ -328,21 +372,31 @@ def _by_document(docs: DataFrame, marks: DataFrame, buckets: int, length: int) -
         if ask.any():
             o = owner[ask]
             asked.append((ids[o], uids[o], s[ask] - begin[o], e[ask] + length - begin[o], key[ask], [whole[a:z] for a, z in zip(s[ask], e[ask] + length, strict=True)]))
+        if wide.any():
+            n = e[wide] - s[wide] + 1
+            o = np.repeat(owner[wide], n)
+            a = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - s[wide], n)
+            texts = [whole[x : x + length] for x in a.tolist()]
+            asked.append((ids[o], uids[o], a - begin[o], a - begin[o] + length, np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64), texts))
 
     def packed(lost: list, asked: list) -> Iterator[pd.DataFrame]:
-        if lost:
-            doc, uid, a, z = (np.concatenate(x) for x in zip(*lost, strict=True))
-            out = _packed(place(doc, buckets), {"docs": doc, "uids": uid, "starts": a.astype(np.int32), "ends": z.astype(np.int32)})
-            yield out.assign(kind=np.int32(0), keys=b"", texts=b"")[_HALFWAY_COLUMNS]
         if asked:
             doc, uid, a, z, key = (np.concatenate([x[i] for x in asked]) for i in range(5))
             texts = np.empty(len(doc), object)
             texts[:] = [t for x in asked for t in x[5]]
+            later = _later(doc, z - a, texts, length)
+            if later.any():
+                lost.append((doc[later], uid[later], a[later], z[later]))
+            doc, uid, a, z, key, texts = (x[~later] for x in (doc, uid, a, z, key, texts))
             bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             out = _packed(bucket, {"docs": doc, "uids": uid, "starts": a.astype(np.int32), "ends": z.astype(np.int32), "keys": key.astype(np.uint32)})
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
             yield out.assign(kind=np.int32(1), texts=[b"".join(texts[o]) for o in np.split(order, first[1:])])[_HALFWAY_COLUMNS]
+        if lost:
+            doc, uid, a, z = (np.concatenate(x) for x in zip(*lost, strict=True))
+            out = _packed(place(doc, buckets), {"docs": doc, "uids": uid, "starts": a.astype(np.int32), "ends": z.astype(np.int32)})
+            yield out.assign(kind=np.int32(0), keys=b"", texts=b"")[_HALFWAY_COLUMNS]
 
     return _together(docs, marks, buckets).mapInPandas(each, _HALFWAY)
 
@@ -437,7 +491,13 @@ def _compared(halfway: DataFrame, buckets: int, length: int) -> DataFrame:
         if not texts:
             return
         doc, uid, key, start, end = (np.concatenate(x).astype(np.int64) for x in held)
-        size = end - start
+        size, pieces = end - start, np.empty(len(texts), object)
+        pieces[:] = texts
+        later = _later(doc, size, pieces, length)
+        if later.any():
+            d = doc[later]
+            yield _packed(place(d, buckets), {"docs": d, "uids": uid[later], "starts": start[later].astype(np.int32), "ends": end[later].astype(np.int32)})
+            doc, uid, key, start, end, size, texts = (x[~later] for x in (doc, uid, key, start, end, size, pieces))
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         part = np.cumsum(size[order] + 1) // TEXT_SYMBOLS
@@ -475,12 +535,13 @@ def _compared(halfway: DataFrame, buckets: int, length: int) -> DataFrame:
 _PLACES = "bucket int, docs binary, uids binary, starts binary, ends binary"
 
 
-def dedup(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = MIN_LENGTH, hot: int = HOT, split: int = SPLIT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
-    buckets = width(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(width(docs.sparkSession), -(-size // bucket_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = rows.where("doc_id is not null")
-    marks = _marks(_runs_by_anchor(named, buckets, length), buckets)
+    marks = _marks(_runs_by_anchor(named, buckets, length, hot), buckets, split)
     halfway = written(_by_document(named, marks, buckets, length), "substrings")
     places = halfway.where("kind = 0").select("bucket", "docs", "uids", "starts", "ends").union(_compared(halfway, buckets, length))
 

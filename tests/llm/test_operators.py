@@ -255,6 +255,18 @@ def test_substrings_of_few_letters(spark):
     assert collected(substring_dedup.dedup(df)) == brute_removed(rows)
 
 
+@pytest.mark.parametrize("hot, split", [(2, 10_000), (10_000, 2), (0, 0), (3, 5)])
+def test_substrings_of_hot_anchors(spark, hot, split):
+    """A phrase with other surroundings in each document, longer and shorter than a window, and repeats of both."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij klmnoé"), n))
+    phrases, tails = [word(45), word(64), word(30)], [word(3) for _ in range(4)]
+    rows = [(int(i), word(40) + phrases[i % 3] + tails[rng.integers(4)] + word(25) + phrases[1] * int(i % 7 == 0), "s") for i in rng.permutation(90)]
+    rows += rows[:6] + [(3, rows[10][1], "s"), (200, rows[11][1], "s"), (None, phrases[1] * 2, "s"), (201, None, "s"), (202, phrases[1] * 40, "s")]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    assert collected(substring_dedup.dedup(df, hot=hot, split=split, bucket_bytes=500)) == brute_removed(rows)
+
+
 @pytest.mark.parametrize("letters, length", [(2, 5), (3, 7), (250, 20), (4, 50)])
 def test_interval_expansion(letters, length):
     rng = np.random.default_rng(5)
