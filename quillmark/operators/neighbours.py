@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.common import written
 from quillmark.functions import maths, vectors
 
 
@@ -23,9 +26,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, block: str | None = None)
     return apart.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def state_entropy(states: DataFrame, k: int, block: str) -> DataFrame:
-    """VP3: the (k+1)-th least distance from each state, itself among the candidates."""
-    found = knn(states.select(F.col("id").alias("q"), "embedding", block), states.select(F.col("id").alias("p"), "embedding", block), k + 1, block)
+def state_entropy(states: DataFrame, k: int, block: str | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """VP3: the (k+1)-th least distance from each state to all states (or those of its block), itself among them.
+
+    ``queries``: the states that are asked about, by default all.
+    """
+    more = [block] if block else []
+    asked = (states if queries is None else queries).select(F.col("id").alias("q"), "embedding", *more)
+    found = knn(asked, states.select(F.col("id").alias("p"), "embedding", *more), k + 1, block)
     return found.where(F.col("rank") == k + 1).select(F.col("q").alias("id"), "distance")
 
 
@@ -65,21 +73,62 @@ def nearest_centroid(samples: DataFrame, centroids: DataFrame) -> DataFrame:
     return apart.groupBy("sample_id").agg(F.min(F.struct("distance", "centroid")).alias("best")).select("sample_id", "best.centroid", "best.distance")
 
 
-def farthest_points(clouds: DataFrame, n: int) -> DataFrame:
-    """VP5: (cloud_id, pick, pt): from the least point on, always the point farthest from those picked. One task a cloud."""
+#: Rows of a group that one task may hold; larger groups are sampled by rounds over all tasks.
+SMALL_GROUP = 100_000
+#: Rounds between which the distances are written.
+ROUNDS = 16
+
 
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pt").reset_index(drop=True)
-        x = pdf[["x", "y", "z"]].to_numpy(float)
+def farthest_first(points: DataFrame, k: int, small: int = SMALL_GROUP) -> DataFrame:
+    """(g, pick, i): of each group g of (g, i, v), the least i, then always the row farthest from those picked, ties by i.
+
+    Groups of up to ``small`` rows are a frame in one task each. Larger ones take a round a pick: each row's
+    least distance to the picks, and the farthest row of each group by partial aggregation. Both give the same rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    size = points.groupBy("g").agg((F.count("*") <= small).alias("small"))
+    rows = points.alias("p").join(size.alias("s"), F.col("p.g").eqNullSafe(F.col("s.g"))).select("p.g", "p.i", F.col("p.v").cast("array<double>").alias("v"), "small")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i").reset_index(drop=True)
+        x = np.array(pdf["v"].tolist(), float)
         away, at, picks = np.full(len(x), np.inf), 0, []
-        for _ in range(min(n, len(x))):
+        for _ in range(min(k, len(x))):
             picks.append(at)
             away = np.minimum(away, ((x - x[at]) ** 2).sum(1))
-            away[at] = -1
+            away[picks] = -1
             at = int(away.argmax())
-        return pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "pick": range(len(picks)), "pt": pdf["pt"].iloc[picks].to_numpy()})
-
-    return clouds.groupBy("cloud_id").applyInPandas(sample, "cloud_id long, pick int, pt int")
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "pick": range(len(picks)), "i": pdf["i"].iloc[picks].to_numpy()})
+
+    found = rows.where("small").select("g", "i", "v").groupBy("g").applyInPandas(pick, f"g {kinds['g']}, pick int, i {kinds['i']}")
+    if size.where("not small").isEmpty():
+        return found
+    left = written(rows.where("not small").select("g", "i", "v", F.lit(float("inf")).alias("away")), "farthest")
+    done, recent = [], []
+    for n in range(k):
+        ahead = _after(left, recent) if recent else left
+        if len(recent) == ROUNDS:
+            left, recent = written(ahead, "farthest"), []
+            ahead = left
+        best = ahead.groupBy("g").agg(F.min_by(F.struct("i", "v"), F.struct(-F.col("away"), F.col("i"))).alias("best"))
+        recent.append(written(best.select("g", F.lit(n).alias("pick"), "best.i", "best.v"), "picks"))
+        done.append(recent[-1])
+    return functools.reduce(DataFrame.union, [d.select("g", "pick", "i") for d in done], found)
+
+
+def _after(left: DataFrame, picks: list[DataFrame]) -> DataFrame:
+    """Rows (g, i, v, away) but the picked ones, with their distance to the nearest pick so far."""
+    squares = lambda x, c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    near = functools.reduce(DataFrame.union, picks).groupBy("g").agg(F.collect_list("i").alias("seen"), F.collect_list("v").alias("at"))
+    both = left.alias("l").join(near.alias("n"), F.col("l.g").eqNullSafe(F.col("n.g")))
+    away = F.least("away", F.array_min(F.transform("at", lambda c: squares(F.col("v"), c))))
+    return both.where(~F.array_contains("seen", F.col("i"))).select("l.g", "i", "v", away.alias("away"))
+
+
+def farthest_points(clouds: DataFrame, n: int, small: int = SMALL_GROUP) -> DataFrame:
+    """VP5: (cloud_id, pick, pt): from the least point on, always the point farthest from those picked."""
+    found = farthest_first(clouds.select(F.col("cloud_id").alias("g"), F.col("pt").alias("i"), F.array("x", "y", "z").alias("v")), n, small)
+    return found.select(F.col("g").cast("long").alias("cloud_id"), "pick", F.col("i").cast("int").alias("pt"))
 
 
 def local_groups(clouds: DataFrame, n: int, k: int) -> DataFrame:

@@ -1,17 +1,19 @@
 """Pair generation over samples (sample_id, bin_id, embedding, ...): strategies, dedup, caps, fills.
 
 Every join has an equal key: bins, or the short list of bin pairs joined to bins. Random choice is order by
-MD5 of seed and ids, the same on every run and engine. Usage caps are a fold in order and run one task an
-environment.
+MD5 of seed and ids, the same on every run and engine. Usage caps are a fold in order, a stream of each
+environment's pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.common import written
+from quillmark.common import width, written
 from quillmark.functions import vectors
 
 
@@ -102,21 +104,26 @@ def flipped(pairs: DataFrame) -> DataFrame:
 def usage_capped(pairs: DataFrame, limit: int, group: str = "environment") -> DataFrame:
     """SP3: pairs (group, rank, a, b, ...) in order of rank, taken while both members were taken less than ``limit`` times.
 
-    Each choice depends on the ones before: one task a group, whose pairs are bounded by max_pairs upstream.
+    Each choice depends on the ones before, so a group's pairs pass one task in order, as a stream; what is held
+    is how often each member was taken.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict[int, int] = {}
-        keep = []
-        for a, b in zip(pdf.sort_values("rank")["a"], pdf.sort_values("rank")["b"], strict=True):
-            ok = used.get(a, 0) < limit and used.get(b, 0) < limit
-            keep.append(ok)
-            if ok:
-                used[a] = used.get(a, 0) + 1
-                used[b] = used.get(b, 0) + 1
-        return pdf.sort_values("rank")[keep]
-
-    return pairs.groupBy(group).applyInPandas(fold, pairs.schema)
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used = object(), {}
+        for pdf in it:
+            keep = []
+            for g, a, b in zip(pdf[group], pdf["a"], pdf["b"], strict=True):
+                if g != current and not (pd.isna(g) and pd.isna(current)):
+                    current, used = g, {}
+                ok = used.get(a, 0) < limit and used.get(b, 0) < limit
+                keep.append(ok)
+                if ok:
+                    used[a] = used.get(a, 0) + 1
+                    used[b] = used.get(b, 0) + 1
+            yield pdf[keep]
+
+    dealt = pairs.repartition(width(pairs.sparkSession), group).sortWithinPartitions(group, "rank")
+    return dealt.mapInPandas(fold, pairs.schema)
 
 
 def duplicate_fill(pairs: DataFrame, wanted: int) -> DataFrame:

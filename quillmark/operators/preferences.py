@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import maths, vectors
+from quillmark.operators import neighbours
 
 
 def kept(pairs: DataFrame, least_return: float) -> DataFrame:
@@ -52,25 +51,10 @@ def ensemble_accuracy(scores: DataFrame) -> DataFrame:
     return scores.where("label <> -1").groupBy("member").agg(F.avg(((F.col("p") < 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-def k_center(points: DataFrame, k: int, group: str = "environment") -> DataFrame:
-    """SP11: greedy k-centre of each group's (id, embedding): first the least id, then the farthest from all picked.
-
-    Each pick depends on the ones before; a group is the candidates of one labelling round.
-    """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        x = np.array(pdf["embedding"].tolist(), float)
-        away, chosen = np.full(len(x), np.inf), []
-        for _ in range(min(k, len(x))):
-            at = int(away.argmax()) if chosen else 0
-            chosen.append(at)
-            away = np.minimum(away, np.sqrt(((x - x[at]) ** 2).sum(1)))
-            away[chosen] = -1
-        return pd.DataFrame({group: pdf[group].iloc[0], "pick": range(len(chosen)), "id": pdf["id"].iloc[chosen].to_numpy()})
-
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    return points.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, pick int, id {kinds['id']}")
+def k_center(points: DataFrame, k: int, group: str = "environment", small: int = neighbours.SMALL_GROUP) -> DataFrame:
+    """SP11: greedy k-centre of each group's (id, embedding): first the least id, then the farthest from all picked."""
+    found = neighbours.farthest_first(points.select(F.col(group).alias("g"), F.col("id").alias("i"), F.col("embedding").alias("v")), k, small)
+    return found.select(F.col("g").alias(group), "pick", F.col("i").alias("id"))
 
 
 def k_center_of_uncertain(scores: DataFrame, points: DataFrame, k: int, by: str = "disagreement") -> DataFrame:

@@ -599,11 +599,11 @@ def preference_losses(spark, d):
 # --- vectors and clouds
 
 
-@query(f"""WITH {A.SAMPLES}, a AS (SELECT x.sample_id, x.bin_id, y.sample_id AS o, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM samples x JOIN samples y USING (bin_id)),
+@query(f"""WITH {A.SAMPLES}, a AS (SELECT x.sample_id, x.bin_id, y.sample_id AS o, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM samples x JOIN samples y ON x.sample_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY distance, o) AS k FROM a) SELECT sample_id AS id, round(distance, 6) AS distance FROM r WHERE k = 4""")
 def knn_distance(spark, d):
-    s = A.samples(spark, d).select(F.col("sample_id").alias("id"), "embedding", "bin_id")
-    return neighbours.state_entropy(s, 3, "bin_id").withColumn("distance", F.round("distance", 6))
+    s = A.samples(spark, d).select(F.col("sample_id").alias("id"), "embedding")
+    return neighbours.state_entropy(s, 3, queries=s.where("id % 100 = 0")).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {A.SAMPLES}, a AS (SELECT x.vec_id AS q, y.vec_id AS p, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0),
@@ -618,9 +618,9 @@ _NEAR = f"""{A.SAMPLES}, a AS (SELECT x.bin_id, x.sample_id, y.sample_id AS o, x
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l2, o) AS k FROM a)"""
 
 
-@query(f"WITH {_NEAR} SELECT bin_id, sample_id, round(min(sqrt(l2 * l2 + 0.01::DOUBLE * dr * dr + 0.0001::DOUBLE * dt * dt)), 6) AS distance FROM r WHERE k <= 20 GROUP BY ALL")
+@query(f"WITH {_NEAR} SELECT bin_id, sample_id, round(min(sqrt(l2 * l2 + 0.01::DOUBLE * dr * dr + 0.0001::DOUBLE * dt * dt)), 6) AS distance FROM r WHERE k <= 50 GROUP BY ALL")
 def multi_factor_nn(spark, d):
-    return neighbours.nearest_in_bin(A.samples(spark, d), 20, 1.0, 0.01, 0.0001)
+    return neighbours.nearest_in_bin(A.samples(spark, d), 50, 1.0, 0.01, 0.0001)
 
 
 @query(f"WITH {_NEAR}, m AS (SELECT round(min(l2), 6) AS distance FROM r GROUP BY sample_id) SELECT round(CASE WHEN count(*) < 5 OR median(distance) < 1e-9 THEN 0.3 ELSE median(distance) END, 6) AS threshold, count(*) AS n FROM m")

@@ -127,6 +127,36 @@ def test_k_center_and_farthest_points(spark):
     assert [r.pt for r in neighbours.farthest_points(c, 3).orderBy("pick").collect()] == [0, 2, 3]
 
 
+def test_farthest_first_by_rounds(spark):
+    """Groups too large for a task give what small ones give, a null group, equal points and short groups included."""
+    rng = np.random.default_rng(1)
+    rows = [(g, i, [float(v) for v in rng.integers(0, 9, 3)]) for g in (0, 1, None) for i in range(40)] + [(2, 7, [0.0, 0.0, 0.0]), (2, 3, [0.0, 0.0, 0.0])]
+    p = spark.createDataFrame(rows, "environment int, id long, embedding array<double>")
+    whole = sorted(preferences.k_center(p, 19).collect(), key=repr)
+    assert len(whole) == 3 * 19 + 2
+    assert sorted(preferences.k_center(p, 19, small=2).collect(), key=repr) == whole
+    assert sorted(preferences.k_center(p, 19, small=0).collect(), key=repr) == whole
+
+
+def test_usage_cap_and_entropy(spark):
+    """Streams of pairs keep what a fold in order keeps; distances look beyond the block without one."""
+    rng = np.random.default_rng(2)
+    rows = [(g, r, int(a), int(b)) for g in (0, 1, None) for r, (a, b) in enumerate(rng.integers(0, 8, (60, 2)))]
+    want = []
+    for g in (0, 1, None):
+        used = dict.fromkeys(range(8), 0)
+        for row in [x for x in rows if x[0] == g]:
+            if used[row[2]] < 5 and used[row[3]] < 5:
+                used[row[2]] += 1
+                used[row[3]] += 1
+                want.append(row)
+    got = pairs.usage_capped(spark.createDataFrame(rows, "environment int, rank int, a int, b int").repartition(7), 5)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    s = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(6)], "id long, embedding array<double>, bin_id int")
+    assert {r.id: r.distance for r in neighbours.state_entropy(s, 2).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
+    assert {r.id: r.distance for r in neighbours.state_entropy(s, 2, "bin_id", s.where("id < 3")).collect()} == {0: 4, 1: 4, 2: 2}
+
+
 def test_points(spark):
     corners = [(1, i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
     c = spark.createDataFrame(corners + [(2, 0, 5.0, 5.0, 5.0)], "cloud_id long, pt int, x double, y double, z double")
