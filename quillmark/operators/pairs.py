@@ -13,19 +13,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.common import width, written
+from quillmark.common import unused, width, written
 from quillmark.functions import vectors
 
+#: First digits of the random key by which a ratio sample is counted; 16 to this power counts a group.
+RATIO_DIGITS = 3
+#: Blocks to which the first samples of pairs are dealt; each block meets all second samples, so a bin's pairs are made in as many tasks.
+PAIR_BLOCKS = 16
+
 
 def draw(seed: int, *keys: Column) -> Column:
     """Text whose order is the random order of rows."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
+def _dealt(firsts: DataFrame, key: str) -> DataFrame:
+    """First samples by key and block. The count is given, as Spark would join partitions by their bytes, which say little of pairs."""
+    blocks = firsts.withColumn("__block", F.pmod(F.xxhash64("a"), F.lit(PAIR_BLOCKS)).cast("int"))
+    return blocks.repartition(width(firsts.sparkSession), key, "__block")
+
+
+def _in_all(seconds: DataFrame) -> DataFrame:
+    return seconds.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))))
+
+
 def _sides(samples: DataFrame, bin_pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Samples of the first bin of each bin pair with samples of the second."""
     side = lambda n: samples.select(F.col("sample_id").alias(n), F.col("bin_id").alias(f"bin_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in more])
-    return bin_pairs.join(side("a"), "bin_a").join(side("b"), "bin_b")
+    return _dealt(bin_pairs.join(side("a"), "bin_a"), "bin_b").join(_in_all(side("b")), ["bin_b", "__block"]).drop("__block")
 
 
 def cross_bin(samples: DataFrame) -> DataFrame:
@@ -58,7 +73,7 @@ def intra_bin(samples: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """JN11: unordered pairs of a bin."""
     b = samples.select("bin_id", F.col("sample_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
     a = samples.select("bin_id", F.col("sample_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
-    return a.join(b, "bin_id").where("a < b")
+    return _dealt(a, "bin_id").join(_in_all(b), ["bin_id", "__block"]).where("a < b").drop("__block")
 
 
 def choose_two(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -67,21 +82,38 @@ def choose_two(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def extremes_by_distance(samples: DataFrame, top: int) -> DataFrame:
-    """SR6: the ``top`` nearest and ``top`` farthest pairs of each bin, by L2; with few pairs the sets overlap."""
+    """SR6: the ``top`` nearest and ``top`` farthest pairs of each bin, by L2; with few pairs the sets overlap.
+
+    Each side is ranked and cut by itself, so every task keeps its own ``top`` before the shuffle.
+    """
     apart = intra_bin(samples.where(F.size("embedding") > 0), ("embedding",)).select("bin_id", "a", "b", F.round(vectors.l2(F.col("embedding_a"), F.col("embedding_b")), 9).alias("distance"))
     near = F.row_number().over(Window.partitionBy("bin_id").orderBy("distance", "a", "b"))
     far = F.row_number().over(Window.partitionBy("bin_id").orderBy(F.desc("distance"), "a", "b"))
-    ranked = apart.withColumn("near", near).withColumn("far", far)
-    small = ranked.where(F.col("near") <= top).withColumn("tag", F.lit("intra_bin_small"))
-    large = ranked.where(F.col("far") <= top).withColumn("tag", F.lit("intra_bin_large"))
+    small = apart.withColumn("rank", near).where(F.col("rank") <= top).withColumn("tag", F.lit("intra_bin_small"))
+    large = apart.withColumn("rank", far).where(F.col("rank") <= top).withColumn("tag", F.lit("intra_bin_large"))
     return small.unionByName(large).select("bin_id", "a", "b", "distance", "tag")
 
 
 def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...] = ("bin_a", "bin_b")) -> DataFrame:
-    """SR10: ceil(n * ratio) pairs of each group by random rank."""
+    """SR10: ceil(n * ratio) pairs of each group by random rank.
+
+    Pairs are counted by the first digits of their random key. Lower digits than those where a group's share ends are
+    taken whole; those with the digits of the end by rank. A group is ranked by its digits, not in one task. The ends,
+    a row a group, are written: where they are small, as Spark then knows, pairs beyond them are never shuffled.
+    """
+    digits, end, rest = unused(pairs, "digits", "end", "rest")
+    keyed = pairs.withColumn(digits, F.substring(draw(seed, F.col("a"), F.col("b")), 1, RATIO_DIGITS))
+    counts = keyed.groupBy(*group, digits).agg(F.count("*").alias("__n"))
     g = Window.partitionBy(*group)
-    ranked = pairs.withColumn("rank", F.row_number().over(g.orderBy(draw(seed, F.col("a"), F.col("b")))))
-    return ranked.withColumn("n", F.count("*").over(g)).where(F.col("rank") <= F.ceil(F.col("n") * ratio)).drop("rank", "n")
+    before = F.coalesce(F.sum("__n").over(g.orderBy(digits).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.ceil(F.sum("__n").over(g) * F.lit(ratio)) - before
+    ends = counts.withColumn(rest, left).where((F.col(rest) > 0) & (F.col(rest) <= F.col("__n")))
+    ends = written(ends.select(*[F.col(c).alias(f"__{c}") for c in group], F.col(digits).alias(end), rest), "ratio-ends")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    held = keyed.join(ends, same).where(F.col(digits) <= F.col(end)).select(*pairs.columns, digits, end, rest)
+    rank = F.row_number().over(Window.partitionBy(*group, digits).orderBy(draw(seed, F.col("a"), F.col("b"))))
+    taken = held.withColumn("__rank", rank).where((F.col(digits) < F.col(end)) | (F.col("__rank") <= F.col(rest)))
+    return taken.select(*pairs.columns)
 
 
 def tagged(pairs: DataFrame, tag: str, priority: int) -> DataFrame:

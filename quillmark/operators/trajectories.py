@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import vectors
+from quillmark.operators.decisions import chunked
 from quillmark.operators.pairs import draw
 
+
 def steps_in_order() -> Window:
     """Steps of each trajectory."""
     return Window.partitionBy("traj_id").orderBy("t")
@@ -98,10 +100,10 @@ def _drawn(n: int, seed: int, name: str, below: Column) -> Column:
 def uniform_queries(spark, steps: DataFrame, n: int, seed: int) -> DataFrame:
     """SP6, SP7: n pairs of (trajectory, time), drawn with replacement; time below the shortest trajectory's length.
 
-    Trajectories are numbered once; draws are joined by number, not collected.
+    Trajectories are numbered once, by ranges of their ids; draws are joined by number, not collected.
     """
     sizes = steps.groupBy("traj_id").agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("number", F.row_number().over(Window.orderBy("traj_id")) - 1)
+    numbered = chunked(sizes, "traj_id", 1 << 62).withColumnRenamed("line", "number")
     limits = sizes.agg(F.count("*").alias("n_traj"), F.min("n").alias("shortest"))
     asked = spark.range(n).withColumnRenamed("id", "query").join(F.broadcast(limits))
     for side in ("1", "2"):

@@ -312,3 +312,29 @@ def test_chunked_on_wide_rows_of_many_partitions(spark):
     rows = spark.range(120_000, numPartitions=5).select(F.pmod(F.col("id") * 7919, F.lit(120_000)).alias("k"), F.repeat(F.lit("wide "), 20).alias("wide"), F.lit(1.5).alias("more"))
     got = decisions.chunked(rows, "k", 1000).where("chunk * 1000 + line <> k").count()
     assert got == 0
+
+
+def test_ratio_sample_takes_the_first_of_random_order(spark):
+    """Groups of one size and another, repeated pairs, a null group, names that clash, shares of nothing and of all."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    rows = [(g, g, a, b, a * b) for g, n in ((1, 40), (2, 7), (None, 9)) for a in range(n) for b in range(n)] + [(2, 2, 1, 1, 1)] * 30 + [(3, 3, 1, 2, 2)]
+    df = spark.createDataFrame(rows, "bin_a int, bin_b int, a int, b int, digits int")
+    for ratio in (0.0, 0.4, 1.0):
+        want = []
+        for g in {r[0] for r in rows}:
+            ordered = sorted((r for r in rows if r[0] == g), key=lambda r: hashlib.md5(f"5|{r[2]}|{r[3]}".encode()).hexdigest())
+            want += ordered[: math.ceil(len(ordered) * ratio)]
+        got = pairs.ratio_sample(df, ratio, 5)
+        assert got.columns == df.columns and Counter(map(tuple, got.collect())) == Counter(want)
+    assert pairs.ratio_sample(df.where("false"), 0.4, 5).count() == 0
+
+
+def test_pair_plans_cut_before_the_shuffle(spark):
+    s = spark.createDataFrame([(i, i % 3, [float(i), float(i * i % 7)]) for i in range(60)], "sample_id int, bin_id int, embedding array<double>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(pairs.extremes_by_distance(s, 2)).count("WindowGroupLimit") == 4  # before and after each of two shuffles
+    kept = plan(pairs.ratio_sample(pairs.cross_bin(s), 0.4, 1))
+    assert kept.index("Window") < kept.index("BroadcastHashJoin") and "Exchange hashpartitioning(bin_a" in kept
