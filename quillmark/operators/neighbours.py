@@ -11,19 +11,15 @@ from pyspark.sql import functions as F
 
 from quillmark.common import written
 from quillmark.functions import maths, vectors
+from quillmark.operators import metric
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, block: str | None = None) -> DataFrame:
-    """JN14, WN9: the k nearest points of each query (q, embedding; p, embedding), ties by id.
+    """JN14, WN9: the k nearest points of each query (q, embedding; p, embedding), ties by id, exactly.
 
-    With ``block``, only points of the query's block are seen: an equal key. Without, the stated query set
-    meets every point, which is what an exact search is.
+    With ``block``, only points of the query's block are seen. By pivots and triangle bounds, see ``metric``.
     """
-    q = queries.select("q", F.col("embedding").alias("qe"), *([block] if block else []))
-    p = points.select("p", F.col("embedding").alias("pe"), *([block] if block else []))
-    apart = (q.join(p, block) if block else q.crossJoin(p)).withColumn("distance", F.round(vectors.l2(F.col("qe"), F.col("pe")), 9)).drop("qe", "pe")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "p"))
-    return apart.withColumn("rank", rank).where(F.col("rank") <= k)
+    return metric.nearest(queries, points, k, block)
 
 
 def state_entropy(states: DataFrame, k: int, block: str | None = None, queries: DataFrame | None = None) -> DataFrame:
@@ -38,13 +34,16 @@ def state_entropy(states: DataFrame, k: int, block: str | None = None, queries:
 
 
 def nearest_in_bin(samples: DataFrame, first: int = 50, alpha: float = 1.0, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:
-    """VP4: each sample's least multi-factor distance among the ``first`` nearest others of its bin by L2."""
-    a = samples.select("bin_id", "sample_id", F.col("embedding").alias("e"), F.col("reward").alias("r"), F.col("time").alias("t"))
-    b = samples.select("bin_id", F.col("sample_id").alias("other"), F.col("embedding").alias("e2"), F.col("reward").alias("r2"), F.col("time").alias("t2"))
-    pairs = a.join(b, "bin_id").where("sample_id <> other").withColumn("l2", F.round(vectors.l2(F.col("e"), F.col("e2")), 9)).drop("e", "e2")
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("l2", "other"))).where(F.col("rank") <= first)
-    far = maths.multi_factor_distance(F.col("l2"), F.col("r") - F.col("r2"), F.col("t") - F.col("t2"), alpha, beta, gamma)
-    return near.groupBy("bin_id", "sample_id").agg(F.round(F.min(far), 6).alias("distance"))
+    """VP4: each sample's least multi-factor distance among the ``first`` nearest others of its bin by L2.
+
+    One more than ``first`` are asked for, as a sample finds itself. Samples (ids are distinct) without others have no row.
+    """
+    asked = samples.select("bin_id", F.col("sample_id").alias("q"), "embedding")
+    found = knn(asked, asked.withColumnRenamed("q", "p"), first + 1, "bin_id").where("q <> p")
+    near = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "p"))).where(F.col("rank") <= first)
+    side = lambda n: samples.select(F.col("sample_id").alias(n), F.col("reward").alias(f"r{n}"), F.col("time").alias(f"t{n}"))
+    far = maths.multi_factor_distance(F.col("distance"), F.col("rq") - F.col("rp"), F.col("tq") - F.col("tp"), alpha, beta, gamma)
+    return near.join(side("q"), "q").join(side("p"), "p").groupBy("bin_id", F.col("q").alias("sample_id")).agg(F.round(F.min(far), 6).alias("distance"))
 
 
 def dedup_threshold(distances: DataFrame, initial: float, least: int = 5) -> DataFrame:
@@ -54,11 +53,9 @@ def dedup_threshold(distances: DataFrame, initial: float, least: int = 5) -> Dat
 
 
 def duplicates(samples: DataFrame, threshold: float) -> DataFrame:
-    """ST7: samples with an earlier sample of their bin nearer than ``threshold``."""
-    a = samples.select("bin_id", "sample_id", F.col("embedding").alias("e"))
-    b = samples.select("bin_id", F.col("sample_id").alias("earlier"), F.col("embedding").alias("e2"))
-    close = a.join(b, "bin_id").where("earlier < sample_id").where(vectors.l2(F.col("e"), F.col("e2")) < threshold)
-    return close.groupBy("bin_id", "sample_id").agg(F.min("earlier").alias("earlier"))
+    """ST7: samples with an earlier sample of their bin nearer than ``threshold``, and the first such."""
+    found = metric.first_within(samples.select("bin_id", F.col("sample_id").alias("p"), "embedding"), threshold, "bin_id")
+    return found.where("first < p").select("bin_id", F.col("p").alias("sample_id"), F.col("first").alias("earlier"))
 
 
 MOST_CENTROIDS = 10_000

@@ -28,6 +28,15 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 SAMPLES = "samples AS (SELECT vec_id AS sample_id, label AS bin_id, embedding, value AS reward, vec_id::DOUBLE AS time FROM embeddings JOIN events ON event_id = vec_id)"
 
 
+def states(spark: SparkSession, d: str) -> DataFrame:
+    """Events as states of three numbers."""
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.array("value", (F.col("user_id") % 97).cast("double"), minute / F.lit(20.0)).alias("embedding"))
+
+
+STATES = "states AS (SELECT event_id AS id, value AS x, (user_id % 97)::DOUBLE AS y, (hour(ts) * 60 + minute(ts)) / 20.0::DOUBLE AS z FROM events)"
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

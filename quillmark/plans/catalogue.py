@@ -599,11 +599,17 @@ def preference_losses(spark, d):
 # --- vectors and clouds
 
 
-@query(f"""WITH {A.SAMPLES}, a AS (SELECT x.sample_id, x.bin_id, y.sample_id AS o, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM samples x JOIN samples y ON x.sample_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY distance, o) AS k FROM a) SELECT sample_id AS id, round(distance, 6) AS distance FROM r WHERE k = 4""")
+@query(f"""WITH {A.SAMPLES} SELECT x.sample_id AS id, round(min(round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9), 4)[4], 6) AS distance
+FROM samples x, samples y GROUP BY x.sample_id HAVING count(*) > 3""")
 def knn_distance(spark, d):
     s = A.samples(spark, d).select(F.col("sample_id").alias("id"), "embedding")
-    return neighbours.state_entropy(s, 3, queries=s.where("id % 100 = 0")).withColumn("distance", F.round("distance", 6))
+    return neighbours.state_entropy(s, 3).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {A.STATES} SELECT a.id, round(min(round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 9), 6)[6], 6) AS distance
+FROM states a, states b GROUP BY a.id HAVING count(*) > 5""")
+def state_entropy(spark, d):
+    return neighbours.state_entropy(A.states(spark, d), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {A.SAMPLES}, a AS (SELECT x.vec_id AS q, y.vec_id AS p, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0),
