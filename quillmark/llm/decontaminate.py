@@ -29,6 +29,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.common import release, unused, written
 
@@ -63,12 +64,12 @@ def _segment(ids: list, lengths: array, vocabulary: dict[bytes, int], stream: ar
 
 
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """One row a segment: ids and lengths of its documents, its terms, and their postings."""
+    """One row a segment: ids (as JSON, so that they stay whole) and lengths of its documents, its terms, and their postings."""
 
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [], array("i"), {}, array("i")
         for pdf in it:
-            for k, t in zip(pdf["k"].astype(object).where(pdf["k"].notna(), None), pdf["t"], strict=True):
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
                 ids, lengths, vocabulary, stream = held
                 ids.append(k)
                 found = words(t if isinstance(t, str) else None)
@@ -80,9 +81,8 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         if held[0]:
             yield pd.DataFrame([_segment(*held)])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"ids array<{kind}>, lengths binary, terms binary, counts binary, positions binary"
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInPandas(build, out)
+    out = "ids array<string>, lengths binary, terms binary, counts binary, positions binary"
+    return docs.select(F.to_json(F.struct("doc_id")).alias("k"), F.col("text").alias("t")).mapInPandas(build, out)
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -199,7 +199,7 @@ def _hits(segment: Segment, q: Queries, slop: int) -> tuple[list[list[int]], lis
 
 
 def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, spans, n_hit, items, n_near) of every indexed document.
+    """(key, n_words, spans, n_hit, items, n_near) of every indexed document; ``key`` is its id as JSON.
 
     n_hit: words covered by exact matches; spans: their numbers as [start, end, ...]; n_near: windows with all terms close together.
     """
@@ -207,7 +207,6 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
     queries = written(queries, "windows")
     blocks = max(1, -(-queries.count() // block))
     index = written(index.withColumn("segment", F.monotonically_increasing_id()), "index")  # numbered once, as it is stored
-    kind = index.schema["ids"].dataType.elementType.simpleString()
     parts = []
     for b in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
@@ -219,10 +218,10 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
                     s = Segment(row)
                     spans, items, near = _hits(s, shared.value, slop)
                     yield pd.DataFrame({
-                        "segment": row.segment, "place": range(len(s.ids)), "doc_id": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "n_hit": [_covered(x) for x in spans], "items": items, "n_near": near,
+                        "segment": row.segment, "place": range(len(s.ids)), "key": pd.Series(s.ids, dtype=object), "n_words": s.lengths, "spans": spans, "n_hit": [_covered(x) for x in spans], "items": items, "n_near": near,
                     })
 
-        found = index.mapInPandas(look, f"segment long, place int, doc_id {kind}, n_words long, spans array<int>, n_hit long, items array<string>, n_near long")
+        found = index.mapInPandas(look, "segment long, place int, key string, n_words long, spans array<int>, n_hit long, items array<string>, n_near long")
         if blocks == 1:
             return found.drop("segment", "place")
         parts.append(written(found, "hits"))
@@ -231,7 +230,7 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP, block: int =
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    merged = found.groupBy("segment", "place", "doc_id", "n_words").agg(
+    merged = found.groupBy("segment", "place", "key", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum("n_near").alias("n_near")
     )
 
@@ -253,8 +252,9 @@ def _covered(spans: list[int]) -> int:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``docs``."""
     found = search(build_index(docs), windows(benchmark, size), slop, block)
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.from_json("key", kind)["doc_id"].alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.common import width
+from quillmark.llm._ids import mapped
 
 K, S, SKETCH = 15, 5, 64
 
@@ -146,10 +147,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     last = (k, text, b, anchors(text), own)
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_kept", "covered_edited", "covered_next"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return sorted_.select("doc_id", "text", "bucket", "own").mapInPandas(
+    return mapped(
+        sorted_.select("doc_id", "text", "bucket", "own"),
         walk,
-        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long, covered_edited double, covered_next double",
+        "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long, covered_edited double, covered_next double",
     )
 
 

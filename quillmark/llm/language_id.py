@@ -15,7 +15,6 @@ null and letterless texts as well as ambiguous ones.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm._ids import mapped
+
 UND = "und"
 DIMS = 4096
 #: At most so many labelled rows train the classifiers, over all languages.
@@ -32,11 +33,15 @@ MAX_SAMPLE = 6000
 #: halves of two languages by 0.13 to 0.28 in the median, random letters by 0.4.
 LEAD, FULL = 0.6, 100
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ROUNDS = 250
 _CODE_TRIES = 200
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script; signs such as fractions and powers are none."""
+    return any(map(str.isalpha, text))
+
+
 def _byte_table() -> np.ndarray:
     """Lower-cased ASCII letters and all bytes over 127 stay; the rest is a space."""
     keep = np.full(256, 32, np.uint64)
@@ -117,7 +122,7 @@ class EcocModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in 0..1 and ambiguity of each text."""
-        known = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         out, score, unsure = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if known:
             margins = np.stack([features(texts[i], self.w.shape[0]) @ self.w for i in known]) + self.bias
@@ -147,7 +152,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     def vectors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            ok = pdf[[bool(_LETTER.search(t)) for t in pdf["t"]]]
+            ok = pdf[[has_letter(t) for t in pdf["t"]]]
             yield pd.DataFrame({"l": ok["l"], "h": ok["h"], "v": [features(t).astype(np.float16).tobytes() for t in ok["t"]]})
 
     got = sample.select("t", "l", "h").mapInPandas(vectors, "l string, h long, v binary").toPandas().sort_values(["h", "l"])
@@ -166,8 +171,8 @@ def identify(docs: DataFrame, model: EcocModel, text: str = "text", key: str = "
             lang, score, unsure = shared.value.predict([t if isinstance(t, str) else None for t in pdf["t"]])
             yield pd.DataFrame({"k": pdf["k"], "lang_pred": lang, "score": score, "ambiguous": unsure})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(judge, f"k {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return mapped(rows, judge, "lang_pred string, score double, ambiguous boolean", "k").withColumnRenamed("k", key)
 
 
 def held_out(key: str = "doc_id"):

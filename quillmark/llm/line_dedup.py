@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.common import release, unused, width, written
+from quillmark.llm._ids import mapped
 
 #: The edit bound is one word from so many words on (a likeness of 0.8), and none for shorter lines.
 MIN_WORDS = 5
@@ -81,9 +82,8 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out.insert(0, "doc_id", pdf["doc_id"].iloc[doc].to_numpy())
         return out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where("text is not null")
-    return rows.mapInPandas(each, f"doc_id {kind}, t long, n int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+    return mapped(rows, each, "t long, n int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
 
 
 def _at():
@@ -172,7 +172,7 @@ def _linked(chosen: DataFrame) -> DataFrame:
     Variants are dealt and sorted by hash, then place of the line, and pass by in a stream: of an open hash only
     the first row of each word left out is held, however many lines share it.
     """
-    kind = chosen.select("at.doc").schema[0].dataType.simpleString()
+    kind = chosen.select("at.doc").schema[0].dataType
 
     def variants_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -215,10 +215,13 @@ def _linked(chosen: DataFrame) -> DataFrame:
             tail = np.flatnonzero(v == v[-1])
             held = pdf.iloc[tail[by_place[tail] == tail]]
 
-    place_of = f"none boolean, doc {kind}, n int"
-    made = chosen.select("line", F.col("at.none").alias("none"), F.col("at.doc").alias("doc"), F.col("at.line").alias("n")).mapInPandas(variants_of, f"v long, place int, {place_of}")
+    # ids are text where Python sees them, and of their own kind where they are sorted
+    whole = lambda df, to, *names: df.withColumns({c: F.col(c).cast(to) for c in names})
+    made = whole(chosen.select("line", F.col("at.none").alias("none"), F.col("at.doc").alias("doc"), F.col("at.line").alias("n")), "string", "doc")
+    made = whole(made.mapInPandas(variants_of, "v long, place int, none boolean, doc string, n int"), kind, "doc")
     dealt = made.repartition(width(chosen.sparkSession), "v").sortWithinPartitions("v", "none", "doc", "n")
-    found = dealt.mapInPandas(partners, f"{place_of}, none2 boolean, doc2 {kind}, n2 int")
+    found = whole(dealt, "string", "doc").mapInPandas(partners, "none boolean, doc string, n int, none2 boolean, doc2 string, n2 int")
+    found = whole(found, kind, "doc", "doc2")
     at = lambda a, b, c: F.struct(F.col(a).alias("none"), F.col(b).alias("doc"), F.col(c).alias("line"))
     return found.select(at("none", "doc", "n").alias("own"), at("none2", "doc2", "n2").alias("best")).groupBy("own").agg(F.min("best").alias("best"))
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm._ids import mapped
+
 FEATURES = (
     "log_chars", "log_words", "word_len", "alpha", "digit", "punct", "symbol", "upper", "space", "high_bytes",
     "distinct_words", "distinct_lines", "line_len", "mark_words", "short_words", "run", "top_word", "capital_words",
@@ -204,5 +206,4 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             s = shared.value.score(x)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(judge, f"doc_id {kind}, score double, predicted int")
+    return mapped(docs.select("doc_id", "text"), judge, "score double, predicted int")

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillmark.llm._ids import mapped
+
 KINDS = ("assign", "access", "hex", "pem", "der", "hexder", "openssh", "jwt")
 
 #: The base patterns of the contract.
@@ -151,5 +153,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more)))
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])], axis=1)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return mapped(docs.select("doc_id", "text"), each, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from quillmark.common import release, unused, width, written
 from quillmark.llm._graph import stars
+from quillmark.llm._ids import mapped
 
 BITS, WITHIN, SHINGLE, SEED = 64, 4, 4, 42
 #: A key with more rows is dealt to pairs of salts.
@@ -74,8 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: tuple[str, ...]
             fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)} | {c: pdf[c] for c in more})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *more).mapInPandas(each, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in more)]))
+    return mapped(docs.select("doc_id", "text", *more), each, ", ".join(["fp long", *(f"{c} long" for c in more)]))
 
 
 def block_masks(n_blocks: int, within: int = WITHIN) -> list[int]:
