@@ -1,23 +1,27 @@
 """Pair generation over samples (sample_id, bin_id, embedding, ...): strategies, dedup, caps, fills.
 
 Every join has an equal key: bins, or the short list of bin pairs joined to bins. Random choice is order by
-MD5 of seed and ids, the same on every run and engine. Usage caps are a fold in order, a stream of each
-environment's pairs.
+MD5 of seed and ids, the same on every run and engine. Usage caps are a fold in order: a stream for a few
+pairs, rounds over all tasks for many.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.common import unused, width, written
+from quillmark.common import release, unused, width, written
 from quillmark.functions import vectors
+from quillmark.operators.decisions import chunked
 
 #: First digits of the random key by which a ratio sample is counted; 16 to this power counts a group.
 RATIO_DIGITS = 3
+#: Pairs up to which the usage cap is one stream a group.
+SMALL_GROUP = 100_000
 #: Blocks to which the first samples of pairs are dealt; each block meets all second samples, so a bin's pairs are made in as many tasks.
 PAIR_BLOCKS = 16
 
@@ -81,7 +85,7 @@ def choose_two(rows: DataFrame, group: str, order: str) -> DataFrame:
     return rows.select(group, F.col(order).alias("first")).join(rows.select(group, F.col(order).alias("second")), group).where("first < second")
 
 
-def extremes_by_distance(samples: DataFrame, top: int) -> DataFrame:
+def extremes_by_distance(samples: DataFrame, top: int, ranked: bool = False) -> DataFrame:
     """SR6: the ``top`` nearest and ``top`` farthest pairs of each bin, by L2; with few pairs the sets overlap.
 
     Each side is ranked and cut by itself, so every task keeps its own ``top`` before the shuffle.
@@ -91,7 +95,7 @@ def extremes_by_distance(samples: DataFrame, top: int) -> DataFrame:
     far = F.row_number().over(Window.partitionBy("bin_id").orderBy(F.desc("distance"), "a", "b"))
     small = apart.withColumn("rank", near).where(F.col("rank") <= top).withColumn("tag", F.lit("intra_bin_small"))
     large = apart.withColumn("rank", far).where(F.col("rank") <= top).withColumn("tag", F.lit("intra_bin_large"))
-    return small.unionByName(large).select("bin_id", "a", "b", "distance", "tag")
+    return small.unionByName(large).select("bin_id", "a", "b", "distance", "tag", *(["rank"] if ranked else []))
 
 
 def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...] = ("bin_a", "bin_b")) -> DataFrame:
@@ -121,10 +125,10 @@ def tagged(pairs: DataFrame, tag: str, priority: int) -> DataFrame:
     return pairs.select("a", "b", F.lit(tag).alias("tag"), F.lit(priority).alias("priority"))
 
 
-def first_strategy(candidates: DataFrame, by_tag: bool = False) -> DataFrame:
+def first_strategy(candidates: DataFrame, by_tag: bool = False, order: tuple[str, ...] = ("priority", "a", "b")) -> DataFrame:
     """ST3, ST4: one row an unordered pair (and tag), of the first strategy; then the order of ids as given."""
     key = [F.least("a", "b"), F.greatest("a", "b")] + ([F.col("tag")] if by_tag else [])
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("priority", "a", "b"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return candidates.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
@@ -133,12 +137,14 @@ def flipped(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.concat("tag", F.lit("(FLIPPED)")).alias("tag"))
 
 
-def usage_capped(pairs: DataFrame, limit: int, group: str = "environment") -> DataFrame:
+def usage_capped(pairs: DataFrame, limit: int, group: str = "environment", small: int = SMALL_GROUP) -> DataFrame:
     """SP3: pairs (group, rank, a, b, ...) in order of rank, taken while both members were taken less than ``limit`` times.
 
-    Each choice depends on the ones before, so a group's pairs pass one task in order, as a stream; what is held
-    is how often each member was taken.
+    Up to ``small`` pairs pass one task a group in order, as a stream; what is held is how often each member was taken. More
+    are decided in parallel rounds, with the same result: see ``_capped_in_rounds``. Ranks of a group are distinct.
     """
+    if pairs.limit(small + 1).count() > small:
+        return _capped_in_rounds(pairs, limit, group)
 
     def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, used = object(), {}
@@ -158,65 +164,170 @@ def usage_capped(pairs: DataFrame, limit: int, group: str = "environment") -> Da
     return dealt.mapInPandas(fold, pairs.schema)
 
 
+#: Pairs that the cap decides in one stretch of rounds, at first; each later stretch is twice as long, as most of it is refused at once.
+STRETCH = 1_000_000
+
+
+def _capped_in_rounds(pairs: DataFrame, limit: int, group: str, stretch: int = STRETCH) -> DataFrame:
+    """The pairs that a fold in order of (group, rank) would take, decided by rounds over all tasks.
+
+    Pairs are numbered and looked at by stretches of numbers. Those of a member that earlier stretches used up go at
+    once. In a round each open pair learns, for both members, how many earlier pairs were taken (t) and how many are still
+    open (u). It is refused if t reaches the limit for one of them, and taken if t + u stays below it for both, whatever becomes of
+    the open ones; the first open pair is always decided. A pair of one member with itself counts twice.
+    """
+    ordered = chunked(pairs.withColumn("__key", F.struct(F.col(group), F.col("rank"))), "__key", stretch).withColumn("__n", F.col("chunk") * stretch + F.col("line")).drop("__key", "chunk", "line")
+    ordered = written(ordered, "cap-numbered")
+    total, start, size = ordered.count(), 0, stretch
+    used: DataFrame | None = None
+    taken: list[DataFrame] = []
+    while start < total:
+        part = ordered.where((F.col("__n") >= start) & (F.col("__n") < start + size)).select("__n", F.col(group).alias("g"), "a", "b")
+        if used is not None:
+            full = used.where(F.col("w") >= limit).select(F.col("g").alias("fg"), F.col("m").alias("fm"))
+            for side in ("a", "b"):
+                part = part.join(full, F.col("g").eqNullSafe(F.col("fg")) & (F.col(side) == F.col("fm")), "left_anti")
+        chosen = _rounds(part.withColumn("taken", F.lit(False)), used, limit)
+        taken.append(chosen.select("__n"))
+        before, used = used, written(_uses(chosen, used), "cap-used")
+        if before is not None:
+            release(before)
+        start, size = start + size, 2 * size
+    chosen = functools.reduce(DataFrame.union, taken) if taken else ordered.select("__n").where("false")
+    return ordered.join(chosen, "__n").select(*pairs.columns)
+
+
+def _incidences(pairs: DataFrame) -> DataFrame:
+    """A row for each member of a pair, with the times the pair uses it."""
+    one = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("m"), F.lit(2).alias("w"))))
+    both = F.array(F.struct(F.col("a").alias("m"), F.lit(1).alias("w")), F.struct(F.col("b").alias("m"), F.lit(1).alias("w")))
+    return pairs.withColumn("i", F.explode(F.coalesce(one, both))).select("*", "i.m", "i.w").drop("i")
+
+
+def _uses(chosen: DataFrame, used: DataFrame | None) -> DataFrame:
+    """(g, m, w): how often each member was taken so far."""
+    now = _incidences(chosen).select("g", "m", "w")
+    return (now if used is None else now.union(used.select("g", "m", "w"))).groupBy("g", "m").agg(F.sum("w").alias("w"))
+
+
+def _rounds(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
+    """The pairs of a stretch (__n, g, a, b, taken) that are taken, after rounds until none is open."""
+    before = Window.partitionBy("g", "m").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    spent = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    state = None
+    while True:
+        rows = _incidences(part if state is None else state)
+        if used is not None:  # what earlier stretches took comes before every pair of this one, for the members at hand
+            here = rows.select("g", "m").distinct()
+            past = used.alias("u").join(here.alias("h"), F.col("u.g").eqNullSafe(F.col("h.g")) & (F.col("u.m") == F.col("h.m")), "left_semi")
+            rows = rows.unionByName(past.select(F.lit(-1).cast("long").alias("__n"), "g", F.col("m").alias("a"), F.col("m").alias("b"), F.lit(True).alias("taken"), "m", "w"))
+        counted = rows.withColumns({"t": spent(F.when(F.col("taken"), F.col("w"))), "u": spent(F.when(~F.col("taken"), F.col("w")))}).where("__n >= 0")
+        by_pair = counted.groupBy("__n").agg(*[F.first(c).alias(c) for c in ("g", "a", "b", "taken")], F.max("t").alias("t"), F.max(F.col("t") + F.col("u")).alias("most"))
+        sure = by_pair.where(F.col("taken") | (F.col("t") < limit)).withColumn("taken", F.col("taken") | (F.col("most") < limit))
+        last, state = state, written(sure.select("__n", "g", "a", "b", "taken"), "cap-round")
+        if last is not None:
+            release(last)
+        if state.where("not taken").isEmpty():
+            return state
+
+
 def duplicate_fill(pairs: DataFrame, wanted: int) -> DataFrame:
-    """SP4: cycles over ranked pairs (rank from 0, a, b, tag) until ``wanted`` rows; a copy's tag says which round it is.
+    """SP4: copies of ranked pairs (rank from 0, a, b, tag) until there are ``wanted`` rows; the i-th copy is marked (DUPE_i).
 
-    Tags nest: the list cycled over grows, so each copy of a copy adds its own mark.
+    The list that is cycled over grows, so later copies are copies of copies and carry every mark.
     """
     n = pairs.count()
     if n == 0 or n >= wanted:
         return pairs
     rounds = -(-wanted // n)
-    marks = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("round"), F.lit(1))), lambda k: F.concat(F.lit("(DUPE_"), k.cast("string"), F.lit(")"))), "")
-    grown = pairs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("rank", F.col("round") * n + F.col("rank"))
-    return grown.withColumn("tag", F.when(F.col("round") == 0, F.col("tag")).otherwise(F.concat("tag", marks))).where(F.col("rank") < wanted).drop("round")
+    # the k-th mark of a row that goes back to rank r is that of copy r + (k - 1) n + 1
+    marks = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("round"), F.lit(1))), lambda k: F.concat(F.lit("(DUPE_"), (F.col("rank") + (k - 1) * n + 1).cast("string"), F.lit(")"))), "")
+    grown = pairs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    grown = grown.withColumn("tag", F.when(F.col("round") == 0, F.col("tag")).otherwise(F.concat("tag", marks))).withColumn("rank", F.col("round") * n + F.col("rank"))
+    return grown.where(F.col("rank") < wanted).drop("round")
+
+
+_CANDIDATE = ("a", "b", "tag", "key")
+
+
+def _candidate(pairs: DataFrame, priority: int, tag: Column, *place: Column) -> DataFrame:
+    """Candidates of one strategy; ``key`` orders them within all: strategy, bins, place."""
+    first, second, inside = place
+    key = F.struct(F.lit(priority).alias("strategy"), first.cast("long").alias("first"), second.cast("long").alias("second"), inside.cast("string").alias("inside"))
+    return pairs.select("a", "b", tag.alias("tag"), key.alias("key"))
 
 
-def generate(samples: DataFrame, max_pairs: int, seed: int, usage_limit: int = 50, top: int = 10, ratios: tuple[float, float, float] = (0.4, 0.3, 0.2)) -> DataFrame:
-    """SP1: four strategies, unordered dedup by first strategy, random order, usage cap, at most max_pairs: (rank, a, b, tag)."""
-    found = tagged(ratio_sample(cross_bin(samples), ratios[0], seed), "cross_bin", 1)
-    found = found.unionByName(tagged(ratio_sample(neighbor_bin(samples), ratios[1], seed + 1), "neighbor_bin", 2))
-    ends = extremes_by_distance(samples, top)
-    found = found.unionByName(ends.select("a", "b", "tag", F.when(F.col("tag") == "intra_bin_small", 3).otherwise(4).alias("priority")))
+def _named(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _by_distance(samples: DataFrame, top: int, priority: int) -> DataFrame:
+    """Nearest pairs of each bin in order, then farthest ones with the farthest last; bins in order of their first sample."""
+    first = samples.groupBy("bin_id").agg(F.min("sample_id").alias("first"))
+    ends = extremes_by_distance(samples, top, ranked=True).join(first, "bin_id")
+    small = F.col("tag") == "intra_bin_small"
+    place = F.lpad(F.when(small, F.col("rank")).otherwise(F.lit(2 * top + 1) - F.col("rank")).cast("string"), 12, "0")
+    return _candidate(ends, priority, _named("intra_bin_", F.col("bin_id"), F.when(small, "_small").otherwise("_large")), F.col("first"), F.lit(0), place)
+
+
+def _finished(capped: DataFrame, max_pairs: int | None, seed: int, fill: bool) -> DataFrame:
+    """(rank, a, b, tag): in order, or in random order where there are more than max_pairs, which are cut; filled by copies if asked."""
+    if max_pairs is None:
+        return capped.select("rank", "a", "b", "tag")
+    n = capped.count()
+    if n > max_pairs:
+        shuffled = capped.withColumn("key", F.struct(draw(seed, F.col("a"), F.col("b"), F.col("tag")).alias("d"), F.col("rank")))
+        chosen = chunked(shuffled, "key", max(max_pairs, 1))
+        return chosen.where("chunk = 0" if max_pairs else "false").select(F.col("line").alias("rank"), "a", "b", "tag")
+    out = capped.select("rank", "a", "b", "tag")
+    return duplicate_fill(out, max_pairs) if fill else out
+
+
+def _capped(candidates: DataFrame, limit: int, small: int) -> DataFrame:
+    """Candidates (a, b, tag, key) that the usage cap takes in order of key, numbered anew (rank, a, b, tag)."""
+    kept = usage_capped(candidates.select("a", "b", "tag", F.col("key").alias("rank"), F.lit(0).alias("environment")), limit, small=small)
+    numbered = chunked(kept, "rank", 1 << 40)
+    return written(numbered.select(F.col("line").alias("rank"), "a", "b", "tag"), "pairs-capped")
+
+
+def generate(
+    samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float, float] = (0.4, 0.3, 0.2),
+    allow_duplicates: bool = False, preserve_strategy: bool = False, strict: bool = True, small: int = SMALL_GROUP,
+) -> DataFrame:
+    """SP1: (rank, a, b, tag) of four strategies in turn: bins crossed, neighbouring bins, nearest and farthest of a bin, random of a bin.
+
+    A pair comes once, by its first strategy; with ``preserve_strategy`` and not ``strict`` once a tag; with ``allow_duplicates`` as often
+    as it is found. The usage cap goes through the candidates in the order of strategies, bins and random draw. More than
+    ``max_pairs`` are shuffled and cut; fewer are filled with marked copies where duplicates are allowed. None: all of them.
+    """
+    drawn = lambda k: draw(seed + k, F.col("a"), F.col("b"))
+    cross = ratio_sample(cross_bin(samples), ratios[0], seed)
+    found = _candidate(cross, 1, _named("cross_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(0))
+    near = ratio_sample(neighbor_bin(samples), ratios[1], seed + 1)
+    found = found.union(_candidate(near, 2, _named("neighbor_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(1)))
+    found = found.union(_by_distance(samples, top, 3))
     inside = ratio_sample(intra_bin(samples).select(F.col("bin_id").alias("bin_a"), F.col("bin_id").alias("bin_b"), "a", "b"), ratios[2], seed + 2)
-    found = first_strategy(found.unionByName(tagged(inside, "intra_bin_random", 5)))
-    ranked = written(found.withColumn("key", draw(seed, F.col("a"), F.col("b"))).select("key", "a", "b", "tag"), "pairs-ranked")
-    return capped_in_blocks(ranked, max_pairs, usage_limit)
+    first = samples.groupBy(F.col("bin_id").alias("bin_a")).agg(F.min("sample_id").alias("first"))
+    found = found.union(_candidate(inside.join(first, "bin_a"), 4, _named("intra_bin_random_", F.col("bin_a")), F.col("first"), F.lit(0), drawn(2)))
+    if not allow_duplicates:
+        found = first_strategy(found, preserve_strategy and not strict, ("key",))
+    return _finished(_capped(written(found, "pairs-candidates"), usage_limit, small), max_pairs, seed, allow_duplicates)
 
 
-def capped_in_blocks(pairs: DataFrame, max_pairs: int, limit: int) -> DataFrame:
-    """(rank, a, b, tag): the first max_pairs of all ``pairs`` (key, a, b, tag) that the usage cap takes, in order of key.
+def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float] = (0.4, 0.3), small: int = SMALL_GROUP) -> DataFrame:
+    """SP2: (rank, a, b, tag) of the least with the greatest bin, bins next to each other in the list, and nearest and farthest of a bin.
 
-    Blocks of pairs are folded on the driver with the usage carried along, until max_pairs are taken or none is
-    left. Pairs of a member that is used up are left out of later blocks, as the cap refuses them in any case;
-    so a block takes a pair or is the last, and the driver holds one block and the pairs taken.
+    A pair comes once, by its first strategy, and the usage cap goes through them in order. More than ``max_pairs`` are
+    shuffled and cut, fewer are filled with marked copies.
     """
-    spark = pairs.sparkSession
-    used: dict[int, int] = {}
-    taken: list[tuple] = []
-    left, block = pairs, max(4 * max_pairs, 1)
-    while len(taken) < max_pairs:
-        rows = left.orderBy("key", "a", "b").limit(block).collect()
-        for r in rows:
-            if len(taken) < max_pairs and used.get(r.a, 0) < limit and used.get(r.b, 0) < limit:
-                used[r.a], used[r.b] = used.get(r.a, 0) + 1, used.get(r.b, 0) + 1
-                taken.append((len(taken), r.a, r.b, r.tag))
-        if len(rows) < block:
-            break
-        last = rows[-1]
-        left = pairs.where(F.struct("key", "a", "b") > F.struct(F.lit(last.key).alias("key"), F.lit(last.a).alias("a"), F.lit(last.b).alias("b")))
-        full = [(i,) for i, n in used.items() if n >= limit]
-        if full:
-            gone = F.broadcast(spark.createDataFrame(full, f"id {pairs.schema['a'].dataType.simpleString()}"))
-            left = left.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return spark.createDataFrame(taken, f"rank int, a {kind}, b {kind}, tag string")
-
-
-def generate_padded(samples: DataFrame, max_pairs: int, seed: int, top: int = 10) -> DataFrame:
-    """SP2: least with greatest bin, adjacent bins, extremes by distance; short lists are filled with duplicates."""
-    found = tagged(ratio_sample(extreme_bins(samples), 0.4, seed), "cross_bin", 1)
-    found = found.unionByName(tagged(ratio_sample(adjacent_bin(samples), 0.3, seed + 1), "neighbor_bin", 2))
-    found = found.unionByName(tagged(extremes_by_distance(samples, top), "intra_bin", 3))
-    chosen = first_strategy(found).withColumn("key", draw(seed, F.col("a"), F.col("b"))).orderBy("key").limit(max_pairs)
-    return duplicate_fill(chosen.select((F.row_number().over(Window.orderBy("key")) - 1).alias("rank"), "a", "b", "tag"), max_pairs)
+    drawn = lambda k: draw(seed + k, F.col("a"), F.col("b"))
+    cross = ratio_sample(extreme_bins(samples), ratios[0], seed)
+    found = _candidate(cross, 1, F.lit("cross_bin_minmax"), F.col("bin_a"), F.col("bin_b"), drawn(0))
+    near = ratio_sample(adjacent_bin(samples), ratios[1], seed + 1)
+    found = found.union(_candidate(near, 2, _named("neighbor_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(1)))
+    ends = _by_distance(samples, top, 3)
+    by_bin = samples.groupBy("bin_id").agg(F.min("sample_id").alias("__first"))
+    # here bins come in order of their number
+    ends = ends.join(by_bin, F.col("key.first") == F.col("__first")).withColumn("key", F.col("key").withField("first", F.col("bin_id").cast("long"))).select(*_CANDIDATE)
+    found = first_strategy(found.union(ends), False, ("key",))
+    return _finished(_capped(written(found, "pairs-candidates"), usage_limit, small), max_pairs, seed, True)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.common import table
+from quillmark.common import table, written
 from quillmark.functions import maths, text, vectors
 from quillmark.operators import conversations, decisions, evaluation, neighbours, pairs, points, preferences, store, trajectories
 from quillmark.plans import adapters as A
@@ -416,10 +416,14 @@ def pairs_generate_padded(spark, d):
     return pairs.generate_padded(A.samples(spark, d), 30_000, 42)
 
 
-@query("WITH r AS (SELECT n, a FROM (VALUES (0, 10), (1, 11), (2, 12)) t(n, a)), g AS (SELECT unnest(range(0, 8)) AS rank) SELECT rank::BIGINT AS rank, (10 + rank % 3)::BIGINT AS a, (20 + rank % 3)::BIGINT AS b, CASE rank // 3 WHEN 0 THEN 't' WHEN 1 THEN 't(DUPE_1)' ELSE 't(DUPE_1)(DUPE_2)' END AS tag FROM g")
+@query(f"""WITH {A.SAMPLES}, n AS (SELECT sample_id AS a, lead(sample_id) OVER (PARTITION BY bin_id ORDER BY sample_id) AS b, bin_id FROM samples),
+r AS (SELECT row_number() OVER (ORDER BY a) - 1 AS i, count(*) OVER () AS n, a, b, 'next_in_bin_' || bin_id AS tag FROM n WHERE b IS NOT NULL)
+SELECT i + k * n AS rank, a, b, tag || list_aggregate(list_transform(range(0, k), lambda x: '(DUPE_' || (i + x * n + 1) || ')') || [''], 'string_agg', '') AS tag FROM r, range(0, 3) g(k) WHERE i + k * n < (n * 5) // 2""")
 def pairs_duplicate_fill(spark, d):
-    few = spark.range(3).select(F.col("id").alias("rank"), (F.col("id") + 10).alias("a"), (F.col("id") + 20).alias("b"), F.lit("t").alias("tag"))
-    return pairs.duplicate_fill(few, 8)
+    following = F.lead("sample_id").over(Window.partitionBy("bin_id").orderBy("sample_id"))
+    found = A.samples(spark, d).select(F.col("sample_id").alias("a"), following.alias("b"), F.concat(F.lit("next_in_bin_"), F.col("bin_id").cast("string")).alias("tag")).where("b is not null")
+    ranked = written(decisions.chunked(found, "a", 1 << 40).select(F.col("line").alias("rank"), "a", "b", "tag"), "few-pairs")
+    return pairs.duplicate_fill(ranked, ranked.count() * 5 // 2)
 
 
 # --- trajectories
