@@ -117,8 +117,9 @@ def soft_cross_entropy(z1: Column, z2: Column, target: Column) -> Column:
 
 
 def cross_entropy(z1: Column, z2: Column, label: Column) -> Column:
-    """MF12: of label 0 or 1."""
-    return F.log(1 + F.exp(F.when(label == 0, z2 - z1).otherwise(z1 - z2)))
+    """MF12: of label 0 or 1, finite however far the logits are apart."""
+    d = F.when(label == 0, z2 - z1).otherwise(z1 - z2)
+    return F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
 
 
 def cart_pole_step(x: Column, v: Column, a: Column, w: Column, force: Column) -> list[Column]:
@@ -146,23 +147,36 @@ def controller(at: list[Column], to: list[Column], p: float) -> list[Column]:
 
 
 def label_budget(kind: int, per_round: int, step: Column, steps: int) -> Column:
-    """MF17: labels asked in a round: 0 constant, 1 falling with the steps left, 2 rising with the steps done."""
+    """MF17: labels asked in a round: 0 constant, 1 by the share of steps left (a hundredth at the end), 2 by its inverse."""
     if kind == 0:
         return F.lit(per_round)
-    share = (steps - step) / steps if kind == 1 else (steps / 2 + step) / steps
-    return F.greatest(F.lit(1), F.floor(per_round * share).cast("int")).cast("int")
+    left = steps - step
+    share = F.when(left == 0, 0.01).otherwise(left / steps) if kind == 1 else F.lit(float(steps)) / (left + 1)
+    return F.floor(per_round * share).cast("int")
+
+
+def labels_left(budget: Column, given: Column, most: int) -> Column:
+    """MF17: a round's labels within what is left of ``most`` in all."""
+    return F.greatest(F.lit(0), F.least(budget, F.lit(most) - given))
+
+
+def teacher_margin(mean_return: Column, segment: int, episode_steps: int, share: float = 1.0) -> Column:
+    """MF17: the margin under which a teacher skips a pair or calls it equal: a share of the mean return of a segment's length."""
+    return mean_return * (segment / episode_steps) * share
 
 
 def area(shape: Column, a: Column, b: Column, c: Column) -> Column:
-    """MF18: surface by shape; a, b, c are half sizes or radius and half length. A box counts a quarter of its
-    true surface, as half sizes enter 2(ab + bc + ca); an ellipsoid is Thomsen's formula with p 1.6."""
+    """MF18: the weight of a shape's surface; a, b, c are half sizes or radius and half length, and enter as if they were whole.
+
+    So a box weighs a quarter of its true surface, and the sides of cylinders and capsules half; spheres are true, and
+    ellipsoids follow Thomsen's formula with p 1.6. Points are allocated by these weights."""
     p = 1.6
     ellipsoid = 4 * math.pi * F.pow((F.pow(a * b, F.lit(p)) + F.pow(a * c, F.lit(p)) + F.pow(b * c, F.lit(p))) / 3, F.lit(1 / p))
     return (
         F.when(shape == "box", 2 * (a * b + b * c + a * c))
         .when(shape == "sphere", 4 * math.pi * a * a)
-        .when(shape == "cylinder", 2 * math.pi * a * (a + 2 * b))
-        .when(shape == "capsule", 4 * math.pi * a * a + 4 * math.pi * a * b)
+        .when(shape == "cylinder", 2 * math.pi * a * (a + b))
+        .when(shape == "capsule", 4 * math.pi * a * a + 2 * math.pi * a * b)
         .when(shape == "ellipsoid", ellipsoid)
         .otherwise(0.0)
     )

@@ -92,7 +92,7 @@ def file_name(name: Column, pattern: str = FILE_V1) -> Column:
     part = lambda i: F.regexp_extract(name, pattern, i)
     whole = name.rlike(pattern)
     return F.struct(
-        F.when(whole, F.try_to_number(part(1), F.lit("999999999999")).cast("long")).alias("idx"),
+        F.when(whole, part(1).try_cast("long")).alias("idx"),
         F.when(whole, part(2).try_cast("int")).alias("bin"),
         F.when(whole, part(3).try_cast("double")).alias("r"),
         F.when(whole, part(4).try_cast("double")).alias("t"),
@@ -160,8 +160,12 @@ def closed_class(reply: Column, n_classes: int, key: Column) -> Column:
 
 
 def rating(reply: Column) -> Column:
-    """SF14: the score of "85#why", -1 unless it is 0 to 100."""
-    n = F.regexp_extract(reply, r"(\d*)#", 1).try_cast("int")
+    """SF14: the score of "85#why" or of "85" alone, -1 unless it is a whole number of 0 to 100.
+
+    The first line that has a # counts from the digits before it on; without any the reply as a whole.
+    """
+    lead = F.when(reply.contains("#"), F.regexp_extract(reply, r"(\d*)#", 1)).otherwise(F.regexp_replace(reply, r"(?U)^\s+|\s+$", ""))
+    n = F.when(lead.rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(lead, "_", "").try_cast("int"))
     return F.when(n.between(0, 100), n).otherwise(-1)
 
 
@@ -231,16 +235,21 @@ def moved_to_bin(name: Column, bin_id: Column) -> Column:
 
 
 def prompt(system: Column, messages: Column, style: str = "single", sep: str = "###", sep2: str = "</s>") -> Column:
-    """SF22: a conversation as one string. messages: array of struct(role, text); a null text leaves the role open.
+    """SF22: a conversation as one string. messages: array of struct(role, text); a null or empty text leaves the role open.
 
-    single: "role: text" and sep after each; two: sep and sep2 in turn; plain: texts alone, sep and sep2 in turn.
+    single: "role: text" and sep after each; two: sep and sep2 in turn; mpt: role and text as they are, sep after each;
+    plain: texts alone, sep and sep2 in turn.
     """
+    said_ = lambda m: m.text.isNotNull() & (m.text != "")
     turn = lambda i: F.when(i % 2 == 0, F.lit(sep)).otherwise(F.lit(sep2))
     if style == "single":
-        said = F.transform(messages, lambda m: F.when(m.text.isNotNull(), F.concat(m.role, F.lit(": "), m.text, F.lit(sep))).otherwise(F.concat(m.role, F.lit(":"))))
+        said = F.transform(messages, lambda m: F.when(said_(m), F.concat(m.role, F.lit(": "), m.text, F.lit(sep))).otherwise(F.concat(m.role, F.lit(":"))))
         return F.concat(system, F.lit(sep), F.array_join(said, ""))
     if style == "two":
-        said = F.transform(messages, lambda m, i: F.when(m.text.isNotNull(), F.concat(m.role, F.lit(": "), m.text, turn(i))).otherwise(F.concat(m.role, F.lit(":"))))
+        said = F.transform(messages, lambda m, i: F.when(said_(m), F.concat(m.role, F.lit(": "), m.text, turn(i))).otherwise(F.concat(m.role, F.lit(":"))))
+        return F.concat(system, F.lit(sep), F.array_join(said, ""))
+    if style == "mpt":
+        said = F.transform(messages, lambda m: F.when(said_(m), F.concat(m.role, m.text, F.lit(sep))).otherwise(m.role))
         return F.concat(system, F.lit(sep), F.array_join(said, ""))
     if style == "plain":
         return F.concat(system, F.array_join(F.transform(messages, lambda m, i: F.when(m.text.isNotNull(), F.concat(m.text, turn(i))).otherwise("")), ""))
@@ -283,9 +292,10 @@ def suffix_number(key: Column, sep: str = "-") -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """SR4: sorts digits by value: runs of digits padded to 20."""
+    """SR4: sorts runs of digits by value: each is led by how many digits it has without leading zeros, in eight places."""
     tokens = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(F.lower(t))), "")
+    bare = lambda t: F.regexp_replace(t, "^0+(?=.)", "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(t)).cast("string"), 8, "0"), F.lit("."), bare(t))).otherwise(F.lower(t))), "")
 
 
 def filled(template: str, objective: Column, first: Column, second: Column) -> Column:

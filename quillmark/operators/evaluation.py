@@ -74,12 +74,21 @@ def approximate_tokens(lines: DataFrame, group: str) -> DataFrame:
 def n_gram_metrics(pairs: DataFrame, key: str) -> DataFrame:
     """SF26, AG9: (key, bleu1..4, rouge1, rouge2) of (hypothesis, reference); an empty hypothesis reads as '##'.
 
+    BLEU counts n-grams as often as they stand; ROUGE counts distinct ones, with full stops read as white space, and its
+    F1 has 1e-8 in the denominator.
+
     Words are what stands between white space, as it is. n-grams of both sides are counted by key and met in one
     aggregate, so long texts cost their length. An order without a match counts 0.1 (smoothing 1); without a common
     word BLEU is 0; BLEU-3 weighs its orders by 0.33 each. Embedding metrics are outside.
     """
-    h = text.tokens(F.coalesce(F.nullif("hypothesis", F.lit("")), F.lit("##")))
-    rows = pairs.select(key, h.alias("h"), text.tokens(F.col("reference")).alias("r"))
+    said = F.coalesce(F.nullif("hypothesis", F.lit("")), F.lit("##"))
+    rows = pairs.select(key, text.tokens(said).alias("h"), text.tokens(F.col("reference")).alias("r"))
+    bare = lambda c: text.tokens(F.translate(c, ".", " "))
+    plain = pairs.select(key, bare(said).alias("h"), bare(F.col("reference")).alias("r"))
+
+    def distinct(side: str, h: int, r: int) -> DataFrame:
+        every = F.flatten(F.array(*[F.transform(F.array_distinct(text.n_grams(F.col(side), n)), numbered(n)) for n in (1, 2)]))
+        return plain.select(key, F.explode(every).alias("x")).select(key, "x.n", "x.g", F.lit(h).alias("h"), F.lit(r).alias("r"))
 
     def numbered(n: int):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))  # of one parameter: a second would be the place
@@ -97,9 +106,19 @@ def n_gram_metrics(pairs: DataFrame, key: str) -> DataFrame:
     for n in (1, 2, 3, 4):
         logs = logs + F.log(F.when(F.col(f"hit{n}") > 0, F.col(f"hit{n}").cast("double")).otherwise(0.1) / F.greatest(f"h{n}", F.lit(1)))
         out[f"bleu{n}"] = F.when(F.col("hit1") == 0, F.lit(0.0)).otherwise(short * F.exp(logs * (0.33 if n == 3 else 1 / n)))
-    for n in (1, 2):
-        out[f"rouge{n}"] = F.coalesce(F.try_divide(2.0 * F.col(f"hit{n}"), (F.col(f"h{n}") + F.col(f"r{n}")).cast("double")), F.lit(0.0))
-    return wide.withColumns(out).select(key, *out)
+    scored = wide.withColumns(out).select(key, *out)
+    met = distinct("h", 1, 0).union(distinct("r", 0, 1)).groupBy(key, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    found = met.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, e)).cast("double").alias(f"{c}{n}") for n in (1, 2) for c, e in (("hit", F.least("h", "r")), ("h", F.col("h")), ("r", F.col("r")))])
+    share = lambda n, c: F.coalesce(F.try_divide(F.col(f"hit{n}"), F.col(f"{c}{n}")), F.lit(0.0))
+    f1 = {f"rouge{n}": 2.0 * (share(n, "h") * share(n, "r")) / (share(n, "h") + share(n, "r") + 1e-8) for n in (1, 2)}
+    ours = found.withColumns(f1).select(F.col(key).alias("__key"), *f1)
+    return scored.join(ours, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, *out, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in f1])
+
+
+def overall_scores(scored: DataFrame, metrics: tuple[str, ...] = ("bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2")) -> DataFrame:
+    """AG9: (metric, score): the mean of each metric over all rows times 100, with four decimals."""
+    means = scored.agg(*[F.format_string("%.4f", F.avg(m) * 100).alias(m) for m in metrics])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in metrics])).alias("s")).select("s.*")
 
 
 def rouge_l(pairs: DataFrame, key: str) -> DataFrame:

@@ -129,10 +129,23 @@ def of_bodies(geoms: DataFrame, bodies: DataFrame) -> DataFrame:
     return geoms.join(bodies.select("body").distinct(), "body", "left_semi").select("geom").distinct()
 
 
-def blended(rgb: Column, emission: Column, reflectance: Column, specular: Column, shininess: Column) -> Column:
-    """MF19: one colour channel: lit by emission, lightened by reflectance and the glint, clipped to 0..1."""
-    lit = maths.clipped(rgb * (1 + emission))
-    return maths.clipped(lit * (1 - reflectance) + reflectance + specular * shininess * 0.1)
+def blended(geom: list[Column], material: list[Column], emission: Column, reflectance: Column, specular: Column, shininess: Column) -> list[Column]:
+    """MF19: (r, g, b, alpha) of a geom's colour under its material: products, then lightened step by step, each clipped to 0..1.
+
+    Emission is added, reflectance mixes with white, specular is added, half the shininess mixes with white; effects of up to
+    1e-9 are none. A geom without a material (its colours null) keeps its own colour.
+    """
+    own, of = [maths.clipped(c) for c in geom], [maths.clipped(c) for c in material]
+
+    def lightened(base: Column) -> Column:
+        on = lambda effect, value, other: F.when(effect > 1e-9, maths.clipped(value)).otherwise(other)
+        lit = on(emission, base + emission, base)
+        lit = on(reflectance, (1 - reflectance) * lit + reflectance, lit)
+        lit = on(specular, lit + specular, lit)
+        return on(shininess, lit * (1 - 0.5 * shininess) + 0.5 * shininess, lit)
+
+    mixed = [lightened(a * b) for a, b in zip(own[:3], of[:3], strict=True)] + [own[3] * of[3]]
+    return [F.when(material[0].isNull(), a).otherwise(b) for a, b in zip(own, mixed, strict=True)]
 
 
 def random_order(clouds: DataFrame, seed: int) -> Column:

@@ -161,7 +161,7 @@ def chunk_assign(spark, d):
     return decisions.chunked(table(spark, d, "events").select("event_id"), "event_id", 300)
 
 
-@query("SELECT event_id, 'p' || (event_id % 100) || 'img' || event_id || '.jpg' AS name, 'p' || lpad((event_id % 100)::VARCHAR, 20, '0') || 'img' || lpad(event_id::VARCHAR, 20, '0') || '.jpg' AS key FROM events")
+@query("SELECT event_id, 'p' || (event_id % 100) || 'img' || event_id || '.jpg' AS name, 'p' || lpad(length((event_id % 100)::VARCHAR)::VARCHAR, 8, '0') || '.' || (event_id % 100) || 'img' || lpad(length(event_id::VARCHAR)::VARCHAR, 8, '0') || '.' || event_id || '.jpg' AS key FROM events")
 def natural_sort_key(spark, d):
     name = F.concat(F.lit("p"), (F.col("event_id") % 100).cast("string"), F.lit("img"), F.col("event_id").cast("string"), F.lit(".jpg"))
     return table(spark, d, "events").select("event_id", name.alias("name"), text.natural_key(name).alias("key"))
@@ -261,12 +261,16 @@ def clean_accuracy(spark, d):
     return evaluation.accuracy(rows, ["event_type"])
 
 
-@query("""WITH r AS (SELECT event_type, CASE event_id % 4 WHEN 0 THEN (event_id % 130) ELSE event_id % 101 END AS x, event_id % 9 = 5 AS bad FROM events),
+@query("""WITH r AS (SELECT event_type, CASE event_id % 4 WHEN 0 THEN (event_id % 130) ELSE event_id % 101 END AS x, event_id % 9 IN (5, 7) OR event_id % 11 = 3 AND event_id % 5 = 2 AS bad FROM events),
 v AS (SELECT event_type, CASE WHEN NOT bad AND x <= 100 THEN x END AS ok FROM r)
 SELECT event_type, round(coalesce(avg(ok), 0), 6) AS mean_rating, count(ok) AS n_valid, count(*) - count(ok) AS n_invalid FROM v GROUP BY event_type""")
 def caption_rating(spark, d):
     i = F.col("event_id")
-    reply = F.concat(F.when(i % 9 == 5, "").otherwise(F.when(i % 4 == 0, i % 130).otherwise(i % 101).cast("string")), F.lit("#why"))
+    score = F.when(i % 4 == 0, i % 130).otherwise(i % 101).cast("string")
+    lead = F.when(i % 9 == 5, "").when(i % 9 == 7, F.concat(score, F.lit(" "))).otherwise(score)
+    # scores alone, with white space around, in a sentence, or before a reason
+    plain = F.when(i % 9 == 5, "none").when(i % 9 == 7, F.concat(F.lit("Score: "), score)).when(i % 5 == 2, F.concat(F.lit("I say "), score)).otherwise(F.concat(F.lit(" "), score, F.lit("\n")))
+    reply = F.when(i % 11 == 3, plain).otherwise(F.concat(F.when(i % 7 == 1, "My rating:\n").otherwise(""), lead, F.lit("#why"), (i % 200).cast("string")))
     return evaluation.caption_score(table(spark, d, "events").select("event_type", text.rating(reply).alias("rating")), ["event_type"])
 
 
@@ -295,11 +299,23 @@ w AS (SELECT conv_id, turn, """ + ", ".join(f"coalesce(max({c}) FILTER (n = {n})
 x AS (SELECT *, CASE WHEN h1 >= r1 THEN 1 ELSE exp(1 - r1 / h1) END AS short, """ + ", ".join(f"ln(CASE WHEN hit{n} > 0 THEN hit{n} ELSE 0.1 END / greatest(h{n}, 1)) AS p{n}" for n in (1, 2, 3, 4)) + " FROM w)"
 
 
-@query(f"""WITH {_GRAMS} SELECT conv_id, turn, {", ".join(f"round(CASE WHEN hit1 = 0 THEN 0 ELSE short * exp(({' + '.join(f'p{i}' for i in range(1, n + 1))}) * {0.33 if n == 3 else 1 / n}::DOUBLE) END, 6) AS bleu{n}" for n in (1, 2, 3, 4))},
-  {", ".join(f"round(CASE WHEN h{n} + r{n} > 0 THEN 2 * hit{n} / (h{n} + r{n}) ELSE 0 END, 6) AS rouge{n}" for n in (1, 2))} FROM x""")
+_ROUGE = """rt AS (SELECT conv_id, turn, regexp_extract_all(replace(array_to_string(r, ' '), '.', ' '), '\\S+') AS r, regexp_extract_all(replace(array_to_string(h, ' '), '.', ' '), '\\S+') AS h FROM t WHERE hyp IS NOT NULL),
+rg AS (SELECT conv_id, turn, n, list_distinct([array_to_string(h[i : i + n - 1], ' ') FOR i IN range(1, len(h) - n + 2)]) AS h, list_distinct([array_to_string(r[i : i + n - 1], ' ') FOR i IN range(1, len(r) - n + 2)]) AS r FROM rt, (SELECT unnest([1, 2]) AS n)),
+rp AS (SELECT conv_id, turn, n, coalesce(len(list_intersect(h, r)) / nullif(len(h), 0)::DOUBLE, 0) AS p, coalesce(len(list_intersect(h, r)) / nullif(len(r), 0)::DOUBLE, 0) AS q FROM rg),
+rf AS (SELECT conv_id, turn, max(2 * (p * q) / (p + q + 1e-8::DOUBLE)) FILTER (n = 1) AS rouge1, max(2 * (p * q) / (p + q + 1e-8::DOUBLE)) FILTER (n = 2) AS rouge2 FROM rp GROUP BY ALL)"""
+_SCORES = "sc AS (SELECT conv_id, turn, " + ", ".join(f"CASE WHEN hit1 = 0 THEN 0 ELSE short * exp(({' + '.join(f'p{i}' for i in range(1, n + 1))}) * {0.33 if n == 3 else 1 / n}::DOUBLE) END AS bleu{n}" for n in (1, 2, 3, 4)) + ", rouge1, rouge2 FROM x JOIN rf USING (conv_id, turn))"
+_METRICS = ("bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2")
+
+
+@query(f"WITH {_GRAMS}, {_ROUGE}, {_SCORES} SELECT conv_id, turn, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM sc")
 def text_metrics(spark, d):
     scored = evaluation.n_gram_metrics(_replies(spark, d), "key")
-    return scored.select("key.conv_id", "key.turn", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2")])
+    return scored.select("key.conv_id", "key.turn", *[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+@query(f"WITH {_GRAMS}, {_ROUGE}, {_SCORES} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, printf('%.4f', avg({m}) * 100) AS score FROM sc" for m in _METRICS))
+def text_metric_means(spark, d):
+    return evaluation.overall_scores(evaluation.n_gram_metrics(_replies(spark, d), "key"))
 
 
 @query()
@@ -782,7 +798,7 @@ def rect_prism(spark, d):
     return table(spark, d, "events").select("event_id", F.round(maths.rect_prism_tolerance([(i % 13) / 6.0, (i % 5) / 4.0, (i % 3) / 2.0], [0.0] * 3, [1.0] * 3), 6).alias("v"))
 
 
-@query("""SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN 2 * (a * b + b * c + a * c) WHEN 1 THEN 4 * pi() * a * a WHEN 2 THEN 2 * pi() * a * (a + 2 * b) WHEN 3 THEN 4 * pi() * a * a + 4 * pi() * a * b
+@query("""SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN 2 * (a * b + b * c + a * c) WHEN 1 THEN 4 * pi() * a * a WHEN 2 THEN 2 * pi() * a * b + 2 * pi() * a * a WHEN 3 THEN 2 * pi() * a * b + 4 * pi() * a * a
   ELSE 4 * pi() * power((power(a * b, 1.6) + power(a * c, 1.6) + power(b * c, 1.6)) / 3, 1 / 1.6::DOUBLE) END, 4) AS area FROM (SELECT event_id, value / 10 + 1 AS a, (event_id % 9) / 3.0::DOUBLE + 1 AS b, (event_id % 4) / 2.0::DOUBLE + 1 AS c FROM events)""")
 def surface_area(spark, d):
     i = F.col("event_id")
@@ -790,6 +806,20 @@ def surface_area(spark, d):
     return table(spark, d, "events").select("event_id", F.round(maths.area(shape, F.col("value") / 10 + 1, (i % 9) / 3.0 + 1, (i % 4) / 2.0 + 1), 4).alias("area"))
 
 
+_TINT = "CASE WHEN h > 1e-9 THEN least(greatest(c3 * (1 - 0.5::DOUBLE * h) + 0.5::DOUBLE * h, 0), 1) ELSE c3 END"
+
+
+@query(f"""WITH g AS (SELECT event_id, unnest([0, 1, 2, 3]) AS k, (event_id % 7) / 5.0::DOUBLE AS red, (event_id % 4) / 3.0::DOUBLE AS a, CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 9) / 8.0::DOUBLE END AS m, (event_id % 3) / 4.0::DOUBLE AS e, (event_id % 5) / 6.0::DOUBLE AS f, (event_id % 2) / 3.0::DOUBLE AS s, (event_id % 8) / 8.0::DOUBLE AS h FROM events),
+c AS (SELECT *, least(greatest(CASE WHEN k = 3 THEN a ELSE red - k / 10.0::DOUBLE END, 0), 1) AS own, least(greatest(m - (CASE WHEN k = 3 THEN 0 ELSE k END) / 20.0::DOUBLE, 0), 1) AS mat FROM g),
+s1 AS (SELECT *, CASE WHEN e > 1e-9 THEN least(own * mat + e, 1) ELSE own * mat END AS c1 FROM c), s2 AS (SELECT *, CASE WHEN f > 1e-9 THEN least((1 - f) * c1 + f, 1) ELSE c1 END AS c2 FROM s1), s3 AS (SELECT *, CASE WHEN s > 1e-9 THEN least(c2 + s, 1) ELSE c2 END AS c3 FROM s2)
+SELECT event_id, k::INT AS channel, round(CASE WHEN m IS NULL THEN own WHEN k = 3 THEN own * mat ELSE {_TINT} END, 9) AS value FROM s3""")
+def geom_colors(spark, d):
+    i = F.col("event_id")
+    m = F.when(i % 6 != 0, (i % 9) / 8.0)
+    rgba = points.blended([(i % 7) / 5.0 - k / 10.0 for k in range(3)] + [(i % 4) / 3.0], [m - k / 20.0 for k in range(3)] + [m], (i % 3) / 4.0, (i % 5) / 6.0, (i % 2) / 3.0, (i % 8) / 8.0)
+    return table(spark, d, "events").select("event_id", F.posexplode(F.array(*rgba)).alias("channel", "value")).withColumn("value", F.round("value", 9))
+
+
 _ANGLES = """e AS (SELECT event_id, (event_id % 7) / 3.0::DOUBLE - 1 AS x, (event_id % 5) / 4.0::DOUBLE - 0.5 AS y, (event_id % 11) / 5.0::DOUBLE - 1 AS z FROM events)"""
 
 

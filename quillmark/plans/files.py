@@ -197,13 +197,13 @@ def inverse_tolerance(spark, d):
     return e.select("event_id", F.round(maths.inverse_tolerance(F.col("value") / 50 - 0.5, (0.0, 0.3), 0.8, "linear"), 9).alias("v"))
 
 
-@query("SELECT event_id, round(least(greatest(-2 + ((event_id % 9) / 4.0::DOUBLE - 1 + 1) * 0.5 * 5, -2), 3), 6) AS action, round((event_id % 7 - event_id % 5) * 10.0::DOUBLE, 6) AS pull, 40 AS same, greatest(1, floor(40 * (100000 - event_id % 100000) / 100000::DOUBLE))::INT AS falling, greatest(1, floor(40 * (50000 + event_id % 100000) / 100000::DOUBLE))::INT AS rising FROM events")
+@query("SELECT event_id, round(least(greatest(-2 + ((event_id % 9) / 4.0::DOUBLE - 1 + 1) * 0.5 * 5, -2), 3), 6) AS action, round((event_id % 7 - event_id % 5) * 10.0::DOUBLE, 6) AS pull, 40 AS same, floor(40 * CASE WHEN s = 2000 THEN 0.01::DOUBLE ELSE (2000 - s) / 2000::DOUBLE END)::INT AS falling, floor(40 * (2000::DOUBLE / (2000 - s + 1)))::INT AS rising, greatest(0, least(40, 30000 - event_id))::INT AS within, round(value * (50 / 500::DOUBLE) * 0.1::DOUBLE, 6) AS margin FROM (SELECT *, event_id % 2001 AS s FROM events)")
 def control_values(spark, d):
     """MF15, MF16, MF17."""
-    e, i = _i(spark, d)
-    step = i % 100_000
-    budgets = [maths.label_budget(k, 40, step, 100_000).alias(n) for k, n in enumerate(("same", "falling", "rising"))]
-    return e.select("event_id", F.round(maths.scaled_action((i % 9) / 4.0 - 1, F.lit(-2.0), F.lit(3.0)), 6).alias("action"), F.round(maths.controller([i % 5], [i % 7], 10.0)[0], 6).alias("pull"), *budgets)
+    e, i = _i(spark, d, "value")
+    step = i % 2001
+    budgets = [maths.label_budget(k, 40, step, 2000).alias(n) for k, n in enumerate(("same", "falling", "rising"))]
+    return e.select("event_id", F.round(maths.scaled_action((i % 9) / 4.0 - 1, F.lit(-2.0), F.lit(3.0)), 6).alias("action"), F.round(maths.controller([i % 5], [i % 7], 10.0)[0], 6).alias("pull"), *budgets, maths.labels_left(F.lit(40), i, 30_000).cast("int").alias("within"), F.round(maths.teacher_margin(F.col("value"), 50, 500, 0.1), 6).alias("margin"))
 
 
 _CAGE = """c AS (SELECT event_id, (event_id % 7) / 10.0::DOUBLE AS ox, (event_id % 11) / 20.0::DOUBLE AS oy, (event_id % 3) / 30.0::DOUBLE AS oz, (event_id % 5) / 4.0::DOUBLE AS effort FROM events),
