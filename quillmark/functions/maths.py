@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,9 +194,10 @@ def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def camera_distance(radius: Column, fov_degrees: float, slack: float = 1.2) -> Column:
-    """MF20: far enough that a ball of ``radius`` fills the view."""
-    return radius * slack / math.tan(math.radians(fov_degrees) / 2)
+def camera_distance(radius: Column, fov_degrees: float, slack: float = 1.2, least: float = 1e-3, most: float | None = None) -> Column:
+    """MF20: far enough that a ball of ``radius`` fills the view; a ball of next to nothing counts as one of ``least``, and none is farther than ``most``."""
+    away = F.when(radius < 1e-9, least).otherwise(radius) * slack / math.tan(math.radians(fov_degrees) / 2)
+    return away if most is None else F.least(away, F.lit(float(most)))
 
 
 # Rotations: quaternions are (w, x, y, z)
@@ -230,6 +232,61 @@ def quat_matrix(q: list[Column]) -> list[list[Column]]:
     ]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def jacobi(m: Column, n: int, sweeps: int = 6) -> Column:
+    """struct(k, v): eigenvalues on the diagonal of k and eigenvectors in the columns of v, of a symmetric n x n matrix in rows as one array.
+
+    Turns of each pair of axes in turn, as an aggregate over the list of turns, so that the expression stays as short as one turn.
+    """
+    pairs = [(p, q) for p in range(n) for q in range(p + 1, n)]
+    turns = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(sweeps)), lambda _: F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pairs])))
+    entry = lambda a, i, j: F.get(a, i * n + j)
+    cells = F.sequence(F.lit(0), F.lit(n * n - 1))
+    row, column = lambda i: F.floor(i / n).cast("int"), lambda i: i % n
+
+    def mixed(a: Column, at: Callable, place: Callable[[Column], Column], t: Column, c: Column, s: Column) -> Column:
+        """Rows or columns p and q of ``a`` turned into each other; ``place`` says in which of them a cell is."""
+        return F.transform(cells, lambda i: F.when(place(i) == t.p, c * at(a, i, t.p) - s * at(a, i, t.q)).when(place(i) == t.q, s * at(a, i, t.p) + c * at(a, i, t.q)).otherwise(F.get(a, i)))
+
+    in_column, in_row = lambda a, i, j: entry(a, row(i), j), lambda a, i, j: entry(a, j, column(i))
+
+    def turned(state: Column, t: Column) -> Column:
+        off, low, high = entry(state.k, t.p, t.q), entry(state.k, t.p, t.p), entry(state.k, t.q, t.q)
+        angle = F.when(off == 0, 0.0).otherwise(0.5 * F.atan2(2 * off, high - low))
+
+        def step(cs: Column) -> Column:
+            k = _let(mixed(state.k, in_column, column, t, cs.c, cs.s), lambda half: mixed(half, in_row, row, t, cs.c, cs.s))
+            return F.struct(k.alias("k"), mixed(state.v, in_column, column, t, cs.c, cs.s).alias("v"))
+
+        return _let(_let(angle, lambda a: F.struct(F.cos(a).alias("c"), F.sin(a).alias("s"))), step)
+
+    start = F.struct(m.cast("array<double>").alias("k"), F.array(*[F.lit(float(i == j)) for i in range(n) for j in range(n)]).alias("v"))
+    return F.aggregate(turns, start, turned)
+
+
+def quat_of_matrix(m: list[list[Column]]) -> Column:
+    """MF14: array (w, x, y, z) of a rotation matrix, w not below 0: the leading eigenvector of a symmetric 4 x 4 matrix.
+
+    A matrix that is only nearly a rotation gives that of the nearest one. At half turns (w 0) the sign is free.
+    """
+    d = [m[0][0] - m[1][1] - m[2][2], m[1][1] - m[0][0] - m[2][2], m[2][2] - m[0][0] - m[1][1], m[0][0] + m[1][1] + m[2][2]]
+    xy, xz, yz = m[0][1] + m[1][0], m[0][2] + m[2][0], m[1][2] + m[2][1]
+    x, y, z = m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]
+    k = F.array(*[c / 3.0 for c in (d[0], xy, xz, x, xy, d[1], yz, y, xz, yz, d[2], z, x, y, z, d[3])])
+
+    def leading(e: Column) -> Column:
+        best = F.array_max(F.array(*[F.struct(F.get(e.k, F.lit(5 * i)).alias("value"), F.lit(-i).alias("i")) for i in range(4)]))
+        part = lambda j: F.get(e.v, 4 * j - best.i)
+        sign = F.when(part(3) < 0, -1.0).otherwise(1.0)
+        return F.array(*[sign * part(j) for j in (3, 0, 1, 2)])
+
+    return _let(jacobi(k, 4), leading)
+
+
 def rotated(q: list[Column], v: list[Column]) -> list[Column]:
     """MF14."""
     return [row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in quat_matrix(q)]

@@ -76,6 +76,18 @@ def chunked(rows: DataFrame, order: str, size: int, buckets: int = 64) -> DataFr
     return out.withColumns({"chunk": F.floor(number / size).cast("long"), "line": (number % size).cast("long")}).drop("__part", "__inside", "__before")
 
 
+def running_sums(rows: DataFrame, order: str, columns: list[str], buckets: int = 64) -> DataFrame:
+    """``rows`` with ``number`` from 0 and, for each column, ``<column>_sum`` over all rows up to this one in order, by ranges as ``chunked``."""
+    placed = written(rows.repartitionByRange(max(buckets, width(rows.sparkSession)), order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("__part").agg(F.count("*").alias("__rows"), *[F.sum(c).alias(f"__{c}") for c in columns])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = totals.select("__part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("__rows", *(f"__{c}" for c in columns))])
+    inside = Window.partitionBy("__part").orderBy(order)
+    out = placed.withColumns({"__i": F.row_number().over(inside), **{f"{c}_sum": F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for c in columns}}).join(F.broadcast(starts), "__part")
+    out = out.withColumns({"number": F.col("__i") + F.col("__rows_before") - 1, **{f"{c}_sum": F.col(f"{c}_sum") + F.col(f"__{c}_before") for c in columns}})
+    return out.drop("__part", "__i", "__rows_before", *[f"__{c}_before" for c in columns])
+
+
 def carried_situation(parts: DataFrame) -> DataFrame:
     """WN8: parts (custom_id, pos, kind, text) of a message: each image gets the last situation named before it; 1 or 2 by
     place where none was. A situation is not reset by an image."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.common import width
-from quillmark.operators.decisions import chunked
+from quillmark.operators.decisions import chunked, running_sums
 from quillmark.operators.pairs import draw
 
 
@@ -140,6 +140,27 @@ def running_moments(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.avg(column).alias("mean"), F.var_pop(column).alias("variance"), F.count(column).alias("n"))
 
 
+def running_steps(rows: DataFrame, batch: str, column: str, epsilon: float = 1e-4) -> DataFrame:
+    """AG16, step by step as it is kept online: (batch, mean, variance, weight) after each batch in order of ``batch``.
+
+    The weight starts at ``epsilon`` with mean 0 and variance 1. A step sets the mean to the batch's plus the batch's share of the
+    weight so far, and adds the batch's sample variance by its rows and the squared move of the mean by w n / (w + n)
+    to the sum of squares: sums over the batches before, so a prefix scan. Batches are moments of their rows by partial
+    aggregation, numbered and summed by ranges; a batch of one row has no sample variance and counts none.
+    """
+    moments = rows.groupBy(F.col(batch).alias("batch")).agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.coalesce(F.var_samp(column), F.lit(0.0)).alias("v")).where("n > 0")
+    weighed = running_sums(moments, "batch", ["n"])
+    total = F.col("n_sum") + F.lit(epsilon)
+    steps = weighed.withColumns({"weight": total, "mean": F.col("m") + F.col("n") / total})
+    # the step before, by number; before the first stand the mean 0 and the weight epsilon
+    before = steps.select((F.col("number") + 1).alias("number"), F.col("mean").alias("mean_before"), F.col("weight").alias("weight_before"))
+    steps = steps.join(before, "number", "left").fillna({"mean_before": 0.0, "weight_before": epsilon})
+    move = F.col("m") - F.col("mean_before")
+    added = steps.withColumn("s", F.col("v") * F.col("n") + move * move * F.col("weight_before") * F.col("n") / F.col("weight"))
+    summed = running_sums(added.select("batch", "mean", "weight", "s"), "batch", ["s"])
+    return summed.select(F.col("batch").alias(batch), "mean", ((F.col("s_sum") + epsilon) / F.col("weight")).alias("variance"), "weight")
+
+
 def distinct_check(rows: DataFrame, column: str, expected: int) -> DataFrame:
     """ST8: whether a column has the expected number of distinct values."""
     return rows.agg(F.countDistinct(column).alias("n_distinct"), (F.countDistinct(column) == expected).alias("ok"))

@@ -721,6 +721,26 @@ def camera_distance(spark, d):
     return points.robust_frame(A.points(spark, d)).select("cloud_id", F.round(maths.camera_distance(F.col("radius"), 60.0), 4).alias("distance"))
 
 
+@query(f"WITH {_FRAME} SELECT cloud_id, round(least(CASE WHEN radius < 1e-9 THEN 1e-3 ELSE radius END * 1.1::DOUBLE / tan(radians(60) / 2), 30000), 4) AS distance FROM fr")
+def camera_limits(spark, d):
+    return points.robust_frame(A.points(spark, d)).select("cloud_id", F.round(maths.camera_distance(F.col("radius"), 60.0, 1.1, most=30_000), 4).alias("distance"))
+
+
+@query()
+def camera_boxes(spark, d):
+    return points.camera_places(A.points(spark, d), (1.0, 0.0, 1.0)).select("cloud_id", *[F.round(c, 4).alias(c) for c in ("distance", "x", "y", "z")])
+
+
+@query(f"""WITH e AS (SELECT event_id, (event_id % 23) / 11.5::DOUBLE - 1 AS x, (event_id % 17) / 8.5::DOUBLE - 1 AS y, (event_id % 13) / 6.5::DOUBLE - 1 AS z, (event_id % 5) / 4.0::DOUBLE + 0.1::DOUBLE AS w FROM events),
+l AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS l FROM e) SELECT event_id, round(w / l, 6) AS w, round(x / l, 6) AS x, round(y / l, 6) AS y, round(z / l, 6) AS z FROM l""")
+def quat_of_matrix(spark, d):
+    i = F.col("event_id")
+    q = [(i % 5) / 4.0 + 0.1, (i % 23) / 11.5 - 1, (i % 17) / 8.5 - 1, (i % 13) / 6.5 - 1]
+    rows = table(spark, d, "events").select("event_id", F.array(*[F.array(*row) for row in maths.quat_matrix(q)]).alias("m"))
+    back = maths.quat_of_matrix([[F.col("m")[a][b] for b in range(3)] for a in range(3)])
+    return rows.select("event_id", back.alias("q")).select("event_id", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate("wxyz")])
+
+
 @query(f"WITH {A.POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY round((x - 25) * (x - 25) + (y - 30000) * (y - 30000) + (z - 0) * (z - 0), 9), pt) AS rk FROM points) SELECT cloud_id, pt FROM r WHERE rk > 50")
 def cloud_crop(spark, d):
     return points.cropped(A.points(spark, d), (25.0, 30000.0, 0.0), 50).select("cloud_id", "pt")
@@ -863,6 +883,15 @@ def running_moments(spark, d):
     return store.running_moments(table(spark, d, "events"), "value").select(F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), "n")
 
 
+@query("""WITH b AS (SELECT event_id // 128 AS batch, count(value) AS n, avg(value) AS m, coalesce(var_samp(value), 0) AS v FROM events GROUP BY 1),
+w AS (SELECT *, sum(n) OVER (ORDER BY batch) + 1e-4::DOUBLE AS weight FROM b), s AS (SELECT *, m + n / weight AS mean FROM w),
+p AS (SELECT *, coalesce(lag(mean) OVER (ORDER BY batch), 0) AS mb, coalesce(lag(weight) OVER (ORDER BY batch), 1e-4::DOUBLE) AS wb FROM s)
+SELECT batch, round(mean, 6) AS mean, round((sum(v * n + (m - mb) * (m - mb) * wb * n / weight) OVER (ORDER BY batch) + 1e-4::DOUBLE) / weight, 4) AS variance FROM p""")
+def running_moments_steps(spark, d):
+    rows = table(spark, d, "events").select(F.expr("event_id div 128").alias("batch"), "value")
+    return store.running_steps(rows, "batch", "value").select("batch", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
 @query("SELECT count(DISTINCT user_id) AS n_distinct, count(DISTINCT user_id) = 150 AS ok FROM events")
 def distinct_goals(spark, d):
     return store.distinct_check(table(spark, d, "events"), "user_id", 150)
