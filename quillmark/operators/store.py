@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +129,163 @@ def bounded(samples: DataFrame, capacity: int, initial: float, replace: str = "n
     return dealt.mapInPandas(run, "bin_id int, sample_id long, fate string, gone long")
 
 
+def clusters(x: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """AG22, SR11: (bin of each row, centres), bins numbered by the last coordinate of their centres; as many as score best by silhouette.
+
+    Lloyd's steps from seeds that are farthest from each other, so equal rows give equal bins on every run. Rows are a task's
+    stored samples, at most as many as the store holds.
+    """
+    apart = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for k in range(least, min(most, len(x)) + 1):
+        seeds = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+        while len(seeds) < k:
+            seeds.append(int(apart[seeds].min(0).argmax()))
+        centres = x[seeds].copy()
+        for _ in range(50):
+            label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            moved = np.stack([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(k)])
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        score = _silhouette(apart, label) if len(set(label.tolist())) > 1 else -1.0
+        if best is None or score > best[0]:
+            best = (score, label, centres)
+    _, label, centres = best
+    order = np.argsort(centres[:, -1], kind="stable")
+    return np.argsort(order, kind="stable")[label], centres[order]
+
+
+def _silhouette(apart: np.ndarray, label: np.ndarray) -> float:
+    """The mean over rows of how much nearer they are to their own cluster than to the next; rows alone in theirs count 0."""
+    kinds = np.unique(label)
+    sizes = np.array([(label == c).sum() for c in kinds])
+    sums = np.stack([apart[:, label == c].sum(1) for c in kinds], axis=1)
+    own = np.searchsorted(kinds, label)
+    rows = np.arange(len(label))
+    inside = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+    means = sums / sizes
+    means[rows, own] = np.inf
+    other = means.min(1)
+    both = np.maximum(inside, other)
+    return float(np.where((sizes[own] > 1) & (both > 0), (other - inside) / np.where(both > 0, both, 1), 0.0).mean())
+
+
+class TaskStore:
+    """SP21 with SS2, SP20, SP22 and AG22: one task's samples, bounded in all, binned anew as they come.
+
+    Each sample counts; where the count leaves 1 when divided by ``every`` and the store is full, bins are made anew from the
+    stored samples (vectors beside weighted rewards), capacities are shared out again and bins over theirs lose samples by
+    hash. Then the sample goes to the bin of the nearest centre (0 before there are any). The first ``total`` samples enter; later ones are
+    refused where nearer than the threshold to one of their bin, else they enter while there is room or replace the nearest one
+    (or one by hash). The threshold is ``scale`` times the median of all distances taken so far, from five on and unless it is 0. As the first ``total`` enter whatever their bin, other
+    bins may have room left: the store holds less than twice ``total``.
+    """
+
+    def __init__(self, total: int, every: int, bins: tuple[int, int] = (2, 5), initial: float = 0.3, scale: float = 1.0, reward_weight: float = 0.3, replace: str = "nearest", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)):
+        self.total, self.every, self.bins, self.initial, self.scale, self.reward_weight, self.replace, self.weights = total, every, bins, initial, scale, reward_weight, replace, weights
+        self.seen = 0
+        self.centres: np.ndarray | None = None
+        self.n_bins = bins[0]
+        self.samples: dict[int, tuple[int, np.ndarray, float, float]] = {}  # id: bin, vector, reward, time; in order of entry
+        self.distances: list[float] = []  # in order of size
+        self.fresh: list[float] = []  # taken since the last time the state was put away
+        self.touched: set[int] = set()
+
+    def capacity(self, of: int) -> int:
+        return self.total // self.n_bins + (of < self.total % self.n_bins)
+
+    def threshold(self) -> float:
+        n = len(self.distances)
+        m = (self.distances[(n - 1) // 2] + self.distances[n // 2]) / 2 if n >= 5 else 0.0
+        return self.initial if m < 1e-9 else self.scale * m
+
+    def offer(self, sample_id: int, vector: np.ndarray, reward: float) -> list[tuple[int, str, int, int | None]]:
+        """(sample, fate, bin, sample that left for it) of this sample and, before it, of those trimmed on its arrival."""
+        out = []
+        self.seen += 1
+        if self.seen % self.every == 1 and len(self.samples) >= max(self.total, self.bins[0], 2):
+            out += self._rebin()
+        time = float(self.seen - 1)
+        at = 0 if self.centres is None else int(((self.centres - np.r_[vector, reward * self.reward_weight]) ** 2).sum(1).argmin())
+        if len(self.samples) < self.total:
+            self._enter(sample_id, at, vector, reward, time)
+            self._take(0.0)  # the sample finds itself
+            return [*out, (sample_id, "added", at, None)]
+        mine = [i for i, s in self.samples.items() if s[0] == at]
+        near, away = None, None
+        if mine:
+            alpha, beta, gamma = self.weights
+            vectors, extras = np.stack([self.samples[i][1] for i in mine]), np.array([self.samples[i][2:] for i in mine])
+            d = np.sqrt(alpha * ((vectors - vector) ** 2).sum(1) + beta * (extras[:, 0] - reward) ** 2 + gamma * (extras[:, 1] - time) ** 2)
+            near, away = mine[int(d.argmin())], float(d.min())
+            if away < self.threshold():
+                return [*out, (sample_id, "refused", at, None)]
+        gone = None
+        if mine and len(mine) >= self.capacity(at):
+            gone = near if self.replace == "nearest" else min(mine, key=lambda i: zlib.crc32(f"{self.seen}|{i}".encode()))
+            self._leave(gone)
+        self._enter(sample_id, at, vector, reward, time)
+        if away is not None:
+            self._take(away)
+        return [*out, (sample_id, "added" if gone is None else "replaced", at, gone)]
+
+    def _rebin(self) -> list[tuple[int, str, int, int | None]]:
+        ids = list(self.samples)
+        label, self.centres = clusters(np.stack([np.r_[self.samples[i][1], self.samples[i][2] * self.reward_weight] for i in ids]), *self.bins)
+        self.n_bins = len(self.centres)
+        out = []
+        for i, b in zip(ids, label.tolist(), strict=True):
+            self.samples[i] = (b, *self.samples[i][1:])
+        self.touched.update(ids)
+        for b in range(self.n_bins):
+            mine = sorted((i for i, s in self.samples.items() if s[0] == b), key=lambda i: zlib.crc32(f"{self.seen}|{i}".encode()))
+            for i in mine[: max(0, len(mine) - self.capacity(b))]:
+                self._leave(i)
+                out.append((i, "trimmed", b, None))
+        return out
+
+    def _take(self, distance: float) -> None:
+        bisect.insort(self.distances, distance)
+        self.fresh.append(distance)
+
+    def _enter(self, sample_id: int, at: int, vector: np.ndarray, reward: float, time: float) -> None:
+        self.samples.pop(sample_id, None)
+        self.samples[sample_id] = (at, vector, reward, time)
+        self.touched.add(sample_id)
+
+    def _leave(self, sample_id: int) -> None:
+        del self.samples[sample_id]
+        self.touched.add(sample_id)
+
+
+REBINNED = "sample_id long, fate string, bin_id int, gone long"
+
+
+def rebinned(samples: DataFrame, task: str, **policy) -> DataFrame:
+    """(task, sample_id, fate, bin_id, gone) of all samples (task, sample_id, embedding, reward) in order of id, by a ``TaskStore`` each task.
+
+    Each step needs the last, so a task's rows pass one Spark task in order, as a stream; what is held is the bounded store and a number a
+    distance taken. Rows without a vector are left out.
+    """
+    kind = samples.schema[task].dataType.simpleString()
+    rows = samples.where("size(embedding) > 0").select(task, "sample_id", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.col("reward").cast("double"), F.lit(0.0)).alias("reward"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, store = object(), None
+        for pdf in it:
+            out = []
+            for t, i, v, r in zip(pdf[task], pdf["sample_id"], pdf["embedding"], pdf["reward"], strict=True):
+                if store is None or t != current:
+                    current, store = t, TaskStore(**policy)
+                out += [(t, *x) for x in store.offer(int(i), np.asarray(v, float), float(r))]
+            fates = pd.DataFrame(out, columns=[task, "sample_id", "fate", "bin_id", "gone"])
+            yield fates.assign(gone=fates["gone"].astype("Int64"))
+
+    dealt = rows.where(F.col(task).isNotNull()).repartition(width(rows.sparkSession), task).sortWithinPartitions(task, "sample_id")
+    return dealt.mapInPandas(run, f"{task} {kind}, {REBINNED}")
+
+
 def observation_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
     """AG25: each column less its mean, by its population spread plus 1e-8."""
     stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

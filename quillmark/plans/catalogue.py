@@ -766,6 +766,11 @@ def bin_kmeans(spark, d):
     return store.clustered(A.samples(spark, d), [3, 5]).select("sample_id", "bin_id")
 
 
+@query()
+def rebinned_store(spark, d):
+    return store.rebinned(A.samples(spark, d).withColumn("task", F.col("sample_id") % 7), "task", total=40, every=20, weights=(1.0, 0.01, 0.0))
+
+
 @query()
 def bounded_store(spark, d):
     return store.bounded(A.samples(spark, d), 20, 0.3)
