@@ -71,29 +71,38 @@ def test_one_id_with_different_texts(spark):
         assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, ""), (3, "short")])
 
 
-def groups(rows, like):
-    """The root of each row, where pairs of this likeness or more are joined."""
-    sets, root = [brute_set(t) for _, t in rows], list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if root[i] != root[j] and (a == b or (a and b and len(a & b) >= like * len(a | b))):
-                x, y = max(root[i], root[j]), min(root[i], root[j])
-                root = [y if r == x else r for r in root]
-    return root
-
-
 def test_stage_against_brute_force_on_documents(spark):
-    """Distances tell likeness to 0.02: whatever is joined at 0.85 leaves one, and what is not joined at 0.75 stays."""
+    """At likeness 0.8 exactly: what stays is what brute force keeps."""
     rows = sorted({(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()})
     got = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, table(spark, DATA, "documents"), DATA).collect()}
-    for like, bound in ((0.85, 1), (0.8, 1)):
-        kept = {}
-        for row, root in zip(rows, groups(rows, like), strict=True):
-            kept[root] = kept.get(root, 0) + (row in got)
-        assert max(kept.values()) <= bound
-    loose = groups(rows, 0.75)
-    assert all(any((rows[i] in got) for i, r in enumerate(loose) if r == root) for root in set(loose))
-    assert {rows[r] for r in set(loose)} <= got
+    assert got == brute_kept(rows)
+
+
+def pair_of(rng, n, shared):
+    """Two texts with n shingles each, ``shared`` of them in common."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+    other = words[: shared + 4] + [f"v{rng.randrange(10**6)}" for _ in range(n - shared)]
+    return " ".join(words), " ".join(other)
+
+
+def test_planted_pairs_on_both_sides_of_the_bound(spark):
+    """Sets of 300 shingles: nearly all pairs of 0.80 and all of 0.82 and more lose one, none of 0.795 or less does."""
+    rng, rows, like = random.Random(9), [], {}
+    for g in range(800):
+        want = (0.80, 0.82, 0.795, 0.78)[g % 4]
+        shared = {0.80: 267, 0.82: 271, 0.795: 265, 0.78: 263}[want]  # of 600: 267 / 333 is 0.802
+        a, b = pair_of(rng, 300, shared)
+        x, y = brute_set(a), brute_set(b)
+        like[g] = len(x & y) / len(x | y)
+        rows += [(2 * g, a), (2 * g + 1, b)]
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), DATA).collect()}
+    assert all(2 * g in got for g in like)
+    lost = {g: 2 * g + 1 not in got for g in like}
+    assert not any(lost[g] for g, v in like.items() if v < 0.8)
+    at = [lost[g] for g, v in like.items() if 0.8 <= v < 0.81]
+    assert len(at) == 200 and sum(at) / len(at) >= 0.95
+    above = [lost[g] for g, v in like.items() if v >= 0.81]
+    assert len(above) == 200 and sum(above) / len(above) >= 0.98
 
 
 def test_hot_keys_are_dealt_to_salts(spark):
