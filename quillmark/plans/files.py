@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.common import shared_dir, table
 from quillmark.functions import maths, text, vectors
-from quillmark.operators import conversations, evaluation, preferences, trajectories
+from quillmark.operators import conversations, evaluation, points, preferences, trajectories
 from quillmark.plans import adapters as A
 from quillmark.plans.catalogue import query
 from quillmark.sources import scans, sinks
@@ -308,3 +308,133 @@ def replay_with_states(spark, d):
 def embedding_digest(spark, d):
     """SF20 over numbers."""
     return table(spark, d, "embeddings").select("vec_id", text.vector_digest(F.col("embedding")).alias("digest"))
+
+
+# --- folders of metas, results, sources and prompts
+
+
+def _arrays(rows, group, value, at):
+    """Writes a file for each group, one JSON array in it; groups are bounded by how they are made."""
+    many = rows.groupBy(F.lpad(group.cast("string"), 8, "0").alias("part")).agg(F.to_json(F.collect_list(value)).alias("value"))
+    many.write.partitionBy("part").text(at)
+
+
+def _metas(spark, d, part):
+    """Sample metas in files of 200, as their ids come; ``part`` moves and changes them."""
+    s = A.samples(spark, d).select("sample_id", "bin_id", "reward", "time")
+    meta = F.struct("sample_id", (F.col("reward") + part).alias("reward"), F.when(F.col("sample_id") % 5 != 0, F.col("bin_id")).alias("bin_id"), "time")
+    return s, F.floor(F.col("sample_id") / 200).cast("long") + part * 1_000_000, meta
+
+
+@query(f"WITH {A.SAMPLES} SELECT sample_id, reward, time, CASE WHEN sample_id % 5 <> 0 THEN bin_id ELSE -1 END AS bin_id, 'nohash' AS short_hash FROM samples")
+def sample_scan(spark, d):
+    """SC1: metas in a folder of JSON files; a meta without a bin has -1."""
+    at = _folder(spark, "metas")
+    _arrays(*_metas(spark, d, 0), at)
+    return scans.samples(spark, at, "*").select("sample_id", "reward", "time", "bin_id", "short_hash")
+
+
+@query(f"WITH {A.SAMPLES} SELECT sample_id::VARCHAR AS sample_id, CASE WHEN sample_id % 3 = 0 THEN reward + 1 ELSE reward END AS reward FROM samples")
+def sample_scan_last(spark, d):
+    """SC2: the last file of an id counts; a third of the metas come again in a later file."""
+    at = _folder(spark, "metas")
+    for part in (0, 1):
+        rows, group, meta = _metas(spark, d, part)
+        _arrays(rows.where("sample_id % 3 = 0") if part else rows, group, meta, f"{at}/run={part}")
+    found = scans.samples_last_wins(spark, at, "*")
+    return found.select(F.col("sample_id").cast("string").alias("sample_id"), "reward")
+
+
+@query(f"""WITH {A.SAMPLES}, v AS (SELECT sample_id, unnest(['B_view', 'a_view', 'C_view']) || (sample_id % 7) AS path, unnest([1, 2, 3]) AS k FROM samples)
+SELECT s.sample_id, array_to_string(list(path ORDER BY lower(path), path), '|') AS views FROM samples s JOIN v USING (sample_id) WHERE sample_id % 4 <> 1 AND k <= sample_id % 4 + 1 GROUP BY ALL""")
+def samples_with_views(spark, d):
+    """JN3, PF1, SR5: samples with their views in order of lower case; those without one go."""
+    s = A.samples(spark, d).select("sample_id", "bin_id")
+    names = F.array(*[F.concat(F.lit(n), (F.col("sample_id") % 7).cast("string")) for n in ("B_view", "a_view", "C_view")])
+    views = s.where("sample_id % 4 <> 1").select("sample_id", F.explode(F.slice(names, F.lit(1), (F.col("sample_id") % 4 + 1).cast("int"))).alias("path"))
+    return scans.with_views(s, views).select("sample_id", F.array_join("views", "|").alias("views"))
+
+
+@query("SELECT doc_id::VARCHAR AS question_id, 'quality ' || quality || ', toxic ' || toxic AS evaluation_result FROM labels")
+def judge_scan(spark, d):
+    """SC11: results of a folder of JSON arrays."""
+    at = _folder(spark, "judged")
+    rows = table(spark, d, "labels")
+    said = F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string"))
+    _arrays(rows, F.floor(F.col("doc_id") / 500).cast("long"), F.struct(F.col("doc_id").cast("string").alias("question_id"), said.alias("evaluation_result")), at)
+    return scans.judge_results(spark, at).select("question_id", "evaluation_result")
+
+
+@query("SELECT event_id // 250 AS part, count(*) + 1 AS n_lines, sum(length(event_type) + 1)::BIGINT AS n_chars FROM events GROUP BY 1")
+def source_scan(spark, d):
+    """SC15: whole files under a line that names them."""
+    e, i = _i(spark, d, "event_type")
+    at = _folder(spark, "sources")
+    e.withColumn("part", F.floor(i / 250).cast("long")).repartition("part").select("part", F.col("event_type").alias("value")).write.partitionBy("part").text(at)
+    lines = F.split("text", "\n")
+    rows = scans.source_files(spark, at, "").select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), "text", F.startswith(lines[0], F.lit("# file: ")).alias("named"), lines[0].alias("head"))
+    return rows.where("named").select("part", (F.size(F.split("text", "\n")) - 1).cast("long").alias("n_lines"), (F.length("text") - F.length("head") - 1).cast("long").alias("n_chars"))
+
+
+@query("SELECT event_id, 'Which is nearer to ' || event_type || '?' AS prompt FROM events")
+def prompt_log(spark, d):
+    """SK18: prompts with the time of writing, which is not in the future."""
+    e, _ = _i(spark, d, "event_type")
+    at = _folder(spark, "log")
+    for part in (0, 1):
+        sinks.append_prompts(e.where(F.col("event_id") % 2 == part).select("event_id", F.concat(F.lit("Which is nearer to "), F.col("event_type"), F.lit("?")).alias("prompt")), at)
+    return spark.read.schema("event_id long, prompt string, logged_at timestamp").json(at).where("logged_at <= current_timestamp()").select("event_id", "prompt")
+
+
+# --- preferences: contents, labels, scores
+
+
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS a, CASE WHEN vec_id % 6 = 0 THEN embedding ELSE lead(embedding) OVER (ORDER BY vec_id) END::DOUBLE[] AS b, (vec_id % 3 - 1)::INT AS label FROM embeddings)
+SELECT vec_id, label FROM p WHERE b IS NOT NULL AND list_distance(a, b) >= 1e-3 AND label <> -1""")
+def useful_pairs(spark, d):
+    """PF3, PF4: pairs whose contents differ and that have a label."""
+    v = table(spark, d, "embeddings")
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    p = v.join(nxt, "vec_id", "left").select("vec_id", F.col("embedding").alias("a"), F.when(F.col("vec_id") % 6 == 0, F.col("embedding")).otherwise(F.col("after")).alias("b"), (F.col("vec_id") % 3 - 1).cast("int").alias("label"))
+    return preferences.labelled(preferences.useful(p.where("b is not null"), "a", "b")).select("vec_id", "label")
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 13 IN (4, 9) THEN NULL ELSE (event_id % 101) / 100.0::DOUBLE * 2 - 1 END, 9) AS label FROM events")
+def score_labels(spark, d):
+    """PF5: replies of scores from 0 to 1; words and empty replies give none."""
+    e, i = _i(spark, d)
+    reply = F.when(i % 13 == 4, F.concat(F.lit("score "), i.cast("string"))).when(i % 13 == 9, F.lit("")).otherwise(F.format_string("%s%.2f%s", F.when(i % 3 == 0, " ").otherwise(""), (i % 101) / 100.0, F.when(i % 5 == 0, "\n").otherwise("")))
+    return e.select("event_id", F.round(preferences.score_label(F.trim(F.regexp_replace(reply, "\n", ""))), 9).alias("label"))
+
+
+@query("SELECT DISTINCT event_id AS geom FROM events WHERE user_id % 4 = 1 AND user_id < 100")
+def body_geoms(spark, d):
+    """PF14: the geoms of some bodies."""
+    e = table(spark, d, "events")
+    bodies = e.where("user_id % 4 = 1 and user_id < 100").select(F.col("user_id").alias("body"))
+    return points.of_bodies(e.select(F.col("event_id").alias("geom"), F.col("user_id").alias("body")), bodies)
+
+
+@query("SELECT event_id, round(cos(a) * 2 - sin(a) * x + 1, 6) AS x, round(sin(a) * 2 + cos(a) * x - 1, 6) AS y, round(x + 0.5::DOUBLE, 6) AS z FROM (SELECT event_id, (event_id % 12) / 2.0::DOUBLE AS a, value / 10 AS x FROM events)")
+def placed_points(spark, d):
+    """VP13: places in a body's frame, seen from the world: a turn about z, then a shift."""
+    e, i = _i(spark, d, "value")
+    a, x = (i % 12) / 2.0, F.col("value") / 10
+    turn = [[F.cos(a), -F.sin(a), F.lit(0.0)], [F.sin(a), F.cos(a), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
+    at = maths.placed(turn, [F.lit(2.0), x, x], [F.lit(1.0), F.lit(-1.0), F.lit(0.5)])
+    return e.select("event_id", *[F.round(v, 6).alias(c) for v, c in zip(at, "xyz", strict=True)])
+
+
+@query(f"WITH {A.TURNS}, t AS (SELECT id || '_' || pos AS custom_id, id, pos FROM turns WHERE who = 'gpt' AND trim(value, ' ') <> '') SELECT custom_id, id, pos FROM t ORDER BY id, pos LIMIT 50")
+def rewrite_first(spark, d):
+    """SR8: the first 50 rewriting tasks in order."""
+    return conversations.capped(conversations.rewrite_tasks(A.conversations(spark, d)), 50).select("custom_id", "id", "pos")
+
+
+@query()
+def kcenter_uncertain(spark, d):
+    """SP12: k-centre among the most uncertain pairs of each bin."""
+    s = A.samples(spark, d)
+    member = s.select(F.col("sample_id").alias("pair_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("member"))
+    scores = member.withColumn("p", maths.uniform(F.lit(5), F.col("pair_id"), F.col("member")))
+    return preferences.k_center_of_uncertain(scores, s.select(F.col("sample_id").alias("id"), F.col("bin_id").alias("environment"), "embedding"), 12)

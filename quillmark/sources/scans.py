@@ -22,8 +22,8 @@ RESPONSE = f"custom_id STRING, response STRUCT<body:STRUCT<choices:{CHOICES}>, c
 RECORD = "id STRING, point STRING, conversations ARRAY<STRUCT<`from`:STRING, value:STRING>>"
 
 
-def _samples(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.schema(META).option("multiLine", True).option("pathGlobFilter", "meta_*.json").json(folder)
+def _samples(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    rows = spark.read.schema(META).option("multiLine", True).option("pathGlobFilter", names).json(folder)
     rows = rows.withColumn("path", F.col("_metadata.file_path")).where("sample_id is not null")
     return rows.withColumns({
         "reward": F.coalesce("reward", F.lit(0.0)), "time": F.coalesce("time", F.lit(0.0)), "bin_id": F.coalesce("bin_id", F.lit(-1)),
@@ -32,17 +32,17 @@ def _samples(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-def samples(spark: SparkSession, folder: str) -> DataFrame:
+def samples(spark: SparkSession, folder: str, names: str = "meta_*.json") -> DataFrame:
     """SC1: sample metas; ids are whole numbers; an id taken by an earlier file gets digits of a hash of its path appended."""
-    rows = _samples(spark, folder).withColumn("sample_id", F.col("sample_id").try_cast("long")).where("sample_id is not null")
+    rows = _samples(spark, folder, names).withColumn("sample_id", F.col("sample_id").try_cast("long")).where("sample_id is not null")
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("path"))
     other = F.concat(F.col("sample_id").cast("string"), F.pmod(F.xxhash64("path"), F.lit(10000)).cast("string")).cast("long")
     return rows.withColumn("rank", rank).withColumn("sample_id", F.when(F.col("rank") > 1, other).otherwise(F.col("sample_id"))).drop("rank")
 
 
-def samples_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+def samples_last_wins(spark: SparkSession, folder: str, names: str = "meta_*.json") -> DataFrame:
     """SC2: the second dialect: ids as they are, the last file of an id counts."""
-    rows = _samples(spark, folder)
+    rows = _samples(spark, folder, names)
     return rows.groupBy("sample_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "sample_id"]), "path").alias("s")).select("sample_id", "s.*")
 
 
@@ -149,7 +149,7 @@ def cached_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def source_files(spark: SparkSession, folder: str, suffix: str = ".py") -> DataFrame:
     """SC15: each file with a header line of its path."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.concat(F.lit("# file: "), path, F.lit("\n"), F.col("value")).alias("text"))
 

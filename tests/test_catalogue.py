@@ -51,5 +51,5 @@ def test_entry_points(spark):
 
 def test_only_sequential_or_approximate_queries_have_no_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {
-        "text_rouge_l", "embedding_digest", "pairs_usage_cap", "pairs_generate", "pairs_generate_padded", "kcenter", "fps", "fps_groups", "bin_kmeans", "bounded_store", "rebinned_store", "camera_boxes",
+        "text_rouge_l", "embedding_digest", "pairs_usage_cap", "pairs_generate", "pairs_generate_padded", "kcenter", "fps", "fps_groups", "bin_kmeans", "bounded_store", "rebinned_store", "camera_boxes", "kcenter_uncertain",
     }
