@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmark.common import release, unused, width, written
 from quillmark.functions import vectors
-from quillmark.operators.decisions import chunked
+from quillmark.operators.decisions import chunked, running_sums
 
 #: First digits of the random key by which a ratio sample is counted; 16 to this power counts a group.
 RATIO_DIGITS = 3
@@ -189,14 +189,20 @@ def _capped_in_rounds(pairs: DataFrame, limit: int, group: str, stretch: int = S
                 part = part.join(full, F.col("g").eqNullSafe(F.col("fg")) & (F.col(side) == F.col("fm")), "left_anti")
         chosen = _rounds(part.withColumn("taken", F.lit(False)), used, limit)
         taken.append(chosen.select("__n"))
-        before, used = used, written(_uses(chosen, used), "cap-used")
-        if before is not None:
-            release(before)
+        used = _used(chosen, used)
         start, size = start + size, 2 * size
     chosen = functools.reduce(DataFrame.union, taken) if taken else ordered.select("__n").where("false")
     return ordered.join(chosen, "__n").select(*pairs.columns)
 
 
+def _used(chosen: DataFrame, used: DataFrame | None) -> DataFrame:
+    """``used`` with what was chosen besides, written anew."""
+    out = written(_uses(chosen, used), "cap-used")
+    if used is not None:
+        release(used)
+    return out
+
+
 def _incidences(pairs: DataFrame) -> DataFrame:
     """A row for each member of a pair, with the times the pair uses it."""
     one = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("m"), F.lit(2).alias("w"))))
@@ -247,87 +253,279 @@ def duplicate_fill(pairs: DataFrame, wanted: int) -> DataFrame:
     return grown.where(F.col("rank") < wanted).drop("round")
 
 
-_CANDIDATE = ("a", "b", "tag", "key")
+# Generation. The pairs of two bins are a product, and a random sample of it in random order needs no list of it: a
+# keyed permutation of the product's places gives the pair at each rank, and the rank of each pair. Candidates are
+# made rank by rank, as far as the cap needs them.
+
+#: Double rounds of the permutation.
+TURNS = 3
+#: Ranks that one row of a stretch is spread to.
+SPREAD = 20_000
+
+
+def _turn(x: Column, y: Column, n: Column, seed: Column, step: int, sign: int) -> Column:
+    """x moved by a hash of y, within n."""
+    return F.pmod(x + sign * F.pmod(F.xxhash64(seed, F.lit(step), y), n), n)
+
+
+def at_rank(rows: DataFrame, rank: str = "rank", sides: tuple[str, str] = ("n_x", "n_y"), seed: str = "seed") -> DataFrame:
+    """``rows`` with the place (x, y) of a product of n_x by n_y that stands at ``rank`` of its random order: a permutation of all n_x n_y places."""
+    n_x, n_y, s = F.col(sides[0]), F.col(sides[1]), F.col(seed)
+    out = rows.withColumns({"x": F.expr(f"`{rank}` div `{sides[1]}`"), "y": F.col(rank) % n_y})
+    for step in range(TURNS):
+        out = out.withColumn("x", _turn(F.col("x"), F.col("y"), n_x, s, 2 * step, 1)).withColumn("y", _turn(F.col("y"), F.col("x"), n_y, s, 2 * step + 1, 1))
+    return out
+
+
+def rank_at(rows: DataFrame, place: tuple[str, str] = ("x", "y"), sides: tuple[str, str] = ("n_x", "n_y"), seed: str = "seed", rank: str = "rank") -> DataFrame:
+    """``rows`` with the rank of a place: ``at_rank`` the other way."""
+    n_x, n_y, s = F.col(sides[0]), F.col(sides[1]), F.col(seed)
+    out = rows.withColumns({"__x": F.col(place[0]), "__y": F.col(place[1])})
+    for step in reversed(range(TURNS)):
+        out = out.withColumn("__y", _turn(F.col("__y"), F.col("__x"), n_y, s, 2 * step + 1, -1)).withColumn("__x", _turn(F.col("__x"), F.col("__y"), n_x, s, 2 * step, -1))
+    return out.withColumn(rank, F.col("__x") * n_y + F.col("__y")).drop("__x", "__y")
+
+
+def _inside(n: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """The pair of different ones of n members at a place of the product that ``_inside_sides`` gives: each unordered pair once."""
+    even = n % 2 == 0
+    m = F.when(even, n - 1).otherwise(n)
+    step = F.when(even, x).otherwise(x + 1)
+    first, second = F.pmod(y + step, m), F.pmod(y - step, m)
+    last = even & (x == 0)
+    return F.when(last, n - 1).otherwise(first), F.when(last, y).otherwise(second)
+
 
+def _inside_place(n: Column, i: Column, j: Column) -> tuple[Column, Column]:
+    """The place of a pair (i, j): ``_inside`` the other way."""
+    even = n % 2 == 0
+    m = F.when(even, n - 1).otherwise(n)
+    low, high = F.least(i, j), F.greatest(i, j)
+    apart = F.pmod(high - low, m)  # twice the step, or its complement
+    step = F.when(apart % 2 == 0, (apart / 2).cast("long")).otherwise(((m - apart) / 2).cast("long"))
+    centre = F.when(apart % 2 == 0, F.pmod(low + step, m)).otherwise(F.pmod(high + step, m))
+    last = even & (high == n - 1)
+    return F.when(last, F.lit(0)).otherwise(F.when(even, step).otherwise(step - 1)), F.when(last, low).otherwise(centre)
 
-def _candidate(pairs: DataFrame, priority: int, tag: Column, *place: Column) -> DataFrame:
-    """Candidates of one strategy; ``key`` orders them within all: strategy, bins, place."""
-    first, second, inside = place
-    key = F.struct(F.lit(priority).alias("strategy"), first.cast("long").alias("first"), second.cast("long").alias("second"), inside.cast("string").alias("inside"))
-    return pairs.select("a", "b", tag.alias("tag"), key.alias("key"))
+
+def _members(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bin, place, sample_id) with the place of each sample in its bin, by ranges; and (bin, n, first) a bin. As written tables."""
+    keyed = samples.select(F.col("bin_id").alias("bin"), "sample_id").withColumn("__key", F.struct("bin", "sample_id"))
+    numbered = chunked(keyed, "__key", 1 << 40).select("bin", "sample_id", F.col("line").alias("number"))
+    numbered = written(numbered, "pairs-numbered")
+    bins = written(numbered.groupBy("bin").agg(F.count("*").alias("n"), F.min("number").alias("start"), F.min("sample_id").alias("first")), "pairs-bins")
+    placed = written(numbered.join(bins.select("bin", "start"), "bin").select("bin", (F.col("number") - F.col("start")).alias("place"), "sample_id"), "pairs-members")
+    release(numbered)
+    return placed, bins
+
+
+_BLOCK = ("strategy", "x1", "x2", "bin_x", "bin_y", "n_x", "n_y", "n_in", "seed", "tag")
+
+
+def _crossed(bins: DataFrame, pairs: DataFrame, strategy: int, seed: int, ratio: float, tag: Column) -> DataFrame:
+    """Blocks of the products of pairs of bins (bin_x, bin_y), in order of the bins. ``n_in`` is null: places are those of two bins."""
+    side = lambda c: bins.select(F.col("bin").alias(f"bin_{c}"), F.col("n").alias(f"n_{c}"))
+    rows = pairs.join(side("x"), "bin_x").join(side("y"), "bin_y").withColumns({"strategy": F.lit(strategy), "x1": F.col("bin_x").cast("long"), "x2": F.col("bin_y").cast("long"), "n_in": F.lit(None).cast("long"), "seed": F.xxhash64(F.lit(seed), "bin_x", "bin_y"), "tag": tag})
+    return rows.select(*_BLOCK).withColumn("keep", F.ceil(F.col("n_x") * F.col("n_y") * F.lit(ratio)).cast("long"))
+
+
+def _within(bins: DataFrame, strategy: int, seed: int, ratio: float) -> DataFrame:
+    """Blocks of the pairs inside each bin, in order of the bins' first samples: a product of places that stands for the pairs."""
+    even = F.col("n") % 2 == 0
+    sides = {"n_x": F.when(even, F.col("n") / 2).otherwise((F.col("n") - 1) / 2).cast("long"), "n_y": F.when(even, F.col("n") - 1).otherwise(F.col("n"))}
+    rows = bins.where("n > 1").withColumns({"strategy": F.lit(strategy), "x1": F.col("first").cast("long"), "x2": F.lit(0).cast("long"), "bin_x": F.col("bin"), "bin_y": F.col("bin"), **sides, "n_in": F.col("n"), "seed": F.xxhash64(F.lit(seed), "bin"), "tag": _named("intra_bin_random_", F.col("bin"))})
+    return rows.select(*_BLOCK).withColumn("keep", F.ceil(F.col("n_x") * F.col("n_y") * F.lit(ratio)).cast("long"))
 
 
 def _named(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _by_distance(samples: DataFrame, top: int, priority: int) -> DataFrame:
-    """Nearest pairs of each bin in order, then farthest ones with the farthest last; bins in order of their first sample."""
-    first = samples.groupBy("bin_id").agg(F.min("sample_id").alias("first"))
-    ends = extremes_by_distance(samples, top, ranked=True).join(first, "bin_id")
-    small = F.col("tag") == "intra_bin_small"
-    place = F.lpad(F.when(small, F.col("rank")).otherwise(F.lit(2 * top + 1) - F.col("rank")).cast("string"), 12, "0")
-    return _candidate(ends, priority, _named("intra_bin_", F.col("bin_id"), F.when(small, "_small").otherwise("_large")), F.col("first"), F.lit(0), place)
+def _drawn(blocks: DataFrame, start: int, end: int, members: DataFrame, width_: int) -> DataFrame:
+    """(__n, tag, bin_x, bin_y, x, y, a, b): the candidates of ``blocks`` (with ``before``, the ranks ahead of each) numbered start to end, of members at hand."""
+    low, high = F.greatest(F.lit(start) - F.col("before"), F.lit(0)), F.least(F.lit(end) - F.col("before"), F.col("keep"))
+    part = blocks.withColumns({"low": low, "high": high}).where("low < high")
+    pieces = part.withColumn("from", F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(SPREAD).cast("long")))).repartition(width_)
+    ranks = pieces.withColumn("rank", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SPREAD, F.col("high")) - 1)))
+    placed = at_rank(ranks)
+    inside = _inside(F.col("n_in"), F.col("x"), F.col("y"))
+    placed = placed.withColumns({"i": F.when(F.col("n_in").isNull(), F.col("x")).otherwise(inside[0]), "j": F.when(F.col("n_in").isNull(), F.col("y")).otherwise(inside[1])})
+    side = lambda n, c: members.select(F.col("bin").alias(f"bin_{n}"), F.col("place").alias(c), F.col("sample_id").alias(f"__{c}"))
+    found = placed.join(side("x", "i"), ["bin_x", "i"]).join(side("y", "j"), ["bin_y", "j"])
+    return _ordered_pair(found.withColumn("__n", F.col("before") + F.col("rank")))
+
+
+def _remaining(blocks: DataFrame, start: int, members: DataFrame) -> DataFrame:
+    """As ``_drawn``, all candidates of ``blocks`` from number ``start`` on, from the products of the members at hand and the ranks of their pairs."""
+    side = lambda n, c: members.select(F.col("bin").alias(f"bin_{n}"), F.col("place").alias(c), F.col("sample_id").alias(f"__{c}"))
+    met = _dealt_members(blocks.join(side("x", "i"), "bin_x")).join(_in_all(side("y", "j")), ["bin_y", "__block"]).drop("__block").where("n_in is null or i < j")
+    place = _inside_place(F.col("n_in"), F.col("i"), F.col("j"))
+    ranked = rank_at(met.withColumns({"x": F.when(F.col("n_in").isNull(), F.col("i")).otherwise(place[0]), "y": F.when(F.col("n_in").isNull(), F.col("j")).otherwise(place[1])}))
+    return _ordered_pair(ranked.where(F.col("rank") < F.col("keep")).withColumn("__n", F.col("before") + F.col("rank"))).where(F.col("__n") >= start)
+
+
+def _dealt_members(rows: DataFrame) -> DataFrame:
+    blocks = rows.withColumn("__block", F.pmod(F.xxhash64("__i"), F.lit(PAIR_BLOCKS)).cast("int"))
+    return blocks.repartition(width(rows.sparkSession), "bin_y", "__block")
+
+
+def _ordered_pair(found: DataFrame) -> DataFrame:
+    """Pairs inside a bin have the earlier sample first."""
+    alone = F.col("n_in").isNull()
+    a, b = F.when(alone, F.col("__i")).otherwise(F.least("__i", "__j")), F.when(alone, F.col("__j")).otherwise(F.greatest("__i", "__j"))
+    return found.select("__n", "strategy", "tag", "bin_x", "bin_y", "i", "j", a.alias("a"), b.alias("b"))
+
+
+class _Taking:
+    """The usage cap over candidates in turn: what was taken, and how often each member."""
+
+    def __init__(self, members: DataFrame, limit: int, seen, stretch: int):
+        self.members, self.limit, self.seen, self.stretch = members, limit, seen, stretch
+        self.used: DataFrame | None = None
+        self.taken: list[DataFrame] = []
+
+    def open_members(self) -> DataFrame:
+        """Members that the cap leaves."""
+        if self.used is None:
+            return self.members
+        full = self.used.where(F.col("w") >= self.limit).select(F.col("m").alias("sample_id"))
+        return self.members.join(full, "sample_id", "left_anti").select("bin", "place", "sample_id")
+
+    def take(self, candidates: DataFrame) -> None:
+        """Candidates (__n, strategy, tag, a, b) of open members, all later than those before."""
+        held = written(candidates.select("__n", "strategy", "tag", "a", "b"), "cap-candidates")
+        chosen = _rounds(held.select("__n", F.lit(0).alias("g"), "a", "b", F.lit(False).alias("taken")), self.used, self.limit)
+        self.used = _used(chosen, self.used)
+        self.taken.append(written(held.join(chosen.select("__n"), "__n"), "cap-taken"))
+        release(held, chosen)
+
+    def blocks(self, blocks: DataFrame) -> None:
+        """All candidates of a strategy's blocks, as far as there are members that the cap leaves.
+
+        A stretch is drawn rank by rank, of blocks that have open members on both sides. Where a block's open members make fewer pairs
+        than it has ranks left, those pairs are made instead and the block is done.
+        """
+        spark = self.members.sparkSession
+        ordered = running_sums(blocks.withColumn("__order", F.struct("x1", "x2")), "__order", ["keep"])
+        ordered = written(ordered.withColumn("before", F.col("keep_sum") - F.col("keep")).drop("__order", "keep_sum", "number"), "cap-blocks")
+        total = ordered.agg(F.max(F.col("before") + F.col("keep"))).first()[0] or 0
+        start, size = 0, self.stretch
+        while start < total:
+            members = written(self.open_members(), "cap-open")
+            left = members.groupBy("bin").agg(F.count("*").alias("open"))
+            side = lambda n, left=left: left.select(F.col("bin").alias(f"bin_{n}"), F.col("open").alias(f"open_{n}"))
+            alive = ordered.where(F.col("before") + F.col("keep") > start).join(side("x"), "bin_x").join(side("y"), "bin_y")
+            alive = written(alive.withColumn("fewer", F.col("open_x").cast("double") * F.col("open_y")), "cap-alive")
+            first = alive.agg(F.min("before")).first()[0]
+            if first is None:
+                break
+            start = max(start, first)
+            end = start + size
+            # the last block that the stretch meets may be finished by its open members
+            last = alive.where(F.col("before") < end).orderBy(F.desc("before")).limit(1).first()
+            if last["fewer"] <= last["before"] + last["keep"] - start and last["fewer"] <= 4 * size:
+                end = max(end, last["before"] + last["keep"])
+            ahead = F.least(F.lit(end), F.col("before") + F.col("keep")) - F.greatest(F.lit(start), F.col("before"))
+            short = (F.col("fewer") <= ahead) & (F.col("before") + F.col("keep") <= end)
+            mine = alive.where(F.col("before") < end)
+            found = _drawn(mine.where(~short), start, end, members, width(spark)).unionByName(_remaining(mine.where(short), start, members))
+            self.take(self.seen(found))
+            release(members, alive)
+            start, size = end, 2 * size
+
+    def result(self) -> DataFrame:
+        """(rank, a, b, tag) in order of strategies and their candidates."""
+        rows = functools.reduce(DataFrame.union, self.taken).withColumn("__order", F.struct("strategy", "__n"))
+        return written(chunked(rows, "__order", 1 << 40).select(F.col("line").alias("rank"), "a", "b", "tag"), "pairs-capped")
 
 
 def _finished(capped: DataFrame, max_pairs: int | None, seed: int, fill: bool) -> DataFrame:
     """(rank, a, b, tag): in order, or in random order where there are more than max_pairs, which are cut; filled by copies if asked."""
     if max_pairs is None:
-        return capped.select("rank", "a", "b", "tag")
+        return capped
     n = capped.count()
     if n > max_pairs:
         shuffled = capped.withColumn("key", F.struct(draw(seed, F.col("a"), F.col("b"), F.col("tag")).alias("d"), F.col("rank")))
         chosen = chunked(shuffled, "key", max(max_pairs, 1))
         return chosen.where("chunk = 0" if max_pairs else "false").select(F.col("line").alias("rank"), "a", "b", "tag")
-    out = capped.select("rank", "a", "b", "tag")
-    return duplicate_fill(out, max_pairs) if fill else out
+    return duplicate_fill(capped, max_pairs) if fill else capped
+
+
+def _ends(samples: DataFrame, bins: DataFrame, top: int, strategy: int, by_first: bool) -> DataFrame:
+    """(__n, strategy, tag, a, b): nearest pairs of each bin in order, then farthest ones with the farthest last; bins by first sample or by number."""
+    ends = extremes_by_distance(samples, top, ranked=True).join(bins.select(F.col("bin").alias("bin_id"), "first"), "bin_id")
+    small = F.col("tag") == "intra_bin_small"
+    place = F.when(small, F.col("rank")).otherwise(F.lit(2 * top + 1) - F.col("rank"))
+    ordered = ends.withColumn("__order", F.struct(F.col("first" if by_first else "bin_id").cast("long"), place.alias("place")))
+    tag = _named("intra_bin_", F.col("bin_id"), F.when(small, "_small").otherwise("_large"))
+    return chunked(ordered, "__order", 1 << 40).select(F.col("line").alias("__n"), F.lit(strategy).alias("strategy"), tag.alias("tag"), "a", "b")
 
 
-def _capped(candidates: DataFrame, limit: int, small: int) -> DataFrame:
-    """Candidates (a, b, tag, key) that the usage cap takes in order of key, numbered anew (rank, a, b, tag)."""
-    kept = usage_capped(candidates.select("a", "b", "tag", F.col("key").alias("rank"), F.lit(0).alias("environment")), limit, small=small)
-    numbered = chunked(kept, "rank", 1 << 40)
-    return written(numbered.select(F.col("line").alias("rank"), "a", "b", "tag"), "pairs-capped")
+def _bin_pairs(bins: DataFrame) -> DataFrame:
+    x, y = (bins.select(F.col("bin").alias(f"bin_{c}")) for c in "xy")
+    return x.join(y, F.col("bin_x") < F.col("bin_y"))
 
 
 def generate(
     samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float, float] = (0.4, 0.3, 0.2),
-    allow_duplicates: bool = False, preserve_strategy: bool = False, strict: bool = True, small: int = SMALL_GROUP,
+    allow_duplicates: bool = False, preserve_strategy: bool = False, strict: bool = True, stretch: int = STRETCH,
 ) -> DataFrame:
     """SP1: (rank, a, b, tag) of four strategies in turn: bins crossed, neighbouring bins, nearest and farthest of a bin, random of a bin.
 
     A pair comes once, by its first strategy; with ``preserve_strategy`` and not ``strict`` once a tag; with ``allow_duplicates`` as often
     as it is found. The usage cap goes through the candidates in the order of strategies, bins and random draw. More than
     ``max_pairs`` are shuffled and cut; fewer are filled with marked copies where duplicates are allowed. None: all of them.
+    Samples of a bin are in order of their id. Products of bins are never made as far as the cap doesn't reach into them.
     """
-    drawn = lambda k: draw(seed + k, F.col("a"), F.col("b"))
-    cross = ratio_sample(cross_bin(samples), ratios[0], seed)
-    found = _candidate(cross, 1, _named("cross_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(0))
-    near = ratio_sample(neighbor_bin(samples), ratios[1], seed + 1)
-    found = found.union(_candidate(near, 2, _named("neighbor_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(1)))
-    found = found.union(_by_distance(samples, top, 3))
-    inside = ratio_sample(intra_bin(samples).select(F.col("bin_id").alias("bin_a"), F.col("bin_id").alias("bin_b"), "a", "b"), ratios[2], seed + 2)
-    first = samples.groupBy(F.col("bin_id").alias("bin_a")).agg(F.min("sample_id").alias("first"))
-    found = found.union(_candidate(inside.join(first, "bin_a"), 4, _named("intra_bin_random_", F.col("bin_a")), F.col("first"), F.lit(0), drawn(2)))
-    if not allow_duplicates:
-        found = first_strategy(found, preserve_strategy and not strict, ("key",))
-    return _finished(_capped(written(found, "pairs-candidates"), usage_limit, small), max_pairs, seed, allow_duplicates)
-
-
-def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float] = (0.4, 0.3), small: int = SMALL_GROUP) -> DataFrame:
+    members, bins = _members(samples)
+    if members.isEmpty():
+        return members.select(F.col("place").alias("rank"), F.col("sample_id").alias("a"), F.col("sample_id").alias("b"), F.lit("").alias("tag"))
+    by_tag = allow_duplicates or (preserve_strategy and not strict)
+    cross = _crossed(bins, _bin_pairs(bins), 1, seed, ratios[0], _named("cross_bin_", F.col("bin_x"), "_", F.col("bin_y")))
+    near = _crossed(bins, _bin_pairs(bins).where("bin_y - bin_x = 1"), 2, seed + 1, ratios[1], _named("neighbor_bin_", F.col("bin_x"), "_", F.col("bin_y")))
+    ends = written(_ends(samples, bins, top, 3, True), "pairs-ends")
+
+    def crossed_before(found: DataFrame) -> DataFrame:
+        """Pairs of neighbouring bins that the first strategy has not drawn."""
+        asked = found.join(cross.select("bin_x", "bin_y", "n_x", "n_y", "seed", F.col("keep").alias("drawn")), ["bin_x", "bin_y"])
+        return rank_at(asked, ("i", "j"), rank="was").where(F.col("was") >= F.col("drawn"))
+
+    def near_before(found: DataFrame) -> DataFrame:
+        return found.join(ends.select("a", "b"), ["a", "b"], "left_anti")
+
+    taking = _Taking(members, usage_limit, lambda found: found, stretch)
+    taking.blocks(cross)
+    taking.seen = taking.seen if by_tag else crossed_before
+    taking.blocks(near)
+    taking.seen = lambda found: found
+    taking.take(ends if by_tag else first_strategy(ends, False, ("__n",)))
+    taking.seen = taking.seen if by_tag else near_before
+    taking.blocks(_within(bins, 4, seed + 2, ratios[2]))
+    return _finished(taking.result(), max_pairs, seed, allow_duplicates)
+
+
+def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float] = (0.4, 0.3), stretch: int = STRETCH) -> DataFrame:
     """SP2: (rank, a, b, tag) of the least with the greatest bin, bins next to each other in the list, and nearest and farthest of a bin.
 
     A pair comes once, by its first strategy, and the usage cap goes through them in order. More than ``max_pairs`` are
     shuffled and cut, fewer are filled with marked copies.
     """
-    drawn = lambda k: draw(seed + k, F.col("a"), F.col("b"))
-    cross = ratio_sample(extreme_bins(samples), ratios[0], seed)
-    found = _candidate(cross, 1, F.lit("cross_bin_minmax"), F.col("bin_a"), F.col("bin_b"), drawn(0))
-    near = ratio_sample(adjacent_bin(samples), ratios[1], seed + 1)
-    found = found.union(_candidate(near, 2, _named("neighbor_bin_", F.col("bin_a"), "_", F.col("bin_b")), F.col("bin_a"), F.col("bin_b"), drawn(1)))
-    ends = _by_distance(samples, top, 3)
-    by_bin = samples.groupBy("bin_id").agg(F.min("sample_id").alias("__first"))
-    # here bins come in order of their number
-    ends = ends.join(by_bin, F.col("key.first") == F.col("__first")).withColumn("key", F.col("key").withField("first", F.col("bin_id").cast("long"))).select(*_CANDIDATE)
-    found = first_strategy(found.union(ends), False, ("key",))
-    return _finished(_capped(written(found, "pairs-candidates"), usage_limit, small), max_pairs, seed, True)
+    members, bins = _members(samples)
+    if members.isEmpty():
+        return members.select(F.col("place").alias("rank"), F.col("sample_id").alias("a"), F.col("sample_id").alias("b"), F.lit("").alias("tag"))
+    widest = bins.agg(F.min("bin").alias("bin_x"), F.max("bin").alias("bin_y")).where("bin_x < bin_y")
+    following = bins.select(F.col("bin").alias("bin_x"), F.lead("bin").over(Window.orderBy("bin")).alias("bin_y")).where("bin_y is not null")
+    cross = _crossed(bins, widest, 1, seed, ratios[0], F.lit("cross_bin_minmax"))
+    near = _crossed(bins, following, 2, seed + 1, ratios[1], _named("neighbor_bin_", F.col("bin_x"), "_", F.col("bin_y")))
+
+    def crossed_before(found: DataFrame) -> DataFrame:
+        """With two bins only, pairs of the list may be drawn already."""
+        asked = found.join(cross.select("bin_x", "bin_y", "n_x", "n_y", "seed", F.col("keep").alias("drawn")), ["bin_x", "bin_y"], "left")
+        return rank_at(asked, ("i", "j"), rank="was").where("drawn is null or was >= drawn")
+
+    taking = _Taking(members, usage_limit, lambda found: found, stretch)
+    taking.blocks(cross)
+    taking.seen = crossed_before
+    taking.blocks(near)
+    taking.take(first_strategy(written(_ends(samples, bins, top, 3, False), "pairs-ends"), False, ("__n",)))
+    return _finished(taking.result(), max_pairs, seed, True)
