@@ -32,7 +32,7 @@ from quillmark.common import written
 
 FOLDER = "/opt/tokenizers"
 #: Links of a segment, besides those of its last text.
-SEGMENT_LINKS = 2_000_000
+SEGMENT_LINKS = 1_000_000
 #: Ids of the second tokenizer are below this.
 _SHIFT = 20
 
