@@ -8,11 +8,13 @@ pairs, rounds over all tasks for many.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.common import release, unused, width, written
 from quillmark.functions import vectors
@@ -216,6 +218,32 @@ def _uses(chosen: DataFrame, used: DataFrame | None) -> DataFrame:
     return (now if used is None else now.union(used.select("g", "m", "w"))).groupBy("g", "m").agg(F.sum("w").alias("w"))
 
 
+def _folded(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
+    """``_rounds`` of a few pairs, in one task in order; how often earlier stretches took their members comes first."""
+
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: dict[int, int] = {}
+        for pdf in it:
+            keep = []
+            for n, a, b, w in zip(pdf["__n"], pdf["a"], pdf["b"], pdf["w"], strict=True):
+                if n < 0:
+                    count[a] = w
+                ok = n >= 0 and count.get(a, 0) < limit and count.get(b, 0) < limit
+                keep.append(ok)
+                if ok:
+                    count[a] = count.get(a, 0) + 1
+                    count[b] = count.get(b, 0) + 1
+            yield pdf.loc[keep, ["__n", "g", "a", "b", "taken"]].assign(taken=True)
+
+    rows = part.withColumn("w", F.lit(0).cast("long"))
+    if used is not None:
+        here = _incidences(part).select("m").distinct()
+        past = used.join(here, "m", "left_semi")
+        rows = rows.unionByName(past.select(F.lit(-1).cast("long").alias("__n"), "g", F.col("m").alias("a"), F.col("m").alias("b"), F.lit(True).alias("taken"), F.col("w").cast("long").alias("w")))
+    schema = T.StructType([part.schema[c] for c in ("__n", "g", "a", "b", "taken")])
+    return rows.select("__n", "g", "a", "b", "taken", "w").coalesce(1).sortWithinPartitions("__n").mapInPandas(fold, schema)
+
+
 def _rounds(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
     """The pairs of a stretch (__n, g, a, b, taken) that are taken, after rounds until none is open."""
     before = Window.partitionBy("g", "m").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
@@ -263,27 +291,46 @@ TURNS = 3
 SPREAD = 20_000
 
 
-def _turn(x: Column, y: Column, n: Column, seed: Column, step: int, sign: int) -> Column:
+def _turned(x: np.ndarray, y: np.ndarray, n: np.ndarray, seed: np.ndarray, step: int, sign: int) -> np.ndarray:
     """x moved by a hash of y, within n."""
-    return F.pmod(x + sign * F.pmod(F.xxhash64(seed, F.lit(step), y), n), n)
+    h = (y.astype(np.uint64) + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) ^ seed.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(31))) % n.astype(np.uint64)
+    return (x + sign * h.astype(np.int64)) % n
 
 
-def at_rank(rows: DataFrame, rank: str = "rank", sides: tuple[str, str] = ("n_x", "n_y"), seed: str = "seed") -> DataFrame:
-    """``rows`` with the place (x, y) of a product of n_x by n_y that stands at ``rank`` of its random order: a permutation of all n_x n_y places."""
-    n_x, n_y, s = F.col(sides[0]), F.col(sides[1]), F.col(seed)
-    out = rows.withColumns({"x": F.expr(f"`{rank}` div `{sides[1]}`"), "y": F.col(rank) % n_y})
+def _longs(*columns: pd.Series) -> list[np.ndarray]:
+    return [c.to_numpy(np.int64) for c in columns]
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
+def _place_of(rank: pd.Series, n_x: pd.Series, n_y: pd.Series, seed: pd.Series) -> pd.DataFrame:
+    r, a, b, s = _longs(rank, n_x, n_y, seed)
+    x, y = r // b, r % b
     for step in range(TURNS):
-        out = out.withColumn("x", _turn(F.col("x"), F.col("y"), n_x, s, 2 * step, 1)).withColumn("y", _turn(F.col("y"), F.col("x"), n_y, s, 2 * step + 1, 1))
-    return out
+        x = _turned(x, y, a, s, 2 * step, 1)
+        y = _turned(y, x, b, s, 2 * step + 1, 1)
+    return pd.DataFrame({"x": x, "y": y})
 
 
-def rank_at(rows: DataFrame, place: tuple[str, str] = ("x", "y"), sides: tuple[str, str] = ("n_x", "n_y"), seed: str = "seed", rank: str = "rank") -> DataFrame:
-    """``rows`` with the rank of a place: ``at_rank`` the other way."""
-    n_x, n_y, s = F.col(sides[0]), F.col(sides[1]), F.col(seed)
-    out = rows.withColumns({"__x": F.col(place[0]), "__y": F.col(place[1])})
+@F.pandas_udf(T.LongType())
+def _rank_of(x: pd.Series, y: pd.Series, n_x: pd.Series, n_y: pd.Series, seed: pd.Series) -> pd.Series:
+    x, y, a, b, s = _longs(x, y, n_x, n_y, seed)
     for step in reversed(range(TURNS)):
-        out = out.withColumn("__y", _turn(F.col("__y"), F.col("__x"), n_y, s, 2 * step + 1, -1)).withColumn("__x", _turn(F.col("__x"), F.col("__y"), n_x, s, 2 * step, -1))
-    return out.withColumn(rank, F.col("__x") * n_y + F.col("__y")).drop("__x", "__y")
+        y = _turned(y, x, b, s, 2 * step + 1, -1)
+        x = _turned(x, y, a, s, 2 * step, -1)
+    return pd.Series(x * b + y)
+
+
+def at_rank(rows: DataFrame) -> DataFrame:
+    """``rows`` with the place (x, y) of a product of n_x by n_y that stands at ``rank`` of its random order by ``seed``: a permutation of all places."""
+    return rows.withColumn("__p", _place_of("rank", "n_x", "n_y", "seed")).withColumns({"x": F.col("__p.x"), "y": F.col("__p.y")}).drop("__p")
+
+
+def rank_at(rows: DataFrame, x: str = "x", y: str = "y", rank: str = "rank") -> DataFrame:
+    """``rows`` with the rank of a place: ``at_rank`` the other way."""
+    return rows.withColumn(rank, _rank_of(x, y, "n_x", "n_y", "seed"))
 
 
 def _inside(n: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -379,8 +426,9 @@ def _ordered_pair(found: DataFrame) -> DataFrame:
 class _Taking:
     """The usage cap over candidates in turn: what was taken, and how often each member."""
 
-    def __init__(self, members: DataFrame, limit: int, seen, stretch: int):
-        self.members, self.limit, self.seen, self.stretch = members, limit, seen, stretch
+    def __init__(self, members: DataFrame, limit: int, stretch: int, small: int):
+        self.members, self.limit, self.stretch, self.small = members, limit, stretch, small
+        self.seen: Callable[[DataFrame], DataFrame] = lambda found: found
         self.used: DataFrame | None = None
         self.taken: list[DataFrame] = []
 
@@ -394,7 +442,11 @@ class _Taking:
     def take(self, candidates: DataFrame) -> None:
         """Candidates (__n, strategy, tag, a, b) of open members, all later than those before."""
         held = written(candidates.select("__n", "strategy", "tag", "a", "b"), "cap-candidates")
-        chosen = _rounds(held.select("__n", F.lit(0).alias("g"), "a", "b", F.lit(False).alias("taken")), self.used, self.limit)
+        part = held.select("__n", F.lit(0).alias("g"), "a", "b", F.lit(False).alias("taken"))
+        if held.limit(self.small + 1).count() > self.small:
+            chosen = _rounds(part, self.used, self.limit)
+        else:
+            chosen = written(_folded(part, self.used, self.limit), "cap-folded")
         self.used = _used(chosen, self.used)
         self.taken.append(written(held.join(chosen.select("__n"), "__n"), "cap-taken"))
         release(held, chosen)
@@ -468,7 +520,7 @@ def _bin_pairs(bins: DataFrame) -> DataFrame:
 
 def generate(
     samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float, float] = (0.4, 0.3, 0.2),
-    allow_duplicates: bool = False, preserve_strategy: bool = False, strict: bool = True, stretch: int = STRETCH,
+    allow_duplicates: bool = False, preserve_strategy: bool = False, strict: bool = True, stretch: int = STRETCH, small: int = SMALL_GROUP,
 ) -> DataFrame:
     """SP1: (rank, a, b, tag) of four strategies in turn: bins crossed, neighbouring bins, nearest and farthest of a bin, random of a bin.
 
@@ -488,12 +540,12 @@ def generate(
     def crossed_before(found: DataFrame) -> DataFrame:
         """Pairs of neighbouring bins that the first strategy has not drawn."""
         asked = found.join(cross.select("bin_x", "bin_y", "n_x", "n_y", "seed", F.col("keep").alias("drawn")), ["bin_x", "bin_y"])
-        return rank_at(asked, ("i", "j"), rank="was").where(F.col("was") >= F.col("drawn"))
+        return rank_at(asked, "i", "j", "was").where(F.col("was") >= F.col("drawn"))
 
     def near_before(found: DataFrame) -> DataFrame:
         return found.join(ends.select("a", "b"), ["a", "b"], "left_anti")
 
-    taking = _Taking(members, usage_limit, lambda found: found, stretch)
+    taking = _Taking(members, usage_limit, stretch, small)
     taking.blocks(cross)
     taking.seen = taking.seen if by_tag else crossed_before
     taking.blocks(near)
@@ -504,7 +556,7 @@ def generate(
     return _finished(taking.result(), max_pairs, seed, allow_duplicates)
 
 
-def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float] = (0.4, 0.3), stretch: int = STRETCH) -> DataFrame:
+def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int = 42, usage_limit: int = 50, top: int = 5, ratios: tuple[float, float] = (0.4, 0.3), stretch: int = STRETCH, small: int = SMALL_GROUP) -> DataFrame:
     """SP2: (rank, a, b, tag) of the least with the greatest bin, bins next to each other in the list, and nearest and farthest of a bin.
 
     A pair comes once, by its first strategy, and the usage cap goes through them in order. More than ``max_pairs`` are
@@ -520,10 +572,12 @@ def generate_padded(samples: DataFrame, max_pairs: int | None = None, seed: int
 
     def crossed_before(found: DataFrame) -> DataFrame:
         """With two bins only, pairs of the list may be drawn already."""
-        asked = found.join(cross.select("bin_x", "bin_y", "n_x", "n_y", "seed", F.col("keep").alias("drawn")), ["bin_x", "bin_y"], "left")
-        return rank_at(asked, ("i", "j"), rank="was").where("drawn is null or was >= drawn")
+        drawn = cross.select("bin_x", "bin_y", "n_x", "n_y", "seed", F.col("keep").alias("drawn"))
+        other = found.join(drawn, ["bin_x", "bin_y"], "left_anti")
+        asked = rank_at(found.join(drawn, ["bin_x", "bin_y"]), "i", "j", "was").where(F.col("was") >= F.col("drawn"))
+        return asked.select(*other.columns).unionByName(other)
 
-    taking = _Taking(members, usage_limit, lambda found: found, stretch)
+    taking = _Taking(members, usage_limit, stretch, small)
     taking.blocks(cross)
     taking.seen = crossed_before
     taking.blocks(near)

@@ -98,14 +98,14 @@ def in_order(df):
     return [(r["a"], r["b"], r["tag"]) for r in rows]
 
 
-@pytest.mark.parametrize("n, stretch", [(41, 60), (60, 100_000)])
-def test_all_pairs_in_the_order_of_strategies(spark, n, stretch):
+@pytest.mark.parametrize("n, stretch, small", [(30, 60, 10), (60, 100_000, 100_000)])
+def test_all_pairs_in_the_order_of_strategies(spark, n, stretch, small):
     """Short stretches end inside blocks, and finish them by what members are left."""
     rows, s = table(spark, n)
     drawn = orders(spark, rows, 4)
-    assert in_order(pairs.generate(s.repartition(3), seed=4, usage_limit=9, top=3, stretch=stretch)) == loop(drawn, rows, 9, 3)
+    assert in_order(pairs.generate(s.repartition(3), seed=4, usage_limit=9, top=3, stretch=stretch, small=small)) == loop(drawn, rows, 9, 3)
     if stretch < 100:
-        assert in_order(pairs.generate_padded(s, seed=4, usage_limit=4, top=3, stretch=stretch)) == loop(drawn, rows, 4, 3, minmax=True)
+        assert in_order(pairs.generate_padded(s, seed=4, usage_limit=4, top=3, stretch=stretch, small=small)) == loop(drawn, rows, 4, 3, minmax=True)
 
 
 def test_options(spark):
