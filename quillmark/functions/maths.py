@@ -351,6 +351,12 @@ def ball_reward(obj: list[Column], start: list[Column], target: list[Column], gr
     return [reward, distance(obj, target), placed_, (distance(obj, target) <= 0.07).cast("double")]
 
 
+def ball_grip(obj: list[Column], start: list[Column], tcp: list[Column], touching: Column, opened: Column) -> list[Column]:
+    """MF7: (near the object, grasped): the gripper's centre within 0.03 of it; touched by an open gripper and lifted by over 0.02."""
+    lifted = touching & (opened > 0) & (obj[2] - 0.02 > start[2])
+    return [(distance(tcp, obj) <= 0.03).cast("double"), F.coalesce(lifted, F.lit(False)).cast("double")]
+
+
 def parallel_rotations() -> list[list[list[int]]]:
     """MF14: the 24 rotations that turn axes into axes: signed permutations of determinant 1."""
     out = []

@@ -63,7 +63,7 @@ def caption_score(rated: DataFrame, group: list[str]) -> DataFrame:
 def token_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """AG8: cost a model; prices are a short table a thousand tokens."""
     cost = F.col("prompt_tokens") * F.col("prompt_price") / 1000 + F.col("reply_tokens") * F.col("reply_price") / 1000
-    return calls.join(F.broadcast(prices), "model").groupBy("model").agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("n_calls"))
+    return calls.join(prices, "model").groupBy("model").agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("n_calls"))
 
 
 def approximate_tokens(lines: DataFrame, group: str) -> DataFrame:

@@ -208,11 +208,15 @@ class _Space:
         return _candidates(_packed(self.reached(asked), CHUNK), self.rings, keep, self.tally)
 
 
+#: Distances to pivots that are held at once; a query that reaches every cell is sent so often.
+_AT_ONCE = 16_384
+
+
 def _parts(it: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Rows of one level each, so many that their distances to its pivots take a few MB."""
+    """Rows of one level each, so many that all the cells of its pivots take a bounded number of rows."""
     for pdf in it:
         for n in sorted(set(pdf["level"])):
-            rows, step = pdf[pdf["level"] == n], max(1, 500_000 // n)
+            rows, step = pdf[pdf["level"] == n], max(1, _AT_ONCE // n)
             yield from ((n, rows.iloc[s : s + step]) for s in range(0, len(rows), step))
 
 

@@ -22,8 +22,8 @@ from quillmark.operators.decisions import chunked, running_sums
 
 #: First digits of the random key by which a ratio sample is counted; 16 to this power counts a group.
 RATIO_DIGITS = 3
-#: Pairs up to which the usage cap is one stream a group.
-SMALL_GROUP = 100_000
+#: Pairs up to which the usage cap goes through them in one task, in order; more are decided in rounds.
+SMALL_GROUP = 1_000_000
 #: Blocks to which the first samples of pairs are dealt; each block meets all second samples, so a bin's pairs are made in as many tasks.
 PAIR_BLOCKS = 16
 

@@ -60,7 +60,7 @@ def k_center(points: DataFrame, k: int, group: str = "environment", small: int =
 def k_center_of_uncertain(scores: DataFrame, points: DataFrame, k: int, by: str = "disagreement") -> DataFrame:
     """SP12: k-centre among the 2k most uncertain."""
     first = (disagreement if by == "disagreement" else uncertain)(scores, 2 * k)
-    return k_center(points.join(F.broadcast(first.select(F.col("pair_id").alias("id"))), "id", "left_semi"), k)
+    return k_center(points.join(first.select(F.col("pair_id").alias("id")), "id", "left_semi"), k)
 
 
 def flipped_labels(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -31,7 +31,7 @@ def capacities(bins: DataFrame, total: int) -> DataFrame:
 def trimmed(samples: DataFrame, caps: DataFrame, seed: int) -> DataFrame:
     """SP22: at most capacity samples a bin, by random rank."""
     rank = F.row_number().over(Window.partitionBy("bin_id").orderBy(draw(seed, F.col("sample_id"))))
-    return samples.withColumn("rank", rank).join(F.broadcast(caps), "bin_id").where("rank <= capacity").drop("rank", "capacity")
+    return samples.withColumn("rank", rank).join(caps, "bin_id").where("rank <= capacity").drop("rank", "capacity")
 
 
 def clustered(samples: DataFrame, ks: list[int], reward_weight: float = 0.3, seed: int = 1) -> DataFrame:

@@ -83,7 +83,7 @@ def ring_slots(rows: DataFrame, seq: str, capacity: int) -> DataFrame:
 
 def last_trajectories(steps: DataFrame, most: int) -> DataFrame:
     """SP18: steps of the ``most`` greatest trajectory ids."""
-    return steps.join(F.broadcast(steps.select("traj_id").distinct().orderBy(F.desc("traj_id")).limit(most)), "traj_id", "left_semi")
+    return steps.join(steps.select("traj_id").distinct().orderBy(F.desc("traj_id")).limit(most), "traj_id", "left_semi")
 
 
 def whole_trajectories(steps: DataFrame) -> DataFrame:

@@ -236,6 +236,16 @@ def ball_reward(spark, d):
     return e.select("event_id", F.round(reward, 6).alias("reward"), F.round(placed, 6).alias("placed"), success.alias("success"))
 
 
+@query("""WITH o AS (SELECT event_id, (event_id % 7) / 100.0::DOUBLE AS x, (event_id % 5) / 100.0::DOUBLE AS z, event_id % 3 <> 0 AS touching, (event_id % 4) / 4.0::DOUBLE AS opened FROM events)
+SELECT event_id, (sqrt(power(x - 0.02::DOUBLE, 2) + power(z - 0.01::DOUBLE, 2)) <= 0.03::DOUBLE)::INT::DOUBLE AS near, (touching AND opened > 0 AND z - 0.02::DOUBLE > 0.005::DOUBLE)::INT::DOUBLE AS grasped FROM o""")
+def ball_grip(spark, d):
+    """MF7, whether the ball is near and grasped."""
+    e, i = _i(spark, d)
+    obj, none = [(i % 7) / 100.0, F.lit(0.0), (i % 5) / 100.0], F.lit(0.0)
+    near, grasped = maths.ball_grip(obj, [none, none, F.lit(0.005)], [F.lit(0.02), none, F.lit(0.01)], i % 3 != 0, (i % 4) / 4.0)
+    return e.select("event_id", near.alias("near"), grasped.alias("grasped"))
+
+
 @query("""WITH v AS (SELECT event_id, [event_id % 5 + 1, -(event_id % 7) - 10, event_id % 3 + 30] AS v FROM events), p AS (SELECT unnest([[1, 2, 3], [2, 3, 1], [3, 1, 2], [1, 3, 2], [3, 2, 1], [2, 1, 3]]) AS p, unnest([1, 1, 1, -1, -1, -1]) AS parity),
 s AS (SELECT a, b, c FROM (SELECT unnest([1, -1]) AS a), (SELECT unnest([1, -1]) AS b), (SELECT unnest([1, -1]) AS c))
 SELECT event_id, a * v[p[1]] AS x, b * v[p[2]] AS y, c * v[p[3]] AS z FROM v, p, s WHERE a * b * c = parity""")

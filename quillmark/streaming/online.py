@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +112,37 @@ def episodes(steps: DataFrame) -> DataFrame:
     return steps.groupBy("traj_id").applyInPandasWithState(step, "traj_id long, episode long, episode_return double, n_steps long", "total double, n long, episode long", "append", GroupStateTimeout.NoTimeout)
 
 
+def label_batches(labels: DataFrame, checkpoint: str, use: Callable[[DataFrame, int], None], n: int = 1, timeout: float = 600.0) -> int:
+    """SC13: the next ``n`` batches of cached labels, each given to ``use(batch, number)`` once; how many there were.
+
+    ``labels`` is a stream of Parquet files, one a micro-batch (``maxFilesPerTrigger`` 1), oldest first. The cursor is the stream's
+    checkpoint: the next call, or a restart after a loss, goes on where the last used batch ended. A batch beyond the n-th that
+    Spark has begun is not used and not committed.
+    """
+    used = 0
+
+    def batch(df: DataFrame, number: int) -> None:
+        nonlocal used
+        if used >= n:
+            raise _Enough  # the batch is not committed and comes again
+        use(df, number)
+        used += 1
+
+    query = labels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination(timeout)
+    except StreamingQueryException:
+        if used < n:
+            raise
+    finally:
+        query.stop()
+    return used
+
+
+class _Enough(Exception):
+    pass
+
+
 def learning_loop(steps: DataFrame, store: str, checkpoint: str, every: int, learn: Callable[[DataFrame, int], None], relabel: Callable[[DataFrame, int], DataFrame] | None = None, **trigger):
     """SS1, SP19: appends each micro-batch of steps to the replay table ``store`` and calls ``learn(table, round)`` once for every
     ``every`` steps stored; then ``relabel(steps, round)`` gets the steps that came since the last round, and what it gives

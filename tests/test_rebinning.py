@@ -137,3 +137,19 @@ def test_store_is_bounded(replace):
     for _, i, v, r in rows(120, 1):
         s.offer(i, np.array(v), r)
         assert len(s.samples) <= 2 * POLICY["total"]
+
+
+def test_label_batches_come_once_and_resume(spark, tmp_path):
+    cached = spark.range(50).select("id", (F.col("id") % 3 - 1).cast("int").alias("label"))
+    for p in range(5):
+        cached.where((F.col("id") >= 10 * p) & (F.col("id") < 10 * p + 10)).coalesce(1).write.mode("append").parquet(str(tmp_path / "labels"))
+    got = []
+
+    def next_ones(n):
+        stream = spark.readStream.schema(cached.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "labels"))
+        return online.label_batches(stream, str(tmp_path / "cursor"), lambda df, number: got.append(sorted(r.id for r in df.collect())), n)
+
+    assert next_ones(1) == 1 and next_ones(2) == 2
+    assert [len(b) for b in got] == [10, 10, 10] and len({i for b in got for i in b}) == 30
+    assert next_ones(9) == 2 and next_ones(1) == 0
+    assert sorted(i for b in got for i in b) == list(range(50))
