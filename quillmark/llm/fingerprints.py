@@ -13,7 +13,8 @@ of the texts and a sort inside partitions bring each text before its next.
 Defined cases: null text is empty; texts shorter than k are one anchor of their own, longer ones without a
 closed syncmer have their k-mer of least hash as anchor, the empty text has none and an empty fingerprint,
 like only to another and covered only by another; a null id sorts last; rows of equal id follow the hash
-of their texts; a lone row is its own next; an empty table gives no rows.
+of their texts; a lone row is its own next; an empty table gives no rows. Texts of any length are read whole. Columns of
+other names are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ places in a range into places in the source. A source's budget is then cut exact
 then documents in key order, the last one in part.
 
 Defined cases: null text has no words; a null source is a source of its own, last in order; a null id
-hashes as the empty string; repeated rows are taken one by one; without words every target is 0.
+hashes as the empty string; repeated rows are taken one by one; without words every target is 0. Texts of any length are
+counted whole; an empty table gives no rows; of columns of other names none is read. Rows of one id, and all without an id,
+lie in one range of keys.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ lookup table, so a score is a sum of table cells: bin the features, add, squash.
 
 Defined cases: null text scores like the empty text; texts of any length are read whole; without
 labelled rows of both kinds every score is the share of label 1 (0.5 without labels). Repeated ids
-train once a labelled row and are scored once a row.
+train once a labelled row and are scored once a row. Labels of one id that differ all train; of splits that help alike
+the first feature's is taken, and a score of exactly 0.5 is predicted 1. An empty table gives no rows. Columns of
+other names are not read.
 """
 
 from __future__ import annotations

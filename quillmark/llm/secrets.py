@@ -6,7 +6,8 @@ parts, armoured keys by the DER (or OpenSSH) body within, signed tokens by their
 
 Kinds, in order: assign, access, hex (base); pem, der, hexder, openssh, jwt (confirmed).
 Defined cases: null text is the empty text, which has no spans; texts of any length are read whole;
-repeated rows are scanned one by one; an empty table gives no rows.
+repeated rows are scanned one by one; an empty table gives no rows. Spans that start at one place are listed in the order of
+kinds. Columns of other names are not read.
 """
 
 from __future__ import annotations

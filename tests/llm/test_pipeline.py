@@ -68,6 +68,12 @@ def test_run_gives_the_last_stage(spark, passed):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, passed[-1][1].collect()))
 
 
+def test_an_empty_table_passes_through_the_whole_pipeline(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        table(spark, DATA, name).where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
