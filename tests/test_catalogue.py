@@ -15,6 +15,8 @@ SOME = [
     "clean_accuracy", "meter_pivot", "stitch_layout", "pairs_adjacent_rank", "pairs_intra_topn", "pairs_dedup_priority", "moving_return_10", "discounted_return", "ring_last_n", "uniform_queries", "preference_rational",
     "preference_losses", "ensemble_disagreement", "knn_distance", "multi_factor_nn", "dedup_threshold_median", "centroid_assign", "pc_normalize", "robust_radius", "bin_capacity", "allocate_points", "largest_remainder",
     "tolerance_all_sigmoids", "surface_area", "quat_roundtrip", "body_descendants", "conv_merge_back", "conv_render_prompt",
+    "state_entropy", "knn_search", "similarity_dedup", "pairs_duplicate_fill", "quat_of_matrix", "running_moments_steps", "geom_colors", "text_metrics", "text_metric_means", "caption_rating", "control_values", "ball_grip",
+    "camera_limits", "natural_sort_key", "sample_scan", "sample_scan_last", "samples_with_views", "judge_scan", "source_scan", "prompt_log", "useful_pairs", "score_labels", "body_geoms", "placed_points", "rewrite_first",
 ]
 
 
