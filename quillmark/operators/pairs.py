@@ -233,15 +233,14 @@ def _folded(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
                 if ok:
                     count[a] = count.get(a, 0) + 1
                     count[b] = count.get(b, 0) + 1
-            yield pdf.loc[keep, ["__n", "g", "a", "b", "taken"]].assign(taken=True)
+            yield pdf.loc[keep, list(part.columns)].assign(taken=True)
 
     rows = part.withColumn("w", F.lit(0).cast("long"))
     if used is not None:
         here = _incidences(part).select("m").distinct()
-        past = used.join(here, "m", "left_semi")
-        rows = rows.unionByName(past.select(F.lit(-1).cast("long").alias("__n"), "g", F.col("m").alias("a"), F.col("m").alias("b"), F.lit(True).alias("taken"), F.col("w").cast("long").alias("w")))
-    schema = T.StructType([part.schema[c] for c in ("__n", "g", "a", "b", "taken")])
-    return rows.select("__n", "g", "a", "b", "taken", "w").coalesce(1).sortWithinPartitions("__n").mapInPandas(fold, schema)
+        past = used.join(here.hint("merge"), "m", "left_semi")
+        rows = rows.unionByName(past.select(F.lit(-1).cast("long").alias("__n"), "g", F.col("m").alias("a"), F.col("m").alias("b"), F.lit(True).alias("taken"), F.col("w").cast("long").alias("w")), allowMissingColumns=True)
+    return rows.coalesce(1).sortWithinPartitions("__n").mapInPandas(fold, part.schema)
 
 
 def _rounds(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
@@ -397,7 +396,7 @@ def _drawn(blocks: DataFrame, start: int, end: int, members: DataFrame, width_:
     placed = at_rank(ranks)
     inside = _inside(F.col("n_in"), F.col("x"), F.col("y"))
     placed = placed.withColumns({"i": F.when(F.col("n_in").isNull(), F.col("x")).otherwise(inside[0]), "j": F.when(F.col("n_in").isNull(), F.col("y")).otherwise(inside[1])})
-    side = lambda n, c: members.select(F.col("bin").alias(f"bin_{n}"), F.col("place").alias(c), F.col("sample_id").alias(f"__{c}"))
+    side = lambda n, c: members.select(F.col("bin").alias(f"bin_{n}"), F.col("place").alias(c), F.col("sample_id").alias(f"__{c}")).hint("merge")
     found = placed.join(side("x", "i"), ["bin_x", "i"]).join(side("y", "j"), ["bin_y", "j"])
     return _ordered_pair(found.withColumn("__n", F.col("before") + F.col("rank")))
 
@@ -437,19 +436,21 @@ class _Taking:
         if self.used is None:
             return self.members
         full = self.used.where(F.col("w") >= self.limit).select(F.col("m").alias("sample_id"))
-        return self.members.join(full, "sample_id", "left_anti").select("bin", "place", "sample_id")
+        return self.members.join(full.hint("merge"), "sample_id", "left_anti").select("bin", "place", "sample_id")
 
     def take(self, candidates: DataFrame) -> None:
         """Candidates (__n, strategy, tag, a, b) of open members, all later than those before."""
         held = written(candidates.select("__n", "strategy", "tag", "a", "b"), "cap-candidates")
-        part = held.select("__n", F.lit(0).alias("g"), "a", "b", F.lit(False).alias("taken"))
+        part = held.withColumns({"g": F.lit(0), "taken": F.lit(False)})
         if held.limit(self.small + 1).count() > self.small:
-            chosen = _rounds(part, self.used, self.limit)
+            chosen = _rounds(part.select("__n", "g", "a", "b", "taken"), self.used, self.limit)
+            taken = written(part.join(chosen.select("__n"), "__n").select(*part.columns), "cap-taken")
+            release(chosen)
         else:
-            chosen = written(_folded(part, self.used, self.limit), "cap-folded")
-        self.used = _used(chosen, self.used)
-        self.taken.append(written(held.join(chosen.select("__n"), "__n"), "cap-taken"))
-        release(held, chosen)
+            taken = written(_folded(part, self.used, self.limit), "cap-taken")
+        self.used = _used(taken, self.used)
+        self.taken.append(taken.select(*held.columns))
+        release(held)
 
     def blocks(self, blocks: DataFrame) -> None:
         """All candidates of a strategy's blocks, as far as there are members that the cap leaves.
@@ -543,7 +544,7 @@ def generate(
         return rank_at(asked, "i", "j", "was").where(F.col("was") >= F.col("drawn"))
 
     def near_before(found: DataFrame) -> DataFrame:
-        return found.join(ends.select("a", "b"), ["a", "b"], "left_anti")
+        return found.join(ends.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
 
     taking = _Taking(members, usage_limit, stretch, small)
     taking.blocks(cross)
