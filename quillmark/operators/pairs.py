@@ -233,9 +233,9 @@ def _folded(part: DataFrame, used: DataFrame | None, limit: int) -> DataFrame:
                 if ok:
                     count[a] = count.get(a, 0) + 1
                     count[b] = count.get(b, 0) + 1
-            yield pdf.loc[keep, list(part.columns)].assign(taken=True)
+            yield pdf.loc[keep, names].assign(taken=True)
 
-    rows = part.withColumn("w", F.lit(0).cast("long"))
+    names, rows = list(part.columns), part.withColumn("w", F.lit(0).cast("long"))
     if used is not None:
         here = _incidences(part).select("m").distinct()
         past = used.join(here.hint("merge"), "m", "left_semi")
