@@ -128,14 +128,11 @@ def _candidates(chunks: DataFrame, rings: DataFrame, keep: Callable, tally: Accu
 
 
 def _least(k: int) -> Callable:
-    """The k least distances within the limit, and all that tie with the last of them."""
+    """The k that rank first by rounded distance, then id, of those within the limit."""
 
     def keep(d: np.ndarray, ids: np.ndarray, limit: float) -> np.ndarray:
         near = np.flatnonzero(d <= limit)
-        if len(near) > k:
-            last = np.partition(d[near], k - 1)[k - 1]
-            near = near[d[near] <= last + 10.0**-_DIGITS]
-        return near
+        return near if len(near) <= k else near[np.lexsort((ids[near], np.round(d[near], _DIGITS)))[:k]]
 
     return keep
 
