@@ -179,26 +179,38 @@ def extremes_by_distance(samples: DataFrame, top: int, ranked: bool = False) ->
     return small.unionByName(large).select("bin_id", "a", "b", "distance", "tag", *(["rank"] if ranked else []))
 
 
+def _shares(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...]) -> DataFrame:
+    """(__group..., __end, __rest), as a written table: the digits where a group's share ends, and the pairs of it that have them."""
+    keyed = pairs.withColumn("__digits", F.substring(draw(seed, F.col("a"), F.col("b")), 1, RATIO_DIGITS))
+    counts = keyed.groupBy(*group, "__digits").agg(F.count("*").alias("__n"))
+    g = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(g.orderBy("__digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.ceil(F.sum("__n").over(g) * F.lit(ratio)) - before
+    ends = counts.withColumn("__rest", left).where((F.col("__rest") > 0) & (F.col("__rest") <= F.col("__n")))
+    return written(ends.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__digits").alias("__end"), "__rest"), "ratio-ends")
+
+
+def _share(pairs: DataFrame, ends: DataFrame, seed: int, group: tuple[str, ...], taken: bool) -> DataFrame:
+    """The pairs of the groups' shares, or those beyond. Only pairs that have the digits of an end are shuffled, for their rank."""
+    digits, end, rest, rank = unused(pairs, "digits", "end", "rest", "rank")
+    keyed = pairs.withColumn(digits, F.substring(draw(seed, F.col("a"), F.col("b")), 1, RATIO_DIGITS))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    held = keyed.join(ends, same, "inner" if taken else "left").select(*pairs.columns, digits, F.col("__end").alias(end), F.col("__rest").alias(rest))
+    at = F.row_number().over(Window.partitionBy(*group, digits).orderBy(draw(seed, F.col("a"), F.col("b"))))
+    ranked = held.where(F.col(digits) == F.col(end)).withColumn(rank, at)
+    edge = ranked.where(F.col(rank) <= F.col(rest) if taken else F.col(rank) > F.col(rest))
+    whole = held.where(F.col(digits) < F.col(end) if taken else F.col(end).isNull() | (F.col(digits) > F.col(end)))
+    return edge.select(*pairs.columns).unionByName(whole.select(*pairs.columns))
+
+
 def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...] = ("bin_a", "bin_b")) -> DataFrame:
     """SR10: ceil(n * ratio) pairs of each group by random rank.
 
     Pairs are counted by the first digits of their random key. Lower digits than those where a group's share ends are
-    taken whole; those with the digits of the end by rank. A group is ranked by its digits, not in one task. The ends,
-    a row a group, are written: where they are small, as Spark then knows, pairs beyond them are never shuffled.
+    taken whole, as they are made; those with the digits of the end, one in 4,096, by rank. A group is ranked by its digits, not
+    in one task. The ends, a row a group, are written: where they are small, as Spark then knows, no other pair is shuffled.
     """
-    digits, end, rest = unused(pairs, "digits", "end", "rest")
-    keyed = pairs.withColumn(digits, F.substring(draw(seed, F.col("a"), F.col("b")), 1, RATIO_DIGITS))
-    counts = keyed.groupBy(*group, digits).agg(F.count("*").alias("__n"))
-    g = Window.partitionBy(*group)
-    before = F.coalesce(F.sum("__n").over(g.orderBy(digits).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.ceil(F.sum("__n").over(g) * F.lit(ratio)) - before
-    ends = counts.withColumn(rest, left).where((F.col(rest) > 0) & (F.col(rest) <= F.col("__n")))
-    ends = written(ends.select(*[F.col(c).alias(f"__{c}") for c in group], F.col(digits).alias(end), rest), "ratio-ends")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
-    held = keyed.join(ends, same).where(F.col(digits) <= F.col(end)).select(*pairs.columns, digits, end, rest)
-    rank = F.row_number().over(Window.partitionBy(*group, digits).orderBy(draw(seed, F.col("a"), F.col("b"))))
-    taken = held.withColumn("__rank", rank).where((F.col(digits) < F.col(end)) | (F.col("__rank") <= F.col(rest)))
-    return taken.select(*pairs.columns)
+    return _share(pairs, _shares(pairs, ratio, seed, group), seed, group, True)
 
 
 def tagged(pairs: DataFrame, tag: str, priority: int) -> DataFrame:

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from quillmark.operators import pairs
 
 
+def test_pairs_of_a_share_are_not_shuffled(spark):
+    """Only the pairs that have the digits of an end come to a rank: of 3 x 400 pairs less than a tenth."""
+    s = spark.createDataFrame([(i, i % 3) for i in range(60)], "sample_id long, bin_id int")
+    crossed = pairs.cross_bin(s)
+    ends = pairs._shares(crossed, 0.4, 1, ("bin_a", "bin_b"))
+    digits = F.substring(pairs.draw(1, F.col("a"), F.col("b")), 1, pairs.RATIO_DIGITS)
+    ranked = crossed.join(ends, [F.col("bin_a") == F.col("__bin_a"), F.col("bin_b") == F.col("__bin_b")]).where(digits == F.col("__end")).count()
+    plan = pairs.ratio_sample(crossed, 0.4, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Window ") == 1 and 0 < ranked < 120
+    assert pairs.ratio_sample(crossed, 0.4, 1).count() == 3 * 160
+
+
 @pytest.mark.parametrize("blocks", [4096, 7])
 def test_ends_of_bins_without_their_pairs(spark, monkeypatch, blocks):
     """Equal vectors, ties, distances halfway between billionths, several blocks; no row a pair reaches the ranking."""
