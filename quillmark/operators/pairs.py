@@ -213,6 +213,33 @@ def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ..
     return _share(pairs, _shares(pairs, ratio, seed, group), seed, group, True)
 
 
+def sampled_or_near(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """ST3: (a, b, tag) of a ratio sample of crossed bins and then of neighbouring bins, these the other way round; a pair once, by its first strategy.
+
+    Bins that neighbour are crossed too, so a pair of theirs comes second where the share of its bins leaves it: nothing is looked up and
+    pairs are not shuffled. Only pairs of ids that stand in more rows than one go through ``first_strategy``.
+    """
+    group = ("bin_a", "bin_b")
+    crossed, near = cross_bin(samples), neighbor_bin(samples)
+    ends = _shares(crossed, ratio, seed, group)
+    one = lambda p: tagged(p, "cross_bin", 1)
+    two = lambda p: tagged(p.select(F.col("b").alias("a"), F.col("a").alias("b")), "neighbor_bin", 2)
+    first, rest = _share(crossed, ends, seed, group, True), _share(near, ends, seed, group, False)
+    again = written(samples.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1 or sample_id is null").select("sample_id"), "pairs-again")
+    if again.isEmpty():
+        return one(first).unionByName(two(rest)).select("a", "b", "tag")
+
+    def marked(p: DataFrame) -> DataFrame:
+        for c in "ab":
+            twice = again.select(F.col("sample_id").alias(f"__{c}"), F.lit(True).alias(f"__again_{c}"))
+            p = p.join(twice, F.col(c).eqNullSafe(F.col(f"__{c}")), "left")
+        return p.withColumn("__again", F.coalesce("__again_a", "__again_b", F.lit(False)))
+
+    alone = one(marked(first).where("not __again")).unionByName(two(marked(rest).where("not __again")))
+    shared = one(marked(first).where("__again")).unionByName(two(marked(near).where("__again")))
+    return alone.unionByName(first_strategy(shared)).select("a", "b", "tag")
+
+
 def tagged(pairs: DataFrame, tag: str, priority: int) -> DataFrame:
     """ST2: candidates of one strategy, for a union by priority."""
     return pairs.select("a", "b", F.lit(tag).alias("tag"), F.lit(priority).alias("priority"))

@@ -399,10 +399,7 @@ def pairs_ratio_sample(spark, d):
 @query(f"""WITH {A.SAMPLES}, {_SAMPLED}, c AS (SELECT a, b, 'cross_bin' AS tag, 1 AS priority FROM kept UNION ALL SELECT y.sample_id, x.sample_id, 'neighbor_bin', 2 FROM samples x JOIN samples y ON y.bin_id = x.bin_id + 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY priority, a, b) AS rk FROM c) SELECT a, b, tag FROM r WHERE rk = 1""")
 def pairs_dedup_priority(spark, d):
-    s = A.samples(spark, d)
-    one = pairs.tagged(pairs.ratio_sample(pairs.cross_bin(s), 0.4, 42), "cross_bin", 1)
-    two = pairs.tagged(pairs.neighbor_bin(s).select(F.col("b").alias("a"), F.col("a").alias("b")), "neighbor_bin", 2)
-    return pairs.first_strategy(one.unionByName(two)).select("a", "b", "tag")
+    return pairs.sampled_or_near(A.samples(spark, d), 0.4, 42)
 
 
 @query(f"WITH {A.SAMPLES} SELECT y.sample_id AS a, x.sample_id AS b, 'neighbor_bin(FLIPPED)' AS tag FROM samples x JOIN samples y ON y.bin_id = x.bin_id + 1")

@@ -22,6 +22,21 @@ def test_pairs_of_a_share_are_not_shuffled(spark):
     assert pairs.ratio_sample(crossed, 0.4, 1).count() == 3 * 160
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_near_pairs_beyond_the_share_come_second(spark, again):
+    """As a union by priority gives them, also where an id stands in several bins or twice in one."""
+    rows = [(i, i * 7 % 4) for i in range(40)] + ([(3, 2), (3, 2), (8, 1), (None, 1)] if again else [])
+    s = spark.createDataFrame(rows, "sample_id long, bin_id int")
+    one = pairs.tagged(pairs.ratio_sample(pairs.cross_bin(s), 0.4, 42), "cross_bin", 1)
+    two = pairs.tagged(pairs.neighbor_bin(s).select(F.col("b").alias("a"), F.col("a").alias("b")), "neighbor_bin", 2)
+    want = pairs.first_strategy(one.unionByName(two)).select("a", "b", "tag").collect()
+    got = pairs.sampled_or_near(s, 0.4, 42)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    if not again:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "least(" not in plan  # pairs are not brought together by their ids
+
+
 @pytest.mark.parametrize("blocks", [4096, 7])
 def test_ends_of_bins_without_their_pairs(spark, monkeypatch, blocks):
     """Equal vectors, ties, distances halfway between billionths, several blocks; no row a pair reaches the ranking."""
