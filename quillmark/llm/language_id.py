@@ -155,11 +155,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             ok = pdf[[has_letter(t) for t in pdf["t"]]]
             yield pd.DataFrame({"l": ok["l"], "h": ok["h"], "v": [features(t).astype(np.float16).tobytes() for t in ok["t"]]})
 
-    got = sample.select("t", "l", "h").mapInPandas(vectors, "l string, h long, v binary").toPandas().sort_values(["h", "l"])
-    x = np.empty((len(got), DIMS), np.float32)
-    for row, v in zip(x, got.pop("v"), strict=True):
-        row[:] = np.frombuffer(v, np.float16)
-    return EcocModel.fit(x, list(got["l"]))
+    # rows come a partition at a time and are put in order where they lie, so that no second copy of them is held
+    at: list[tuple[int, str]] = []
+    x = np.empty((each * len(counts), DIMS), np.float32)
+    for r in sample.select("t", "l", "h").coalesce(8).mapInPandas(vectors, "l string, h long, v binary").toLocalIterator():
+        x[len(at)] = np.frombuffer(r["v"], np.float16)
+        at.append((r["h"], r["l"]))
+    x, order = x[: len(at)], sorted(range(len(at)), key=at.__getitem__)
+    _permute(x, order)
+    return EcocModel.fit(x, [at[i][1] for i in order])
+
+
+def _permute(x: np.ndarray, order: list[int]) -> None:
+    """Puts row ``order[i]`` of x at i, in place."""
+    done = np.zeros(len(order), bool)
+    for start in range(len(order)):
+        if done[start]:
+            continue
+        first, i = x[start].copy(), start
+        while order[i] != start:
+            x[i], done[i] = x[order[i]], True
+            i = order[i]
+        x[i], done[i] = first, True
 
 
 def identify(docs: DataFrame, model: EcocModel, text: str = "text", key: str = "doc_id") -> DataFrame:

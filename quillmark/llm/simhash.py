@@ -423,8 +423,8 @@ def _links(keyed: DataFrame, nodes: DataFrame, rows: int, sure: int, bound: int,
     """(a, b), as a written table: nodes that may be near of ``keyed`` (key, node, root, narrow) that share a key, joined by a tree a key.
 
     First the rows of a key that may be near another of a different root are found by their narrow words; only
-    those get wide fingerprints. Rows of a key over ``split`` are all held against one node of the key, and
-    against each other within salts.
+    those get wide fingerprints. Rows of a key over ``split`` are held against one node of the key and dealt to pairs of
+    salts, so that every two of them meet in one.
     """
     hot = hot_keys(keyed, rows, split)
     direct = None
@@ -440,8 +440,11 @@ def _links(keyed: DataFrame, nodes: DataFrame, rows: int, sure: int, bound: int,
             return pd.Series(distances(_words_of(x), _words_of(y)) <= bound) if len(x) else pd.Series([], dtype=bool)
 
         direct = pairs.join(one, "a").join(other, "b").where(close("x", "y")).select("a", "b")
-        salted = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / split)))
-        keyed = marked.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(salted).alias("key"), "node", "root", "narrow")
+        # any two rows of a key over the limit meet in a pair of salts
+        salts = F.coalesce(F.ceil(F.col("n") / split), F.lit(1)).cast("int")
+        own = F.pmod(F.xxhash64("node", "key"), salts).cast("int")
+        meets = F.explode(F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y"))))
+        keyed = marked.withColumn("m", meets).select(F.xxhash64("key", "m.x", "m.y").alias("key"), "node", "root", "narrow")
 
     def active(key: np.ndarray, node: np.ndarray, root: np.ndarray, narrow: np.ndarray) -> pd.DataFrame:
         label = joined(len(key), *near_in_runs(key, narrow.view(np.uint64), NARROW))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillmark.common import table
 from quillmark.llm import simhash
@@ -114,6 +116,19 @@ def test_hot_keys_are_dealt_to_salts(spark):
     assert got == {0} | set(range(1000, 1010))
 
 
+def test_every_two_rows_of_a_hot_key_meet(spark):
+    """Rows of one key, over ``split``, that are near each other and far from the key's least node: links join all of them."""
+    rng, n = np.random.default_rng(6), 40
+    base = rng.integers(0, 1 << 63, simhash.WIDE, np.uint64)
+    far = ~base
+    wide = [far] + [base ^ np.r_[np.uint64(0), np.uint64(1) << rng.integers(0, 60, simhash.WIDE - 1).astype(np.uint64)] for _ in range(n - 1)]
+    nodes = spark.createDataFrame([(i, bytearray(w.tobytes()), int(w[:1].view(np.int64)[0])) for i, w in enumerate(wide)], "node long, wide binary, narrow long")
+    keyed = nodes.selectExpr("5L as key", "node", "node as root", "narrow")
+    found = simhash._links(keyed, nodes.select("node", "wide"), n, simhash.wide_bound(simhash.WIDE, deviations=-simhash.SLACK), simhash.wide_bound(simhash.WIDE), 4).collect()
+    root = simhash.joined(n, np.array([r.a for r in found]), np.array([r.b for r in found]))
+    assert list(root) == [0] + [1] * (n - 1)
+
+
 def test_clashing_columns_long_texts_and_empty_table(spark):
     long = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
     rows = [(1, long, 5, "a"), (2, long + " more", 6, "b"), (None, long, 7, "c"), (3, None, 8, "d"), (4, "  ", 9, "e")]
