@@ -57,6 +57,15 @@ def test_ends_of_bins_without_their_pairs(spark, monkeypatch, blocks):
     assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_blocks_grow_with_the_largest_bin(spark, monkeypatch):
+    """A bin of many samples is dealt to more tasks, with the same pairs."""
+    monkeypatch.setattr(pairs, "FIRSTS", 4)
+    s = spark.createDataFrame([(i, 0 if i < 200 else 1) for i in range(210)], "sample_id long, bin_id int")
+    assert pairs._n_blocks(s) == 50 and pairs._n_blocks(s.where("bin_id = 1")) == pairs.PAIR_BLOCKS and pairs._n_blocks(s.where("false")) == pairs.PAIR_BLOCKS
+    assert {(r.a, r.b) for r in pairs.neighbor_bin(s).collect()} == {(a, b) for a in range(200) for b in range(200, 210)}
+    assert pairs.intra_bin(s).count() == 200 * 199 // 2 + 45
+
+
 def sum_of(x, y):
     s = 0.0
     for p, q in zip(x, y, strict=True):
