@@ -253,7 +253,9 @@ def parallel_rotations(spark, d):
     """MF14: a vector under the 24 rotations that turn axes into axes."""
     e, i = _i(spark, d)
     v = [i % 5 + 1, -(i % 7) - 10, i % 3 + 30]
-    turned = F.array(*[F.struct(*[sum((v[j] * m[a][j] for j in range(3)), F.lit(0)).alias(c) for a, c in enumerate("xyz")]) for m in maths.parallel_rotations()])
+    # a row of such a matrix has one number that is not 0, and that is 1 or -1
+    at = lambda row: next(v[j] if row[j] == 1 else -v[j] for j in range(3) if row[j])
+    turned = F.array(*[F.struct(*[at(m[a]).alias(c) for a, c in enumerate("xyz")]) for m in maths.parallel_rotations()])
     return e.select("event_id", F.explode(turned).alias("r")).select("event_id", "r.x", "r.y", "r.z")
 
 
