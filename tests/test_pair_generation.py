@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmark.operators import pairs
@@ -169,3 +170,25 @@ def test_duplicate_fill_marks_every_copy(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(few)], "rank long, a long, b long, tag string")
     assert in_order(pairs.duplicate_fill(df, 11)) == filled(few, 11)
     assert in_order(pairs.duplicate_fill(df, 2)) == few and pairs.duplicate_fill(df.where(F.lit(False)), 5).count() == 0
+
+
+def test_stretches_end_where_bins_are_used_up(spark, monkeypatch):
+    """Stretches of open members' candidates pass one task in order: no later stretch, however many ranks it passes, comes to rounds."""
+    s = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(150)], "sample_id long, bin_id int, embedding array<float>")
+    want = pairs.generate(s, None, 3, usage_limit=4, stretch=1_000_000, small=1_000_000).collect()
+
+    def rounds(*_):
+        raise AssertionError("a stretch came to rounds")
+
+    monkeypatch.setattr(pairs, "_rounds", rounds)
+    got = pairs.generate(s, None, 3, usage_limit=4, stretch=500, small=1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_end_of_a_stretch():
+    row = lambda x, y, before, keep, open_x=100, open_y=100: Row(bin_x=x, bin_y=y, before=before, keep=keep, n_x=100, n_y=100, open_x=open_x, open_y=open_y, fewer=float(open_x * open_y))
+    assert pairs._stretch_end([row(0, 1, 0, 4000), row(0, 2, 4000, 4000)], 0, 3, 1_000_000) == 1200  # 2 x 3 x 200 candidates of a block
+    assert pairs._stretch_end([row(0, 1, 0, 4000), row(0, 2, 4000, 4000)], 0, 10, 1_000_000) == 4000  # bins 0 and 1 are used up by then
+    assert pairs._stretch_end([row(0, 1, 0, 4000), row(2, 3, 4000, 4000)], 0, 10, 1_000_000) == 8000  # bins 2 and 3 are not
+    assert pairs._stretch_end([row(0, 1, 0, 4000, 10, 10)], 100, 50, 20) == 1900  # 18 candidates, of one rank in a hundred
+    assert pairs._stretch_end([row(0, 1, 0, 5)], 0, 0, 0) > 0
