@@ -6,8 +6,11 @@ import itertools
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGMOIDS = ("gaussian", "hyperbolic", "long_tail", "reciprocal", "cosine", "linear", "quadratic", "tanh_squared")
 
@@ -272,19 +275,31 @@ def quat_of_matrix(m: list[list[Column]]) -> Column:
     """MF14: array (w, x, y, z) of a rotation matrix, w not below 0: the leading eigenvector of a symmetric 4 x 4 matrix.
 
     A matrix that is only nearly a rotation gives that of the nearest one. At half turns (w 0) the sign is free.
+    A matrix with a null or a number that is not finite gives null.
     """
-    d = [m[0][0] - m[1][1] - m[2][2], m[1][1] - m[0][0] - m[2][2], m[2][2] - m[0][0] - m[1][1], m[0][0] + m[1][1] + m[2][2]]
-    xy, xz, yz = m[0][1] + m[1][0], m[0][2] + m[2][0], m[1][2] + m[2][1]
-    x, y, z = m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]
-    k = F.array(*[c / 3.0 for c in (d[0], xy, xz, x, xy, d[1], yz, y, xz, yz, d[2], z, x, y, z, d[3])])
-
-    def leading(e: Column) -> Column:
-        best = F.array_max(F.array(*[F.struct(F.get(e.k, F.lit(5 * i)).alias("value"), F.lit(-i).alias("i")) for i in range(4)]))
-        part = lambda j: F.get(e.v, 4 * j - best.i)
-        sign = F.when(part(3) < 0, -1.0).otherwise(1.0)
-        return F.array(*[sign * part(j) for j in (3, 0, 1, 2)])
-
-    return _let(jacobi(k, 4), leading)
+    return _leading(*[c.cast("double") for row in m for c in row])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _leading(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series, h: pd.Series, i: pd.Series) -> pd.Series:
+    """``quat_of_matrix`` of matrices in rows, a batch of 4 x 4 matrices at once."""
+    m = np.stack([x.to_numpy(float) for x in (a, b, c, d, e, f, g, h, i)], axis=1).reshape(-1, 3, 3)
+    whole = np.isfinite(m).all((1, 2))
+    m, k = m[whole], np.empty((int(whole.sum()), 4, 4))
+    both = m + m.transpose(0, 2, 1)
+    k[:, :3, :3] = both
+    diagonal = np.einsum("nii->ni", m)
+    trace = diagonal.sum(1)
+    for j in range(3):
+        k[:, j, j] = 2 * diagonal[:, j] - trace
+        at = (j + 2) % 3, (j + 1) % 3
+        k[:, j, 3] = k[:, 3, j] = m[:, at[0], at[1]] - m[:, at[1], at[0]]
+    k[:, 3, 3] = trace
+    v = np.linalg.eigh(k / 3.0)[1][:, :, 3][:, [3, 0, 1, 2]]
+    v = np.where(v[:, :1] < 0, -v, v)
+    out = np.full(len(whole), None, object)
+    out[np.flatnonzero(whole)] = pd.Series(list(v), dtype=object).to_numpy()
+    return pd.Series(out)
 
 
 def rotated(q: list[Column], v: list[Column]) -> list[Column]:

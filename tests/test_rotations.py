@@ -1,5 +1,9 @@
 """The turned vectors are signed entries of the vector, not sums of products."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.functions import maths
 from quillmark.plans import files  # noqa: F401  registers its queries
 from quillmark.plans import catalogue
 
@@ -10,3 +14,12 @@ def test_no_products_are_made(spark):
     df = catalogue.QUERIES["parallel_rotations"](spark, DATA)
     assert " * " not in df._jdf.queryExecution().optimizedPlan().toString()
     assert len({tuple(r)[1:] for r in df.where("event_id = 7").collect()}) == 24
+
+
+def test_quaternions_come_from_batches(spark):
+    """One task's matrices are solved together, not turn by turn in an expression; incomplete ones give null."""
+    df = spark.createDataFrame([(0, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]), (1, [[None, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]), (2, [[float("nan")] * 3] * 3)], "i int, m array<array<double>>")
+    q = df.select("i", maths.quat_of_matrix([[F.col("m")[a][b] for b in range(3)] for a in range(3)]).alias("q"))
+    assert "aggregate(" not in q._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: r.q for r in q.collect()}
+    assert got[0] == pytest.approx([0.5**0.5, 0, 0, 0.5**0.5]) and got[1] is None and got[2] is None
