@@ -88,3 +88,19 @@ def test_rouge_counts_distinct_grams(spark):
     p, q = 1 / 2, 1 / 3
     assert r.rouge2 == pytest.approx(2 * p * q / (p + q + 1e-8))
     assert {x.metric: x.score for x in evaluation.overall_scores(evaluation.n_gram_metrics(rows, "i")).collect()}["rouge1"] == "80.0000"
+
+
+def test_grams_are_not_shuffled(spark):
+    """Rows of one key count together, keys may be null, keys without a word have no row; texts come together once, n-grams never."""
+    rows = [(1, "a b a b", "a b. c"), (1, "c d", "d a"), (None, "x y", "x y x"), (2, " \t", ""), (3, None, "##"), (4, "v w", None)]
+    df = spark.createDataFrame(rows, "i int, hypothesis string, reference string")
+    out = evaluation.n_gram_metrics(df, "i")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate ") == 1 and "Generate" not in plan and "Join" not in plan
+    got = {r.i: r for r in out.collect()}
+    assert set(got) == {1, None, 3, 4}
+    hyp, ref = ["a", "b", "a", "b", "c", "d"], ["a", "b.", "c", "d", "a"]
+    common = sum(min(hyp.count(w), ref.count(w)) for w in set(hyp))
+    assert got[1].bleu1 == pytest.approx(common / 6)
+    assert got[1].rouge1 == pytest.approx(2 * (4 / 4) * (4 / 5) / (4 / 4 + 4 / 5), abs=1e-6)
+    assert got[3].bleu1 == 1 and got[4].bleu1 == 0 and got[4].rouge1 == 0
