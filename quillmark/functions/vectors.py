@@ -72,11 +72,15 @@ def every_nth(series: Column, n: int) -> Column:
 def around_colour(image: Column, rgb: tuple[int, int, int], up: int, down: int, left: int, right: int) -> Column:
     """PF16: the image around the mean place of pixels (r, g, b) of exactly this colour; null where there is none."""
     hit = lambda p: (p["r"] == rgb[0]) & (p["g"] == rgb[1]) & (p["b"] == rgb[2])
-    places = F.flatten(F.transform(image, lambda row, y: F.transform(F.filter(F.transform(row, lambda p, x: F.struct(x.alias("x"), hit(p).alias("hit"))), lambda c: c["hit"]), lambda c: F.struct(y.alias("y"), c["x"].alias("x")))))
-    middle = lambda axis: F.floor(F.try_divide(F.aggregate(places, F.lit(0.0), lambda s, p: s + p[axis]), F.size(places))).cast("int")
-    y, x = middle("y"), middle("x")
-    rows = F.slice(image, F.greatest(y - up, F.lit(0)) + 1, F.least(y, F.lit(up)) + down)
-    return F.when(F.size(places) > 0, F.transform(rows, lambda r: F.slice(r, F.greatest(x - left, F.lit(0)) + 1, F.least(x, F.lit(left)) + right)))
+    places = F.flatten(F.transform(image, lambda row, y: F.filter(F.transform(row, lambda p, x: F.when(hit(p), F.struct(y.alias("y"), x.alias("x")))), lambda c: c.isNotNull())))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  an expression is made anew wherever it stands
+    middle = lambda found, axis: F.floor(F.try_divide(F.aggregate(found, F.lit(0.0), lambda s, p: s + p[axis]), F.size(found))).cast("int").alias(axis)
+
+    def cut(at: Column) -> Column:
+        rows = F.slice(image, F.greatest(at.y - up, F.lit(0)) + 1, F.least(at.y, F.lit(up)) + down)
+        return F.when(at.y.isNotNull(), F.transform(rows, lambda r: F.slice(r, F.greatest(at.x - left, F.lit(0)) + 1, F.least(at.x, F.lit(left)) + right)))
+
+    return once(once(places, lambda found: F.struct(middle(found, "y"), middle(found, "x"))), cut)
 
 
 def blanked(image: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:

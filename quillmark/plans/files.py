@@ -290,10 +290,12 @@ def image_crop(spark, d):
 def colour_crop(spark, d):
     """PF16: 3 by 3 pixels around the one of the colour; pixels outside bounds are blank."""
     e, i = _i(spark, d)
-    at = i % 4 + 1
-    pixel = lambda x, y: F.struct(F.when((y == at) & (x == at), 129).otherwise(1).alias("r"), F.when((y == at) & (x == at), 132).otherwise(y).alias("g"), F.when((y == at) & (x == at), 203).otherwise(x).alias("b"))
+    rgb = lambda r, g, b: F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
+    pixel = lambda x, y: F.when((y == F.col("at")) & (x == F.col("at")), rgb(F.lit(129), F.lit(132), F.lit(203))).otherwise(rgb(F.lit(1), y, x))
     image = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: pixel(x, y)))
-    e = e.withColumn("image", image)
+    # there are as many images as places of the colour (of negative and null ids, none); each is drawn once, and cut for every event
+    images = spark.range(-2, 6).select(F.when(F.col("id") < 5, F.col("id")).alias("at")).withColumn("image", image).withColumnRenamed("at", "shown")
+    e = e.withColumn("at", i % 4 + 1).join(F.broadcast(images), F.col("at").eqNullSafe(F.col("shown"))).select("event_id", "image")
     cut = vectors.around_colour(F.col("image"), (129, 132, 203), 1, 2, 1, 2)
     kept = vectors.blanked(F.col("image"), (129, 0, 0), (129, 255, 255))
     e = e.select("event_id", cut.alias("cut"), F.transform(kept, lambda row: F.exists(row, lambda p: p["r"] > 0)).alias("kept"))

@@ -23,3 +23,13 @@ def test_quaternions_come_from_batches(spark):
     assert "aggregate(" not in q._jdf.queryExecution().optimizedPlan().toString()
     got = {r.i: r.q for r in q.collect()}
     assert got[0] == pytest.approx([0.5**0.5, 0, 0, 0.5**0.5]) and got[1] is None and got[2] is None
+
+
+def test_images_are_searched_once(spark, tmp_path):
+    """The places of the colour stand once in the expression; images are drawn apart from the events, also for negative and null ids."""
+    spark.createDataFrame([(5,), (-3,), (None,), (6,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    df = catalogue.QUERIES["colour_crop"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1 and plan.count("Join ") == 1
+    got = {r.event_id: tuple(r)[1:] for r in df.collect()}
+    assert got[5] == (3, 3, 2) and got[6] == (3, 3, 3) and got[-3][2] == -1 and got[None][2] == -1
