@@ -76,6 +76,17 @@ SMALL_GROUP = 100_000
 ROUNDS = 16
 
 
+def _picks(x: np.ndarray, k: int) -> list[int]:
+    """Rows of x: the first, then always the one farthest from those picked."""
+    away, at, picks = np.full(len(x), np.inf), 0, []
+    for _ in range(min(k, len(x))):
+        picks.append(at)
+        away = np.minimum(away, ((x - x[at]) ** 2).sum(1))
+        away[picks] = -1
+        at = int(away.argmax())
+    return picks
+
+
 def farthest_first(points: DataFrame, k: int, small: int = SMALL_GROUP) -> DataFrame:
     """(g, pick, i): of each group g of (g, i, v), the least i, then always the row farthest from those picked, ties by i.
 
@@ -88,13 +99,7 @@ def farthest_first(points: DataFrame, k: int, small: int = SMALL_GROUP) -> DataF
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").reset_index(drop=True)
-        x = np.array(pdf["v"].tolist(), float)
-        away, at, picks = np.full(len(x), np.inf), 0, []
-        for _ in range(min(k, len(x))):
-            picks.append(at)
-            away = np.minimum(away, ((x - x[at]) ** 2).sum(1))
-            away[picks] = -1
-            at = int(away.argmax())
+        picks = _picks(np.array(pdf["v"].tolist(), float), k)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "pick": range(len(picks)), "i": pdf["i"].iloc[picks].to_numpy()})
 
     found = rows.where("small").select("g", "i", "v").groupBy("g").applyInPandas(pick, f"g {kinds['g']}, pick int, i {kinds['i']}")
@@ -128,10 +133,38 @@ def farthest_points(clouds: DataFrame, n: int, small: int = SMALL_GROUP) -> Data
     return found.select(F.col("g").cast("long").alias("cloud_id"), "pick", F.col("i").cast("int").alias("pt"))
 
 
-def local_groups(clouds: DataFrame, n: int, k: int) -> DataFrame:
-    """VP6, VP8: the k points nearest to each farthest-point centre, moved so that the centre is 0."""
-    centre = farthest_points(clouds, n).join(clouds, ["cloud_id", "pt"]).select("cloud_id", F.col("pt").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    pairs = centre.join(clouds.select("cloud_id", "pt", "x", "y", "z"), "cloud_id")
-    moved = pairs.withColumns({"x": F.col("x") - F.col("cx"), "y": F.col("y") - F.col("cy"), "z": F.col("z") - F.col("cz")})
+def local_groups(clouds: DataFrame, n: int, k: int, small: int = SMALL_GROUP) -> DataFrame:
+    """VP6, VP8: the k points nearest to each farthest-point centre, moved so that the centre is 0.
+
+    A cloud of up to ``small`` points gives its centres and what can be among their nearest in one task; larger ones meet their centres in a join.
+    """
+    large = clouds.groupBy("cloud_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select("cloud_id")
+    if large.isEmpty():
+        moved = _near_centres(clouds, n, k)
+    else:
+        most = clouds.join(large, "cloud_id", "left_semi")
+        centre = farthest_points(most, n, small).join(most, ["cloud_id", "pt"]).select("cloud_id", F.col("pt").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+        pairs = centre.join(most.select("cloud_id", "pt", "x", "y", "z"), "cloud_id")
+        moved = pairs.select("cloud_id", "centre", "pt", *[(F.col(c) - F.col(f"c{c}")).alias(c) for c in "xyz"])
+        moved = moved.unionByName(_near_centres(clouds.join(large, "cloud_id", "left_anti"), n, k))
     rank = F.row_number().over(Window.partitionBy("cloud_id", "centre").orderBy(F.round(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2, 9), "pt"))
     return moved.withColumn("rank", rank).where(F.col("rank") <= k).select("cloud_id", "centre", "rank", "pt", "x", "y", "z")
+
+
+def _near_centres(clouds: DataFrame, n: int, k: int) -> DataFrame:
+    """(cloud_id, centre, pt, x, y, z): of each cloud and centre the points that can rank among the k nearest by rounded distance, moved."""
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pt").reset_index(drop=True)
+        x, pt = pdf[["x", "y", "z"]].to_numpy(float), pdf["pt"].to_numpy()
+        out = []
+        for at in _picks(x, n):
+            moved = x - x[at]
+            square = (moved**2).sum(1)
+            last = np.partition(square, k - 1)[k - 1] if len(x) > k else np.inf
+            may = np.flatnonzero(~(square > last + 2e-9 + 1e-12 * last))  # rounding may bring as many level
+            out.append(pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "centre": pt[at], "pt": pt[may], "x": moved[may, 0], "y": moved[may, 1], "z": moved[may, 2]}))
+        return pd.concat(out, ignore_index=True)
+
+    rows = clouds.where("cloud_id is not null").select(F.col("cloud_id").cast("long").alias("cloud_id"), F.col("pt").cast("int").alias("pt"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return rows.groupBy("cloud_id").applyInPandas(near, "cloud_id long, centre int, pt int, x double, y double, z double")

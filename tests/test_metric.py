@@ -97,3 +97,14 @@ def test_first_within_against_brute_force(spark, small_cells):
                 want[ids[a]] = min(near)
         assert {r.sample_id: r.earlier for r in neighbours.duplicates(df.repartition(3), radius).collect()} == want
     assert neighbours.duplicates(df, 0.0).count() == 0
+
+
+def test_local_groups_of_small_clouds_meet_no_join(spark):
+    """A cloud's centres and their nearest come from one task, with the rows that the join of larger clouds gives, ties included."""
+    rng = np.random.default_rng(3)
+    rows = [(c, p, *[float(x) for x in rng.integers(0, 4, 3)]) for c in range(3) for p in range(5 + 30 * c)]
+    df = spark.createDataFrame(rows, "cloud_id long, pt int, x double, y double, z double")
+    got = neighbours.local_groups(df, 4, 8)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, got.collect()))
+    assert sorted(map(tuple, neighbours.local_groups(df, 4, 8, small=10).collect())) == want and len(want) == 4 * (5 + 8 + 8)
