@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.common import table, written
 from quillmark.functions import maths, text, vectors
-from quillmark.operators import conversations, decisions, evaluation, neighbours, pairs, points, preferences, store, trajectories
+from quillmark.operators import capped, conversations, decisions, evaluation, neighbours, pairs, points, preferences, store, trajectories
 from quillmark.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,9 +414,7 @@ def pairs_choose_two(spark, d):
 
 @query()
 def pairs_usage_cap(spark, d):
-    near = pairs.neighbor_bin(A.samples(spark, d))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bin_a").orderBy(pairs.draw(42, F.col("a"), F.col("b")))))
-    return pairs.usage_capped(ranked.select(F.col("bin_a").alias("environment"), "rank", "a", "b"), 3)
+    return capped.neighbors_capped(A.samples(spark, d), 3, 42)
 
 
 @query()
