@@ -6,6 +6,8 @@ bounds how far its neighbours can be. It then goes only to cells that the bound
 half of d(q, p_j) - d(q, p_own) is over it, or if all its rings are farther inside or outside. Chunks of queries and rings
 are packed rows, joined by block and cell where their distances to the pivot come within the bound.
 
+Points of up to eight dimensions, where no blocks are asked for, are searched by boxes instead, see ``boxes``.
+
 Nothing is dropped: bounds only leave out what cannot be a neighbour. Cells and rings are dealt by ranges of (block, cell,
 distance, id), so a crowded cell is many tasks' work; of equal points only the first k ids can be neighbours, and equal queries
 are asked once, so copies multiply nothing. In data without structure (random vectors of many dimensions) bounds reach
@@ -16,6 +18,7 @@ Rows without an id or a vector are left out; ids are whole numbers. A null block
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.common import release, width, written
+from quillmark.operators import boxes
 
 #: Points a cell has on average, as long as there are pivots for that.
 CELL_ROWS = 1024
@@ -147,14 +151,25 @@ def _first_inside(radius: float) -> Callable:
     return keep
 
 
+def _first_copies(points: DataFrame, copies: int) -> DataFrame:
+    """(b, id, v, copy): of equal points only the first ids can be among the nearest; Spark cuts groups before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("b", "v").orderBy("p"))
+    return points.withColumn("copy", rank).where(F.col("copy") <= copies).select("b", F.col("p").alias("id"), "v", "copy")
+
+
+def _few_dimensions(*rows: DataFrame) -> int | None:
+    """How many dimensions all vectors have, if they are finite and so few that boxes do better than pivots."""
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    kinds = functools.reduce(DataFrame.union, [r.groupBy(F.size("v").alias("dims"), odd.alias("odd")).count().select("dims", "odd") for r in rows]).distinct().limit(2).collect()
+    return kinds[0]["dims"] if len(kinds) == 1 and not kinds[0]["odd"] and kinds[0]["dims"] <= boxes.MAX_DIMENSIONS else None
+
+
 class _Space:
     """Points in rings, the pivots, and per kind of cell how near and far its points lie."""
 
     def __init__(self, points: DataFrame, copies: int, tally: Accumulator | None):
         self.tally, spark = tally, points.sparkSession
-        # of equal points only the first ids can be among the nearest; Spark cuts groups before the shuffle
-        rank = F.row_number().over(Window.partitionBy("b", "v").orderBy("p"))
-        held = written(points.withColumn("copy", rank).where(F.col("copy") <= copies).select("b", F.col("p").alias("id"), "v", "copy"), "metric-points")
+        held = written(_first_copies(points, copies), "metric-points")
         drawn = held.where("copy = 1").select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(MAX_PIVOTS).collect()
         if len({len(r["v"]) for r in drawn}) > 1:
             raise ValueError("vectors of several dimensions have no distance")
@@ -229,7 +244,14 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: str | None = N
     ``tally`` adds up how many distances are computed, to pivots and to points.
     """
     asked, names = _blocked(queries, "q", block), ["q", *([block] if block else [])]
-    space = _Space(_blocked(points, "p", block), k, tally)
+    dealt = _blocked(points, "p", block)
+    dims = _few_dimensions(dealt, asked) if block is None else None
+    if dims:
+        once = _numbered(asked)
+        held = written(_first_copies(dealt, k), "metric-points")
+        out = asked.join(once, "v").select("q", once["id"]).join(boxes.nearest(once, held, dims, k, tally).withColumnRenamed("q", "id"), "id")
+        return out.select(F.col("q").cast(queries.schema["q"].dataType).alias("q"), F.col("p").cast(points.schema["p"].dataType).alias("p"), F.col("d").alias("distance"), "rank")
+    space = _Space(dealt, k, tally)
     if space.empty:
         kinds = [f"{c} {queries.schema[c].dataType.simpleString()}" for c in names]
         return queries.sparkSession.createDataFrame([], ", ".join([*kinds, "p long, distance double, rank int"]))
