@@ -220,6 +220,78 @@ class _Space:
         return _candidates(_packed(self.reached(asked), CHUNK), self.rings, keep, self.tally)
 
 
+#: Rows of a side that a task gets where all queries of a block meet all its points, and how many of each side are multiplied at once.
+SIDE_ROWS, PRODUCT = 65_536, (256, 4096)
+
+
+def _sends(space: _Space, asked: DataFrame) -> int:
+    """How many rows ``reached`` makes; none of them is moved."""
+    pivots, limits = space.pivots, space.limits
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, part in _parts(it):
+            d, r = _apart(_matrix(part["v"]), pivots.value[:n]), part["reach"].to_numpy(float)[:, None] + 10.0**-_DIGITS
+            low, high = limits[n]
+            yield pd.DataFrame({"n": [int(((d - d.min(1, keepdims=True) <= 2 * r) & (d - high <= r) & (low - d <= r)).sum())]})
+
+    return asked.select("b", "level", "id", "v", "reach").mapInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _least_of_products(x: np.ndarray, reach: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, rounded distance) of the k of y that rank first within each row's reach. Products in single precision tell what may be among them."""
+    centre = y.mean(0)
+    xc, yc = x - centre, y - centre
+    xx, yy = (xc * xc).sum(1), (yc * yc).sum(1)
+    kind = np.float32 if max(xx.max(), yy.max()) < 1e30 else np.float64
+    slack = (2e-7 if kind == np.float32 else 1e-15) * (x.shape[1] + 8) * (xx + yy.max())
+    left, right = np.c_[-2 * xc, xx, np.ones(len(x))].astype(kind), np.c_[yc, np.ones(len(y)), yy].astype(kind).T
+    limit = (reach + 2 * 10.0**-_DIGITS) ** 2 + slack
+    row, col, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(y), PRODUCT[1]):
+        square = left @ right[:, at : at + PRODUCT[1]]
+        if not at and square.shape[1] > k:
+            last = np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1].astype(float) + slack, 0)
+            limit = np.minimum(limit, (np.sqrt(last) + 2 * 10.0**-_DIGITS) ** 2 + slack)
+        i, j = np.nonzero(square <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None])
+        j += at
+        d = np.concatenate([np.sqrt(((y[j[c : c + 65_536]] - x[i[c : c + 65_536]]) ** 2).sum(1)) for c in range(0, len(i), 65_536)] or [np.zeros(0)])
+        near = d <= reach[i] + 10.0**-_DIGITS
+        row, col, dist = np.r_[row, i[near]], np.r_[col, j[near]], np.r_[dist, np.round(d[near], _DIGITS)]
+        order = np.lexsort((ids[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, dist = row[first], col[first], dist[first]
+    return row, ids[col], dist
+
+
+def _met_by_all(chunks: DataFrame, rings: DataFrame, sides: DataFrame, k: int, tally: Accumulator | None) -> DataFrame:
+    """(q, p, d) as ``_candidates``, where bounds tell little: chunks and rings of a block are dealt to ``side`` parts each, and every two parts meet in a task.
+
+    A row is moved ``side`` times, however many cells its reach touches.
+    """
+    def dealt(packed: DataFrame, mine: str, other: str) -> DataFrame:
+        parts = packed.join(F.broadcast(sides), "b").withColumn(mine, F.pmod(F.xxhash64("ids"), F.col("side"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("side").cast("long") - 1)))
+        return parts.select("b", "i", "j", "ids", "m", "r").repartition(width(packed.sparkSession), "b", "i", "j").groupBy("b", "i", "j")
+
+    def compare(c: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(c) and len(r):
+            p = np.concatenate([np.frombuffer(v, np.int64) for v in r["ids"]])
+            y = np.concatenate([np.frombuffer(v) for v in r["m"]]).reshape(len(p), -1)
+            for row in c.itertuples(index=False):
+                q, reach = np.frombuffer(row.ids, np.int64), np.frombuffer(row.r)
+                x = np.frombuffer(row.m).reshape(len(q), -1)
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and of {y.shape[1]} dimensions have no distance")
+                if tally is not None:
+                    tally.add(len(q) * len(p))
+                found = _least_of_products(x, reach, y, p, k)
+                out.append(pd.DataFrame({"q": q[found[0]], "p": found[1], "d": found[2]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "p": np.zeros(0, np.int64), "d": np.zeros(0)})
+
+    return dealt(chunks, "i", "j").cogroup(dealt(rings, "j", "i")).applyInPandas(compare, "q long, p long, d double")
+
+
 #: Distances to pivots that are held at once; a query that reaches every cell is sent so often.
 _AT_ONCE = 16_384
 
@@ -261,9 +333,20 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: str | None = N
     # what a query finds in the rings of its own cell at its own distance bounds how far its neighbours are
     found = _candidates(_packed(own.withColumn("reach", F.lit(0.0)), CHUNK), space.rings, _least(k), tally, bounded=False)
     last = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("d").alias("bound"))
-    bounded = written(own.join(last, "id", "left").select("b", "level", "id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("reach")), "metric-reach")
+    bounded = written(own.join(last, "id", "left").select("b", "level", "cell", "away", "id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("reach")), "metric-reach")
     release(own)
-    ranked = space.within(bounded, _least(k)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # where bounds tell little, all queries of a block meet all its points; a row is moved as often as the block has sides
+    rows = space.rings.groupBy("b").agg(F.sum("n").alias("points")).join(bounded.groupBy("b").agg(F.count("*").alias("queries")), "b")
+    total = rows.agg(F.sum(F.greatest("points", "queries"))).first()[0] or 1
+    part = F.greatest("points", "queries")
+    side = F.greatest(F.ceil(part / F.lit(SIDE_ROWS)), F.ceil(part * F.lit(width(queries.sparkSession) ** 0.5 / total)))
+    sides = written(rows.withColumn("side", side).select("b", "side", (side * (F.col("points") + F.col("queries"))).alias("moved")), "metric-sides")
+    moved = sides.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+    if _sends(space, bounded) > moved:
+        near = _met_by_all(_packed(bounded, PRODUCT[0]), space.rings, sides.select("b", "side"), k, tally)
+    else:
+        near = space.within(bounded, _least(k))
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     named = asked.join(once, ["b", "v"]).select("q", "b", "id")
     out = named.join(ranked.select(F.col("q").alias("id"), "p", F.col("d").alias("distance"), "rank"), "id")
     back = [F.from_json("b", f"b {queries.schema[block].dataType.simpleString()}")["b"].alias(block)] if block else []
