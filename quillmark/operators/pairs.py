@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.common import release, unused, width, written
+from quillmark.operators import shares
 from quillmark.operators.decisions import chunked, running_sums
 
 #: First digits of the random key by which a ratio sample is counted; 16 to this power counts a group.
@@ -248,6 +249,11 @@ def sampled_or_near(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
     return alone.unionByName(first_strategy(shared)).select("a", "b", "tag")
 
 
+def crossed_sample(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """SR10 over JN8: (bin_a, bin_b, a, b) as ``ratio_sample`` of ``cross_bin`` gives them, whose pairs are not rows before they are asked for."""
+    return shares.Share(samples, ratio, seed).pairs().select("bin_a", "bin_b", "a", "b")
+
+
 def tagged(pairs: DataFrame, tag: str, priority: int) -> DataFrame:
     """ST2: candidates of one strategy, for a union by priority."""
     return pairs.select("a", "b", F.lit(tag).alias("tag"), F.lit(priority).alias("priority"))

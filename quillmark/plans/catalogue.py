@@ -393,7 +393,7 @@ kept AS (SELECT bin_a, bin_b, a, b FROM ranked WHERE rk <= ceil(n * 0.4::DOUBLE)
 
 @query(f"WITH {A.SAMPLES}, {_SAMPLED} SELECT bin_a, bin_b, a, b FROM kept")
 def pairs_ratio_sample(spark, d):
-    return pairs.ratio_sample(pairs.cross_bin(A.samples(spark, d)), 0.4, 42)
+    return pairs.crossed_sample(A.samples(spark, d), 0.4, 42)
 
 
 @query(f"""WITH {A.SAMPLES}, {_SAMPLED}, c AS (SELECT a, b, 'cross_bin' AS tag, 1 AS priority FROM kept UNION ALL SELECT y.sample_id, x.sample_id, 'neighbor_bin', 2 FROM samples x JOIN samples y ON y.bin_id = x.bin_id + 1),
