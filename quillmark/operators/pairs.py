@@ -199,17 +199,15 @@ def _shares(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...]) -
     return written(ends.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__digits").alias("__end"), "__rest"), "ratio-ends")
 
 
-def _share(pairs: DataFrame, ends: DataFrame, seed: int, group: tuple[str, ...], taken: bool) -> DataFrame:
-    """The pairs of the groups' shares, or those beyond. Only pairs that have the digits of an end are shuffled, for their rank."""
+def _share(pairs: DataFrame, ends: DataFrame, seed: int, group: tuple[str, ...]) -> DataFrame:
+    """The pairs of the groups' shares. Only pairs that have the digits of an end are shuffled, for their rank."""
     digits, end, rest, rank = unused(pairs, "digits", "end", "rest", "rank")
     keyed = pairs.withColumn(digits, F.substring(draw(seed, F.col("a"), F.col("b")), 1, RATIO_DIGITS))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
-    held = keyed.join(ends, same, "inner" if taken else "left").select(*pairs.columns, digits, F.col("__end").alias(end), F.col("__rest").alias(rest))
+    held = keyed.join(ends, same).select(*pairs.columns, digits, F.col("__end").alias(end), F.col("__rest").alias(rest))
     at = F.row_number().over(Window.partitionBy(*group, digits).orderBy(draw(seed, F.col("a"), F.col("b"))))
-    ranked = held.where(F.col(digits) == F.col(end)).withColumn(rank, at)
-    edge = ranked.where(F.col(rank) <= F.col(rest) if taken else F.col(rank) > F.col(rest))
-    whole = held.where(F.col(digits) < F.col(end) if taken else F.col(end).isNull() | (F.col(digits) > F.col(end)))
-    return edge.select(*pairs.columns).unionByName(whole.select(*pairs.columns))
+    edge = held.where(F.col(digits) == F.col(end)).withColumn(rank, at).where(F.col(rank) <= F.col(rest))
+    return edge.select(*pairs.columns).unionByName(held.where(F.col(digits) < F.col(end)).select(*pairs.columns))
 
 
 def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ...] = ("bin_a", "bin_b")) -> DataFrame:
@@ -219,33 +217,26 @@ def ratio_sample(pairs: DataFrame, ratio: float, seed: int, group: tuple[str, ..
     taken whole, as they are made; those with the digits of the end, one in 4,096, by rank. A group is ranked by its digits, not
     in one task. The ends, a row a group, are written: where they are small, as Spark then knows, no other pair is shuffled.
     """
-    return _share(pairs, _shares(pairs, ratio, seed, group), seed, group, True)
+    return _share(pairs, _shares(pairs, ratio, seed, group), seed, group)
 
 
 def sampled_or_near(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
     """ST3: (a, b, tag) of a ratio sample of crossed bins and then of neighbouring bins, these the other way round; a pair once, by its first strategy.
 
-    Bins that neighbour are crossed too, so a pair of theirs comes second where the share of its bins leaves it: nothing is looked up and
-    pairs are not shuffled. Only pairs of ids that stand in more rows than one go through ``first_strategy``.
+    Bins that neighbour are crossed too, so a pair of theirs comes second where the share of its bins leaves it: nothing is looked up, and
+    pairs are neither shuffled nor rows before they are asked for, see ``shares``. Only pairs of ids that stand in more rows than one go
+    through ``first_strategy``.
     """
-    group = ("bin_a", "bin_b")
-    crossed, near = cross_bin(samples), neighbor_bin(samples)
-    ends = _shares(crossed, ratio, seed, group)
-    one = lambda p: tagged(p, "cross_bin", 1)
-    two = lambda p: tagged(p.select(F.col("b").alias("a"), F.col("a").alias("b")), "neighbor_bin", 2)
-    first, rest = _share(crossed, ends, seed, group, True), _share(near, ends, seed, group, False)
-    again = written(samples.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1 or sample_id is null").select("sample_id"), "pairs-again")
-    if again.isEmpty():
-        return one(first).unionByName(two(rest)).select("a", "b", "tag")
-
-    def marked(p: DataFrame) -> DataFrame:
-        for c in "ab":
-            twice = again.select(F.col("sample_id").alias(f"__{c}"), F.lit(True).alias(f"__again_{c}"))
-            p = p.join(twice, F.col(c).eqNullSafe(F.col(f"__{c}")), "left")
-        return p.withColumn("__again", F.coalesce("__again_a", "__again_b", F.lit(False)))
-
-    alone = one(marked(first).where("not __again")).unionByName(two(marked(rest).where("not __again")))
-    shared = one(marked(first).where("__again")).unionByName(two(marked(near).where("__again")))
+    share = shares.Share(samples, ratio, seed)
+
+    def named(p: DataFrame) -> DataFrame:
+        two = F.col("beyond")
+        ids = [F.when(two, F.col(other)).otherwise(F.col(c)).alias(c) for c, other in ("ab", "ba")]
+        return p.select(*ids, F.when(two, "neighbor_bin").otherwise("cross_bin").alias("tag"), F.when(two, 2).otherwise(1).alias("priority"))
+
+    if not share.again():
+        return named(share.pairs(near=True)).select("a", "b", "tag")
+    alone, shared = (named(share.pairs(near=True, again=again)) for again in (False, True))
     return alone.unionByName(first_strategy(shared)).select("a", "b", "tag")
 
 

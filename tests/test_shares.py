@@ -3,6 +3,8 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+
 from quillmark.operators import pairs, shares
 
 ROWS = [(i * 37, i * 7 % 4 if i < 280 else 8) for i in range(300)]
@@ -22,6 +24,15 @@ def test_share_is_that_of_the_list(spark, monkeypatch, rows, ratio, deviations):
     assert counted(pairs.crossed_sample(s, ratio, 42)) == counted(pairs.ratio_sample(pairs.cross_bin(s), ratio, 42))
 
 
+@pytest.mark.parametrize("rows", [ROWS, COPIES])
+def test_share_and_near_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(shares, "BLOCK_ROWS", 32)
+    s = spark.createDataFrame(rows, "sample_id long, bin_id int")
+    one = pairs.tagged(pairs.ratio_sample(pairs.cross_bin(s), 0.4, 42), "cross_bin", 1)
+    two = pairs.tagged(pairs.neighbor_bin(s).select(F.col("b").alias("a"), F.col("a").alias("b")), "neighbor_bin", 2)
+    assert counted(pairs.sampled_or_near(s, 0.4, 42)) == counted(pairs.first_strategy(one.unionByName(two)).select("a", "b", "tag"))
+
+
 def test_few_pairs_are_ranked(spark):
     """Digests are made as matrices, twice, and few pairs get a rank; before, every pair was a row with a digest three times."""
     s = spark.createDataFrame([(i, i % 2) for i in range(2000)], "sample_id long, bin_id int")
@@ -34,4 +45,4 @@ def test_few_pairs_are_ranked(spark):
 
 def test_empty(spark):
     s = spark.createDataFrame([(1, 0), (2, 0)], "sample_id long, bin_id int")
-    assert pairs.crossed_sample(s, 0.4, 42).count() == 0
+    assert pairs.crossed_sample(s, 0.4, 42).count() == 0 and pairs.sampled_or_near(s.where("false"), 0.4, 42).count() == 0
