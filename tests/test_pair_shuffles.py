@@ -66,6 +66,18 @@ def test_blocks_grow_with_the_largest_bin(spark, monkeypatch):
     assert pairs.intra_bin(s).count() == 200 * 199 // 2 + 45
 
 
+@pytest.mark.parametrize("pairs_of", [pairs.neighbor_bin, pairs.adjacent_bin, pairs.cross_bin])
+def test_second_samples_come_in_the_same_order(spark, pairs_of):
+    """Runs of a first sample hold a block of second ones, mostly the block of the run before; so rows take little room where they are written."""
+    s = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(2600)] + [(None, 0)], "sample_id long, bin_id int")
+    rows = pairs_of(s).select(F.spark_partition_id().alias("task"), "a", "b").collect()
+    assert len(rows) == 61 * 2540
+    runs = [(k[0], tuple(r.b for r in run)) for k, run in itertools.groupby(rows, key=lambda r: (r.task, r.a))]
+    # a run of equal firsts may join two blocks, where one ends and the next begins
+    assert max(len(b) for _, b in runs) <= 2 * pairs.SECONDS
+    assert sum(x == y for x, y in itertools.pairwise(runs)) > len(runs) / 3
+
+
 def sum_of(x, y):
     s = 0.0
     for p, q in zip(x, y, strict=True):
