@@ -8,7 +8,9 @@ blocks meet, so no other pair is ever a row.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,20 +46,23 @@ def _both(members: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, environments: DataFrame, extra: tuple[str, ...]) -> DataFrame:
-    """(environment, *extra, a, ua, b, ub): every block of first members with every block of second ones, as lists of ids and of uses."""
+    """(environment, *extra, a, ua, b, ub): every block of first members with every block of second ones, as lists of ids and of uses.
+
+    What an environment has besides (``extra``, which may be long) comes to the blocks that have met, not to members and not through a sort.
+    """
     n = [F.ceil(F.col(f"m{s}") / F.lit(BLOCK_ROWS)).cast("int").alias(f"n{s}") for s in (0, 1)]
-    sized = _both(members).join(environments, "environment").select("environment", *n, *extra)
+    sized = _both(members).join(environments.select("environment"), "environment").select("environment", *n)
     blocks = members.join(sized, "environment").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
-    packed = blocks.groupBy("environment", "side", "block", "n0", "n1", *extra).agg(F.collect_list("id").alias("ids"), F.collect_list("used").alias("uses"))
+    packed = blocks.groupBy("environment", "side", "block", "n0", "n1").agg(F.collect_list("id").alias("ids"), F.collect_list("used").alias("uses"))
 
-    def side(s: int, mine: str, other: str, names: tuple[str, ...]) -> DataFrame:
+    def side(s: int, mine: str, other: str) -> DataFrame:
         dealt = packed.where(F.col("side") == s).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(f"n{1 - s}") - 1)))
-        return dealt.select("environment", F.col("block").alias(mine), F.col("o").alias(other), *names, F.col("ids").alias("ab"[s]), F.col("uses").alias("u" + "ab"[s]))
+        return dealt.select("environment", F.col("block").alias(mine), F.col("o").alias(other), F.col("ids").alias("ab"[s]), F.col("uses").alias("u" + "ab"[s]))
 
     w = width(members.sparkSession)
     keys = ["environment", "i", "j"]
-    first, second = side(0, "i", "j", extra).repartition(w, *keys), side(1, "j", "i", ()).repartition(w, *keys)
-    return first.join(second.hint("merge"), keys)
+    first, second = side(0, "i", "j").repartition(w, *keys), side(1, "j", "i").repartition(w, *keys)
+    return first.join(second.hint("merge"), keys).join(environments.select("environment", *extra), "environment")
 
 
 def _texts(seed: int, a: list[str], b: list[str]) -> tuple[list[bytes], list[bytes]]:
@@ -72,14 +77,20 @@ def _in_range(met: DataFrame, seed: int, kind: str) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 a, b, ua, ub = (np.asarray(v) for v in (row.a, row.b, row.ua, row.ub))
                 first, last = np.uint32(row.low >> 30), np.uint32((row.high - 1) >> 30)
-                for i, j, words in digests.md5_of_products(*_texts(seed, row.a, row.b)):
+                firsts, seconds = _texts(seed, row.a, row.b)
+                near = [(np.zeros(0, np.int64),) * 2]
+                for i, j, words in digests.md5_of_products(firsts, seconds, whole=False):
                     p, q = np.nonzero((words[0] >= first) & (words[0] <= last))
-                    found = np.stack([w[p, q] for w in words], 1).astype(">u4")
+                    near.append((i[p], j[q]))
+                p, q = (np.concatenate(n) for n in zip(*near, strict=True))
+                for at in range(0, len(p), _HELD // 16):
+                    pa, qa = p[at : at + _HELD // 16], q[at : at + _HELD // 16]
+                    made = [hashlib.md5(firsts[x] + seconds[y]).digest() for x, y in zip(pa.tolist(), qa.tolist(), strict=True)]
+                    found = np.frombuffer(b"".join(made), ">u4").reshape(-1, 4)
                     place = (found[:, 0].astype(np.int64) << 30) | (found[:, 1] >> 2)
                     within = (place >= row.low) & (place < row.high)
-                    p, q, found = i[p[within]], j[q[within]], found[within]
-                    if len(p):
-                        yield pd.DataFrame({"environment": row.environment, "digest": [d.tobytes() for d in found], "a": a[p], "b": b[q], "ua": ua[p], "ub": ub[q]})
+                    pa, qa = pa[within], qa[within]
+                    yield pd.DataFrame({"environment": row.environment, "digest": [made[k] for k in np.flatnonzero(within)], "a": a[pa], "b": b[qa], "ua": ua[pa], "ub": ub[qa]})
 
     return met.mapInPandas(pick, f"environment {kind}, digest binary, a string, b string, ua int, ub int")
 
@@ -110,33 +121,35 @@ def _folded(candidates: DataFrame, limit: int, kind: str) -> DataFrame:
 def _counted(met: DataFrame, seed: int, kind: str) -> DataFrame:
     """(environment, k, n): how many pairs have a digest below ``marks[k]``, in order of digests."""
 
-    def below(row, marks: np.ndarray) -> np.ndarray:
-        """Digests below each mark, by counts of buckets and, in the buckets that hold a mark, one by one."""
-        shift = 32 - _BUCKET_BITS
-        top = (marks[:, 0] >> 32).astype(np.int64) >> shift
+    def below(row, marks: list[bytes]) -> np.ndarray:
+        """Digests below each mark, tile by tile: by the bucket where no mark is in it, else by the marks' first words, else by whole digests."""
+        tops = np.frombuffer(b"".join(marks), ">u4")[::4].astype(np.uint32)
+        shift = np.uint32(32 - _BUCKET_BITS)
+        # marks below each bucket, and whether it holds some
+        ahead = np.searchsorted(tops >> shift, np.arange(1 << _BUCKET_BITS))
         holds = np.zeros(1 << _BUCKET_BITS, bool)
-        holds[top] = True
-        totals, close = np.zeros(1 << _BUCKET_BITS, np.int64), []
-        for _, _, words in digests.md5_of_products(*_texts(seed, row.a, row.b)):
-            bucket = (words[0] >> np.uint32(shift)).ravel()
-            totals += np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-            at = np.flatnonzero(holds[bucket])
-            close.append(np.stack([w.ravel()[at] for w in words], 1))
-        found = _halves(np.concatenate(close))
-        # places of marks among the digests of their buckets, by both halves
-        both = np.concatenate([found, marks])
-        order = np.lexsort((np.r_[np.ones(len(found)), np.zeros(len(marks))], both[:, 1], both[:, 0]))
-        is_found = order < len(found)
-        before = np.cumsum(is_found)[~is_found]  # marks come in their own order
-        inside = np.cumsum(np.where(holds, totals, 0)) - np.where(holds, totals, 0)
-        return (np.cumsum(totals) - totals)[top] + before - inside[top]
+        holds[tops >> shift] = True
+        after = np.zeros(len(marks) + 1, np.int64)  # digests that come after so many marks, and not after more
+        firsts, seconds = _texts(seed, row.a, row.b)
+        for i, j, words in digests.md5_of_products(firsts, seconds, whole=False):
+            first = words[0].ravel()
+            bucket = first >> shift
+            places = ahead[bucket]
+            close = np.flatnonzero(holds[bucket])
+            low, high = np.searchsorted(tops, first[close]), np.searchsorted(tops, first[close], side="right")
+            places[close] = low
+            for at in np.flatnonzero(low < high):  # the first words are equal
+                p, q = divmod(int(close[at]), len(j))
+                made = hashlib.md5(firsts[i[p]] + seconds[j[q]]).digest()
+                places[close[at]] = bisect.bisect_left(marks, made, int(low[at]), int(high[at])) if made not in marks[low[at] : high[at]] else marks.index(made, int(low[at]), int(high[at])) + 1
+            after += np.bincount(places, minlength=len(after))
+        return np.cumsum(after)[:-1]
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for pdf in it:
             for row in pdf.itertuples(index=False):
-                marks = _halves(np.frombuffer(b"".join(row.marks), ">u4").reshape(-1, 4))
-                held[row.environment] = held.get(row.environment, 0) + below(row, marks)
+                held[row.environment] = held.get(row.environment, 0) + below(row, list(row.marks))
                 if sum(map(len, held.values())) > _HELD:
                     yield given(held)
                     held = {}
@@ -149,11 +162,6 @@ def _counted(met: DataFrame, seed: int, kind: str) -> DataFrame:
     return met.mapInPandas(count, f"environment {kind}, k int, n long").groupBy("environment", "k").agg(F.sum("n").alias("n"))
 
 
-def _halves(words: np.ndarray) -> np.ndarray:
-    w = words.astype(np.uint64)
-    return np.stack([(w[:, 0] << 32) | w[:, 1], (w[:, 2] << 32) | w[:, 3]], 1)
-
-
 def neighbors_capped(samples: DataFrame, limit: int, seed: int) -> DataFrame:
     """SP3: (environment, rank, a, b): of the pairs of a bin and the next, ranked by ``draw``, those that ``usage_capped`` takes.
 
